@@ -28,9 +28,8 @@ def cohort(spark, d):
 @query("cut_bins", f"""SELECT uid, age, {sql_cut('age', fx.AGE_BREAKS)} AS age_cat,
  {sql_cut('age', fx.AGE_BREAKS_10Y)} AS age_cat_10y FROM raw_cohort""", ["raw_cohort"])
 def cut_bins(spark, d):
-    age = F.col("age")
     return v.raw_cohort(spark, d).select(
-        "uid", "age", cut(age, fx.AGE_BREAKS).alias("age_cat"), cut(age, fx.AGE_BREAKS_10Y).alias("age_cat_10y"))
+        "uid", "age", cut("age", fx.AGE_BREAKS).alias("age_cat"), cut("age", fx.AGE_BREAKS_10Y).alias("age_cat_10y"))
 
 
 @query("recode_levels", """SELECT uid, CASE sex WHEN 'f' THEN 'Female' WHEN 'm' THEN 'Male' END AS Sex,
@@ -80,7 +79,7 @@ def child_counts(spark, d):
  CASE WHEN l.toxic = 1 THEN 'pos' ELSE 'neg' END AS N_interp
  FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def select_pattern(spark, d):
-    df = v.labelled_cohort(spark, d).withColumn("age_cat", cut(F.col("age"), fx.AGE_BREAKS))
+    df = v.labelled_cohort(spark, d).withColumn("age_cat", cut("age", fx.AGE_BREAKS))
     return df.select("uid", "hh_id", *co.columns_like(df, "age", "_interp"))
 
 

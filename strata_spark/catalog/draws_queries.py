@@ -321,7 +321,7 @@ def integration_check(spark, d):
 
 def _status_draws(spark, d):
     """Infection probability per draw and stratum, with pv from the vaccination coefficients."""
-    inf, vacc = (logistic(v.SERO_DESIGN.predictor(dr.coefficient(p))) for p in ("inf:", "vacc:"))
+    inf, vacc = (logistic(F.expr(v.SERO_DESIGN.predictor(p))) for p in ("inf:", "vacc:"))
     grid = fan_out(v.sero_draws(spark, d), AGE, SEX).withColumn("p", inf).withColumn("pv", vacc * F.col("vacc_response"))
     return grid, true_status(F.col("p"), F.col("pv"), F.col("resp_sn_np"), F.col("resp_sp_nn"))
 

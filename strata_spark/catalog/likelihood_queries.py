@@ -77,8 +77,8 @@ def misclass_prob(spark, d):
     dated = cells(spark, d).where(F.col("inf_latest").isNotNull())
     draws = v.panel_draws(spark, d, MODELS["additive"])
     joined = draws.join(lk.broadcast_bounded(dated, 9 * 2 * 3 * 3 * 2 * 64), "fit_id")
-    return joined.select("fit_id", "sim", *[c for c in dated.columns if c != "fit_id"],
-                         lk.positive_probability(MODELS["additive"], by_child=True).alias("q"))
+    return joined.withColumn("_eta", F.expr(MODELS["additive"].predictor())).select(
+        "fit_id", "sim", *[c for c in dated.columns if c != "fit_id"], lk.positive_probability("_eta", True).alias("q"))
 
 
 @query("pointwise_loglik", "SELECT * FROM ll_additive", ["ll_additive"], ["log_lik"])

@@ -20,10 +20,9 @@ _SERO = f"""SELECT CAST(uid AS VARCHAR) AS uid, CAST(hh_id AS VARCHAR) AS hh_id,
 
 
 def sero_file(spark, d):
-    age = F.col("age")
     return v.raw_cohort(spark, d).select(
         F.col("uid").cast("string").alias("uid"), F.col("hh_id").cast("string").alias("hh_id"), "sex", "age",
-        cut(age, fx.AGE_BREAKS_10Y).alias("age_cat_10y"), cut(age, fx.AGE_BREAKS).alias("age_cat_UEP"),
+        cut("age", fx.AGE_BREAKS_10Y).alias("age_cat_10y"), cut("age", fx.AGE_BREAKS).alias("age_cat_UEP"),
         "S_interp", "N_interp", "vaccinated")
 
 

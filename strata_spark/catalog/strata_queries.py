@@ -166,7 +166,7 @@ def infection_ratio(spark, d):
 
 
 def reallocated(spark, d):
-    return st.reallocate(weights(spark, d), ratios(spark, d))
+    return st.reallocate(weights(spark, d), external_infection(spark, d))
 
 
 @query("realloc_strata", "SELECT * FROM realloc", ["realloc"], ["strata_size", "pc_ratio", "strata_size_new"])
@@ -203,26 +203,20 @@ def subset_offsets(spark, d):
 
 
 def post_scored(spark, d, model="additive"):
-    keys = [f.name for f in FACTORS]
-    strata = split(spark, d)
     draws = v.panel_draws(spark, d, MODELS[model])
-    scored = dr.score_strata(draws, strata, MODELS[model], FACTORS, "strata_size_final", ("fit_id", "sim"), name="p")
-    return scored, strata.select(*keys, "row")
+    return dr.score_strata(draws, split(spark, d), MODELS[model], FACTORS, "strata_size_final", ("fit_id", "sim"), name="p")
 
 
 @query("poststrat_grouping_sets", "SELECT * FROM post_sets", ["post_sets"], ["p"])
 def poststrat_grouping_sets(spark, d):
-    return ps.poststratify_sets(post_scored(spark, d)[0], SETS, ("fit_id", "sim"))
+    return ps.poststratify_sets(post_scored(spark, d), SETS, ("fit_id", "sim"))
 
 
 @query("poststrat_bridge", """SELECT fit_id, sim, subset_id, postrat_name,
  sum(p * strata_size_final) / nullif(sum(strata_size_final), 0) AS p FROM post_scored JOIN members USING ("row")
  GROUP BY fit_id, sim, subset_id, postrat_name""", ["post_scored", "members"], ["p"])
 def poststrat_bridge(spark, d):
-    keys = [f.name for f in FACTORS]
-    scored, _ = post_scored(spark, d)
-    members = ps.subset_members(split(spark, d), SPECS, keys)
-    return ps.poststratify_subsets(scored, members, keys, ("fit_id", "sim"))
+    return ps.poststratify_subsets(post_scored(spark, d), SPECS, ("fit_id", "sim"))
 
 
 VIEWS["post_labels"] = ("""SELECT fit_id AS variant, postrat_name, CASE WHEN postrat_name = 'all' THEN 'all'
@@ -236,7 +230,7 @@ VIEWS["post_labels"] = ("""SELECT fit_id AS variant, postrat_name, CASE WHEN pos
 
 
 def post_labels(spark, d):
-    p = ps.poststratify_sets(post_scored(spark, d)[0], SETS, ("fit_id", "sim"))
+    p = ps.poststratify_sets(post_scored(spark, d), SETS, ("fit_id", "sim"))
     summary = posterior_summary(p.withColumnRenamed("fit_id", "variant"), ["variant", "postrat_name"])
     return ps.label_estimates(summary)
 

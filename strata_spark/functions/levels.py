@@ -51,9 +51,8 @@ class Levels:
 
 def choose(col: Column, mapping: Mapping) -> Column:
     """Value of ``mapping`` for ``col``; null for anything else."""
-    items = list(mapping.items())
-    first = F.when(col == F.lit(items[0][0]), F.lit(items[0][1]))
-    return reduce(lambda acc, kv: acc.when(col == F.lit(kv[0]), F.lit(kv[1])), items[1:], first)
+    (key, value), *rest = mapping.items()
+    return reduce(lambda acc, kv: acc.when(col == kv[0], kv[1]), rest, F.when(col == key, value))
 
 
 def bin_labels(breaks: Sequence[float]) -> tuple[str, ...]:
@@ -64,15 +63,18 @@ def bin_labels(breaks: Sequence[float]) -> tuple[str, ...]:
     )
 
 
-def cut(col: Column, breaks: Sequence[float]) -> Column:
-    """Left-closed interval label; the last bin also holds its upper end."""
+def sql_literal(text: str) -> str:
+    """String literal for a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def cut(value: str, breaks: Sequence[float]) -> Column:
+    """Left-closed interval label of a SQL expression; the last bin also holds its upper end."""
     labels = bin_labels(breaks)
-    out = None
-    for i, label in enumerate(labels):
-        below = col <= breaks[i + 1] if i == len(labels) - 1 else col < breaks[i + 1]
-        inside = (col >= breaks[i]) & below
-        out = F.when(inside, label) if out is None else out.when(inside, label)
-    return out
+    arms = [
+        f"WHEN {value} >= {breaks[i]} AND {value} {'<=' if i == len(labels) - 1 else '<'} {breaks[i + 1]} "
+        f"THEN {sql_literal(label)}" for i, label in enumerate(labels)]
+    return F.expr(f"CASE {' '.join(arms)} END")
 
 
 def lower_bound(label: Column) -> Column:
@@ -112,7 +114,7 @@ def fan_out(df: DataFrame, *factors: Levels) -> DataFrame:
     ``explode`` of literal arrays rather than as a join.
     """
     for f in factors:
-        df = df.withColumn(f.name, F.explode(F.array(*[F.lit(x) for x in f.labels])))
+        df = df.withColumn(f.name, F.expr(f"explode(array({', '.join(map(sql_literal, f.labels))}))"))
     return df
 
 

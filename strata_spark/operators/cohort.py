@@ -20,7 +20,7 @@ def prepare_cohort(df: DataFrame, breaks: Sequence[float] = fx.AGE_BREAKS) -> Da
     """Bin ages and recode sex, both assay results and vaccination; all narrow."""
     return df.select(
         "uid", "hh_id", "age",
-        cut(F.col("age"), breaks).alias("age_cat"),
+        cut("age", breaks).alias("age_cat"),
         choose(F.col("sex"), SEX_NAMES).alias("Sex"),
         choose(F.col("S_interp"), RESULT_CODES).alias("s_result"),
         choose(F.col("N_interp"), RESULT_CODES).alias("n_result"),

@@ -99,30 +99,28 @@ def compare_models(pointwise: DataFrame, obs: Sequence[str], by: Sequence[str] =
 
     ``pointwise`` has ``by``, ``model``, the ``obs`` columns, ``n``, ``elpd``
     and ``p_eff``. The standard error of a difference comes from pointwise
-    differences over all observations.
+    differences over all observations. Windows run over cells, of which a
+    group has at most levels x models, and the costly pointwise table is read
+    once.
     """
     by, obs = list(by), list(obs)
-    n, e, p = F.col("n"), F.col("elpd"), F.col("p_eff")
+    n, e, p, d = F.col("n"), F.col("elpd"), F.col("p_eff"), F.col("_d")
 
     def spread(x, count):
         return F.sqrt(F.greatest(count * (F.sum(n * x * x) - F.sum(n * x) * F.sum(n * x) / count) / (count - 1), F.lit(0.0)))
 
+    ranked = Window.partitionBy(*by).orderBy(F.desc("_total"), model)
+    same = Window.partitionBy(*by, *obs)
+    gaps = (
+        pointwise.withColumn("_total", F.sum(n * e).over(Window.partitionBy(*by, model)))
+        .withColumn("_best", F.first(model).over(ranked))
+        .withColumn("_d", e - F.max(F.when(F.col(model) == F.col("_best"), e)).over(same)))
     count = F.sum("n")
-    totals = pointwise.groupBy(*by, model).agg(
+    totals = gaps.groupBy(*by, model).agg(
         count.alias("n_obs"), F.sum(n * e).alias("elpd"), spread(e, count).alias("se_elpd"),
-        F.sum(n * p).alias("p_eff"), spread(p, count).alias("se_p_eff"))
-    first = Window.partitionBy(*by).orderBy(F.desc("elpd"), model)
-    best = totals.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1).select(
-        *by, F.col(model).alias("_best"))
-    keyed = pointwise.join(best, by)
-    reference = keyed.where(F.col(model) == F.col("_best")).select(*by, *obs, e.alias("_e"))
-    match = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, *obs]]
-    gaps = keyed.alias("a").join(reference.alias("b"), match).select(
-        *[f"a.{c}" for c in [*by, model]], "a.n", (F.col("a.elpd") - F.col("b._e")).alias("_d"))
-    d = F.col("_d")
-    diffs = gaps.groupBy(*by, model).agg(F.sum(n * d).alias("elpd_diff"), spread(d, F.sum("n")).alias("se_diff"))
-    return totals.join(diffs, [*by, model]).withColumn("ic", -2.0 * F.col("elpd")).withColumn(
-        "se_ic", 2.0 * F.col("se_elpd")).withColumn(
+        F.sum(n * p).alias("p_eff"), spread(p, count).alias("se_p_eff"),
+        F.sum(n * d).alias("elpd_diff"), spread(d, count).alias("se_diff"))
+    return totals.withColumn("ic", -2.0 * F.col("elpd")).withColumn("se_ic", 2.0 * F.col("se_elpd")).withColumn(
         "rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("elpd_diff"), model)))
 
 

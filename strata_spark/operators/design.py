@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata_spark.functions.levels import INFECTION, PANEL_AGE, PANEL_SEX, VACCINATION, Levels
+from strata_spark.functions.levels import INFECTION, PANEL_AGE, PANEL_SEX, VACCINATION, Levels, sql_literal
 
 INTERCEPT = "(Intercept)"
 
@@ -41,35 +40,34 @@ class Design:
         return list(self.parts())
 
     def indicator(self, term: str) -> Column:
+        """0/1 column of a term."""
         pairs = self.parts()[term]
-        if not pairs:
-            return F.lit(1)
-        hit = reduce(lambda a, b: a & b, [F.col(n) == lv for n, lv in pairs])
-        return F.when(hit, 1).otherwise(0)
+        hit = " AND ".join(f"`{n}` = {sql_literal(x)}" for n, x in pairs)
+        return F.expr(f"CASE WHEN {hit} THEN 1 ELSE 0 END") if pairs else F.lit(1)
 
-    def predictor(self, coef: Callable[[str], Column], replace: Mapping[str, Column] | None = None) -> Column:
-        """Linear predictor as one expression; ``replace`` swaps factor columns."""
+    def predictor(self, prefix: str = "", replace: Mapping[str, str] | None = None) -> str:
+        """Linear predictor as one SQL expression over coefficient columns ``<prefix><term>``.
+
+        A factor is one ``CASE``; ``replace`` gives other expressions for factors.
+        """
         replace = replace or {}
 
-        def column(name: str) -> Column:
-            return replace.get(name, F.col(name))
+        def coef(term: str) -> str:
+            return f"`{prefix}{term}`"
+
+        def is_level(name: str, level: str) -> str:
+            return f"{replace.get(name, f'`{name}`')} = {sql_literal(level)}"
 
-        eta = coef(INTERCEPT)
+        parts = [coef(INTERCEPT)]
         for f in self.factors:
-            pick = None
-            for level in f.contrasts:
-                hit, value = column(f.name) == level, coef(f"{f.name}{level}")
-                pick = F.when(hit, value) if pick is None else pick.when(hit, value)
-            eta = eta + pick.otherwise(0.0)
+            arms = [f"WHEN {is_level(f.name, x)} THEN {coef(f.name + x)}" for x in f.contrasts]
+            parts.append(f"CASE {' '.join(arms)} ELSE 0D END")
         for a, b in self.interactions:
-            pick = None
-            for la in self._factor(a).contrasts:
-                for lb in self._factor(b).contrasts:
-                    hit = (column(a) == la) & (column(b) == lb)
-                    value = coef(f"{a}{la}:{b}{lb}")
-                    pick = F.when(hit, value) if pick is None else pick.when(hit, value)
-            eta = eta + pick.otherwise(0.0)
-        return eta
+            arms = [
+                f"WHEN {is_level(a, x)} AND {is_level(b, y)} THEN {coef(f'{a}{x}:{b}{y}')}"
+                for x in self._factor(a).contrasts for y in self._factor(b).contrasts]
+            parts.append(f"CASE {' '.join(arms)} ELSE 0D END")
+        return " + ".join(parts)
 
 
 MODELS = {

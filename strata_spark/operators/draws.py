@@ -7,8 +7,7 @@ one expression and no ``(draw, stratum, term)`` rows are ever shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,11 +22,6 @@ from strata_spark.session import broadcast_bounded
 DRAW_KEYS = ("fit_id", "chain", "sim")
 
 
-def coefficient(prefix: str = "") -> Callable[[str], Column]:
-    """Column of a term in wide draws."""
-    return lambda term: F.col(f"`{prefix}{term}`")
-
-
 def widen(draws: DataFrame, terms: Sequence[str], prefix: str = "") -> DataFrame:
     """Long draws to one row per draw. The term list is declared, not read."""
     return draws.groupBy(*DRAW_KEYS).agg(
@@ -47,24 +41,21 @@ def quadrature(n_nodes: int) -> list[tuple[float, float]]:
     return [(float(a * np.sqrt(2.0)), float(b / np.sqrt(np.pi))) for a, b in zip(x, w)]
 
 
-def normal_average(f: Callable[[Column], Column], n_nodes: int) -> Column:
-    """``E[f(Z)]`` for a standard normal ``Z``, inlined as a weighted sum."""
-    return reduce(lambda a, b: a + b, [F.lit(w) * f(F.lit(z)) for z, w in quadrature(n_nodes)])
+def household_average(eta: str, sigma: str, n_nodes: int = 32) -> Column:
+    """``E[logistic(eta + sigma * Z)]`` for a standard normal ``Z``: prevalence over households.
 
-
-def household_average(eta: Column, sigma: Column, n_nodes: int = 32) -> Column:
-    """``E[logistic(eta + sigma * Z)]``: prevalence integrated over households."""
-    return normal_average(lambda z: logistic(eta + sigma * z), n_nodes)
+    ``eta`` and ``sigma`` are column names; the nodes are inlined as one sum.
+    """
+    return F.expr(" + ".join(
+        f"{w!r}D / (1D + exp(-(`{eta}` + `{sigma}` * {z!r}D)))" for z, w in quadrature(n_nodes)))
 
 
 def integration_errors(draws: DataFrame, design: Design, sigma: str, prefix: str = "",
                        factors: Sequence[Levels] = (AGE, SEX), nodes: tuple[int, int] = (16, 32),
                        tol: float = 1e-6) -> DataFrame:
     """Per stratum: draws whose integral changes by more than ``tol`` between node counts."""
-    eta = design.predictor(coefficient(prefix))
-    scored = fan_out(draws, *factors).withColumn("_eta", eta).withColumn("error", F.abs(
-        household_average(F.col("_eta"), F.col(sigma), nodes[0])
-        - household_average(F.col("_eta"), F.col(sigma), nodes[1])))
+    scored = fan_out(draws, *factors).withColumn("_eta", F.expr(design.predictor(prefix))).withColumn(
+        "error", F.abs(household_average("_eta", sigma, nodes[0]) - household_average("_eta", sigma, nodes[1])))
     return scored.groupBy(*[f.name for f in factors]).agg(
         F.count(F.lit(1)).alias("n_draws"),
         F.count_if(F.col("error") > tol).alias("n_failed"),
@@ -79,7 +70,7 @@ def score_strata(draws: DataFrame, strata: DataFrame, design: Design, factors: S
     are broadcast; the draws stay where they are.
     """
     keys = [f.name for f in factors]
-    scored = fan_out(draws, *factors).select(*keep, *keys, logistic(design.predictor(coefficient(prefix))).alias(name))
+    scored = fan_out(draws, *factors).select(*keep, *keys, logistic(F.expr(design.predictor(prefix))).alias(name))
     return scored.join(broadcast_bounded(strata.select(*keys, weight), grid_size(*factors)), keys, "inner")
 
 
@@ -99,14 +90,16 @@ def score_seroprevalence(
     """
     keys = [f.name for f in factors]
 
-    def probability(prefix: str, sigma: str | None) -> Column:
-        eta = design.predictor(coefficient(prefix))
-        return logistic(eta) if sigma is None else household_average(eta, F.col(sigma), n_nodes)
+    def probability(eta: str, sigma: str | None) -> Column:
+        return logistic(F.col(eta)) if sigma is None else household_average(eta, sigma, n_nodes)
 
-    scored = fan_out(draws, *factors).select(
+    etas = fan_out(draws, *factors).withColumns({
+        "_inf": F.expr(design.predictor(infection_prefix)),
+        **({} if coverage else {"_vacc": F.expr(design.predictor(vaccination_prefix))})})
+    scored = etas.select(
         *keep, *keys, "resp_sn_np", "resp_sp_nn", "vacc_response",
-        probability(infection_prefix, sigma_infection).alias("p_infection"),
-        *([] if coverage else [probability(vaccination_prefix, sigma_vaccination).alias("p_vaccination")]))
+        probability("_inf", sigma_infection).alias("p_infection"),
+        *([] if coverage else [probability("_vacc", sigma_vaccination).alias("p_vaccination")]))
     side = strata.select(*keys, weight, *([F.col(coverage).alias("p_vaccination")] if coverage else []))
     joined = scored.join(broadcast_bounded(side, grid_size(*factors)), keys, "inner")
     true = true_status(F.col("p_infection"), F.col("p_vaccination") * F.col("vacc_response"),

@@ -15,7 +15,7 @@ from strata_spark.functions.levels import AGE, SEX, Levels, choose, fan_out, gri
 from strata_spark.functions.scalars import (
     bernoulli_log_mass, log_sum_exp, logistic, misclassified, safe_ln)
 from strata_spark.operators.design import Design
-from strata_spark.operators.draws import coefficient, household_average, quadrature
+from strata_spark.operators.draws import household_average, quadrature
 from strata_spark.operators.status import JOINT, observed_status, true_status
 from strata_spark.session import broadcast_bounded
 
@@ -37,30 +37,38 @@ def accuracy(name: str, by_child: bool) -> Column:
     return F.when(F.col("child"), F.col(f"{name}_child")).otherwise(F.col(name))
 
 
-def positive_probability(design: Design, prefix: str = "", replace: Mapping[str, Column] | None = None,
-                         by_child: bool = False, sigma: str | None = None, n_nodes: int = 32) -> Column:
-    """Probability of a positive assay result under a misclassified logistic model.
+def positive_probability(eta: str, by_child: bool = False, sigma: str | None = None, n_nodes: int = 32) -> Column:
+    """Probability of a positive assay result, given the column of the linear predictor.
 
     ``sigma`` names the scale of an observation-level effect (overdispersion).
     The result is linear in the probability, so averaging the probability over
     that effect gives the exact marginal.
     """
-    eta = design.predictor(coefficient(prefix), replace)
-    p = logistic(eta) if sigma is None else household_average(eta, F.col(sigma), n_nodes)
+    p = logistic(F.col(eta)) if sigma is None else household_average(eta, sigma, n_nodes)
     return misclassified(p, accuracy("sens", by_child), accuracy("spec", by_child))
 
 
-def dated_log_mass(design: Design, prefix: str = "", **model) -> Column:
-    return bernoulli_log_mass(F.col("y"), positive_probability(design, prefix, None, **model))
+def with_log_mass(rows: DataFrame, design: Design, prior_before: Mapping[str, float], prefix: str = "",
+                  by_child: bool = False, sigma: str | None = None, n_nodes: int = 32) -> DataFrame:
+    """Add ``log_lik``, the log mass of outcome ``y`` on each draw and cell row.
 
-
-def mixture_log_mass(design: Design, prior_before: Mapping[str, float], prefix: str = "", **model) -> Column:
-    """Log mass of a row with no infection date: both scenarios, weighted by prior."""
-    priors = scenario_prior(F.col("age_cat"), prior_before)
-    masses = [
-        lp + bernoulli_log_mass(F.col("y"), positive_probability(design, prefix, {"inf_latest": F.lit(s)}, **model))
-        for lp, s in zip(priors, UNDATED_SCENARIOS)]
-    return log_sum_exp(*masses)
+    A dated row is a Bernoulli. A row with no infection date is a mixture of
+    both scenarios, weighted by the prior of its age label. A dated row has
+    the same predictor in both scenarios, so two predictors serve every row;
+    they are columns of their own so that generated code stays small.
+    """
+    inf = F.col("inf_latest")
+    rows = rows.withColumns({
+        f"_eta{i}": F.expr(design.predictor(prefix, {"inf_latest": f"coalesce(inf_latest, '{x}')"}))
+        for i, x in enumerate(UNDATED_SCENARIOS)})
+    rows = rows.withColumns({f"_q{i}": positive_probability(f"_eta{i}", by_child, sigma, n_nodes) for i in (0, 1)})
+    rows = rows.withColumns({f"_m{i}": bernoulli_log_mass(F.col("y"), F.col(f"_q{i}")) for i in (0, 1)})
+    before, late = scenario_prior(F.col("age_cat"), prior_before)
+    rows = rows.withColumns({
+        "_m0": F.when(inf.isNull(), before + F.col("_m0")).otherwise(F.col("_m0")),
+        "_m1": F.when(inf.isNull(), late + F.col("_m1"))})
+    ll = F.when(inf.isNull(), log_sum_exp(F.col("_m0"), F.col("_m1"))).otherwise(F.col("_m0"))
+    return rows.withColumn("log_lik", ll).drop(*[f"_{x}{i}" for x in ("eta", "q", "m") for i in (0, 1)])
 
 
 def panel_cells(panel: DataFrame) -> DataFrame:
@@ -83,10 +91,8 @@ def pointwise_loglik(draws: DataFrame, cells: DataFrame, design: Design, prior_b
     """
     bound = grid_size(*design.factors, extra=1) * 4 * 64
     joined = draws.join(broadcast_bounded(cells, bound), "fit_id", "inner")
-    ll = F.when(F.col("inf_latest").isNull(), mixture_log_mass(design, prior_before, prefix, **model)).otherwise(
-        dated_log_mass(design, prefix, **model))
     cell_columns = [c for c in cells.columns if c not in keep]
-    return joined.select(*keep, *cell_columns, ll.alias("log_lik"))
+    return with_log_mass(joined, design, prior_before, prefix, **model).select(*keep, *cell_columns, "log_lik")
 
 
 def loglik_by_draw(pointwise: DataFrame, by: Sequence[str] = ("fit_id", "sim")) -> DataFrame:
@@ -115,10 +121,10 @@ def _seen_status() -> Column:
 def joint_loglik(draws: DataFrame, cells: DataFrame, design: Design, age: Levels = AGE, sex: Levels = SEX,
                  infection_prefix: str = "inf:", vaccination_prefix: str = "vacc:") -> DataFrame:
     """Log-likelihood of joint results and of vaccination per draw, no household effect."""
-    p = logistic(design.predictor(coefficient(infection_prefix)))
-    q = logistic(design.predictor(coefficient(vaccination_prefix)))
-    masses = _sero_grid(draws, age, sex).withColumn("_p", p).select(
-        "sim", age.name, sex.name, "vaccinated", bernoulli_log_mass(F.col("vaccinated"), q).alias("ll_vacc"),
+    p = logistic(F.expr(design.predictor(infection_prefix)))
+    q = logistic(F.expr(design.predictor(vaccination_prefix)))
+    masses = _sero_grid(draws, age, sex).withColumns({"_p": p, "_q": q}).select(
+        "sim", age.name, sex.name, "vaccinated", bernoulli_log_mass(F.col("vaccinated"), F.col("_q")).alias("ll_vacc"),
         *[c.alias(k) for k, c in _log_status(F.col("_p")).items()])
     keys = [age.name, sex.name, "vaccinated"]
     wide = cells.withColumn("_s", _seen_status()).groupBy(*keys).agg(
@@ -153,8 +159,7 @@ def household_loglik(draws: DataFrame, cohort: DataFrame, design: Design, sigma:
     log-sum-exp, so nodes never become rows.
     """
     nodes = quadrature(n_nodes)
-    eta = design.predictor(coefficient(infection_prefix))
-    grid = _sero_grid(draws, age, sex).withColumn("_eta", eta)
+    grid = _sero_grid(draws, age, sex).withColumn("_eta", F.expr(design.predictor(infection_prefix)))
     for k, (z, _) in enumerate(nodes):
         masses = _log_status(logistic(F.col("_eta") + F.col(sigma) * F.lit(z)))
         grid = grid.withColumn(f"_n{k}", F.struct(*[c.alias(s) for s, c in masses.items()]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
 from strata_spark.functions.levels import Levels
-from strata_spark.functions.scalars import extract, ratio
+from strata_spark.functions.scalars import ratio
 from strata_spark.session import literal_table
 
 
@@ -125,23 +125,29 @@ def subset_offsets(members: DataFrame) -> DataFrame:
     return sizes.select("subset_id", "postrat_name", "n", (end - F.col("n") + 1).alias("first"), end.alias("last"))
 
 
-def poststratify_subsets(scored: DataFrame, members: DataFrame, row_key: Sequence[str] = ("row",),
-                         by: Sequence[str] = ("sim",), value: str = "p",
-                         weight: str = "strata_size_final") -> DataFrame:
-    """One mean per draw and subset for an arbitrary list of overlapping subsets."""
-    return (
-        scored.join(members, list(row_key)).groupBy(*by, "subset_id", "postrat_name")
-        .agg(ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("p"))
-    )
+def poststratify_subsets(scored: DataFrame, specs: Sequence[dict[str, str]], by: Sequence[str] = ("sim",),
+                         value: str = "p", weight: str = "strata_size_final") -> DataFrame:
+    """One mean per draw and subset for an arbitrary list of overlapping subsets.
+
+    Scored rows look up their own subsets in the catalog, whose length is
+    known; sums are combined before they are shuffled.
+    """
+    members = subset_members(scored, specs, [*by, value, weight])
+    return members.groupBy(*by, "subset_id", "postrat_name").agg(
+        ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("p"))
 
 
 def label_estimates(df: DataFrame, name: str = "postrat_name") -> DataFrame:
-    """Split a subset name into covariate ``var_cat`` and level ``var``."""
+    """Split a subset name into covariate ``var_cat`` and level ``var``.
+
+    Both are never null (a name without a colon is its own covariate), so a
+    later join adds no null test on these long expressions.
+    """
     n = F.col(name)
     pair = "inf_latest:vacc_status_3way"
     cat = (
         F.when(n == "all", "all").when(n.contains("age"), "age_cat").when(n.contains("sex"), "sex")
-        .when(n.contains("&"), pair).otherwise(extract(n, r"^(.*):", 1)))
+        .when(n.contains("&"), pair).otherwise(F.regexp_replace(n, r":[^:]*$", "")))
     var = F.when(cat == pair, F.regexp_replace(
         F.regexp_replace(n, r"inf_latest:|vacc_status_3way:", ""), "&", ":")
     ).otherwise(F.replace(n, F.concat(cat, F.lit(":")), F.lit("")))

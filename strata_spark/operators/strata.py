@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
@@ -18,9 +18,9 @@ WEIGHT_KEYS = ("age_cat", "vacc_status_3way", "inf_latest")
 def population_strata(census: DataFrame, breaks: Sequence[float] = fx.AGE_BREAKS) -> DataFrame:
     """``(Sex, age_cat, strata_pop, percent)`` from counts by single year of age."""
     top = f">= {breaks[-1]}"
-    age = F.when(F.col("Age") == top, F.lit(breaks[-1])).otherwise(F.col("Age").try_cast("int"))
+    age = f"CASE WHEN Age = '{top}' THEN {breaks[-1]} ELSE try_cast(Age AS INT) END"
     counts = (
-        census.select("Sex", cut(age, breaks).alias("age_cat"), "Total").dropna()
+        census.select("Sex", F.expr(age).alias("_age"), "Total").select("Sex", cut("_age", breaks).alias("age_cat"), "Total").dropna()
         .groupBy("Sex", "age_cat").agg(F.sum("Total").alias("strata_pop"))
     )
     # the window runs over strata, of which there are levels x levels
@@ -80,61 +80,65 @@ def pooled_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, name:
         ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(name))
 
 
+def _size_of(label: str) -> Column:
+    return F.sum(F.when(F.col("inf_latest") == label, F.col("strata_size")).otherwise(0.0))
+
+
+def _ratio_columns(df: DataFrame) -> DataFrame:
+    """Sample share, share of 2022 and the ratio to the external share.
+
+    With no infection in the sample of an age the ratio is undefined: it is
+    set to 1 (no change) and flagged.
+    """
+    raw = ratio(F.col("pc_inf_external"), F.when(F.col("n_infected") > 0, F.col("pc_inf_sample")))
+    return (
+        df.withColumn("n_infected", F.col("n_inf_before") + F.col("n_inf_2022"))
+        .withColumn("pc_inf_sample", (1.0 - ratio(F.col("n_uninfected"), F.col("n_total"))) * 100.0)
+        .withColumn("pc_2022", ratio(F.col("n_inf_2022"), F.col("n_infected")))
+        .withColumn("pc_ratio", F.coalesce(raw, F.lit(1.0))).withColumn("no_change", raw.isNull()))
+
+
+AGE_SUMS = {"n_uninfected": "uninfected", "n_inf_before": "inf_bef_2022", "n_inf_2022": "inf_2022"}
+
+
 def infection_ratio(weights: DataFrame, external: DataFrame, by_draw: bool = False) -> DataFrame:
     """Per age: sample infection counts and the ratio of the external share to them.
 
     ``external`` has ``age_cat, pc_inf_external`` and, with ``by_draw``, also
-    ``sim``. With no infection in the sample of an age the ratio is undefined:
-    it is set to 1 (no change) and flagged.
+    ``sim``, so that its uncertainty is kept.
     """
-    def size_of(label: str):
-        return F.sum(F.when(F.col("inf_latest") == label, F.col("strata_size")).otherwise(0.0))
-
-    sums = weights.groupBy("age_cat").agg(
-        size_of("uninfected").alias("n_uninfected"),
-        size_of("inf_bef_2022").alias("n_inf_before"),
-        size_of("inf_2022").alias("n_inf_2022"),
-        F.sum("strata_size").alias("n_total"),
-    ).withColumn("n_infected", F.col("n_inf_before") + F.col("n_inf_2022")).withColumn(
-        "pc_inf_sample", (1.0 - ratio(F.col("n_uninfected"), F.col("n_total"))) * 100.0
-    ).withColumn("pc_2022", ratio(F.col("n_inf_2022"), F.col("n_infected")))
-    raw = ratio(F.col("pc_inf_external"), F.when(F.col("n_infected") > 0, F.col("pc_inf_sample")))
     keys = ["age_cat", "sim"] if by_draw else ["age_cat"]
-    return (
-        sums.join(external.select(*keys, "pc_inf_external"), "age_cat", "inner")
-        .withColumn("pc_ratio", F.coalesce(raw, F.lit(1.0)))
-        .withColumn("no_change", raw.isNull())
-    )
+    sums = weights.groupBy("age_cat").agg(
+        *[_size_of(x).alias(k) for k, x in AGE_SUMS.items()], F.sum("strata_size").alias("n_total"))
+    return _ratio_columns(sums.join(external.select(*keys, "pc_inf_external"), "age_cat", "inner"))
 
 
-def reallocate(weights: DataFrame, ratios: DataFrame, by_draw: bool = False) -> DataFrame:
+def reallocate(weights: DataFrame, external: DataFrame, by_draw: bool = False) -> DataFrame:
     """Rescale infected counts inside each age and vaccination group.
 
     The infected total is multiplied by the ratio of its age and split by the
     sample shares: 2022 first, capped by the group; then before 2022, capped by
     what is left; the rest is uninfected. The group total does not change.
+    Windows run over strata, so the weights are computed once.
     """
-    keys = ["age_cat", "vacc_status_3way", *(["sim"] if by_draw else [])]
-    joined = weights.join(ratios.select(*[k for k in keys if k != "vacc_status_3way"], "pc_ratio"), "age_cat")
-    group = Window.partitionBy(*keys)
-
-    def size_of(label: str):
-        return F.sum(F.when(F.col("inf_latest") == label, F.col("strata_size")).otherwise(0.0)).over(group)
-
-    sized = joined.select(
-        *weights.columns, *(["sim"] if by_draw else []), "pc_ratio",
+    draw = ["sim"] if by_draw else []
+    age = Window.partitionBy("age_cat")
+    group = Window.partitionBy("age_cat", "vacc_status_3way")
+    summed = weights.select(
+        "*", *[_size_of(x).over(age).alias(k) for k, x in AGE_SUMS.items()], F.sum("strata_size").over(age).alias("n_total"),
         F.sum("strata_size").over(group).alias("_all"),
-        size_of("inf_2022").alias("_late"), size_of("inf_bef_2022").alias("_early"),
-    ).withColumn("_new", (F.col("_late") + F.col("_early")) * F.col("pc_ratio")).withColumn(
-        "_share", F.coalesce(ratio(F.col("_late"), F.col("_late") + F.col("_early")), F.lit(0.0))
-    ).withColumn("_late_new", F.least(F.col("_new") * F.col("_share"), F.col("_all"))).withColumn(
-        "_early_new", F.least(F.col("_new") * (1.0 - F.col("_share")), F.col("_all") - F.col("_late_new")))
+        _size_of("inf_2022").over(group).alias("_late"), _size_of("inf_bef_2022").over(group).alias("_early"))
+    sized = (
+        _ratio_columns(summed.join(external.select("age_cat", *draw, "pc_inf_external"), "age_cat", "inner"))
+        .withColumn("_new", (F.col("_late") + F.col("_early")) * F.col("pc_ratio"))
+        .withColumn("_share", F.coalesce(ratio(F.col("_late"), F.col("_late") + F.col("_early")), F.lit(0.0)))
+        .withColumn("_late_new", F.least(F.col("_new") * F.col("_share"), F.col("_all")))
+        .withColumn("_early_new", F.least(F.col("_new") * (1.0 - F.col("_share")), F.col("_all") - F.col("_late_new"))))
     size = (
         F.when(F.col("inf_latest") == "inf_2022", F.col("_late_new"))
         .when(F.col("inf_latest") == "inf_bef_2022", F.col("_early_new"))
-        .otherwise(F.col("_all") - F.col("_late_new") - F.col("_early_new"))
-    )
-    return sized.withColumn("strata_size_new", size).drop("_all", "_late", "_early", "_new", "_share", "_late_new", "_early_new")
+        .otherwise(F.col("_all") - F.col("_late_new") - F.col("_early_new")))
+    return sized.select(*weights.columns, *draw, "pc_ratio", size.alias("strata_size_new"))
 
 
 def split_by_sex(strata: DataFrame, age: Levels, vaccination: Levels, infection: Levels = INFECTION,

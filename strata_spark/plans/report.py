@@ -151,8 +151,10 @@ def variant_report(observed: DataFrame, estimates: DataFrame, sizes: DataFrame,
     texts = observed.join(estimates, keys, "inner").select(
         *keys, count_percent_text(F.col("n_pos"), F.col("n")).alias("obs"),
         interval_text(F.col("mean"), F.col("q025"), F.col("q975"), 1, 100.0).alias("est"))
-    wide = texts.groupBy("var_cat", "var").agg(*[
-        F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{c}_{v}") for v in variants for c in ("obs", "est")])
+    pivoted = texts.groupBy("var_cat", "var").pivot("variant", list(variants)).agg(
+        F.first("obs").alias("obs"), F.first("est").alias("est"))
+    wide = pivoted.select("var_cat", "var", *[
+        F.col(f"`{v}_{c}`").alias(f"{c}_{v}") for v in variants for c in ("obs", "est")])
     variables, levels = label_tables(observed.sparkSession)
     return (
         wide.join(sizes, ["var_cat", "var"], "inner").join(variables, "var_cat", "inner").join(levels, "var", "inner")

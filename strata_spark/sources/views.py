@@ -6,7 +6,7 @@ the table. They stand in for survey files, which are not shipped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
@@ -80,19 +80,18 @@ def shipped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One neutralization result per event; status belongs to the user."""
-    e, u = table(spark, sf_dir, "events"), F.col("user_id")
-    return e.select(
-        F.col("event_id").alias("obs_id"), u.alias("uid"), *_user_columns(u),
-        F.col("event_type").alias("variant"), F.col("value").alias("ec50"))
+    return _with_user_columns(table(spark, sf_dir, "events")).selectExpr(
+        "event_id AS obs_id", "user_id AS uid", "sex", "age", "age_cat_10y", "age_cat_UEP", "inf_latest",
+        "vacc_status_3way", "event_type AS variant", "value AS ec50")
 
 
-def _user_columns(u: Column) -> list[Column]:
-    age = (u % 106).cast("int")
-    return [
-        F.when(u % 8 < 4, "f").otherwise("m").alias("sex"), age.alias("age"),
-        cut(age, fx.AGE_BREAKS_10Y).alias("age_cat_10y"), cut(age, fx.AGE_BREAKS).alias("age_cat_UEP"),
-        F.when(u % 4 == 1, "uninfected").when(u % 4 == 2, "inf_bef_2022").when(u % 4 == 3, "inf_2022").alias("inf_latest"),
-        F.when(u % 3 == 0, "No vacc").when(u % 3 == 1, "Dose 1 or 2 only").otherwise("Boosted").alias("vacc_status_3way")]
+def _with_user_columns(df: DataFrame) -> DataFrame:
+    named = df.selectExpr(
+        "*", "CASE WHEN user_id % 8 < 4 THEN 'f' ELSE 'm' END AS sex", "CAST(user_id % 106 AS INT) AS age",
+        "CASE user_id % 4 WHEN 1 THEN 'uninfected' WHEN 2 THEN 'inf_bef_2022' WHEN 3 THEN 'inf_2022' END AS inf_latest",
+        "CASE user_id % 3 WHEN 0 THEN 'No vacc' WHEN 1 THEN 'Dose 1 or 2 only' ELSE 'Boosted' END AS vacc_status_3way")
+    return named.withColumns({
+        "age_cat_10y": cut("age", fx.AGE_BREAKS_10Y), "age_cat_UEP": cut("age", fx.AGE_BREAKS)})
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +101,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per panel user."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    return users.select(F.col("user_id").alias("uid"), *_user_columns(F.col("user_id"))).withColumnRenamed(
-        "age_cat_UEP", "age_cat")
+    return _with_user_columns(users).withColumnsRenamed({"user_id": "uid", "age_cat_UEP": "age_cat"})
 
 
 def vaccination_by_age(spark: SparkSession) -> DataFrame:
@@ -121,33 +119,26 @@ def coverage(spark: SparkSession) -> DataFrame:
 
 def sero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serology model draws, wide, one row per draw id of the order lines."""
-    sim = F.col("sim")
-    ids = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("sim")).distinct()
-    columns = [sim]
+    ids = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 200 AS sim").distinct()
+    coefficients = []
     for i, term in enumerate(SERO_DESIGN.terms):
-        columns.append((F.lit(-0.5 if i == 0 else 0.0) + 0.4 * F.sin(sim + i)).alias(f"inf:{term}"))
-        columns.append((F.lit(0.8 if i == 0 else 0.0) + 0.5 * F.cos(sim + i)).alias(f"vacc:{term}"))
-    columns += [
-        (0.5 + 0.25 * F.sin(sim + 3)).alias("sigma_inf"), (0.4 + 0.2 * F.cos(sim + 3)).alias("sigma_vacc"),
-        (0.1 + 0.05 * F.cos(sim)).alias("resp_sn_np"), (0.2 + 0.1 * F.sin(sim)).alias("resp_sp_nn"),
-        (0.9 + 0.05 * F.sin(sim)).alias("vacc_response"),
-        (0.95 + 0.02 * F.sin(sim)).alias("sens_s"), (0.98 + 0.01 * F.cos(sim)).alias("spec_s"),
-        (0.9 + 0.03 * F.cos(sim)).alias("sens_n"), (0.97 + 0.01 * F.sin(sim)).alias("spec_n")]
-    return ids.select(*columns)
+        coefficients.append(f"{-0.5 if i == 0 else 0.0}D + 0.4D * sin(sim + {i}) AS `inf:{term}`")
+        coefficients.append(f"{0.8 if i == 0 else 0.0}D + 0.5D * cos(sim + {i}) AS `vacc:{term}`")
+    return ids.selectExpr(
+        "sim", *coefficients,
+        "0.5D + 0.25D * sin(sim + 3) AS sigma_inf", "0.4D + 0.2D * cos(sim + 3) AS sigma_vacc",
+        "0.1D + 0.05D * cos(sim) AS resp_sn_np", "0.2D + 0.1D * sin(sim) AS resp_sp_nn",
+        "0.9D + 0.05D * sin(sim) AS vacc_response",
+        "0.95D + 0.02D * sin(sim) AS sens_s", "0.98D + 0.01D * cos(sim) AS spec_s",
+        "0.9D + 0.03D * cos(sim) AS sens_n", "0.97D + 0.01D * sin(sim) AS spec_n")
 
 
 def panel_draws(spark: SparkSession, sf_dir: str, design: Design) -> DataFrame:
     """Threshold model draws, wide, one row per variant and draw id of the events."""
-    sim = F.col("sim")
-    ids = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("fit_id"), (F.col("event_id") % 200).alias("sim")).distinct()
-    columns = ["fit_id", sim]
-    for i, term in enumerate(design.terms):
-        columns.append((0.3 * F.sin(sim + i + F.length("fit_id"))).alias(term))
-    columns += [
-        (0.95 + 0.03 * F.sin(sim)).alias("sens"), (0.97 + 0.02 * F.cos(sim)).alias("spec"),
-        (0.9 + 0.03 * F.cos(sim)).alias("sens_child"), (0.96 + 0.02 * F.sin(sim)).alias("spec_child"),
-        (0.5 + 0.25 * F.sin(sim + 3)).alias("sigma_od")]
-    return ids.select(*columns)
-
-
+    ids = table(spark, sf_dir, "events").selectExpr("event_type AS fit_id", "event_id % 200 AS sim").distinct()
+    return ids.selectExpr(
+        "fit_id", "sim",
+        *[f"0.3D * sin(sim + {i} + length(fit_id)) AS `{t}`" for i, t in enumerate(design.terms)],
+        "0.95D + 0.03D * sin(sim) AS sens", "0.97D + 0.02D * cos(sim) AS spec",
+        "0.9D + 0.03D * cos(sim) AS sens_child", "0.96D + 0.02D * sin(sim) AS spec_child",
+        "0.5D + 0.25D * sin(sim + 3) AS sigma_od")
