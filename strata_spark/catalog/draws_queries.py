@@ -21,6 +21,7 @@ from strata_spark.sources import views as v
 
 AGE_REF, SEX_REF = "1998", "Female"
 REFS = {"Age": AGE_REF, "Sex": SEX_REF}
+N_DRAWS = 200
 MEASURES = ("seropos", "infection", "vaccination", "external")
 
 _COND = """SELECT sim, 'Overall' AS var, '' AS val, {e} AS p FROM scored GROUP BY sim
@@ -99,7 +100,7 @@ def posterior_summary(spark, d):
        ["marginal", "interval"], ["mean", "median", "q025", "q975", "hdci_lo", "hdci_hi"])
 def full_summary(spark, d):
     m = ps.marginal_estimates(scored(spark, d))
-    return sm.ranked_summary(m, ["var", "val"])
+    return sm.full_summary(m, ["var", "val"], n_draws=N_DRAWS)
 
 
 @query("hdci", "SELECT * FROM interval", ["interval"], ["hdci_lo", "hdci_hi"])
@@ -108,6 +109,14 @@ def hdci(spark, d):
     return sm.hdci(m, ["var", "val"])
 
 
+@query("ranked_summary", """SELECT s.*, i.hdci_lo, i.hdci_hi FROM (
+ SELECT var, val, avg(p) AS mean, quantile_cont(p, 0.5e0) AS median, quantile_cont(p, 0.025e0) AS q025,
+ quantile_cont(p, 0.975e0) AS q975 FROM marginal GROUP BY var, val) s JOIN interval i USING (var, val)""",
+       ["marginal", "interval"], ["mean", "median", "q025", "q975", "hdci_lo", "hdci_hi"])
+def ranked_summary(spark, d):
+    return sm.full_summary(ps.marginal_estimates(scored(spark, d)), ["var", "val"])
+
+
 @query("rank_quantiles", """SELECT age_cat, Sex, avg(x) AS mean, quantile_cont(x, 0.5e0) AS median,
  quantile_cont(x, 0.025e0) AS q025, quantile_cont(x, 0.975e0) AS q975 FROM (
  SELECT age_cat, Sex, (l_extendedprice / 1e5) AS x FROM (SELECT CAST(year(l_shipdate) AS VARCHAR) AS age_cat,
@@ -176,7 +185,7 @@ _TEXTS = ", ".join(f"{sql_count_percent(c, 'n')} AS {c}_text" for c in ("pos_s",
        ["marginal", "interval", "signed", "shipped_counts"],
        ["median", "hdci_lo", "hdci_hi", "mean", "q025", "q975", "p_tail"])
 def prevalence_table(spark, d):
-    return rp.prevalence_table(scored(spark, d), shipped_counts(spark, d), REFS)
+    return rp.prevalence_table(scored(spark, d), shipped_counts(spark, d), REFS, n_draws=N_DRAWS)
 
 
 _STACK = " UNION ALL ".join(
@@ -220,7 +229,7 @@ for _m in MEASURES:
     o=_ORD.replace("CASE val", "CASE a.val").replace("(val,", "(a.val,"), p=sql_fixed("i.p_tail", 4)),
        ["r_seropos", "r_external", "r_infection", "r_vaccination", "shipped_counts"])
 def final_report(spark, d):
-    return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection")
+    return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection", N_DRAWS)
 
 
 @query("full_join_nullsafe", """SELECT coalesce(a.age_cat, b.age_cat) AS age_cat, coalesce(a.Sex, b.Sex) AS Sex, a.p_any, b.p_infection

@@ -154,10 +154,9 @@ def household_loglik(spark, d):
  GROUP BY n_cells""", ["cohort"])
 def household_compositions(spark, d):
     comps = lk.household_compositions(co.prepare_cohort(v.raw_cohort(spark, d)))
-    per = comps.groupBy("comp").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.first("n_hh").alias("n_hh"), F.sum("n").alias("members"))
-    return per.groupBy("n_cells").agg(
-        F.sum("n_hh").alias("n_hh"), F.sum(F.col("n_hh") * F.col("members")).alias("members"))
+    members = F.aggregate("comp.n", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return comps.groupBy(F.size("comp").cast("bigint").alias("n_cells")).agg(
+        F.sum("n_hh").alias("n_hh"), F.sum(F.col("n_hh") * members).alias("members"))
 
 
 @query("fit_map")

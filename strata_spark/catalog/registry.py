@@ -54,7 +54,7 @@ def statement(body: str, uses: Sequence[str], doubles: Sequence[str]) -> str:
     parts = [f"{v} AS ({VIEWS[v][0]})" for v in order]
     if doubles:
         parts.append(f"result AS ({body})")
-        swaps = ", ".join(f'round(round("{c}", 10), 6) + 0e0 AS "{c}"' for c in doubles)
+        swaps = ", ".join(f'floor("{c}" * 1e6 + 0.500001e0) / 1e6 AS "{c}"' for c in doubles)
         body = f"SELECT * REPLACE ({swaps}) FROM result"
     return (f"WITH {', '.join(parts)} {body}") if parts else body
 

@@ -78,5 +78,10 @@ def extract(col: Column, pattern: str, group: int = 0) -> Column:
 
 
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounded double without negative zero; sums that differ in the last bits round alike."""
-    return F.round(F.round(x, 10), digits) + F.lit(0.0)
+    """Rounded double without negative zero.
+
+    The boundary lies just below the half, where ratios of small numbers do
+    not fall, so sums that differ in their last bits round alike.
+    """
+    scale = 10.0**digits
+    return F.when(F.abs(x) < 1e12, F.floor(x * scale + 0.500001) / scale).otherwise(x)

@@ -77,20 +77,22 @@ def smoothed_elpd(log_lik: np.ndarray) -> tuple[float, float]:
     return float(joint.max() + np.log(np.exp(joint - joint.max()).sum()) - total), float(shape)
 
 
+def _smoothed(log_lik: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([smoothed_elpd(np.asarray(x)) for x in log_lik], columns=["elpd", "pareto_k"])
+
+
 def psis_loo_pointwise(loglik: DataFrame, obs: Sequence[str]) -> DataFrame:
-    """Pareto-smoothed leave-one-out density; a group is the draws of one observation cell."""
-    obs = list(obs)
-    fields = {f.name: f.dataType.simpleString() for f in loglik.schema}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in obs) + ", n bigint, lppd double, elpd double, pareto_k double"
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ll = pdf.sort_values("sim")["log_lik"].to_numpy()
-        elpd, k = smoothed_elpd(ll)
-        head = pdf.iloc[:1][[*obs, "n"]].copy()
-        return head.assign(lppd=float(np.log(np.exp(ll).mean())), elpd=elpd, pareto_k=k)
-
-    out = loglik.select(*obs, "n", "sim", "log_lik").groupBy(*obs).applyInPandas(one, schema)
-    return out.withColumn("p_eff", F.col("lppd") - F.col("elpd"))
+    """Pareto-smoothed leave-one-out density per observation cell.
+
+    The list of a cell holds one value per draw. The density depends on the
+    values alone, so they are sorted and need no draw key.
+    """
+    per_cell = loglik.groupBy(*obs).agg(
+        F.first("n").alias("n"), F.ln(F.avg(F.exp("log_lik"))).alias("lppd"),
+        F.sort_array(F.collect_list("log_lik")).alias("_ll"))
+    smooth = F.pandas_udf(_smoothed, "elpd double, pareto_k double")
+    scored = per_cell.withColumn("_s", smooth("_ll")).select(*obs, "n", "lppd", "_s.elpd", "_s.pareto_k")
+    return scored.withColumn("p_eff", F.col("lppd") - F.col("elpd"))
 
 
 def compare_models(pointwise: DataFrame, obs: Sequence[str], by: Sequence[str] = ("variant",),

@@ -6,8 +6,11 @@ survey is collapsed to cells first and each draw is scored once per cell.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from strata_spark.functions.scalars import (
     bernoulli_log_mass, log_sum_exp, logistic, misclassified, safe_ln)
 from strata_spark.operators.design import Design
 from strata_spark.operators.draws import household_average, quadrature
-from strata_spark.operators.status import JOINT, observed_status, true_status
+from strata_spark.operators.status import result_mass, true_status
 from strata_spark.session import broadcast_bounded
 
 UNDATED_SCENARIOS = ("inf_bef_2022", "inf_2022")
@@ -101,21 +104,16 @@ def loglik_by_draw(pointwise: DataFrame, by: Sequence[str] = ("fit_id", "sim"))
 
 
 def _sero_grid(draws: DataFrame, age: Levels, sex: Levels) -> DataFrame:
-    """Draws at every covariate combination of the serology model, vaccinated or not."""
-    return fan_out(draws, age, sex).withColumn("vaccinated", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Draws at every cell of the serology model: age, sex, vaccinated and both results."""
+    grid = fan_out(draws, age, sex)
+    for name in ("vaccinated", "s_result", "n_result"):
+        grid = grid.withColumn(name, F.expr("explode(array(0, 1))"))
+    return grid
 
 
-def _log_status(p: Column) -> dict[str, Column]:
-    pv = F.col("vaccinated") * F.col("vacc_response")
-    true = true_status(p, pv, F.col("resp_sn_np"), F.col("resp_sp_nn"))
-    seen = observed_status(true, *[F.col(c) for c in ("sens_s", "spec_s", "sens_n", "spec_n")])
-    return {k: safe_ln(c) for k, c in seen.items()}
-
-
-def _seen_status() -> Column:
-    """Name of the joint result of a cell."""
-    return F.concat(
-        F.when(F.col("s_result") == 1, "sp_").otherwise("sn_"), F.when(F.col("n_result") == 1, "np").otherwise("nn"))
+def _result_log_mass(p: Column) -> Column:
+    true = true_status(p, F.col("vaccinated") * F.col("vacc_response"), F.col("resp_sn_np"), F.col("resp_sp_nn"))
+    return safe_ln(result_mass(true, *[F.col(c) for c in ("s_result", "n_result", "sens_s", "spec_s", "sens_n", "spec_n")]))
 
 
 def joint_loglik(draws: DataFrame, cells: DataFrame, design: Design, age: Levels = AGE, sex: Levels = SEX,
@@ -124,57 +122,77 @@ def joint_loglik(draws: DataFrame, cells: DataFrame, design: Design, age: Levels
     p = logistic(F.expr(design.predictor(infection_prefix)))
     q = logistic(F.expr(design.predictor(vaccination_prefix)))
     masses = _sero_grid(draws, age, sex).withColumns({"_p": p, "_q": q}).select(
-        "sim", age.name, sex.name, "vaccinated", bernoulli_log_mass(F.col("vaccinated"), F.col("_q")).alias("ll_vacc"),
-        *[c.alias(k) for k, c in _log_status(F.col("_p")).items()])
-    keys = [age.name, sex.name, "vaccinated"]
-    wide = cells.withColumn("_s", _seen_status()).groupBy(*keys).agg(
-        F.sum("n").alias("n"), *[F.sum(F.when(F.col("_s") == k, F.col("n")).otherwise(0)).alias(f"n_{k}") for k in JOINT])
-    joined = masses.join(broadcast_bounded(wide, grid_size(age, sex, extra=1) * 3), keys, "inner")
-    status = sum((F.col(f"n_{k}") * F.col(k) for k in JOINT[1:]), F.col(f"n_{JOINT[0]}") * F.col(JOINT[0]))
-    return joined.groupBy("sim").agg(F.sum(status).alias("ll_status"), F.sum(F.col("n") * F.col("ll_vacc")).alias("ll_vacc"))
+        "sim", age.name, sex.name, "vaccinated", "s_result", "n_result",
+        bernoulli_log_mass(F.col("vaccinated"), F.col("_q")).alias("ll_vacc"),
+        _result_log_mass(F.col("_p")).alias("ll_status"))
+    joined = masses.join(broadcast_bounded(cells, grid_size(age, sex, extra=1) * 27), list(SERO_CELL), "inner")
+    return joined.groupBy("sim").agg(
+        *[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("ll_status", "ll_vacc")])
+
+
+def cell_number(age: Levels, sex: Levels) -> Column:
+    """Position of a serology cell in the grid of declared levels; null outside it."""
+    place = age.ordinal(F.col(age.name)) * len(sex.labels) + sex.ordinal(F.col(sex.name))
+    return ((place * 2 + F.col("vaccinated")) * 2 + F.col("s_result")) * 2 + F.col("n_result")
 
 
-def household_compositions(cohort: DataFrame) -> DataFrame:
-    """Distinct household make-ups and how many households share each.
+def household_compositions(cohort: DataFrame, age: Levels = AGE, sex: Levels = SEX) -> DataFrame:
+    """Distinct household make-ups ``comp`` and the number ``n_hh`` of households sharing each.
 
     Two households with the same members by cell have the same marginal
-    likelihood. Member counts per household and cell are partial sums, and a
-    household lists each of its cells once, however many members it has.
-    Returns ``(comp, n_hh, cell columns..., n)`` with one row per cell of a
-    composition.
+    likelihood. Members are summed per household and cell first, so a
+    household lists each cell once however many members it has.
     """
-    members = cohort.groupBy("hh_id", *SERO_CELL).agg(F.count(F.lit(1)).alias("n"))
-    listed = members.groupBy("hh_id").agg(F.sort_array(F.collect_list(F.struct(*SERO_CELL, "n"))).alias("comp"))
-    counted = listed.groupBy("comp").agg(F.count(F.lit(1)).alias("n_hh"))
-    keyed = counted.select(F.sha2(F.col("comp").cast("string"), 256).alias("comp"), "n_hh", F.explode("comp").alias("_m"))
-    return keyed.select("comp", "n_hh", "_m.*")
+    members = cohort.select("hh_id", cell_number(age, sex).alias("cell")).where(F.col("cell").isNotNull()).groupBy(
+        "hh_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    listed = members.groupBy("hh_id").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("comp"))
+    return listed.groupBy("comp").agg(F.count(F.lit(1)).alias("n_hh"))
+
+
+def _bucket_marginals(n_cells: int, log_weights: Sequence[float]):
+    """Sum of log marginals of one bucket of compositions, for every draw."""
+    def run(comps: pd.DataFrame, theta: pd.DataFrame) -> pd.DataFrame:
+        # cells x (node, draw)
+        t = np.stack([np.asarray(x) for x in theta["log_mass"]]).reshape(len(theta), n_cells, len(log_weights))
+        t = t.transpose(1, 2, 0).reshape(n_cells, -1)
+        total = np.zeros(len(theta))
+        for start in range(0, len(comps), 512):
+            part = comps.iloc[start:start + 512]
+            counts = np.zeros((len(part), n_cells))
+            for i, (cells, n) in enumerate(zip(part["cells"], part["counts"])):
+                counts[i, cells] = n
+            ll = (counts @ t).reshape(len(part), len(log_weights), -1) + np.asarray(log_weights)[None, :, None]
+            top = ll.max(axis=1)
+            marginal = top + np.log(np.exp(ll - top[:, None, :]).sum(axis=1))
+            total += part["n_hh"].to_numpy(float) @ marginal
+        return pd.DataFrame({"sim": theta["sim"], "ll": total})
+
+    return run
 
 
 def household_loglik(draws: DataFrame, cohort: DataFrame, design: Design, sigma: str, n_nodes: int = 5,
-                     age: Levels = AGE, sex: Levels = SEX, infection_prefix: str = "inf:") -> DataFrame:
+                     age: Levels = AGE, sex: Levels = SEX, infection_prefix: str = "inf:",
+                     buckets: int | None = None) -> DataFrame:
     """Log marginal likelihood of joint results per draw, household effects integrated out.
 
-    Per draw and cell the log mass at each quadrature node is a column; a
-    composition sums them over its members and the nodes are combined by
-    log-sum-exp, so nodes never become rows.
+    A draw is one row with the log mass of every cell at every quadrature
+    node. Compositions are spread over hash buckets, every bucket gets the
+    draws, and a bucket is one matrix product in its task. Neither a large
+    household nor a frequent composition makes a bucket large.
     """
+    buckets = buckets or 4 * int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = quadrature(n_nodes)
+    n_cells = grid_size(age, sex) * 8
     grid = _sero_grid(draws, age, sex).withColumn("_eta", F.expr(design.predictor(infection_prefix)))
-    for k, (z, _) in enumerate(nodes):
-        masses = _log_status(logistic(F.col("_eta") + F.col(sigma) * F.lit(z)))
-        grid = grid.withColumn(f"_n{k}", F.struct(*[c.alias(s) for s, c in masses.items()]))
-    keys = [age.name, sex.name, "vaccinated"]
-    theta = grid.select("sim", *keys, *[f"_n{k}" for k in range(n_nodes)])
-    comps = household_compositions(cohort).withColumn("_s", _seen_status())
-
-    def mass(k: int) -> Column:
-        node = F.col(f"_n{k}")
-        picked = F.coalesce(*[F.when(F.col("_s") == s, node[s]) for s in JOINT])
-        return F.sum(F.col("n") * picked)
-
-    # the scored grid has draws x level combinations rows and is the smaller
-    # side; which side is moved is left to runtime sizes
-    per_comp = comps.join(theta, keys, "inner").groupBy("sim", "comp").agg(
-        F.first("n_hh").alias("n_hh"), *[mass(k).alias(f"_l{k}") for k in range(n_nodes)])
-    marginal = log_sum_exp(*[F.col(f"_l{k}") + F.ln(F.lit(w)) for k, (_, w) in enumerate(nodes)])
-    return per_comp.groupBy("sim").agg(F.sum(F.col("n_hh") * marginal).alias("ll_household"))
+    grid = grid.withColumns({
+        f"_p{k}": logistic(F.col("_eta") + F.col(sigma) * z) for k, (z, _) in enumerate(nodes)})
+    theta = grid.select("sim", cell_number(age, sex).alias("cell"), F.array(
+        *[_result_log_mass(F.col(f"_p{k}")) for k in range(n_nodes)]).alias("mass")).groupBy("sim").agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("cell", "mass")))["mass"]).alias("log_mass"))
+    spread = theta.withColumn("bucket", F.expr(f"explode(sequence(0, {buckets - 1}))"))
+    comps = household_compositions(cohort, age, sex).select(
+        F.pmod(F.xxhash64("comp"), F.lit(buckets)).cast("int").alias("bucket"), F.col("comp.cell").alias("cells"),
+        F.col("comp.n").alias("counts"), "n_hh")
+    partial = comps.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInPandas(
+        _bucket_marginals(n_cells, [math.log(w) for _, w in nodes]), "sim bigint, ll double")
+    return partial.groupBy("sim").agg(F.sum("ll").alias("ll_household"))

@@ -7,6 +7,7 @@ they cannot be swapped by position.
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 JOINT = ("sp_np", "sn_np", "sp_nn", "sn_nn")
 JOINT_LABELS = {"sp_np": "S+N+", "sn_np": "S-N+", "sp_nn": "S+N-", "sn_nn": "S-N-"}
@@ -50,5 +51,18 @@ def observed_status(true: dict[str, Column], sens_s: Column, spec_s: Column,
     return out
 
 
+def result_mass(true: dict[str, Column], s_result: Column, n_result: Column,
+                sens_s: Column, spec_s: Column, sens_n: Column, spec_n: Column) -> Column:
+    """Probability of the joint result a row holds: only that one of the four."""
+    def given(result: Column, sens: Column, spec: Column) -> tuple[Column, Column]:
+        return F.when(result == 1, sens).otherwise(1.0 - sens), F.when(result == 1, 1.0 - spec).otherwise(spec)
+
+    s_pos, s_neg = given(s_result, sens_s, spec_s)
+    n_pos, n_neg = given(n_result, sens_n, spec_n)
+    return (
+        n_pos * (s_pos * true["sp_np"] + s_neg * true["sn_np"])
+        + n_neg * (s_pos * true["sp_nn"] + s_neg * true["sn_nn"]))
+
+
 def any_antibody(true: dict[str, Column]) -> Column:
     return 1.0 - true["sn_nn"]

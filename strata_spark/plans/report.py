@@ -13,7 +13,7 @@ from strata_spark.functions.scalars import count_percent_text, fixed, interval_t
 from strata_spark.operators.cohort import COUNTS
 from strata_spark.operators.poststrat import compact, conditional_estimates, marginal_estimates
 from strata_spark.operators.risk import relative_risk, sign_tail, sign_vs_reference
-from strata_spark.operators.summary import ranked_summary
+from strata_spark.operators.summary import full_summary
 from strata_spark.session import literal_table
 
 REFERENCE_TEXT = "--"
@@ -47,16 +47,16 @@ def prevalence_draws(scored: DataFrame, refs: Mapping[str, str], by: Sequence[st
 
 
 def prevalence_table(scored: DataFrame, counts: DataFrame, refs: Mapping[str, str],
-                     by: Sequence[str] = ("sim",), keep: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = ("sim",), keep: Sequence[str] = (), n_draws: int | None = None) -> DataFrame:
     """Counts, prevalence summaries and tail probability per category.
 
     ``by`` holds the draw key and may add a measure, which then also goes in
-    ``keep``. Numbers stay beside every text column.
+    ``keep``. Numbers stay beside every text column. ``n_draws`` is the
+    declared number of draws, see ``full_summary``.
     """
     draws = prevalence_draws(scored, refs, by)
     keys = [*keep, "var", "val"]
-    tails = draws.groupBy(*keys).agg(sign_tail().alias("p_tail"))
-    summary = ranked_summary(draws, keys).join(tails, keys)
+    summary = full_summary(draws, keys, n_draws=n_draws, extra={"p_tail": sign_tail()})
     return _with_counts(summary, counts).select(
         *keys, category_rank(F.col("val")).alias("ord"), *COUNTS,
         "median", "hdci_lo", "hdci_hi", "mean", "q025", "q975", "p_tail",
@@ -88,14 +88,15 @@ def full_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str])
 
 
 def combined_report(stacked: DataFrame, counts: DataFrame, refs: Mapping[str, str],
-                    measures: Mapping[str, str], tail_of: str) -> DataFrame:
+                    measures: Mapping[str, str], tail_of: str, n_draws: int | None = None) -> DataFrame:
     """Prevalence of several measures side by side.
 
     ``stacked`` has a ``measure`` column; ``measures`` maps it to report names.
     All measures are summarised in one pass and laid side by side by a pivot
     over the declared names.
     """
-    long = prevalence_table(stacked, counts, refs, by=("measure", "sim"), keep=("measure",))
+    long = prevalence_table(
+        stacked, counts, refs, by=("measure", "sim"), keep=("measure",), n_draws=n_draws)
     picked = [F.max(F.when(F.col("measure") == m, F.col("mean_text"))).alias(name) for m, name in measures.items()]
     return long.groupBy("var", "val", "ord").agg(
         *[F.first(c).alias(c) for c in COUNTS], *picked,
