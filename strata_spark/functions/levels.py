@@ -41,12 +41,17 @@ class Levels:
 
     def ordinal(self, col: Column) -> Column:
         """Position of a label in report order, null when unknown."""
-        return choose(col, {x: i for i, x in enumerate(self.labels)})
+        return position(col, self.labels) - 1
 
     def codes(self, col: Column) -> Column:
         """1-based code with the reference first, as contrast coding counts."""
-        order = (self.ref, *self.contrasts)
-        return choose(col, {x: i + 1 for i, x in enumerate(order)})
+        return position(col, (self.ref, *self.contrasts))
+
+
+def position(col: Column, labels: Sequence[str]) -> Column:
+    """1-based place of ``col`` in a list, null when unknown; mentions ``col`` once."""
+    listed = F.expr(f"array({', '.join(map(sql_literal, labels))})")
+    return F.nullif(F.array_position(listed, col), F.lit(0)).cast("int")
 
 
 def choose(col: Column, mapping: Mapping) -> Column:

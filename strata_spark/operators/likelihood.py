@@ -139,12 +139,13 @@ def cell_number(age: Levels, sex: Levels) -> Column:
 def household_compositions(cohort: DataFrame, age: Levels = AGE, sex: Levels = SEX) -> DataFrame:
     """Distinct household make-ups ``comp`` and the number ``n_hh`` of households sharing each.
 
-    Two households with the same members by cell have the same marginal
-    likelihood. Members are summed per household and cell first, so a
+    Members with a missing covariate or result are left out. Two households
+    with the same members by cell have the same marginal likelihood. Members
+    are summed per household and cell first, so a
     household lists each cell once however many members it has.
     """
-    members = cohort.select("hh_id", cell_number(age, sex).alias("cell")).where(F.col("cell").isNotNull()).groupBy(
-        "hh_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    known = cohort.dropna(subset=list(SERO_CELL))
+    members = known.groupBy("hh_id", cell_number(age, sex).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     listed = members.groupBy("hh_id").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("comp"))
     return listed.groupBy("comp").agg(F.count(F.lit(1)).alias("n_hh"))
 
