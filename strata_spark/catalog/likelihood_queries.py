@@ -12,6 +12,7 @@ from strata_spark.operators import cohort as co
 from strata_spark.operators import fit as ft
 from strata_spark.operators import likelihood as lk
 from strata_spark.operators.design import MODELS
+from strata_spark.operators.draws import spread
 from strata_spark.sources import views as v
 
 PRIOR = dict(fx.OTHER_INFECTION_PRIOR)
@@ -76,7 +77,7 @@ def prior_lookup(spark, d):
 def misclass_prob(spark, d):
     dated = cells(spark, d).where(F.col("inf_latest").isNotNull())
     draws = v.panel_draws(spark, d, MODELS["additive"])
-    joined = draws.join(lk.broadcast_bounded(dated, 9 * 2 * 3 * 3 * 2 * 64), "fit_id")
+    joined = spread(draws, "sim").join(dated, "fit_id")
     return joined.withColumn("_eta", F.expr(MODELS["additive"].predictor())).select(
         "fit_id", "sim", *[c for c in dated.columns if c != "fit_id"], lk.positive_probability("_eta", True).alias("q"))
 

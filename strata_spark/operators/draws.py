@@ -35,6 +35,15 @@ def check_draw_terms(draws: DataFrame, design: Design, extra: Sequence[str] = ()
     require_same_terms(found, [*design.terms, *extra])
 
 
+def spread(draws: DataFrame, *keys: str) -> DataFrame:
+    """Draws over all cores.
+
+    A draws table is small in bytes but every row is scored many times, so its
+    partitions must follow the cores and not its size.
+    """
+    return draws.repartition(draws.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def quadrature(n_nodes: int) -> list[tuple[float, float]]:
     """Gauss-Hermite nodes and weights for an average over a standard normal."""
     x, w = np.polynomial.hermite.hermgauss(n_nodes)
@@ -54,7 +63,7 @@ def integration_errors(draws: DataFrame, design: Design, sigma: str, prefix: str
                        factors: Sequence[Levels] = (AGE, SEX), nodes: tuple[int, int] = (16, 32),
                        tol: float = 1e-6) -> DataFrame:
     """Per stratum: draws whose integral changes by more than ``tol`` between node counts."""
-    scored = fan_out(draws, *factors).withColumn("_eta", F.expr(design.predictor(prefix))).withColumn(
+    scored = fan_out(spread(draws, "sim"), *factors).withColumn("_eta", F.expr(design.predictor(prefix))).withColumn(
         "error", F.abs(household_average("_eta", sigma, nodes[0]) - household_average("_eta", sigma, nodes[1])))
     return scored.groupBy(*[f.name for f in factors]).agg(
         F.count(F.lit(1)).alias("n_draws"),
@@ -70,7 +79,7 @@ def score_strata(draws: DataFrame, strata: DataFrame, design: Design, factors: S
     are broadcast; the draws stay where they are.
     """
     keys = [f.name for f in factors]
-    scored = fan_out(draws, *factors).select(*keep, *keys, logistic(F.expr(design.predictor(prefix))).alias(name))
+    scored = fan_out(spread(draws, "sim"), *factors).select(*keep, *keys, logistic(F.expr(design.predictor(prefix))).alias(name))
     return scored.join(broadcast_bounded(strata.select(*keys, weight), grid_size(*factors)), keys, "inner")
 
 
@@ -93,7 +102,7 @@ def score_seroprevalence(
     def probability(eta: str, sigma: str | None) -> Column:
         return logistic(F.col(eta)) if sigma is None else household_average(eta, sigma, n_nodes)
 
-    etas = fan_out(draws, *factors).withColumns({
+    etas = fan_out(spread(draws, "sim"), *factors).withColumns({
         "_inf": F.expr(design.predictor(infection_prefix)),
         **({} if coverage else {"_vacc": F.expr(design.predictor(vaccination_prefix))})})
     scored = etas.select(

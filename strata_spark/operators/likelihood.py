@@ -18,7 +18,7 @@ from strata_spark.functions.levels import AGE, SEX, Levels, choose, fan_out, gri
 from strata_spark.functions.scalars import (
     bernoulli_log_mass, log_sum_exp, logistic, misclassified, safe_ln)
 from strata_spark.operators.design import Design
-from strata_spark.operators.draws import household_average, quadrature
+from strata_spark.operators.draws import household_average, quadrature, spread
 from strata_spark.operators.status import result_mass, true_status
 from strata_spark.session import broadcast_bounded
 
@@ -83,17 +83,18 @@ def panel_cells(panel: DataFrame) -> DataFrame:
 
 
 def pointwise_loglik(draws: DataFrame, cells: DataFrame, design: Design, prior_before: Mapping[str, float],
-                     prefix: str = "", keep: Sequence[str] = ("fit_id", "sim"), **model) -> DataFrame:
+                     prefix: str = "", keep: Sequence[str] = ("fit_id", "sim"), n_fits: int | None = None,
+                     **model) -> DataFrame:
     """Log-likelihood of one observation of every cell under every draw of its fit.
 
-    ``model`` options: ``by_child`` for separate child accuracy, ``sigma`` for
-    overdispersion.
-
-    ``cells`` carry ``fit_id``; there are at most as many as level
-    combinations, so they are broadcast and the draws are not moved.
+    A fit has at most one cell per level combination, so with a declared number
+    of fits the cells have a bound and are broadcast; without it the join is
+    planned from runtime sizes. ``model`` options: ``by_child`` for separate
+    child accuracy, ``sigma`` for overdispersion.
     """
-    bound = grid_size(*design.factors, extra=1) * 4 * 64
-    joined = draws.join(broadcast_bounded(cells, bound), "fit_id", "inner")
+    if n_fits is not None:
+        cells = broadcast_bounded(cells, grid_size(*design.factors, extra=1) * 4 * n_fits)
+    joined = spread(draws, "sim").join(cells, "fit_id", "inner")
     cell_columns = [c for c in cells.columns if c not in keep]
     return with_log_mass(joined, design, prior_before, prefix, **model).select(*keep, *cell_columns, "log_lik")
 
@@ -105,7 +106,7 @@ def loglik_by_draw(pointwise: DataFrame, by: Sequence[str] = ("fit_id", "sim"))
 
 def _sero_grid(draws: DataFrame, age: Levels, sex: Levels) -> DataFrame:
     """Draws at every cell of the serology model: age, sex, vaccinated and both results."""
-    grid = fan_out(draws, age, sex)
+    grid = fan_out(spread(draws, "sim"), age, sex)
     for name in ("vaccinated", "s_result", "n_result"):
         grid = grid.withColumn(name, F.expr("explode(array(0, 1))"))
     return grid

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
-from strata_spark.functions.levels import INFECTION, PANEL_SEX, Levels, cut, fan_out
+from strata_spark.functions.levels import INFECTION, PANEL_SEX, Levels, cut, fan_out, grid_size
 from strata_spark.functions.scalars import ratio
 from strata_spark.session import broadcast_bounded
 
@@ -28,12 +28,16 @@ def population_strata(census: DataFrame, breaks: Sequence[float] = fx.AGE_BREAKS
 
 
 def strata_in_sample(strata: DataFrame, sample: DataFrame, factors: Sequence[Levels]) -> DataFrame:
-    """Keep strata whose every level occurs in the sample."""
-    out = strata
-    for f in factors:
-        seen = sample.select(f.name).distinct()
-        out = out.join(broadcast_bounded(seen, len(f.labels) + 1), f.name, "left_semi")
-    return out
+    """Keep strata whose every level occurs in the sample.
+
+    One pass over the sample gathers the levels seen; they are declared, so
+    the sets are short and the side to broadcast has a known bound.
+    """
+    names = [f.name for f in factors]
+    seen = sample.agg(*[F.collect_set(k).alias(k) for k in names])
+    for k in names:
+        seen = seen.withColumn(k, F.explode(k))
+    return strata.join(broadcast_bounded(seen, grid_size(*factors)), names, "left_semi")
 
 
 def infection_shares(truth: DataFrame, keys: Sequence[str] = WEIGHT_KEYS) -> DataFrame:

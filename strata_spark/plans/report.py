@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
@@ -164,6 +164,15 @@ def variant_report(observed: DataFrame, estimates: DataFrame, sizes: DataFrame,
 
 
 def with_group_headers(report: DataFrame, group: str, group_ord: str, row_ord: str) -> DataFrame:
-    """A header row before each group, numbered in page order."""
-    headers = report.select(group, group_ord).distinct().withColumn(row_ord, F.lit(-1)).withColumn("is_header", F.lit(True))
-    return headers.unionByName(report.withColumn("is_header", F.lit(False)), allowMissingColumns=True)
+    """A header row before each group, in page order by ``(group_ord, row_ord)``.
+
+    The first row of a group is doubled into header and row; a report is short,
+    so the window over a group is too.
+    """
+    place = F.row_number().over(Window.partitionBy(group).orderBy(row_ord))
+    doubled = report.withColumn("_place", place).withColumn("is_header", F.explode(
+        F.when(F.col("_place") == 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))).drop("_place")
+    kept = {group, group_ord}
+    blank = {c: F.when(~F.col("is_header"), F.col(c)) for c in report.columns if c not in kept | {row_ord}}
+    return doubled.withColumns(
+        {**blank, row_ord: F.when(F.col("is_header"), -1).otherwise(F.col(row_ord))})
