@@ -20,7 +20,9 @@ def population_strata(census: DataFrame, breaks: Sequence[float] = fx.AGE_BREAKS
     top = f">= {breaks[-1]}"
     age = f"CASE WHEN Age = '{top}' THEN {breaks[-1]} ELSE try_cast(Age AS INT) END"
     counts = (
-        census.select("Sex", F.expr(age).alias("_age"), "Total").select("Sex", cut("_age", breaks).alias("age_cat"), "Total").dropna()
+        census.select("Sex", F.expr(age).alias("_age"), "Total").dropna()
+        .where(F.col("_age").between(breaks[0], breaks[-1]))
+        .select("Sex", cut("_age", breaks).alias("age_cat"), "Total")
         .groupBy("Sex", "age_cat").agg(F.sum("Total").alias("strata_pop"))
     )
     # the window runs over strata, of which there are levels x levels
