@@ -209,24 +209,33 @@ _REPORT = """SELECT var, val, mean, q025, q975, p_tail, {t} AS txt FROM (
  SELECT var, val, avg(p) AS mean, quantile_cont(p, 0.025e0) AS q025, quantile_cont(p, 0.975e0) AS q975,
  least(2e0 * avg(CASE WHEN p > p_ref THEN 1 WHEN p_ref IS NOT NULL AND NOT is_ref THEN 0 END),
  2e0 * avg(CASE WHEN p <= p_ref AND NOT is_ref THEN 1 WHEN p_ref IS NOT NULL AND NOT is_ref THEN 0 END)) AS p_tail FROM (
- SELECT a.*, {ref} AS is_ref, CASE WHEN {ref} THEN NULL ELSE b.p END AS p_ref FROM m_{m} a LEFT JOIN (SELECT sim AS rsim, var AS rvar, p
- FROM m_{m} WHERE {ref}) b ON a.sim = b.rsim AND a.var = b.rvar) x GROUP BY var, val) y"""
-for _m in MEASURES:
-    _e = f'sum("{_m}" * strata_pop) / sum(strata_pop)'
-    VIEWS[f"m_{_m}"] = (
-        f"""SELECT sim, 'Age' AS var, 'all' AS val, {_e} AS p FROM scored GROUP BY sim
- UNION ALL SELECT sim, 'Age', age_cat, {_e} FROM scored GROUP BY sim, age_cat
- UNION ALL SELECT sim, 'Sex', Sex, {_e} FROM scored GROUP BY sim, Sex""", ("scored",))
-    VIEWS[f"r_{_m}"] = (_REPORT.format(m=_m, ref=_REF, t=sql_interval("mean", "q025", "q975", 1, "100e0")), (f"m_{_m}",))
-
-
-@query("final_report", """SELECT a.var, a.val, {o}, n, pos_s, neg_s, pos_n, neg_n, vacc, a.txt AS any_antibody,
+ SELECT a.*, {ref} AS is_ref, CASE WHEN {ref} THEN NULL ELSE b.p END AS p_ref FROM {k}m_{m} a LEFT JOIN (SELECT sim AS rsim, var AS rvar, p
+ FROM {k}m_{m} WHERE {ref}) b ON a.sim = b.rsim AND a.var = b.rvar) x GROUP BY var, val) y"""
+
+
+def _report_views(kind: str, table: str, measures, ref: str) -> None:
+    """Views ``<kind>m_<measure>`` (draws) and ``<kind>r_<measure>`` (report rows) over one table of measures."""
+    for m in measures:
+        mean = f'sum("{m}" * strata_pop) / sum(strata_pop)'
+        VIEWS[f"{kind}m_{m}"] = (
+            f"""SELECT sim, 'Age' AS var, 'all' AS val, {mean} AS p FROM {table} GROUP BY sim
+ UNION ALL SELECT sim, 'Age', age_cat, {mean} FROM {table} GROUP BY sim, age_cat
+ UNION ALL SELECT sim, 'Sex', Sex, {mean} FROM {table} GROUP BY sim, Sex""", (table,))
+        VIEWS[f"{kind}r_{m}"] = (
+            _REPORT.format(m=m, k=kind, ref=ref, t=sql_interval("mean", "q025", "q975", 1, "100e0")), (f"{kind}m_{m}",))
+
+
+_report_views("", "scored", MEASURES, _REF)
+_FINAL = """SELECT a.var, a.val, {o}, n, pos_s, neg_s, pos_n, neg_n, vacc, a.txt AS any_antibody,
  e.txt AS any_antibody_external, i.txt AS natural_infection, w.txt AS estimated_vaccination,
  CASE WHEN a.val = 'all' THEN '--' ELSE coalesce({p}, '--') END AS tail_text
- FROM r_seropos a FULL JOIN r_external e ON a.var = e.var AND a.val = e.val
- FULL JOIN r_infection i ON a.var = i.var AND a.val = i.val FULL JOIN r_vaccination w ON a.var = w.var AND a.val = w.val
- LEFT JOIN shipped_counts c ON a.var = c.var AND a.val = c.val""".format(
-    o=_ORD.replace("CASE val", "CASE a.val").replace("(val,", "(a.val,"), p=sql_fixed("i.p_tail", 4)),
+ FROM {{a}} a FULL JOIN {{e}} e ON a.var = e.var AND a.val = e.val
+ FULL JOIN {{i}} i ON a.var = i.var AND a.val = i.val FULL JOIN {{w}} w ON a.var = w.var AND a.val = w.val
+ LEFT JOIN {{c}} c ON a.var = c.var AND a.val = c.val""".format(
+    o=_ORD.replace("CASE val", "CASE a.val").replace("(val,", "(a.val,"), p=sql_fixed("i.p_tail", 4))
+
+
+@query("final_report", _FINAL.format(a="r_seropos", e="r_external", i="r_infection", w="r_vaccination", c="shipped_counts"),
        ["r_seropos", "r_external", "r_infection", "r_vaccination", "shipped_counts"])
 def final_report(spark, d):
     return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection", N_DRAWS)
@@ -305,6 +314,69 @@ def score_seroprev_external(spark, d):
     return dr.score_seroprevalence(v.sero_draws(spark, d), strata, v.SERO_DESIGN, coverage="coverage")
 
 
+SERO_REFS = {"Age": AGE.ref, "Sex": SEX.ref}
+SERO_NAMES = {"p_any": "any_antibody", "p_any_external": "any_antibody_external", "p_infection": "natural_infection",
+              "p_vaccination": "estimated_vaccination"}
+_SERO_REF = "((var = 'Age' AND val = '[25,35)') OR (var = 'Sex' AND val = 'Female'))"
+VIEWS.update({
+    "sero_own": (_score_sql(sql_logistic(_ETA["vacc"])), tuple(SCORE_VIEWS)),
+    "sero_ext": (_score_sql("coverage", "JOIN coverage USING (age_cat, Sex)"), (*SCORE_VIEWS, "coverage")),
+    "sero_measures": ("""SELECT o.sim, o.age_cat, o.Sex, o.strata_pop, o.p_any, x.p_any AS p_any_external, o.p_infection, o.p_vaccination
+ FROM sero_own o JOIN sero_ext x ON o.sim = x.sim AND o.age_cat = x.age_cat AND o.Sex = x.Sex""", ("sero_own", "sero_ext")),
+    "cohort_counts": (f"""SELECT 'Age' AS var, age_cat AS val, {COUNT_SQL} FROM cohort GROUP BY age_cat
+ UNION ALL SELECT 'Sex', Sex, {COUNT_SQL} FROM cohort GROUP BY Sex UNION ALL SELECT 'Age', 'all', {COUNT_SQL} FROM cohort""", ("cohort",)),
+})
+_report_views("sero_", "sero_measures", SERO_NAMES, _SERO_REF)
+
+
+def sero_measures(spark, d):
+    """All measures of the serology model as rows, own and external vaccination."""
+    strata = census_strata(spark, d).join(v.coverage(spark), ["Sex", "age_cat"])
+    return rp.stacked_seroprevalence(v.sero_draws(spark, d), strata, v.SERO_DESIGN, "coverage")
+
+
+def cohort_counts(spark, d):
+    return co.stacked_counts(co.prepare_cohort(v.raw_cohort(spark, d)))
+
+
+@query("seroprevalence_report", _FINAL.format(
+    a="sero_r_p_any", e="sero_r_p_any_external", i="sero_r_p_infection", w="sero_r_p_vaccination", c="cohort_counts"),
+       [*[f"sero_r_{m}" for m in SERO_NAMES], "cohort_counts"])
+def seroprevalence_report(spark, d):
+    """The first half in one query: cohort, census, draws and coverage to the final table."""
+    return rp.combined_report(
+        sero_measures(spark, d), cohort_counts(spark, d), SERO_REFS, SERO_NAMES, "p_infection", N_DRAWS)
+
+
+_SERO_RISK = " UNION ALL ".join(f"""SELECT '{m}' AS measure, var, val, avg(rr) AS mean, quantile_cont(rr, 0.025e0) AS q025,
+ quantile_cont(rr, 0.975e0) AS q975, least(2e0 * avg(CASE WHEN rr > 1 THEN 1 WHEN rr IS NOT NULL THEN 0 END),
+ 2e0 * avg(CASE WHEN rr < 1 THEN 1 WHEN rr IS NOT NULL THEN 0 END)) AS p_tail FROM (
+ SELECT 'Age' AS var, a.age_cat AS val, CASE WHEN a.age_cat <> '[25,35)' THEN a."{m}" / b."{m}" END AS rr
+ FROM sero_measures a JOIN sero_measures b ON a.sim = b.sim AND a.Sex = 'Female' AND b.Sex = 'Female' AND b.age_cat = '[25,35)'
+ UNION ALL SELECT 'Sex', a.Sex, CASE WHEN a.Sex <> 'Female' THEN a."{m}" / b."{m}" END
+ FROM sero_measures a JOIN sero_measures b ON a.sim = b.sim AND a.age_cat = '[25,35)' AND b.age_cat = '[25,35)' AND b.Sex = 'Female') x
+ GROUP BY var, val""" for m in ("p_any", "p_any_external", "p_infection"))
+
+
+@query("seroprevalence_risk", f"SELECT k.*, n FROM ({_SERO_RISK}) k LEFT JOIN cohort_counts c ON k.var = c.var AND k.val = c.val",
+       ["sero_measures", "cohort_counts"], ["mean", "q025", "q975", "p_tail"])
+def seroprevalence_risk(spark, d):
+    """Relative risks of three measures by age and sex in one pass."""
+    measures = sero_measures(spark, d).where(F.col("measure") != "p_vaccination")
+    table = rp.relative_risk_table(measures, cohort_counts(spark, d), SERO_REFS, ("measure", "sim"), ("measure",))
+    return table.select("measure", "var", "val", "mean", "q025", "q975", "p_tail", "n")
+
+
+@query("coverage_by_category", """SELECT c.var, c.val, n, vacc, vacc * 1e2 / n AS pc_vacc, pc_coverage FROM cohort_counts c
+ JOIN coverage_percent p ON p.val = CASE c.val WHEN 'all' THEN 'All' ELSE c.val END""", ["cohort_counts", "coverage_percent"],
+       ["pc_vacc", "pc_coverage"])
+def coverage_by_category(spark, d):
+    """Vaccination in the sample next to the external coverage of each report category."""
+    outside = v.coverage_percent(spark).withColumn("val", F.when(F.col("val") == "All", "all").otherwise(F.col("val")))
+    return cohort_counts(spark, d).join(outside, "val").select(
+        "var", "val", "n", "vacc", (F.col("vacc") * 100.0 / F.col("n")).alias("pc_vacc"), "pc_coverage")
+
+
 def _nodes_sql(n: int) -> str:
     return f"(VALUES {sql_values(dr.quadrature(n))}) g(z, w)"
 

@@ -183,6 +183,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "coverage": (f"""
  SELECT s.Sex, v.age_cat, v.coverage FROM (VALUES {sql_values(fx.COVERAGE_BY_AGE)}) v(age_cat, coverage),
  (VALUES ('Female'), ('Male')) s(Sex)""", ()),
+    "coverage_percent": (f"SELECT * FROM (VALUES {sql_values(fx.COVERAGE_PERCENT)}) v(val, pc_coverage)", ()),
     "age_prior": (f"SELECT * FROM (VALUES {sql_values(fx.OTHER_INFECTION_PRIOR)}) v(age_cat, prior_before)", ()),
     "sero_draws": (f"""
  SELECT sim, {_sero_columns()}, 0.5e0 + 0.25e0 * sin(sim + 3) AS sigma_inf,

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from strata_spark import fixed_values as fx
 from strata_spark.functions.scalars import count_percent_text, fixed, interval_text
 from strata_spark.operators.cohort import COUNTS
+from strata_spark.operators.design import Design
+from strata_spark.operators.draws import score_seroprevalence, stack_measures
 from strata_spark.operators.poststrat import compact, conditional_estimates, marginal_estimates
 from strata_spark.operators.risk import relative_risk, sign_tail, sign_vs_reference
 from strata_spark.operators.summary import full_summary
@@ -103,6 +105,19 @@ def combined_report(stacked: DataFrame, counts: DataFrame, refs: Mapping[str, st
         F.max(F.when(F.col("measure") == tail_of, F.col("tail_text"))).alias("tail_text"))
 
 
+def stacked_seroprevalence(draws: DataFrame, strata: DataFrame, design: Design, coverage: str, **model) -> DataFrame:
+    """Measures of the serology model as rows ``(measure, sim, age_cat, Sex, strata_pop, seropos)``.
+
+    ``p_any_external`` takes vaccination from the ``coverage`` column of
+    ``strata``. ``model`` options go to ``score_seroprevalence``.
+    """
+    keys = ["sim", "age_cat", "Sex", "strata_pop"]
+    own = score_seroprevalence(draws, strata, design, **model)
+    outside = score_seroprevalence(draws, strata, design, coverage=coverage, **model)
+    return stack_measures(own, ["p_any", "p_infection", "p_vaccination"], keys).unionByName(
+        stack_measures(outside.withColumnRenamed("p_any", "p_any_external"), ["p_any_external"], keys))
+
+
 def member_tags() -> Column:
     """Every ``(var_cat, var)`` a panel row counts in."""
     inf, vacc = F.col("inf_latest"), compact(F.col("vacc_status_3way"))

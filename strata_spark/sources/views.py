@@ -117,6 +117,11 @@ def coverage(spark: SparkSession) -> DataFrame:
         "Sex string, age_cat string, coverage double")
 
 
+def coverage_percent(spark: SparkSession) -> DataFrame:
+    """External vaccination coverage of report categories, in percent."""
+    return literal_table(spark, fx.COVERAGE_PERCENT, "val string, pc_coverage double")
+
+
 def sero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serology model draws, wide, one row per draw id of the order lines."""
     ids = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 200 AS sim").distinct()
