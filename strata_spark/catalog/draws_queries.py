@@ -127,7 +127,7 @@ def rank_quantiles(spark, d):
         F.year("l_shipdate").cast("string").alias("age_cat"),
         F.when(F.col("l_linestatus") == "F", "Female").otherwise("Male").alias("Sex"),
         (F.col("l_extendedprice") / 1e5).alias("x"))
-    return sm.ranked_quantiles(li, ["age_cat", "Sex"], "x")
+    return sm.ranked_quantiles(li, ["age_cat", "Sex"], "x", n_groups=2 * 100)
 
 
 @query("tail_probability", """SELECT var, val, least(2e0 * avg(CASE WHEN coef_sign > 0 THEN 1 ELSE 0 END),

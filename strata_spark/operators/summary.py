@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata_spark.operators.numbering import rank_draws
+from strata_spark.session import broadcast_bounded
 
 LOWER, UPPER = 0.025, 0.975
 MAX_ARRAY_DRAWS = 100_000
@@ -86,9 +88,32 @@ def _moments(ranked: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         _quantile(value, LOWER).alias("q025"), _quantile(value, UPPER).alias("q975"))
 
 
-def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Mean, median and interval quantiles of groups of any size."""
-    return _moments(rank_draws(df.select(*by, value), by, value), by, value)
+def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, n_groups: int | None = None,
+                     per_unit: int = 4096) -> DataFrame:
+    """Mean, median and interval quantiles, exact, of groups of any size.
+
+    A histogram over value buckets tells which few buckets hold the wanted
+    ranks; only their rows are sorted. With a declared number of groups the
+    wanted buckets are broadcast, so no other row is shuffled.
+    """
+    bucket = F.floor(F.col(value) * F.lit(float(per_unit)))
+    tagged = df.select(*by, value, bucket.alias("_bucket"))
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = tagged.groupBy(*by, "_bucket").agg(F.count(value).alias("_n"), F.sum(value).alias("_s")).select(
+        *by, "_bucket", "_n", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(group).alias("n_draws"), (F.sum("_s").over(group) / F.sum("_n").over(group)).alias("mean"))
+    wanted = [f((F.col("n_draws") - 1) * q) + 1 for q in (LOWER, 0.5, UPPER) for f in (F.floor, F.ceil)]
+    holds = reduce(lambda a, b: a | b, [(r > F.col("_offset")) & (r <= F.col("_offset") + F.col("_n")) for r in wanted])
+    need = histogram.where(holds).drop("_n")
+    if n_groups is not None:
+        need = broadcast_bounded(need, len(wanted) * n_groups)
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value)
+    ranked = tagged.where(F.col(value).isNotNull()).join(need, [*by, "_bucket"]).withColumn(
+        "rank", F.row_number().over(inside) + F.col("_offset"))
+    return ranked.groupBy(*by).agg(
+        F.first("mean").alias("mean"), _quantile(value, 0.5).alias("median"),
+        _quantile(value, LOWER).alias("q025"), _quantile(value, UPPER).alias("q975"))
 
 
 def ranked_summary(df: DataFrame, by: Sequence[str], value: str = "p", prob: float = 0.95) -> DataFrame:

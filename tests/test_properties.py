@@ -21,7 +21,7 @@ from strata_spark.operators import likelihood as lk
 from strata_spark.operators import poststrat as ps
 from strata_spark.operators.design import MODELS
 from strata_spark.operators.numbering import index_keys, number_by_id, rank_draws
-from strata_spark.operators.summary import full_summary, posterior_summary
+from strata_spark.operators.summary import full_summary, posterior_summary, ranked_quantiles
 from strata_spark.sources import views as v
 
 
@@ -114,6 +114,16 @@ def test_ranks_and_index(spark):
     assert sorted(r.i for r in idx) == list(range(1, 41)) and len({r.h for r in idx}) == 40
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 500])
+def test_histogram_quantiles_of_a_hot_value(spark, n):
+    x = np.concatenate([np.full(n // 3, 0.5), np.sin(np.arange(n - n // 3)) * 3])
+    df = spark.createDataFrame([("g", float(a)) for a in x] + [("h", 1.0)], "g string, p double")
+    for groups in (None, 10):
+        r = {row.g: row for row in ranked_quantiles(df, ["g"], "p", groups, per_unit=4).collect()}
+        assert [r["g"].median, r["g"].q025, r["g"].q975] == pytest.approx(list(np.quantile(x, [0.5, 0.025, 0.975])))
+        assert r["g"]["mean"] == pytest.approx(x.mean()) and r["h"].median == 1.0
+
+
 @pytest.mark.parametrize("sigma", [0.0, 0.3, 2.5])
 def test_household_average_equals_a_fine_integral(spark, sigma):
     z = np.linspace(-9, 9, 40001)
