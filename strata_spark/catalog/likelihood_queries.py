@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from strata_spark import fixed_values as fx
 from strata_spark.catalog.draws_queries import _ETA, _ST, _nodes_sql
 from strata_spark.catalog.registry import VIEWS, query, sql_logistic, sql_predictor
-from strata_spark.catalog.strata_queries import FACTORS  # noqa: F401  (draw views are declared there)
+from strata_spark.catalog.strata_queries import FACTORS, SETS, split
 from strata_spark.operators import cohort as co
 from strata_spark.operators import fit as ft
 from strata_spark.operators import likelihood as lk
 from strata_spark.operators.design import MODELS
-from strata_spark.operators.draws import spread
+from strata_spark.operators.draws import quadrature, score_strata, spread, widen
+from strata_spark.operators.poststrat import label_estimates, poststratify_sets
+from strata_spark.operators.summary import posterior_summary
 from strata_spark.sources import views as v
 
 PRIOR = dict(fx.OTHER_INFECTION_PRIOR)
+OD_NODES = 8
 CELL_OBS = ["fit_id", "age_cat", "sex", "inf_latest", "vacc_status_3way", "child", "y"]
 
 
@@ -28,18 +31,21 @@ def _mass(q: str) -> str:
 
 
 def _seen(model: str, swap: str | None, child: bool = False, od: bool = False) -> str:
+    """Probability of a positive result; with ``od`` averaged over an observation effect."""
     eta = sql_predictor(MODELS[model], "", "d", {"inf_latest": f"'{swap}'"} if swap else None)
     sens = "(CASE WHEN child THEN sens_child ELSE sens END)" if child else "sens"
     spec = "(CASE WHEN child THEN spec_child ELSE spec END)" if child else "spec"
-    return f"({sens} * {sql_logistic(eta)} + (1 - {spec}) * (1 - {sql_logistic(eta)}))"
+    p = sql_logistic(eta) if not od else "(" + " + ".join(
+        f"{w!r} * {sql_logistic(f'{eta} + sigma_od * {z!r}')}" for z, w in quadrature(OD_NODES)) + ")"
+    return f"({sens} * {p} + (1 - {spec}) * (1 - {p}))"
 
 
-def _pointwise(model: str, child: bool = False) -> str:
-    lp = [f"ln(prior_before) + {_mass(_seen(model, 'inf_bef_2022', child))}",
-          f"ln(1 - prior_before) + {_mass(_seen(model, 'inf_2022', child))}"]
+def _pointwise(model: str, child: bool = False, od: bool = False) -> str:
+    lp = [f"ln(prior_before) + {_mass(_seen(model, 'inf_bef_2022', child, od))}",
+          f"ln(1 - prior_before) + {_mass(_seen(model, 'inf_2022', child, od))}"]
     mix = f"ln(exp({lp[0]}) + exp({lp[1]}))"
     return f"""SELECT d.fit_id, d.sim, c.age_cat, c.sex, c.inf_latest, c.vacc_status_3way, c.child, c.y, c.n,
- CASE WHEN inf_latest IS NULL THEN {mix} ELSE {_mass(_seen(model, None, child))} END AS log_lik
+ CASE WHEN inf_latest IS NULL THEN {mix} ELSE {_mass(_seen(model, None, child, od))} END AS log_lik
  FROM draws_{model} d JOIN cells c ON d.fit_id = c.fit_id JOIN age_prior USING (age_cat)"""
 
 
@@ -48,6 +54,7 @@ VIEWS.update({
  CASE WHEN ec50_thresh THEN 1 ELSE 0 END AS y, count(*) AS n FROM panel GROUP BY ALL""", ("panel",)),
     "ll_additive": (_pointwise("additive"), ("draws_additive", "cells", "age_prior")),
     "ll_interaction": (_pointwise("interaction"), ("draws_interaction", "cells", "age_prior")),
+    "ll_od": (_pointwise("additive", od=True), ("draws_additive", "cells", "age_prior")),
     "ll_child": (_pointwise("additive", True), ("draws_additive", "cells", "age_prior")),
 })
 
@@ -93,6 +100,13 @@ def pointwise_loglik_child(spark, d):
     return lk.loglik_by_draw(pointwise(spark, d, by_child=True))
 
 
+@query("pointwise_loglik_od", "SELECT fit_id, sim, sum(n * log_lik) AS log_lik FROM ll_od GROUP BY fit_id, sim",
+       ["ll_od"], ["log_lik"])
+def pointwise_loglik_od(spark, d):
+    """Overdispersed model: an effect per observation, integrated out."""
+    return lk.loglik_by_draw(pointwise(spark, d, sigma="sigma_od", n_nodes=OD_NODES))
+
+
 @query("mixture_loglik", """SELECT fit_id, sim, age_cat, sum(n * log_lik) AS log_lik, CAST(sum(n) AS BIGINT) AS n FROM ll_additive
  WHERE inf_latest IS NULL GROUP BY fit_id, sim, age_cat""", ["ll_additive"], ["log_lik"])
 def mixture_loglik(spark, d):
@@ -165,6 +179,16 @@ def fit_map(spark, d):
     return ft.fit_mode(cells(spark, d), MODELS["additive"], PRIOR)
 
 
+@query("fitted_poststrat")
+def fitted_poststrat(spark, d):
+    """From panel to estimates without imported draws: fit, draw, score, post-stratify, summarise."""
+    design = MODELS["additive"]
+    draws = widen(ft.fit_draws(cells(spark, d), design, PRIOR, n_draws=400), design.terms)
+    scored = score_strata(draws, split(spark, d), design, FACTORS, "strata_size_final", ("fit_id", "sim"), name="p")
+    estimates = posterior_summary(poststratify_sets(scored, SETS, ("fit_id", "sim")), ["fit_id", "postrat_name"])
+    return label_estimates(estimates.withColumnRenamed("fit_id", "variant"))
+
+
 @query("fit_draws_summary")
 def fit_draws_summary(spark, d):
     draws = ft.fit_draws(cells(spark, d), MODELS["additive"], PRIOR, n_draws=400)

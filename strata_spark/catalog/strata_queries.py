@@ -37,6 +37,15 @@ def _specs_sql() -> str:
 
 
 _SUM_OF = "sum(CASE WHEN inf_latest = '{}' THEN strata_size ELSE 0e0 END)"
+_REALLOC = """SELECT {{s}}age_cat, vacc_status_3way, inf_latest, strata_size, pc_ratio,
+ CASE inf_latest WHEN 'inf_2022' THEN late WHEN 'inf_bef_2022' THEN least(fresh * (1 - share), n_tot - late)
+ ELSE n_tot - late - least(fresh * (1 - share), n_tot - late) END AS strata_size_new FROM (
+ SELECT *, least(fresh * share, n_tot) AS late FROM (
+ SELECT {{s}}w.*, r.pc_ratio, g.n_tot, g.old_inf * r.pc_ratio AS fresh, coalesce(g.old_late / nullif(g.old_inf, 0), 0) AS share
+ FROM weights w JOIN {{r}} r USING (age_cat) JOIN (
+ SELECT age_cat, vacc_status_3way, sum(strata_size) AS n_tot, {l} AS old_late, {b} + {l} AS old_inf FROM weights
+ GROUP BY age_cat, vacc_status_3way) g USING (age_cat, vacc_status_3way)) x) y""".format(
+    b=_SUM_OF.format("inf_bef_2022"), l=_SUM_OF.format("inf_2022"))
 VIEWS.update({
     "inf_shares": ("""SELECT vacc_status_3way, inf_latest, age_cat, count(*) AS n,
  CAST(sum(count(*)) OVER (PARTITION BY vacc_status_3way, age_cat) AS BIGINT) AS total_per_vacc,
@@ -60,15 +69,12 @@ VIEWS.update({
  SELECT age_cat, {u} AS n_uninfected, {b} AS n_inf_before, {l} AS n_inf_2022, sum(strata_size) AS n_total FROM weights GROUP BY age_cat) x
  JOIN external_inf USING (age_cat)""".format(u=_SUM_OF.format("uninfected"), b=_SUM_OF.format("inf_bef_2022"), l=_SUM_OF.format("inf_2022")),
                ("weights", "external_inf")),
-    "realloc": ("""SELECT age_cat, vacc_status_3way, inf_latest, strata_size, pc_ratio,
- CASE inf_latest WHEN 'inf_2022' THEN late WHEN 'inf_bef_2022' THEN least(fresh * (1 - share), n_tot - late)
- ELSE n_tot - late - least(fresh * (1 - share), n_tot - late) END AS strata_size_new FROM (
- SELECT *, least(fresh * share, n_tot) AS late FROM (
- SELECT w.*, r.pc_ratio, g.n_tot, g.old_inf * r.pc_ratio AS fresh, coalesce(g.old_late / nullif(g.old_inf, 0), 0) AS share
- FROM weights w JOIN ratios r USING (age_cat) JOIN (
- SELECT age_cat, vacc_status_3way, sum(strata_size) AS n_tot, {l} AS old_late, {b} + {l} AS old_inf FROM weights
- GROUP BY age_cat, vacc_status_3way) g USING (age_cat, vacc_status_3way)) x) y""".format(
-        b=_SUM_OF.format("inf_bef_2022"), l=_SUM_OF.format("inf_2022")), ("weights", "ratios")),
+    "external_by_draw": ("""SELECT sim, age_cat, 1e2 * sum(seropos * strata_pop) / sum(strata_pop) AS pc_inf_external
+ FROM sero_scored GROUP BY sim, age_cat""", ("sero_scored",)),
+    "ratios_by_draw": ("""SELECT sim, age_cat, CASE WHEN n_infected > 0 THEN coalesce(e.pc_inf_external / nullif(pc_inf_sample, 0), 1e0)
+ ELSE 1e0 END AS pc_ratio FROM external_by_draw e JOIN ratios USING (age_cat)""", ("external_by_draw", "ratios")),
+    "realloc": (_REALLOC.format(r="ratios", s=""), ("weights", "ratios")),
+    "realloc_draws": (_REALLOC.format(r="ratios_by_draw", s="sim, "), ("weights", "ratios_by_draw")),
     "split": (f"""SELECT r.*, s.sex, strata_size_new / 2 AS strata_size_final,
  'sex' || s.sex || ':age_cat' || age_cat || ':inf_latest' || inf_latest || ':vacc' || vacc_status_3way AS full_cat,
  CAST(row_number() OVER (ORDER BY s.k, {sql_ordinal(AGE, 'age_cat')}, {sql_ordinal(VACCINATION, 'vacc_status_3way')},
@@ -174,6 +180,18 @@ def realloc_strata(spark, d):
     return reallocated(spark, d)
 
 
+@query("realloc_by_draw", """SELECT age_cat, vacc_status_3way, inf_latest, avg(strata_size_new) AS mean,
+ quantile_cont(strata_size_new, 0.025e0) AS q025, quantile_cont(strata_size_new, 0.975e0) AS q975 FROM realloc_draws
+ GROUP BY age_cat, vacc_status_3way, inf_latest""", ["realloc_draws"], ["mean", "q025", "q975"])
+def realloc_by_draw(spark, d):
+    """Reallocation that keeps the uncertainty of the external share, as an interval per stratum."""
+    scored = dr.score_strata(v.sero_draws(spark, d), pop_strata(spark, d), v.SERO_DESIGN, (AGE, SEX), "strata_pop", prefix="inf:")
+    external = st.pooled_mean(scored, ["sim", "age_cat"], "seropos", "strata_pop", "pc_inf_external").withColumn(
+        "pc_inf_external", F.col("pc_inf_external") * 100.0)
+    sizes = st.reallocate(weights(spark, d), external, by_draw=True)
+    return posterior_summary(sizes, st.WEIGHT_KEYS, "strata_size_new")
+
+
 def split(spark, d):
     return st.split_by_sex(reallocated(spark, d), PANEL_AGE, VACCINATION)
 

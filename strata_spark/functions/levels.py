@@ -123,6 +123,11 @@ def fan_out(df: DataFrame, *factors: Levels) -> DataFrame:
     return df
 
 
+def within_levels(df: DataFrame, factors: Sequence[Levels]) -> DataFrame:
+    """Rows whose every factor has a declared label."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(f.name).isin(*f.labels) for f in factors]))
+
+
 def grid_size(*factors: Levels, extra: int = 0) -> int:
     """Number of level combinations; ``extra`` counts a null level per factor."""
     return reduce(lambda acc, f: acc * (len(f.labels) + extra), factors, 1)

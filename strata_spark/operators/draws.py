@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata_spark.functions.levels import AGE, SEX, Levels, fan_out, grid_size
+from strata_spark.functions.levels import AGE, SEX, Levels, fan_out, grid_size, within_levels
 from strata_spark.functions.scalars import logistic, ratio
 from strata_spark.operators.design import Design, require_same_terms
 from strata_spark.operators.status import any_antibody, true_status
@@ -75,10 +75,12 @@ def score_strata(draws: DataFrame, strata: DataFrame, design: Design, factors: S
                  weight: str, keep: Sequence[str] = ("sim",), prefix: str = "", name: str = "seropos") -> DataFrame:
     """Probability of every draw at every stratum, with the stratum weight.
 
-    Strata are keyed by declared levels, so their number is bounded and they
-    are broadcast; the draws stay where they are.
+    Strata have one row per combination of declared levels (rows with other
+    labels are left out), so their number is bounded and they are broadcast;
+    the draws stay where they are.
     """
     keys = [f.name for f in factors]
+    strata = within_levels(strata, factors)
     scored = fan_out(spread(draws, "sim"), *factors).select(*keep, *keys, logistic(F.expr(design.predictor(prefix))).alias(name))
     return scored.join(broadcast_bounded(strata.select(*keys, weight), grid_size(*factors)), keys, "inner")
 
@@ -109,7 +111,7 @@ def score_seroprevalence(
         *keep, *keys, "resp_sn_np", "resp_sp_nn", "vacc_response",
         probability("_inf", sigma_infection).alias("p_infection"),
         *([] if coverage else [probability("_vacc", sigma_vaccination).alias("p_vaccination")]))
-    side = strata.select(*keys, weight, *([F.col(coverage).alias("p_vaccination")] if coverage else []))
+    side = within_levels(strata, factors).select(*keys, weight, *([F.col(coverage).alias("p_vaccination")] if coverage else []))
     joined = scored.join(broadcast_bounded(side, grid_size(*factors)), keys, "inner")
     true = true_status(F.col("p_infection"), F.col("p_vaccination") * F.col("vacc_response"),
                        F.col("resp_sn_np"), F.col("resp_sp_nn"))
