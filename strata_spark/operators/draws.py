@@ -90,14 +90,15 @@ def score_seroprevalence(
     factors: Sequence[Levels] = (AGE, SEX), weight: str = "strata_pop",
     infection_prefix: str = "inf:", vaccination_prefix: str = "vacc:",
     sigma_infection: str | None = None, sigma_vaccination: str | None = None,
-    coverage: str | None = None, n_nodes: int = 32,
+    coverage: str | None = None, n_nodes: int = 32, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Infection, vaccination, joint and any-antibody probabilities per draw and stratum.
 
     Draws carry both coefficient sets and ``resp_sn_np``, ``resp_sp_nn`` and
     ``vacc_response``. With a sigma column the probability is integrated over
     households. With ``coverage`` (a column of ``strata``) vaccination comes
-    from outside instead of from the model.
+    from outside instead of from the model. ``carry`` names further strata
+    columns to keep.
     """
     keys = [f.name for f in factors]
 
@@ -107,16 +108,18 @@ def score_seroprevalence(
     etas = fan_out(spread(draws, "sim"), *factors).withColumns({
         "_inf": F.expr(design.predictor(infection_prefix)),
         **({} if coverage else {"_vacc": F.expr(design.predictor(vaccination_prefix))})})
+    given = [c for c in ("resp_sn_np", "resp_sp_nn", "vacc_response") if c not in keep]
     scored = etas.select(
-        *keep, *keys, "resp_sn_np", "resp_sp_nn", "vacc_response",
+        *keep, *keys, *given,
         probability("_inf", sigma_infection).alias("p_infection"),
         *([] if coverage else [probability("_vacc", sigma_vaccination).alias("p_vaccination")]))
-    side = within_levels(strata, factors).select(*keys, weight, *([F.col(coverage).alias("p_vaccination")] if coverage else []))
+    side = within_levels(strata, factors).select(
+        *keys, weight, *carry, *([F.col(coverage).alias("p_vaccination")] if coverage else []))
     joined = scored.join(broadcast_bounded(side, grid_size(*factors)), keys, "inner")
     true = true_status(F.col("p_infection"), F.col("p_vaccination") * F.col("vacc_response"),
                        F.col("resp_sn_np"), F.col("resp_sp_nn"))
     return joined.select(
-        *keep, *keys, weight, "p_infection", "p_vaccination",
+        *keep, *keys, weight, *carry, "p_infection", "p_vaccination",
         *[c.alias(k) for k, c in true.items()], any_antibody(true).alias("p_any"))
 
 

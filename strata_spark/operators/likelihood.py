@@ -14,9 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata_spark.functions.levels import AGE, SEX, Levels, choose, fan_out, grid_size
+from strata_spark import fixed_values as fx
+from strata_spark.functions.levels import AGE, PANEL_AGE, SEX, Levels, choose, fan_out, grid_size
 from strata_spark.functions.scalars import (
     bernoulli_log_mass, log_sum_exp, logistic, misclassified, safe_ln)
+from strata_spark.operators.cohort import child_flag
 from strata_spark.operators.design import Design
 from strata_spark.operators.draws import household_average, quadrature, spread
 from strata_spark.operators.status import result_mass, true_status
@@ -27,6 +29,11 @@ PANEL_CELL = ("variant", "age_cat", "sex", "inf_latest", "vacc_status_3way", "ch
 SERO_CELL = ("age_cat", "Sex", "vaccinated", "s_result", "n_result")
 
 
+def flat_prior(age: Levels = PANEL_AGE) -> dict[str, float]:
+    """The default prior: the same for every age label."""
+    return dict.fromkeys(age.labels, fx.OTHER_INFECTION_PRIOR_FLAT)
+
+
 def scenario_prior(age: Column, prior_before: Mapping[str, float]) -> tuple[Column, Column]:
     """Log prior of both scenarios of an undated infection, looked up by age label."""
     p = choose(age, prior_before)
@@ -78,7 +85,7 @@ def panel_cells(panel: DataFrame) -> DataFrame:
     """Cells of a prepared panel, with outcome ``y`` and child flag."""
     return (
         panel.select("variant", "age_cat", "sex", "inf_latest", "vacc_status_3way",
-                     (F.col("age") < 12).alias("child"), F.col("ec50_thresh").cast("int").alias("y"))
+                     child_flag(F.col("age")).alias("child"), F.col("ec50_thresh").cast("int").alias("y"))
         .groupBy(*PANEL_CELL).agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -15,6 +15,7 @@ from strata_spark.operators.design import Design
 from strata_spark.operators.draws import score_seroprevalence, stack_measures
 from strata_spark.operators.poststrat import compact, conditional_estimates, marginal_estimates
 from strata_spark.operators.risk import relative_risk, sign_tail, sign_vs_reference
+from strata_spark.operators.status import any_antibody, true_status
 from strata_spark.operators.summary import full_summary
 from strata_spark.session import literal_table
 
@@ -112,10 +113,11 @@ def stacked_seroprevalence(draws: DataFrame, strata: DataFrame, design: Design,
     ``strata``. ``model`` options go to ``score_seroprevalence``.
     """
     keys = ["sim", "age_cat", "Sex", "strata_pop"]
-    own = score_seroprevalence(draws, strata, design, **model)
-    outside = score_seroprevalence(draws, strata, design, coverage=coverage, **model)
-    return stack_measures(own, ["p_any", "p_infection", "p_vaccination"], keys).unionByName(
-        stack_measures(outside.withColumnRenamed("p_any", "p_any_external"), ["p_any_external"], keys))
+    response = ("resp_sn_np", "resp_sp_nn", "vacc_response")
+    scored = score_seroprevalence(draws, strata, design, keep=("sim", *response), carry=(coverage,), **model)
+    outside = true_status(F.col("p_infection"), F.col(coverage) * F.col("vacc_response"), F.col("resp_sn_np"), F.col("resp_sp_nn"))
+    both = scored.withColumn("p_any_external", any_antibody(outside))
+    return stack_measures(both, ["p_any", "p_any_external", "p_infection", "p_vaccination"], keys)
 
 
 def member_tags() -> Column:

@@ -13,7 +13,7 @@ from strata_spark.operators import strata as st
 from strata_spark.operators import summary as sm
 from strata_spark.operators.design import MODELS, Design, design_rows, model_design, require_same_terms, scenario_rows
 from strata_spark.operators.draws import check_draw_terms
-from strata_spark.operators.likelihood import scenario_prior
+from strata_spark.operators.likelihood import flat_prior, scenario_prior
 from strata_spark.operators.status import JOINT_LABELS, observed_status, result_mass, true_status
 from strata_spark.plans.report import category_rank, full_join_null_safe, prevalence_table, with_group_headers
 from strata_spark.sources.tables import parse_result_name, read_csv
@@ -227,6 +227,7 @@ def test_prior_is_looked_up_by_label(spark):
     df = spark.createDataFrame([("[35,50)",), ("[0,6)",)], "age_cat string")
     before, late = scenario_prior(F.col("age_cat"), dict(fx.OTHER_INFECTION_PRIOR))
     got = df.select(F.exp(before), F.exp(late)).collect()
+    assert set(flat_prior().values()) == {0.45} and len(flat_prior()) == 9
     assert tuple(got[0]) == pytest.approx((0.546, 0.454)) and tuple(got[1]) == pytest.approx((0.417, 0.583))
 
 
