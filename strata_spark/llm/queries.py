@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from strata_spark.llm.fingerprint import op1_fingerprint
 from strata_spark.llm.line_dedup import OP7_SQL, op7_line_dedup
+from strata_spark.llm.packing import op8_packing
 from strata_spark.llm.pii import op3_pii
+from strata_spark.llm.token_counts import op4_token_counts
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op3_pii": op3_pii,
+    "op4_token_counts": op4_token_counts,
     "op7_line_dedup": op7_line_dedup,
+    "op8_packing": op8_packing,
 }
 
 ORACLES = {

@@ -32,11 +32,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))[LOWER]
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+BYTE_LOWER = BYTE[LOWER]
 
 
 @lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for ``2**bits`` positions."""
     out = []
     for base in (_BASE, pow(_BASE, -1, _WORD)):
@@ -79,11 +80,11 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each byte span; equal spans (A-Z lower-cased) have equal hashes."""
-    up, down = _powers(max(16, int(len(raw)).bit_length()))
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_LOWER) -> np.ndarray:
+    """Hash of each byte span; spans that are equal by ``table`` (default: A-Z lower-cased) have equal hashes."""
+    up, down = powers(max(16, int(len(raw)).bit_length()))
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    np.cumsum(table[raw] * up[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
