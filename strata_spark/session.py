@@ -22,6 +22,7 @@ def build_session(app: str = "strata_spark", cores: int | str = "*") -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="strata-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -33,15 +34,23 @@ def build_session(app: str = "strata_spark", cores: int | str = "*") -> SparkSes
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests) is a temporary folder made.
+    Where that setting is absent, a session in one process uses a temporary folder; a cluster must name a shared one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: later steps start from files, not from its lineage."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_bounded(df: DataFrame, bound: int) -> DataFrame:
     """Broadcast ``df`` when its proven row bound is small, else leave it alone.
 
