@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata_spark.llm.tasks import map_arrow
 from strata_spark.llm.words import BYTE, mix, span_hashes
 
 WINDOW = 7
@@ -173,7 +174,7 @@ def _compare_neighbours(keep_text: bool):
 
 def fingerprints_with_edits(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """Fingerprint of each text and of its edited text (last third replaced by the start of the next document)."""
-    return in_order(docs).mapInArrow(_compare_neighbours(keep_text), RESULT)
+    return map_arrow(in_order(docs), _compare_neighbours(keep_text), RESULT)
 
 
 def op1_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from strata_spark.llm.tasks import map_arrow
+
 VOCABULARY = "byte_bpe_50k.json"
 #: The same vocabulary as ranks; gives the same ids three times as fast.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -208,7 +210,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, .
                    pool_tokens: int = POOL_TOKENS, keep_ids: bool = True) -> DataFrame:
     """One row a piece, with its ids and the sequence (``context``: its padded length) it lies in."""
     path = path or public_tokenizers.path(RANKS)
-    return docs.select("doc_id", "text").mapInArrow(_pack(path, tiers, pool_tokens, keep_ids), RESULT)
+    return map_arrow(docs.select("doc_id", "text"), _pack(path, tiers, pool_tokens, keep_ids), RESULT)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

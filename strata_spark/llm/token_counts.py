@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, normalizers
 
+from strata_spark.llm.tasks import map_arrow
+
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 MEMO = 300_000
@@ -225,8 +227,8 @@ def prefix_tables(docs: DataFrame, path: str, limit: int = LIMIT, tables: bool =
                 pa.array(made if tables else [None] * len(made), pa.binary())],
                 names=["doc_id", "n_bytes", "n_tokens", "chars_in_limit", "prefix_table"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, n_tokens bigint, chars_in_limit bigint, prefix_table binary")
+    return map_arrow(
+        docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, n_tokens bigint, chars_in_limit bigint, prefix_table binary")
 
 
 def op4_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
