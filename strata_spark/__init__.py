@@ -1,9 +1,10 @@
 """Survey post-stratification and posterior summaries on Spark DataFrames."""
 
-import sys
-
 from pyspark import cloudpickle
 
-# the few functions that run in Python tasks travel with the job, so executors
+from strata_spark import functions, operators
+
+# the few functions of these packages that run in Python tasks travel with the job, so executors
 # need numpy, pandas and pyarrow but not this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(functions)
+cloudpickle.register_pickle_by_value(operators)
