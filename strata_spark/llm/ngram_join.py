@@ -338,10 +338,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, that of the smallest ``doc_id``; rows without a ``doc_id`` stay."""
-    found = jaccard_components(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each class, that of the smallest ``doc_id``.
+
+    Rows without a ``doc_id`` stay; rows that share one stay or go together.
+    """
+    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(_small(written(gone, "ngram-gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
