@@ -1,0 +1,279 @@
+"""Operators that read each text by itself, against the libraries and brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from strata_spark.llm import decontaminate, fingerprint, licenses, packing, pii, token_counts
+from strata_spark.llm.queries import QUERIES
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+ODD = list("abcdeéÉßİΣ' 0123.,!?<|>-\n\té́漢字 ́\x1c\x85") + ["<|endoftext|>", "'ll", "it's", "the", "ing"]
+
+
+def odd_texts(n, seed=1, size=16):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, size))) for _ in range(n)]
+
+
+def passes(kind, s):
+    d = re.sub("[^0-9]", "", s)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in s.split("."))
+    if kind == "card":
+        worth = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))]
+        return 16 <= len(d) <= 19 and sum(worth) % 10 == 0
+    return kind == "email" or 8 <= len(d) <= 15
+
+
+def base_spans(text):
+    return [(k, m.start(), m.end()) for k in BASE for m in re.finditer(BASE[k], text) if passes(k, m.group())]
+
+
+PII_TEXTS = [
+    "mail a.b@c.de, x@y..z and q@r.s_t@u.v!", "1.2.3.4 999.1.1.1 01.002.3.255 1.2.3.4.5.6.7.8 1.2.3",
+    "card 4111 1111 1111 1111, 4111-1111-1111-1112, 4111111111111111 5", "+49 (30) 1234-5678 and +1 2 +123456789012345678",
+    "iban DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE88370400440532013000",
+    "my ssn is 123-45-6789. " + "far away " * 6 + "order 123-45-6789", "😀é +49 30 123456 é a@b.cd", "a@" * 3000 + "b.c", "1." * 5000, " ".join(f"u{i}@h{i}.org" for i in range(700)),
+]
+
+
+def test_pii_spans(spark, edge_docs):
+    rows = [(i, t) for i, t in enumerate([*PII_TEXTS, None, ""])]
+    df = pii.pii_spans(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for r in df.collect():
+        got = [(x.kind, x.start, x.stop) for x in r.pii]
+        assert [x for x in got if x[0] in BASE] == base_spans(r.text or ""), r.text[:80]
+        assert all(x.text == r.text[x.start:x.stop] and 0 < x.score <= 1 for x in r.pii)
+    kinds = {r.doc_id: [x.kind for x in r.pii] for r in df.collect()}
+    assert kinds[4].count("iban") == 2 and kinds[5].count("ssn") == 1
+
+
+def test_pii_query(spark, sf_dir, texts):
+    for r in QUERIES["op3_pii"](spark, sf_dir).collect():
+        spans = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in BASE]
+
+
+def test_tokens_at_every_prefix():
+    counts, library = (f(public_tokenizers.path(token_counts.VOCABULARY)) for f in (token_counts.PrefixCounts, Tokenizer.from_file))
+    for text in [*odd_texts(400), "x" * 300]:
+        table = counts.table(text)
+        for k in range(len(text) + 1):
+            assert token_counts.tokens_at(table, k) == len(library.encode(text[:k], add_special_tokens=False).ids), text
+        for budget in (0, 1, 3):
+            fits = [k for k in range(len(text) + 1) if token_counts.tokens_at(table, k) <= budget]
+            assert token_counts.longest_prefix(table, budget) == max(fits)
+
+
+def test_token_query(spark, sf_dir, texts):
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    for r in QUERIES["op4_token_counts"](spark, sf_dir).collect():
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > token_counts.LIMIT)
+
+
+def test_encoder_gives_the_ids_of_the_library():
+    encode = packing.Encoder(public_tokenizers.path(packing.RANKS)).ids
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    for text in odd_texts(3000, seed=2):
+        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def check_packed(rows, ids):
+    pieces, sequences = {}, {}
+    for r in rows:
+        own = ids[r.doc_id]
+        assert r.doc_tokens == len(own) // 4 and r.ids_crc32 == zlib.crc32(own[4 * r.start: 4 * (r.start + r.length)])
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.context))
+    padding = 0
+    for d, own in ids.items():
+        at = 0
+        for start, length in sorted(pieces[d]):
+            assert start == at
+            at += length
+        assert at == len(own) // 4
+    for parts in sequences.values():
+        at = 0
+        for offset, length, context in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= context <= 1024 and context & (context - 1) == 0
+        padding += context - at
+    return padding, len(sequences)
+
+
+def test_packing_query(spark, sf_dir, texts):
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    ids = {d: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for d, t in texts.items()}
+    padding, n = check_packed(QUERIES["op8_packing"](spark, sf_dir).collect(), ids)
+    assert padding < 0.001 * 1024 * n
+
+
+def test_packing_returns_the_ids(spark, edge_docs, no_docs):
+    rows = packing.pack_documents(edge_docs.where("doc_id <> 6"), pool_tokens=2048).collect()
+    library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    whole = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        whole[r.doc_id] = whole.get(r.doc_id, b"") + r.ids
+    for r in edge_docs.where("doc_id <> 6").collect():
+        assert whole[r.doc_id] == np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+    assert packing.pack_documents(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "50"])
+def test_fingerprint_query(spark, sf_dir, texts, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = {r.doc_id: r for r in QUERIES["op1_fingerprint"](spark, sf_dir).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted(texts, reverse=True)
+    assert len(rows) == len(order)
+    for d, e in zip(order, order[1:] + order[:1]):
+        t, k, r = texts[d], len(texts[d]) // 3, rows[d]
+        edited = t[: len(t) - k] + texts[e][:k]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprint.fingerprint(t), fingerprint.fingerprint(edited))
+        assert r.near_next == fingerprint.likeness(r.fingerprint, rows[e].fingerprint)
+    near = np.array([[r.near_edited, r.near_next] for r in rows.values()])
+    assert near.min() >= 0 and near.max() <= 1 and near[:, 0].mean() > 0.6 > 0.1 > near[:, 1].mean()
+
+
+def test_likeness():
+    text = " ".join(f"word{i}" for i in range(900))
+    a = fingerprint.fingerprint(text)
+    assert fingerprint.likeness(a, fingerprint.fingerprint(text)) == 1
+    assert fingerprint.likeness(a, fingerprint.fingerprint(text.replace("word450", "other"))) > 0.9
+    assert fingerprint.likeness(a, fingerprint.fingerprint(text * 2)) > 0.3  # twice the block size
+    assert fingerprint.fingerprint(None) == fingerprint.fingerprint("") == "3::"
+    rng = random.Random(3)
+    for _ in range(200):
+        x, y = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        table = [[0] * (len(y) + 1)]
+        for c in x:
+            row = [0]
+            for j, e in enumerate(y):
+                row.append(table[-1][j] + 1 if c == e else max(row[j], table[-1][j + 1]))
+            table.append(row)
+        assert fingerprint.common_subsequence(x, y) == table[-1][-1]
+
+
+def test_fingerprint_cases(spark, edge_docs, no_docs):
+    assert fingerprint.fingerprints_with_edits(edge_docs).count() == edge_docs.count()
+    assert fingerprint.fingerprints_with_edits(no_docs).count() == 0
+    one = fingerprint.fingerprints_with_edits(edge_docs.where("doc_id = 3")).collect()
+    assert len(one) == 1 and one[0].near_next == 1
+
+
+def brute_leaks(text, items):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words, out = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(low)), {}
+    for i, item in items:
+        own = re.findall(r"[^\x20\x09-\x0D]+", (item or "").translate(low))
+        k = min(5, len(own))
+
+        def shingles(w, k=k):
+            return decontaminate.Counter(zip(*[w[j:] for j in range(k)]))
+
+        if own:
+            best = max((decontaminate.weighted_similarity(shingles(words[s: s + len(own)]), shingles(own))
+                        for s in range(len(words) - len(own) + 1)), default=0)
+            if best >= 0.75:
+                out[i] = best
+    return out
+
+
+def test_leaks_against_brute_force():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice((3, 5, 12, 30, 31, 50))))) for i in range(12)] + [(90, ""), (91, None)]
+    search = decontaminate.Benchmark(items).search
+    texts = [None, "", "w1 w2"]
+    for _ in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        part = (rng.choice(items[:12])[1]).upper().split()
+        if rng.random() < 0.5:
+            part[rng.randrange(len(part))] = "changed"
+        at = rng.randint(0, len(words))
+        texts.append("\n".join(words[:at] + part + words[at:]))
+    found = {}
+    for row, item, _, _, distance, score in search(pa.array(texts, pa.string())):
+        assert distance <= decontaminate.RADIUS
+        found.setdefault(row, {})[item] = score
+    for row, text in enumerate(texts):
+        assert found.get(row, {}) == pytest.approx(brute_leaks(text, items)), text
+
+
+def test_hamming_index_finds_all_within_the_radius():
+    rng = np.random.default_rng(1)
+    items = rng.integers(0, 256, (20, 16), dtype=np.uint8)
+    probes = np.concatenate([items[rng.integers(0, 20, 300)] ^ np.packbits(rng.random((300, 128)) < 0.28, axis=1), rng.integers(0, 256, (300, 16), dtype=np.uint8)])
+    got = set(decontaminate.HammingIndex(items, 40).near(probes))
+    bits = np.bitwise_count(probes[:, None, :] ^ items[None]).sum(axis=2)
+    assert got == {(int(w), int(i), int(bits[w, i])) for w, i in np.argwhere(bits <= 40)}
+
+
+def test_leak_groups_and_cases(spark, edge_docs, no_docs):
+    items = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "one"), (3, None), (None, "a")], "item_id bigint, text string")
+    one, many = (sorted(map(tuple, decontaminate.find_leaks(edge_docs, items, group_bytes=b).collect())) for b in (1 << 20, 1))
+    assert one == many and {(r[0], r[1]) for r in one} >= {(6, 1), (7, 1), (4, 2)}
+    assert decontaminate.find_leaks(no_docs, items).count() == 0
+    assert decontaminate.find_leaks(edge_docs, items.where("item_id = 9")).count() == 0
+    kept = decontaminate.keep_clean(edge_docs, items)
+    assert kept.columns == edge_docs.columns and kept.count() == edge_docs.count() - len({r[0] for r in one}) - 1
+
+
+def test_license_alignment():
+    search = licenses.Templates(licenses.TEMPLATES).search
+    rng = random.Random(4)
+    filler = ["the of and to in is a with this for".split()[rng.randrange(10)] for _ in range(600)]
+    texts, want = [None, "", "the license of this software"], {}
+    for name, template in licenses.TEMPLATES:
+        words = template.split()
+        for _ in range(len(words) // 25):
+            words.pop(rng.randrange(len(words)))
+        at = rng.randrange(len(filler))
+        want[len(texts)] = name
+        texts.append(" ".join(filler[:at] + words + filler[at:]))
+    found = {}
+    for row, name, coverage, first, last, n in search(pa.array(texts, pa.string())):
+        assert 0.9 <= coverage <= 1 and first <= last and n > 0
+        found.setdefault(row, set()).add(name)
+    assert all(name in found[row] for row, name in want.items()) and not found.keys() - want.keys()
+
+
+def test_alignment_is_increasing_and_equal():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(12) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        found = licenses.align(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(found, found[1:]))
+    assert len(licenses.align(list(range(50)), list(range(50)))) == 50
+
+
+def test_license_query(spark, sf_dir, texts):
+    found = {(r.doc_id, r.license) for r in QUERIES["op10_license_scan"](spark, sf_dir).collect()}
+    for text, name in (("Licensed under the Apache License, Version 2.0.", "Apache-2.0-notice"),
+                       ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-notice")):
+        assert {(d, name) for d, t in texts.items() if text in t} == {x for x in found if x[1] == name}
+
+
+def test_columns_with_clashing_names(clashing_docs):
+    assert pii.pii_spans(clashing_docs).count() == clashing_docs.count()
+    assert token_counts.prefix_tables(clashing_docs, public_tokenizers.path(token_counts.VOCABULARY)).count() == clashing_docs.count()
+    assert fingerprint.fingerprints_with_edits(clashing_docs).count() == clashing_docs.count()
+    assert packing.pack_documents(clashing_docs).select("doc_id").distinct().count() == clashing_docs.select("doc_id").distinct().count()
+    assert licenses.scan_licenses(clashing_docs).count() == 0
