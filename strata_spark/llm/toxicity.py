@@ -3,7 +3,8 @@
 The categories of ``CHAIN`` are predicted one after the other; each later model also sees the log odds that the earlier
 ones give. In training those are out-of-fold predictions (``FOLDS`` models on the other folds), so a later model learns
 how far an unseen document's earlier probabilities can be trusted. Features are the words of the whole text and their
-first 4 to 8 bytes, present or not; the ``FEATURES`` most associated with each category are kept.
+first 4 to 8 bytes, present or not; the ``FEATURES`` most associated with each category are kept. A feature's size grows
+with the strength of that association, so that the ridge penalty holds back the weak ones, which are mostly chance.
 
 The models are fitted on at most about ``SAMPLE`` labelled documents, taken by a hash of ``doc_id``; feature counts are
 summed by Spark, the selected features of the sample (a few numbers a document) are fitted on the driver. Every document
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata_spark.llm.tasks import map_arrow
@@ -35,6 +36,8 @@ MIN_COUNT = 3
 FOLDS = 5
 STEPS = 300
 RIDGE = 0.2
+#: Log-likelihood ratio below which an association is taken for chance.
+CHANCE = 3.3
 THRESHOLD = 0.5
 
 
@@ -81,28 +84,37 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 names=["feature", "n", *CHAIN])
 
 
-def select_features(sample: DataFrame, n_features: int = FEATURES) -> np.ndarray:
-    """Hashes of the features that tell most about a category (largest log-likelihood ratio), sorted."""
+def select_features(sample: DataFrame, n_features: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, of the features that tell most about a category, and their size in each category's model."""
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in CHAIN]).first()
+    all_ = float(totals.n or 0)
     counts = map_arrow(
         sample.select("text", *CHAIN), _feature_counts, "feature bigint, n bigint, low_quality bigint, toxic bigint")
-    counts = (counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", *CHAIN)])
+    counts = (counts.groupBy("feature").agg(*[F.sum(c).cast("double").alias(c) for c in ("n", *CHAIN)])
               .where(F.col("n") >= MIN_COUNT))
-    picked = []
-    for c in CHAIN:
-        all_, yes = float(totals.n or 0), float(totals[c] or 0)
-        if not 0 < yes < all_:
-            continue
-        n, k = F.col("n").cast("double"), F.col(c).cast("double")
-
-        def term(x, expected):
-            return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
-
-        ratio = (term(k, n * yes / all_) + term(n - k, n * (all_ - yes) / all_)
-                 + term(F.lit(yes) - k, (all_ - n) * yes / all_) + term(F.lit(all_ - yes) - (n - k), (all_ - n) * (all_ - yes) / all_))
-        best = counts.orderBy(ratio.desc(), "feature").limit(n_features)
-        picked += [r.feature for r in best.select("feature").collect()]
-    return np.unique(np.array(picked, np.int64).view(np.uint64))
+    picked: dict[int, list[float]] = {}
+    known = [c for c in CHAIN if 0 < (totals[c] or 0) < all_]
+    for c in known:
+        counts = counts.withColumn(f"ratio_{c}", _ratio(F.col("n"), F.col(c), all_, float(totals[c])))
+    for c in known:
+        best = counts.orderBy(F.col(f"ratio_{c}").desc(), "feature").limit(n_features)
+        for r in best.collect():
+            picked[r.feature] = [r[f"ratio_{k}"] if k in known else 0.0 for k in CHAIN]
+    features = np.array(list(picked), np.int64).view(np.uint64)
+    ratios = np.array(list(picked.values()), float).reshape(-1, len(CHAIN))
+    order = np.argsort(features)
+    sizes = np.sqrt(np.where(ratios < CHANCE, 0.0, ratios) / np.maximum(ratios.max(axis=0, initial=0.0), CHANCE))
+    return features[order], sizes[order].T
+
+
+def _ratio(n: Column, k: Column, all_: float, yes: float) -> Column:
+    """Log-likelihood ratio of a feature in ``n`` of all documents, ``k`` of them of the category."""
+    def term(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.log(x / expected)).otherwise(0.0)
+
+    no = all_ - yes
+    return (term(k, n * yes / all_) + term(n - k, n * no / all_) + term(yes - k, (all_ - n) * yes / all_)
+            + term(no - (n - k), (all_ - n) * no / all_))
 
 
 def selected_pairs(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,9 +147,10 @@ class Linear:
         return z
 
 
-def fit_linear(n: int, row: np.ndarray, feature: np.ndarray, n_features: int, before: list[np.ndarray], y: np.ndarray,
+def fit_linear(n: int, row: np.ndarray, feature: np.ndarray, sizes: np.ndarray, before: list[np.ndarray], y: np.ndarray,
                use: np.ndarray) -> Linear:
     """Logistic regression with a ridge penalty on the rows of ``use``, by gradient steps of adapted length."""
+    n_features = len(sizes)
     model = Linear(-30.0, np.zeros(n_features), np.zeros(len(before)))
     yes = float(y[use].sum())
     if yes == 0:
@@ -146,18 +159,19 @@ def fit_linear(n: int, row: np.ndarray, feature: np.ndarray, n_features: int, be
     row, feature = row[at], feature[at]
     model.intercept = float(np.log((yes + 0.5) / (use.sum() - yes + 0.5)))
     size = 1 + n_features + len(before)
-    first, second = np.zeros(size), np.zeros(size)
+    first, second, own = np.zeros(size), np.zeros(size), np.zeros(n_features)
     for step in range(1, STEPS + 1):
         z = np.clip(model.log_odds(n, row, feature, before), -30, 30)
         error = np.where(use, 1 / (1 + np.exp(-z)) - y, 0.0)
-        gradient = np.concatenate([[error.sum()], np.bincount(feature, weights=error[row], minlength=n_features),
+        gradient = np.concatenate([[error.sum()], np.bincount(feature, weights=error[row], minlength=n_features) * sizes,
                                    [(error * x).sum() for x in before]])
-        gradient[1:] += RIDGE * np.concatenate([model.weights, model.earlier])
+        gradient[1:] += RIDGE * np.concatenate([own, model.earlier])
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         model.intercept -= move[0]
-        model.weights = model.weights - move[1: 1 + n_features]
+        own = own - move[1: 1 + n_features]
+        model.weights = own * sizes
         model.earlier = model.earlier - move[1 + n_features:]
     return model
 
@@ -180,7 +194,7 @@ class Chain:
 def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> Chain:
     """Chain fitted on a bounded sample of the labelled documents."""
     taken = labelled_sample(docs, labels, sample)
-    features = select_features(taken, n_features)
+    features, sizes = select_features(taken, n_features)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,14 +213,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_featur
     feature = np.concatenate([np.zeros(0, np.int32), *found])
     fold = np.array([r.doc_id for r in rows], np.int64) % FOLDS
     models, before = [], []
-    for c in CHAIN:
+    for c, size in zip(CHAIN, sizes):
         y = np.array([r[c] for r in rows], float)
         out = np.zeros(n)
         for k in range(FOLDS):
             held = fold == k
-            model = fit_linear(n, row, feature, len(features), before, y, ~held)
+            model = fit_linear(n, row, feature, size, before, y, ~held)
             out[held] = np.clip(model.log_odds(n, row, feature, before), -30, 30)[held]
-        models.append(fit_linear(n, row, feature, len(features), before, y, np.ones(n, bool)))
+        models.append(fit_linear(n, row, feature, size, before, y, np.ones(n, bool)))
         before.append(out)
     return Chain(features, models)
 
