@@ -88,6 +88,15 @@ def counts_by_age(spark, d):
     return co.sample_counts(cohort(spark, d), "age_cat")
 
 
+@query("sample_counts_missing", """SELECT age_cat, count(*) AS n,
+ count(*) FILTER (WHERE s_result = 1 AND uid % 7 <> 0) AS pos_s, count(*) FILTER (WHERE s_result = 0 AND uid % 7 <> 0) AS neg_s,
+ count(*) FILTER (WHERE n_result = 1) AS pos_n, count(*) FILTER (WHERE n_result = 0) AS neg_n,
+ count(*) FILTER (WHERE vaccinated = 1) AS vacc FROM cohort GROUP BY age_cat""", ["cohort"])
+def counts_with_missing_results(spark, d):
+    missing = F.when(F.col("uid") % 7 != 0, F.col("s_result"))
+    return co.sample_counts(cohort(spark, d).withColumn("s_result", missing), "age_cat")
+
+
 @query("sample_counts_rollup", f"""SELECT age_cat, {COUNT_SQL} FROM (
  SELECT age_cat, s_result, n_result, vaccinated FROM cohort
  UNION ALL SELECT 'all', s_result, n_result, vaccinated FROM cohort) x GROUP BY age_cat""", ["cohort"])
@@ -192,6 +201,13 @@ def obs_id(spark, d):
     return number_by_id(p, ["variant"], "event_id", "obs_id")
 
 
+@query("obs_id_missing", """SELECT obs_id AS event_id, variant, row_number() OVER (PARTITION BY variant ORDER BY obs_id) AS obs_id
+ FROM (SELECT obs_id, nullif(variant, 'click') AS variant FROM panel) x""", ["panel"])
+def obs_id_with_missing_group(spark, d):
+    p = v.panel(spark, d).select(F.col("obs_id").alias("event_id"), F.nullif(F.col("variant"), F.lit("click")).alias("variant"))
+    return number_by_id(p, ["variant"], "event_id", "obs_id")
+
+
 @query("voi_filter", """SELECT variant, var_cat, outcome, count(*) AS n FROM (
  SELECT variant, CASE WHEN age < 12 THEN 'child' ELSE 'adult' END AS var_cat,
  CASE WHEN ec50_thresh THEN 'neutralizing' ELSE 'binding' END AS outcome FROM panel) x

@@ -67,6 +67,15 @@ def weighted_mean_by_sim(spark, d):
     return ps.weighted_mean(scored(spark, d), ["sim", "age_cat"])
 
 
+@query("weighted_mean_missing", """SELECT sim, age_cat,
+ CASE WHEN count(*) = count(v) THEN sum(v * strata_pop) / sum(strata_pop) END AS p FROM (
+ SELECT sim, age_cat, strata_pop, CASE WHEN strata_pop >= 50 AND age_cat = '1998' THEN NULL ELSE seropos END AS v
+ FROM scored) x GROUP BY sim, age_cat""", ["scored"], ["p"])
+def weighted_mean_missing(spark, d):
+    known = F.when(~((F.col("strata_pop") >= 50) & (F.col("age_cat") == "1998")), F.col("seropos"))
+    return ps.weighted_mean(scored(spark, d).withColumn("seropos", known), ["sim", "age_cat"])
+
+
 @query("weighted_estimates", "SELECT * FROM conditional", ["conditional"], ["p"])
 def weighted_estimates(spark, d):
     return ps.conditional_estimates(scored(spark, d), AGE_REF, SEX_REF)

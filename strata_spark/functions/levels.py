@@ -36,9 +36,6 @@ class Levels:
         """Labels other than the reference."""
         return tuple(x for x in self.labels if x != self.ref)
 
-    def renamed(self, name: str) -> Levels:
-        return Levels(name, self.labels, self.ref)
-
     def ordinal(self, col: Column) -> Column:
         """Position of a label in report order, null when unknown."""
         return position(col, self.labels) - 1
@@ -87,10 +84,6 @@ def lower_bound(label: Column) -> Column:
     return F.regexp_extract(label, r"^\[(-?\d+)", 1).try_cast("int")
 
 
-def relevel(levels: Levels, ref: str) -> Levels:
-    return Levels(levels.name, levels.labels, ref)
-
-
 def level_table(df: DataFrame, factors: Sequence[Levels]) -> DataFrame:
     """``(var, label, ordinal, is_ref)`` for levels that occur in ``df``.
 
@@ -124,8 +117,11 @@ def fan_out(df: DataFrame, *factors: Levels) -> DataFrame:
 
 
 def within_levels(df: DataFrame, factors: Sequence[Levels]) -> DataFrame:
-    """Rows whose every factor has a declared label."""
-    return df.where(reduce(lambda a, b: a & b, [F.col(f.name).isin(*f.labels) for f in factors]))
+    """``df``; a row with a label that is not declared (or none) is an error when it is read."""
+    for f in factors:
+        wrong = F.raise_error(F.concat(F.lit(f"{f.name}: label not declared: "), F.coalesce(F.col(f.name), F.lit("null"))))
+        df = df.withColumn(f.name, F.when(F.col(f.name).isin(*f.labels), F.col(f.name)).otherwise(wrong.cast("string")))
+    return df
 
 
 def grid_size(*factors: Levels, extra: int = 0) -> int:

@@ -31,7 +31,8 @@ def log_sum_exp(*cols: Column) -> Column:
 
 
 def bernoulli_log_mass(y: Column, q: Column) -> Column:
-    return F.when(y == 1, safe_ln(q)).otherwise(safe_ln(1.0 - q))
+    """Log probability of the outcome; null where the outcome is missing."""
+    return F.when(y == 1, safe_ln(q)).when(y == 0, safe_ln(1.0 - q))
 
 
 def misclassified(p: Column, sens: Column, spec: Column) -> Column:
@@ -44,6 +45,16 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
+def whole_sum(x: Column) -> Column:
+    """Sum that is null as soon as one value is: a missing value is not a zero."""
+    return F.when(F.count(x) == F.count(F.lit(1)), F.sum(x))
+
+
+def mean_by_weight(value: Column, weight: Column) -> Column:
+    """Weighted mean of a group; null where a value or weight is missing or the group has no weight."""
+    return ratio(whole_sum(value * weight), whole_sum(weight))
+
+
 def flatten_text(col: Column) -> Column:
     """Lowercase slug: newline and dot become ``_``, slash becomes ``-``."""
     return F.translate(F.lower(col), "\n/.", "_-_")

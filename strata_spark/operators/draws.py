@@ -30,9 +30,12 @@ def widen(draws: DataFrame, terms: Sequence[str], prefix: str = "") -> DataFrame
 
 def check_draw_terms(draws: DataFrame, design: Design, extra: Sequence[str] = ()) -> None:
     """Raise unless the terms of ``draws`` are those of the design plus ``extra``."""
-    limit = len(design.terms) + len(extra) + 1
-    found = [r.term for r in draws.select("term").distinct().limit(limit).collect()]
-    require_same_terms(found, [*design.terms, *extra])
+    declared = [*design.terms, *extra]
+    terms = draws.select("term").distinct()
+    found = [r.term for r in terms.where(F.col("term").isin(*declared)).collect()]
+    # one name is enough to tell that there are others
+    other = terms.agg(F.min(F.when(~F.col("term").isin(*declared), F.col("term"))).alias("term")).first().term
+    require_same_terms(found + ([other] if other is not None else []), declared)
 
 
 def spread(draws: DataFrame, *keys: str) -> DataFrame:
@@ -75,9 +78,9 @@ def score_strata(draws: DataFrame, strata: DataFrame, design: Design, factors: S
                  weight: str, keep: Sequence[str] = ("sim",), prefix: str = "", name: str = "seropos") -> DataFrame:
     """Probability of every draw at every stratum, with the stratum weight.
 
-    Strata have one row per combination of declared levels (rows with other
-    labels are left out), so their number is bounded and they are broadcast;
-    the draws stay where they are.
+    Strata have one row per combination of declared levels (other labels are
+    an error), so their number is bounded and they are broadcast; the draws
+    stay where they are.
     """
     keys = [f.name for f in factors]
     strata = within_levels(strata, factors)

@@ -8,6 +8,7 @@ group with a third of all rows is still spread over its buckets.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,11 @@ def number_rows(
     if total:
         counts = counts.withColumn(total, F.sum("_n").over(Window.partitionBy(*group)))
     inside = Window.partitionBy(*keys).orderBy(*order)
+    # null groups and buckets are groups and buckets like any other
+    joined = tagged.alias("t").join(
+        counts.drop("_n").alias("c"), reduce(lambda a, b: a & b, [F.col(f"t.`{k}`").eqNullSafe(F.col(f"c.`{k}`")) for k in keys]))
     return (
-        tagged.join(counts.drop("_n"), keys)
+        joined.select("t.*", "c._offset", *([f"c.{total}"] if total else []))
         .withColumn(name, (F.row_number().over(inside) + F.col("_offset")).cast("bigint"))
         .drop("_bucket", "_offset")
     )
@@ -56,10 +60,19 @@ def index_keys(df: DataFrame, key: str, name: str) -> DataFrame:
     ).drop("_g", "_h")
 
 
-def rank_draws(df: DataFrame, by: Sequence[str], value: str, per_unit: int = 4096) -> DataFrame:
-    """Rank of each draw inside its group, with the group size ``n_draws``.
+def value_bucket(x: Column, per_octave: int = 256) -> Column:
+    """Bucket of a number that never decreases with it: ``per_octave`` equal steps between powers of two.
 
-    Buckets are fixed steps of the value, ``per_unit`` to one.
+    So buckets are fine for rare probabilities and few for large values. A power of two that the logarithm misses by
+    its last bit gives the same bucket from either side.
     """
-    bucket = F.floor(F.col(value) * F.lit(float(per_unit)))
-    return number_rows(df, by, bucket, [F.col(value)], "rank", total="n_draws")
+    size = F.abs(x)
+    octave = F.floor(F.log2(size))
+    step = (octave + 1100) * per_octave + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * per_octave)
+    return F.when(x == 0, F.lit(0)).when(x > 0, step).otherwise(-step).cast("bigint")
+
+
+def rank_draws(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Rank of each draw inside its group, with the group size ``n_draws``; missing draws have no rank."""
+    known = df.where(F.col(value).isNotNull())
+    return number_rows(known, by, value_bucket(F.col(value)), [F.col(value)], "rank", total="n_draws")

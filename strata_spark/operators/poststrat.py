@@ -3,36 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata_spark import fixed_values as fx
 from strata_spark.functions.levels import Levels
-from strata_spark.functions.scalars import ratio
+from strata_spark.functions.scalars import mean_by_weight, ratio, whole_sum
 from strata_spark.session import literal_table
 
 
 def cell_sums(df: DataFrame, by: Sequence[str], value: str = "seropos", weight: str = "strata_pop") -> DataFrame:
     """Weighted sum ``wx`` and weight ``w`` per cell.
 
-    Both add up again, so later groupings work on cells instead of input rows.
+    Both add up again, so later groupings work on cells instead of input rows. A cell with a missing value is null, and
+    so is every estimate that it belongs to.
     """
     return df.groupBy(*by).agg(
-        F.sum(F.col(value) * F.col(weight)).alias("wx"), F.sum(weight).alias("w"))
+        whole_sum(F.col(value) * F.col(weight)).alias("wx"), whole_sum(F.col(weight)).alias("w"))
 
 
 def weighted_mean(df: DataFrame, by: Sequence[str], value: str = "seropos", weight: str = "strata_pop",
                   name: str = "p") -> DataFrame:
-    """``sum(x * w) / sum(w)`` per group; null where the group has no weight."""
-    return df.groupBy(*by).agg(ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(name))
+    """``sum(x * w) / sum(w)`` per group; null where a value is missing or the group has no weight."""
+    return df.groupBy(*by).agg(mean_by_weight(F.col(value), F.col(weight)).alias(name))
 
 
 def _stack(cells: DataFrame, by: Sequence[str], tags: Sequence[Column]) -> DataFrame:
     """Add each cell to every tagged estimate it belongs to."""
     tagged = cells.select(*by, "wx", "w", F.explode(F.array_compact(F.array(*tags))).alias("_t"))
-    return tagged.groupBy(*by, "_t.var", "_t.val").agg(ratio(F.sum("wx"), F.sum("w")).alias("p"))
+    return tagged.groupBy(*by, "_t.var", "_t.val").agg(
+        ratio(whole_sum(F.col("wx")), whole_sum(F.col("w"))).alias("p"))
 
 
 def _tag(var: str, val: Column) -> Column:
@@ -69,7 +69,7 @@ def poststratify_sets(scored: DataFrame, sets: Sequence[Sequence[str]], by: Sequ
     columns = list(dict.fromkeys(c for s in sets for c in s))
     grouped = scored.groupingSets(
         [[F.col(c) for c in (*by, *s)] for s in sets], *[F.col(c) for c in (*by, *columns)]
-    ).agg(ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("p"),
+    ).agg(mean_by_weight(F.col(value), F.col(weight)).alias("p"),
           *[F.grouping(c).alias(f"_g_{c}") for c in columns])
     name = F.concat_ws("&", *[
         F.when(F.col(f"_g_{c}") == 0, F.concat(F.lit(f"{c}:"), compact(F.col(c)))) for c in columns])
@@ -112,11 +112,6 @@ def subset_members(strata: DataFrame, specs: Sequence[dict[str, str]], keep: Seq
         "subset_id", "expr", "postrat_name", *keep)
 
 
-def conjunction(spec: dict[str, str]) -> Column:
-    """A subset as a row predicate."""
-    return reduce(lambda a, b: a & b, [F.col(k) == v for k, v in spec.items()])
-
-
 def subset_offsets(members: DataFrame) -> DataFrame:
     """Size of each subset and its first and last position when subsets are laid end to end."""
     sizes = members.groupBy("subset_id", "postrat_name").agg(F.count(F.lit(1)).alias("n"))
@@ -134,25 +129,16 @@ def poststratify_subsets(scored: DataFrame, specs: Sequence[dict[str, str]], by:
     """
     members = subset_members(scored, specs, [*by, value, weight])
     return members.groupBy(*by, "subset_id", "postrat_name").agg(
-        ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("p"))
+        mean_by_weight(F.col(value), F.col(weight)).alias("p"))
 
 
 def label_estimates(df: DataFrame, name: str = "postrat_name") -> DataFrame:
-    """Split a subset name into covariate ``var_cat`` and level ``var``.
+    """Split a subset name into its covariates ``var_cat`` and their levels ``var``.
 
-    Both are never null (a name without a colon is its own covariate), so a
-    later join adds no null test on these long expressions.
+    A name is ``covariate:level`` for each condition, joined by ``&``; both parts are joined by ``:``. A name without
+    a condition is its own covariate and level.
     """
-    n = F.col(name)
-    pair = "inf_latest:vacc_status_3way"
-    cat = (
-        F.when(n == "all", "all").when(n.contains("age"), "age_cat").when(n.contains("sex"), "sex")
-        .when(n.contains("&"), pair).otherwise(F.regexp_replace(n, r":[^:]*$", "")))
-    var = F.when(cat == pair, F.regexp_replace(
-        F.regexp_replace(n, r"inf_latest:|vacc_status_3way:", ""), "&", ":")
-    ).otherwise(F.replace(n, F.concat(cat, F.lit(":")), F.lit("")))
-    return df.withColumn("var_cat", cat).withColumn("var", var)
-
-
-def known_labels() -> list[str]:
-    return [k for k, _ in fx.LEVEL_LABELS]
+    def parts(take: str) -> Column:
+        return F.expr(f"array_join(transform(split(`{name}`, '&'), x -> {take}), ':')")
+
+    return df.withColumns({"var_cat": parts("split(x, ':')[0]"), "var": parts("regexp_replace(x, '^[^:]*:', '')")})

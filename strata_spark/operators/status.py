@@ -55,7 +55,9 @@ def result_mass(true: dict[str, Column], s_result: Column, n_result: Column,
                 sens_s: Column, spec_s: Column, sens_n: Column, spec_n: Column) -> Column:
     """Probability of the joint result a row holds: only that one of the four."""
     def given(result: Column, sens: Column, spec: Column) -> tuple[Column, Column]:
-        return F.when(result == 1, sens).otherwise(1.0 - sens), F.when(result == 1, 1.0 - spec).otherwise(spec)
+        # a missing result has no probability: null
+        return (F.when(result == 1, sens).when(result == 0, 1.0 - sens),
+                F.when(result == 1, 1.0 - spec).when(result == 0, spec))
 
     s_pos, s_neg = given(s_result, sens_s, spec_s)
     n_pos, n_neg = given(n_result, sens_n, spec_n)

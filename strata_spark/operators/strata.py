@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
 from strata_spark.functions.levels import INFECTION, PANEL_SEX, Levels, cut, fan_out, grid_size
-from strata_spark.functions.scalars import ratio
+from strata_spark.functions.scalars import mean_by_weight, ratio
 from strata_spark.session import broadcast_bounded
 
 WEIGHT_KEYS = ("age_cat", "vacc_status_3way", "inf_latest")
@@ -83,7 +83,7 @@ def with_group_totals(weights: DataFrame, infection: Levels = INFECTION) -> Data
 def pooled_mean(df: DataFrame, by: Sequence[str], value: str, weight: str, name: str) -> DataFrame:
     """Weighted mean over all draws together."""
     return df.groupBy(*by).agg(
-        ratio(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(name))
+        mean_by_weight(F.col(value), F.col(weight)).alias(name))
 
 
 def _size_of(label: str) -> Column:

@@ -1,11 +1,13 @@
 """One test per semantic trap, on small literals."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
-from strata_spark.functions.levels import AGE, INFECTION, PANEL_AGE, VACCINATION, Levels, cut, level_table, lower_bound
-from strata_spark.functions.scalars import count_percent_text, fixed, flatten_text, interval_text, logit, snake
+from strata_spark.functions.levels import (
+    AGE, INFECTION, PANEL_AGE, PANEL_SEX, VACCINATION, Levels, cut, level_table, lower_bound, within_levels)
+from strata_spark.functions.scalars import bernoulli_log_mass, count_percent_text, fixed, flatten_text, interval_text, logit, snake
 from strata_spark.operators import cohort as co
 from strata_spark.operators import poststrat as ps
 from strata_spark.operators import risk
@@ -14,7 +16,9 @@ from strata_spark.operators import summary as sm
 from strata_spark.operators.design import MODELS, Design, design_rows, model_design, require_same_terms, scenario_rows
 from strata_spark.operators.draws import check_draw_terms
 from strata_spark.operators.likelihood import flat_prior, scenario_prior
+from strata_spark.operators.numbering import number_by_id, rank_draws
 from strata_spark.operators.status import JOINT_LABELS, observed_status, result_mass, true_status
+from strata_spark.operators.summary import ranked_quantiles
 from strata_spark.plans.report import category_rank, full_join_null_safe, prevalence_table, with_group_headers
 from strata_spark.sources.tables import parse_result_name, read_csv
 
@@ -234,7 +238,7 @@ def test_prior_is_looked_up_by_label(spark):
 def test_unknown_names_are_errors(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "variant string, x int")
     assert co.filter_variant(df, "b").count() == 1
-    with pytest.raises(ValueError, match="known: a, b"):
+    with pytest.raises(ValueError, match="unknown variant 'c'"):
         co.filter_variant(df, "c")
     with pytest.raises(ValueError, match="additive, interaction"):
         model_design("cubic")
@@ -288,3 +292,33 @@ def test_census_comments_and_top_age(spark, tmp_path):
 
 def test_logit(spark):
     assert spark.range(1).select(logit(F.lit(0.5))).first()[0] == 0.0
+
+
+def test_missing_values_are_not_zeros(spark):
+    df = spark.createDataFrame([(1, None, 1.0), (1, 1.0, 1.0), (2, 0.5, 2.0), (3, 0.5, None)], "sim int, seropos double, strata_pop double")
+    assert values(ps.weighted_mean(df, ["sim"]).orderBy("sim"), "sim", "p") == [(1, None), (2, 0.5), (3, None)]
+    cohort = spark.createDataFrame([("a", None, 1, 1), ("a", 0, None, 0), ("a", 1, 0, None)], "g string, s_result int, n_result int, vaccinated int")
+    assert tuple(co.sample_counts(cohort, "g").first()) == ("a", 3, 1, 1, 1, 1, 1)
+    mass = spark.createDataFrame([(None,), (1,), (0,)], "y int").select(F.exp(bernoulli_log_mass(F.col("y"), F.lit(0.25)))).collect()
+    assert [r[0] for r in mass] == [None, pytest.approx(0.25), pytest.approx(0.75)]
+
+
+def test_missing_keys_are_numbered(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), (None, 5), (None, 3)], "g string, id bigint")
+    got = {(r.g, r.id): r.k for r in number_by_id(df, ["g"], "id", "k").collect()}
+    assert got == {("a", None): 1, ("a", 1): 2, (None, 3): 1, (None, 5): 2}
+
+
+@pytest.mark.parametrize("values_", [[0.25] * 400, [1e-9 * i for i in range(1, 400)], [1e6 + 7.5 * i for i in range(400)], [2.0 ** (i - 200) for i in range(400)], [-3.0, 0.0, 1e-320, 2.0]])
+def test_ranks_of_any_distribution(spark, values_):
+    df = spark.createDataFrame([(x,) for x in reversed(values_)], "p double").withColumn("g", F.lit(1))
+    ranked = sorted((r["rank"], r.p) for r in rank_draws(df, ["g"], "p").collect())
+    assert ranked == list(enumerate(sorted(values_), start=1))
+    q = ranked_quantiles(df, ["g"], "p").first()
+    assert [q.q025, q["median"], q.q975] == pytest.approx(list(np.quantile(values_, [0.025, 0.5, 0.975])))
+
+
+def test_labels_that_are_not_declared_are_errors(spark):
+    df = spark.createDataFrame([("f",), ("x",)], "sex string")
+    with pytest.raises(Exception, match="label not declared: x"):
+        within_levels(df, [PANEL_SEX]).collect()
