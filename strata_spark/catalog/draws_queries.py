@@ -21,7 +21,6 @@ from strata_spark.sources import views as v
 
 AGE_REF, SEX_REF = "1998", "Female"
 REFS = {"Age": AGE_REF, "Sex": SEX_REF}
-N_DRAWS = 200
 MEASURES = ("seropos", "infection", "vaccination", "external")
 
 _COND = """SELECT sim, 'Overall' AS var, '' AS val, {e} AS p FROM scored GROUP BY sim
@@ -109,7 +108,7 @@ def posterior_summary(spark, d):
        ["marginal", "interval"], ["mean", "median", "q025", "q975", "hdci_lo", "hdci_hi"])
 def full_summary(spark, d):
     m = ps.marginal_estimates(scored(spark, d))
-    return sm.full_summary(m, ["var", "val"], n_draws=N_DRAWS)
+    return sm.full_summary(m, ["var", "val"])
 
 
 @query("hdci", "SELECT * FROM interval", ["interval"], ["hdci_lo", "hdci_hi"])
@@ -194,7 +193,7 @@ _TEXTS = ", ".join(f"{sql_count_percent(c, 'n')} AS {c}_text" for c in ("pos_s",
        ["marginal", "interval", "signed", "shipped_counts"],
        ["median", "hdci_lo", "hdci_hi", "mean", "q025", "q975", "p_tail"])
 def prevalence_table(spark, d):
-    return rp.prevalence_table(scored(spark, d), shipped_counts(spark, d), REFS, n_draws=N_DRAWS)
+    return rp.prevalence_table(scored(spark, d), shipped_counts(spark, d), REFS)
 
 
 _STACK = " UNION ALL ".join(
@@ -247,7 +246,7 @@ _FINAL = """SELECT a.var, a.val, {o}, n, pos_s, neg_s, pos_n, neg_n, vacc, a.txt
 @query("final_report", _FINAL.format(a="r_seropos", e="r_external", i="r_infection", w="r_vaccination", c="shipped_counts"),
        ["r_seropos", "r_external", "r_infection", "r_vaccination", "shipped_counts"])
 def final_report(spark, d):
-    return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection", N_DRAWS)
+    return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection")
 
 
 @query("full_join_nullsafe", """SELECT coalesce(a.age_cat, b.age_cat) AS age_cat, coalesce(a.Sex, b.Sex) AS Sex, a.p_any, b.p_infection
@@ -354,7 +353,7 @@ def cohort_counts(spark, d):
 def seroprevalence_report(spark, d):
     """The first half in one query: cohort, census, draws and coverage to the final table."""
     return rp.combined_report(
-        sero_measures(spark, d), cohort_counts(spark, d), SERO_REFS, SERO_NAMES, "p_infection", N_DRAWS)
+        sero_measures(spark, d), cohort_counts(spark, d), SERO_REFS, SERO_NAMES, "p_infection")
 
 
 _SERO_RISK = " UNION ALL ".join(f"""SELECT '{m}' AS measure, var, val, avg(rr) AS mean, quantile_cont(rr, 0.025e0) AS q025,

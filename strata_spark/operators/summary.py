@@ -12,7 +12,6 @@ from strata_spark.operators.numbering import rank_draws, value_bucket
 from strata_spark.session import broadcast_bounded
 
 LOWER, UPPER = 0.025, 0.975
-MAX_ARRAY_DRAWS = 100_000
 
 
 def posterior_summary(df: DataFrame, by: Sequence[str], value: str = "p",
@@ -29,48 +28,16 @@ def posterior_summary(df: DataFrame, by: Sequence[str], value: str = "p",
     ).select(*by, "mean", F.col("_q")[0].alias("q025"), F.col("_q")[1].alias("q975"), *extra)
 
 
-def _sorted_quantile(prob: float) -> Column:
-    """Linear-interpolation quantile of the sorted array ``_x``."""
-    position = f"(size(_x) - 1) * {prob!r}D"
-    low = f"_x[CAST(floor({position}) AS INT)]"
-    high = f"_x[CAST(ceil({position}) AS INT)]"
-    return F.expr(f"CASE WHEN size(_x) > 0 THEN {low} + ({position} - floor({position})) * ({high} - {low}) END")
+def full_summary(df: DataFrame, by: Sequence[str], value: str = "p", *, prob: float = 0.95,
+                 extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Mean, median, quantiles and highest-density interval over draws, for groups of any size.
 
-
-def _sorted_interval(prob: float) -> Column:
-    """Narrowest interval of the sorted array ``_x`` as ``(w, lo, hi)``; the first on ties.
-
-    Widths equal up to rounding noise are ties.
-    """
-    step = f"CAST(floor(size(_x) * {prob!r}D) AS INT)"
-    return F.expr(
-        f"CASE WHEN size(_x) > 0 THEN array_min(transform(sequence(0, size(_x) - {step} - 1), i -> "
-        f"struct(round(_x[i + {step}] - _x[i], 10) AS w, _x[i] AS lo, _x[i + {step}] AS hi))) END")
-
-
-def full_summary(df: DataFrame, by: Sequence[str], value: str = "p", *, n_draws: int | None = None,
-                 prob: float = 0.95, extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """Mean, median, quantiles and highest-density interval over draws.
-
-    ``n_draws`` is the declared number of draws per group. With it a group is
-    one short sorted array and everything comes from one aggregate; a group
-    that breaks the declaration is an error. Without it ranks are used, which
-    hold for groups of any size.
+    ``extra`` are further aggregates of the group.
     """
-    if n_draws is None or n_draws > MAX_ARRAY_DRAWS:
-        ranked = ranked_summary(df, by, value, prob)
-        if not extra:
-            return ranked
-        return ranked.join(df.groupBy(*by).agg(*[c.alias(k) for k, c in extra.items()]), list(by))
-    fits = F.count(value) <= n_draws
-    checked = F.when(fits, F.sort_array(F.collect_list(value))).otherwise(
-        F.raise_error(F.lit(f"more than {n_draws} draws in a group")))
-    arrays = df.groupBy(*by).agg(
-        checked.alias("_x"), F.avg(value).alias("mean"), *[c.alias(k) for k, c in (extra or {}).items()])
-    best = F.col("_best")
-    return arrays.withColumn("_best", _sorted_interval(prob)).select(
-        *by, "mean", _sorted_quantile(0.5).alias("median"), _sorted_quantile(LOWER).alias("q025"),
-        _sorted_quantile(UPPER).alias("q975"), best["lo"].alias("hdci_lo"), best["hi"].alias("hdci_hi"), *(extra or {}))
+    ranked = ranked_summary(df, by, value, prob)
+    if not extra:
+        return ranked
+    return ranked.join(df.groupBy(*by).agg(*[c.alias(k) for k, c in extra.items()]), list(by))
 
 
 def _quantile(value: str, prob: float) -> Column:

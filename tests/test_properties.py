@@ -60,7 +60,7 @@ def test_overall_is_the_weighted_mean_of_a_partition(spark, sf_dir):
 
 def test_interval_is_no_wider_than_equal_tails(spark, sf_dir):
     m = ps.marginal_estimates(v.scored_draws(spark, sf_dir))
-    r = full_summary(m, ["var", "val"], n_draws=200)
+    r = full_summary(m, ["var", "val"])
     # the interval spans floor(0.95 n) steps, so it may cover one step more than equal tails
     assert r.where((F.col("hdci_hi") - F.col("hdci_lo")) > (F.col("q975") - F.col("q025")) * 1.1 + 0.02).count() == 0
 
