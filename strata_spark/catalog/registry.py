@@ -116,22 +116,23 @@ def sql_count_percent(n: str, total: str) -> str:
 def _sero_columns() -> str:
     out = []
     for i, term in enumerate(SERO_DESIGN.terms):
-        out.append(f'{-0.5 if i == 0 else 0.0}e0 + 0.4e0 * sin(sim + {i}) AS "inf:{term}"')
-        out.append(f'{0.8 if i == 0 else 0.0}e0 + 0.5e0 * cos(sim + {i}) AS "vacc:{term}"')
+        out.append(f'{-0.5 if i == 0 else 0.0}e0 + 0.4e0 * sin(u + {i}) AS "inf:{term}"')
+        out.append(f'{0.8 if i == 0 else 0.0}e0 + 0.5e0 * cos(u + {i}) AS "vacc:{term}"')
     return ", ".join(out)
 
 
 def _panel_columns(design: Design) -> str:
     return ", ".join(
-        f'0.3e0 * sin(sim + {i} + length(fit_id)) AS "{t}"' for i, t in enumerate(design.terms))
+        f'0.3e0 * sin(u + {i} + length(fit_id)) AS "{t}"' for i, t in enumerate(design.terms))
 
 
 def panel_draws_sql(design: Design) -> str:
     return (
-        f"SELECT fit_id, sim, {_panel_columns(design)}, 0.95e0 + 0.03e0 * sin(sim) AS sens, "
-        "0.97e0 + 0.02e0 * cos(sim) AS spec, 0.9e0 + 0.03e0 * cos(sim) AS sens_child, "
-        "0.96e0 + 0.02e0 * sin(sim) AS spec_child, 0.5e0 + 0.25e0 * sin(sim + 3) AS sigma_od "
-        "FROM (SELECT DISTINCT event_type AS fit_id, event_id % 200 AS sim FROM events) x")
+        f"SELECT fit_id, sim, {_panel_columns(design)}, 0.95e0 + 0.03e0 * sin(u) AS sens, "
+        "0.97e0 + 0.02e0 * cos(u) AS spec, 0.9e0 + 0.03e0 * cos(u) AS sens_child, "
+        "0.96e0 + 0.02e0 * sin(u) AS spec_child, 0.5e0 + 0.25e0 * sin(u + 3) AS sigma_od "
+        "FROM (SELECT event_type AS fit_id, event_id % 200 AS sim, sum(CAST(floor(value) AS BIGINT)) / count(value) AS u "
+        "FROM events GROUP BY 1, 2) x")
 
 
 _USER = f"""CASE WHEN user_id % 8 < 4 THEN 'f' ELSE 'm' END AS sex, CAST(user_id % 106 AS INT) AS age,
@@ -186,12 +187,13 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "coverage_percent": (f"SELECT * FROM (VALUES {sql_values(fx.COVERAGE_PERCENT)}) v(val, pc_coverage)", ()),
     "age_prior": (f"SELECT * FROM (VALUES {sql_values(fx.OTHER_INFECTION_PRIOR)}) v(age_cat, prior_before)", ()),
     "sero_draws": (f"""
- SELECT sim, {_sero_columns()}, 0.5e0 + 0.25e0 * sin(sim + 3) AS sigma_inf,
- 0.4e0 + 0.2e0 * cos(sim + 3) AS sigma_vacc, 0.1e0 + 0.05e0 * cos(sim) AS resp_sn_np,
- 0.2e0 + 0.1e0 * sin(sim) AS resp_sp_nn, 0.9e0 + 0.05e0 * sin(sim) AS vacc_response,
- 0.95e0 + 0.02e0 * sin(sim) AS sens_s, 0.98e0 + 0.01e0 * cos(sim) AS spec_s,
- 0.9e0 + 0.03e0 * cos(sim) AS sens_n, 0.97e0 + 0.01e0 * sin(sim) AS spec_n
- FROM (SELECT DISTINCT l_orderkey % 200 AS sim FROM lineitem) x""", ()),
+ SELECT sim, {_sero_columns()}, 0.5e0 + 0.25e0 * sin(u + 3) AS sigma_inf,
+ 0.4e0 + 0.2e0 * cos(u + 3) AS sigma_vacc, 0.1e0 + 0.05e0 * cos(u) AS resp_sn_np,
+ 0.2e0 + 0.1e0 * sin(u) AS resp_sp_nn, 0.9e0 + 0.05e0 * sin(u) AS vacc_response,
+ 0.95e0 + 0.02e0 * sin(u) AS sens_s, 0.98e0 + 0.01e0 * cos(u) AS spec_s,
+ 0.9e0 + 0.03e0 * cos(u) AS sens_n, 0.97e0 + 0.01e0 * sin(u) AS spec_n
+ FROM (SELECT l_orderkey % 200 AS sim, (4 * sum(CAST(round(l_discount * 100) AS BIGINT))
+ + 3 * sum(CAST(round(l_tax * 100) AS BIGINT))) / count(*) AS u FROM lineitem GROUP BY 1) x""", ()),
     "ages": (f"SELECT * FROM (VALUES {sql_values([(x,) for x in AGE.labels])}) v(age_cat)", ()),
     "sexes": ("SELECT * FROM (VALUES ('Female'), ('Male')) v(Sex)", ()),
 }

@@ -123,27 +123,29 @@ def coverage_percent(spark: SparkSession) -> DataFrame:
 
 
 def sero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Serology model draws, wide, one row per draw id of the order lines."""
-    ids = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 200 AS sim").distinct()
+    """Serology model draws, wide: each is set by the mean discount and tax of its order lines."""
+    ids = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey % 200").alias("sim")).agg(F.expr(
+        "(4 * sum(CAST(round(l_discount * 100) AS BIGINT)) + 3 * sum(CAST(round(l_tax * 100) AS BIGINT))) / count(*)").alias("u"))
     coefficients = []
     for i, term in enumerate(SERO_DESIGN.terms):
-        coefficients.append(f"{-0.5 if i == 0 else 0.0}D + 0.4D * sin(sim + {i}) AS `inf:{term}`")
-        coefficients.append(f"{0.8 if i == 0 else 0.0}D + 0.5D * cos(sim + {i}) AS `vacc:{term}`")
+        coefficients.append(f"{-0.5 if i == 0 else 0.0}D + 0.4D * sin(u + {i}) AS `inf:{term}`")
+        coefficients.append(f"{0.8 if i == 0 else 0.0}D + 0.5D * cos(u + {i}) AS `vacc:{term}`")
     return ids.selectExpr(
         "sim", *coefficients,
-        "0.5D + 0.25D * sin(sim + 3) AS sigma_inf", "0.4D + 0.2D * cos(sim + 3) AS sigma_vacc",
-        "0.1D + 0.05D * cos(sim) AS resp_sn_np", "0.2D + 0.1D * sin(sim) AS resp_sp_nn",
-        "0.9D + 0.05D * sin(sim) AS vacc_response",
-        "0.95D + 0.02D * sin(sim) AS sens_s", "0.98D + 0.01D * cos(sim) AS spec_s",
-        "0.9D + 0.03D * cos(sim) AS sens_n", "0.97D + 0.01D * sin(sim) AS spec_n")
+        "0.5D + 0.25D * sin(u + 3) AS sigma_inf", "0.4D + 0.2D * cos(u + 3) AS sigma_vacc",
+        "0.1D + 0.05D * cos(u) AS resp_sn_np", "0.2D + 0.1D * sin(u) AS resp_sp_nn",
+        "0.9D + 0.05D * sin(u) AS vacc_response",
+        "0.95D + 0.02D * sin(u) AS sens_s", "0.98D + 0.01D * cos(u) AS spec_s",
+        "0.9D + 0.03D * cos(u) AS sens_n", "0.97D + 0.01D * sin(u) AS spec_n")
 
 
 def panel_draws(spark: SparkSession, sf_dir: str, design: Design) -> DataFrame:
-    """Threshold model draws, wide, one row per variant and draw id of the events."""
-    ids = table(spark, sf_dir, "events").selectExpr("event_type AS fit_id", "event_id % 200 AS sim").distinct()
+    """Threshold model draws, wide, by variant: each is set by the mean value of its events."""
+    ids = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("fit_id"), F.expr("event_id % 200").alias("sim")).agg(
+        F.expr("sum(CAST(floor(value) AS BIGINT)) / count(value)").alias("u"))
     return ids.selectExpr(
         "fit_id", "sim",
-        *[f"0.3D * sin(sim + {i} + length(fit_id)) AS `{t}`" for i, t in enumerate(design.terms)],
-        "0.95D + 0.03D * sin(sim) AS sens", "0.97D + 0.02D * cos(sim) AS spec",
-        "0.9D + 0.03D * cos(sim) AS sens_child", "0.96D + 0.02D * sin(sim) AS spec_child",
-        "0.5D + 0.25D * sin(sim + 3) AS sigma_od")
+        *[f"0.3D * sin(u + {i} + length(fit_id)) AS `{t}`" for i, t in enumerate(design.terms)],
+        "0.95D + 0.03D * sin(u) AS sens", "0.97D + 0.02D * cos(u) AS spec",
+        "0.9D + 0.03D * cos(u) AS sens_child", "0.96D + 0.02D * sin(u) AS spec_child",
+        "0.5D + 0.25D * sin(u + 3) AS sigma_od")
