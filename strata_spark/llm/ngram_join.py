@@ -4,15 +4,17 @@ A document's set holds its distinct shingles of five words, as 64-bit hashes; eq
 the whole set), so copies are never paired. Two nodes link when 100 times the overlap is at least 75 times the union.
 The class of a document is the smallest ``doc_id`` it reaches over links.
 
-1. Every set is ordered; linked sets share one of their first ``n - ceil(0.75 n) + 1`` shingles. One pass finds the
-   documents that share such a shingle with a set of fitting size. All others link with nothing and are left aside.
+1. Every set is ordered by hash. Linked sets share at least m of their first ``n - ceil(0.75 n) + m`` shingles, for any
+   m; with m a tenth of the set, one pass counts for every document how many of its first shingles it shares with a set
+   of fitting size. Documents that share too few link with nothing and are left aside, as those with one common passage.
    Inside a task, sets that share a shingle are found at once and only two of a size class go on, so a shingle that a
    third of all documents have makes few rows.
 2. The sets of the documents found are written once. They are ordered anew: shingles that few of them have first (by
    hash), common ones last (by count). The order decides only about the work, not about the links.
 3. Candidates: first, in rounds, each node with one node of a list (nodes of a component are not paired again), which
    joins groups of near copies without pairing all of them; then all pairs of different components that share a list and
-   can still reach the overlap by size and position. So no link between different components is lost.
+   can still reach the overlap by size, position and bitmaps of the sets (an element whose bit the other set lacks is no
+   common one). So no link between different components is lost.
 4. Candidates are verified in prefix trees. A group of sets is ordered by one order and stored in a tree; the other set
    walks down it, counting the overlap once for all sets that share a path, and leaves a branch as soon as the elements
    that remain on either side can't reach the overlap any more. Groups have at most ``TREE_SETS`` sets.
@@ -39,11 +41,15 @@ from strata_spark.session import written
 
 #: Links need 100 * overlap >= PERCENT * union.
 PERCENT = 75
+#: One in so many shingles of a set must be shared among its first ones.
+LEAD = 10
 #: Sets of one prefix tree.
 TREE_SETS = 200
 #: Sets that have a shingle before it counts as common, and the longest list of common ones. Both only order the sets.
 COMMON = 16
 COMMON_LIST = 200_000
+#: Longs of a set's bitmap.
+BITMAP_LONGS = 16
 #: Rounds with one partner a node, before all pairs that are left.
 STAR_ROUNDS = 3
 #: A table of ids of at most so many rows may be broadcast; larger ones are shuffled.
@@ -71,9 +77,14 @@ def _nodes(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(total[at[1:]] - total[at[:-1]] + mix(np.diff(at).astype(np.uint64))).view(np.int64)
 
 
-def _prefix(n: np.ndarray) -> np.ndarray:
-    """How many of the first shingles of a set of n hold one of any linked set."""
-    return n - -(-n * PERCENT // 100) + (n > 0)
+def _prefix(n: np.ndarray, m: np.ndarray | int = 1) -> np.ndarray:
+    """How many of the first shingles of a set of n hold m of any linked set."""
+    return np.minimum(n, n - -(-n * PERCENT // 100) + m)
+
+
+def _least_shared(n: Column) -> Column:
+    """Shingles that a set of n must share among its first ones: what its smallest partner asks for."""
+    return F.greatest(F.lit(1), F.floor(F.ceil(n * PERCENT / 100) / LEAD))
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,46 +99,56 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(key, n, doc_id)`` of the first shingles, and ``(null, null, doc_id)`` of documents with a partner in sight."""
+    """``(key, n, doc_id, counted)`` of the first shingles; a null key: ``n`` first shingles shared inside the task."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, shingles, at in distinct_sets(batch.column(1)):
             n = np.diff(at)
-            node, take = _nodes(shingles, at), _prefix(n)
+            node, take = _nodes(shingles, at), _prefix(n, np.maximum(1, n // LEAD))
             row = np.repeat(np.arange(len(n)), take)
+            if not len(row):
+                continue
             key = shingles[at[row] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)]
-            size_class = np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT)).astype(np.int64)[row]
+            size_class = np.floor(np.log(n[row]) / np.log(100 / PERCENT)).astype(np.int64)
             order = np.lexsort((n[row], size_class, key))
             row, key, size_class = row[order], key[order], size_class[order]
-            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size_class[1:] != size_class[:-1])])) if len(key) else np.zeros(0, int)
+            starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size_class[1:] != size_class[:-1])]))
             ends = np.append(starts[1:], len(key))
-            group = np.repeat(np.arange(len(starts)), ends - starts)
-            lowest = np.minimum.reduceat(node[row], starts) if len(starts) else node[:0]
-            highest = np.maximum.reduceat(node[row], starts) if len(starts) else node[:0]
-            near = np.unique(row[(lowest != highest)[group]])  # two sets of one size class: sizes fit
+            # two sets of one size class: sizes fit
+            near = np.repeat(np.minimum.reduceat(node[row], starts) != np.maximum.reduceat(node[row], starts), ends - starts)
+            shared = np.bincount(row[near], minlength=len(n))
+            some = np.flatnonzero(shared)
             out = np.unique(np.concatenate([starts, ends - 1]))
-            keys = np.concatenate([key[out].view(np.int64), np.zeros(len(near), np.int64)])
-            none = np.arange(len(keys)) >= len(out)
+            none = np.arange(len(out) + len(some)) >= len(out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, mask=none), pa.array(np.concatenate([n[row[out]], np.zeros(len(near), np.int64)]), pa.int64(), mask=none),
-                 pa.array(np.concatenate([ids[lo + row[out]], ids[lo + near]]).astype(np.int64))], names=["key", "n", "doc_id"])
+                [pa.array(np.concatenate([key[out].view(np.int64), np.zeros(len(some), np.int64)]), mask=none),
+                 pa.array(np.concatenate([n[row[out]], shared[some]])),
+                 pa.array(np.concatenate([ids[lo + row[out]], ids[lo + some]]).astype(np.int64)),
+                 pa.array(np.concatenate([near[out], np.ones(len(some), bool)]).astype(np.int32))], names=["key", "n", "doc_id", "counted"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents next to another of fitting size in the sorted list of a shingle."""
+    """``(doc_id, shared)``: shingles for which a document stands next to another of fitting size."""
     held = None
     for batch in batches:
         known = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
-        key, n, doc = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(3))
-        lone = doc[~known]
-        key, n, doc = key[known], n[known], doc[known]
+        key, n, doc, counted = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in range(4))
+        docs, shared = [doc[~known]], [n[~known]]
+        key, n, doc, counted = (x[known] for x in (key, n, doc, counted))
         if held is not None:
-            key, n, doc = (np.concatenate([[a], b]) for a, b in zip(held, (key, n, doc)))
+            key, n, doc, counted = (np.concatenate([[a], b]) for a, b in zip(held, (key, n, doc, counted)))
         if len(key):
-            held = key[-1], n[-1], doc[-1]
-        fits = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
-        found = np.unique(np.concatenate([lone, doc[1:][fits], doc[:-1][fits]]))
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["doc_id"])
+            fits = (key[1:] == key[:-1]) & (doc[1:] != doc[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+            hit = np.zeros(len(key), bool)
+            hit[1:] |= fits
+            hit[:-1] |= fits
+            # the last row waits for the next batch; if it is counted now, it must not be again
+            held = key[-1], n[-1], doc[-1], counted[-1] | hit[-1]
+            docs.append(doc[hit & (counted == 0)])
+            shared.append(np.ones(len(docs[-1]), np.int64))
+        found, at = np.unique(np.concatenate(docs), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(shared), minlength=len(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(total)], names=["doc_id", "shared"])
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -283,17 +304,40 @@ def _star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     return shared.groupBy("node").agg(F.max_by("center", F.struct("shared", "center")).alias("center")).select("center", "node")
 
 
-def _all_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs of different components that share a list and can reach the overlap by size and place."""
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node, bits_0, ...)``: one bit a shingle, by its hash."""
+    for batch in batches:
+        blobs = batch.column(1).to_pylist()
+        bits = np.zeros((len(blobs), 64 * BITMAP_LONGS), bool)
+        for r, blob in enumerate(blobs):
+            bits[r, (np.frombuffer(blob, np.uint64) % np.uint64(64 * BITMAP_LONGS)).astype(np.int64)] = True
+        longs = np.packbits(bits, axis=1).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(BITMAP_LONGS)]],
+                                         names=["node", *BITS])
+
+
+BITS = [f"bits_{i}" for i in range(BITMAP_LONGS)]
+
+
+def _lacking(a: str, b: str) -> Column:
+    """Bits of one set that the other lacks: at least so many shingles are not common."""
+    return F.expr(" + ".join(f"bit_count({x}{a} & ~{x}{b})" for x in BITS))
+
+
+def _all_pairs(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different components that share a list and can reach the overlap by size, place and bitmaps."""
     mixed = (lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("key"))
-    rows = written(lists.join(mixed, "key"), "ngram-mixed")
-    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "place")])
+    rows = lists.join(mixed, "key")
+    bits = map_arrow(sets.select("node", "shingles"), _bitmaps, ", ".join(f"{x} bigint" for x in ("node", *BITS)))
+    rows = written(rows.join(bits, "node"), "ngram-mixed")
+    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "component", "n", "place", *BITS)])
     n, m, i, j = (F.col(c) for c in ("n", "n_b", "place", "place_b"))
-    reach = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
+    reach = F.least(i, j) + F.least(n - i, m - j)
+    common = F.least(n - _lacking("", "_b"), m - _lacking("_b", ""))
     pairs = rows.join(other, "key").where(
         (F.col("component") != F.col("component_b")) & (F.col("node") < F.col("node_b")) & _fitting(n, m)
-        & (reach * (100 + PERCENT) >= (n + m) * PERCENT))
+        & (F.least(reach, common) * (100 + PERCENT) >= (n + m) * PERCENT))
     return pairs.select(F.col("node").alias("center"), F.col("node_b").alias("node")).distinct()
 
 
@@ -302,10 +346,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     classes = written(map_arrow(docs, _classes, "doc_id bigint, n_shingles bigint, node bigint"), "ngram-classes")
     with_id = docs.where("doc_id IS NOT NULL")
-    first = map_arrow(with_id, _first_shingles, "key bigint, n bigint, doc_id bigint")
+    first = map_arrow(with_id, _first_shingles, "key bigint, n bigint, doc_id bigint, counted int")
     first = first.repartition(F.coalesce("key", "doc_id")).sortWithinPartitions("key", "n", "doc_id")
-    active = map_arrow(first, _neighbours, "doc_id bigint").distinct()
-    wanted = classes.where("node IS NOT NULL").join(active, "doc_id").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    active = map_arrow(first, _neighbours, "doc_id bigint, shared bigint", rows=1 << 16).groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    wanted = (classes.where("node IS NOT NULL").join(active, "doc_id").where(F.col("shared") >= _least_shared(F.col("n_shingles")))
+              .groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     sets = written(_sets_of(written(wanted, "ngram-wanted"), with_id), "ngram-sets")
     lists = written(_lists(sets, _common_shingles(sets)), "ngram-lists")
     # lists with one node only tell nothing
@@ -317,7 +362,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             now = lists.withColumn("component", F.col("node"))
         else:
             now = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pairs = written(_star_pairs(now, turn) if turn < STAR_ROUNDS else _all_pairs(now), "ngram-pairs")
+        pairs = written(_star_pairs(now, turn) if turn < STAR_ROUNDS else _all_pairs(now, sets), "ngram-pairs")
         if pairs.isEmpty():
             if turn < STAR_ROUNDS:
                 continue

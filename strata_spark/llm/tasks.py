@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows that a task works on at a time; what it holds besides is in its own docstring.
+BATCH_ROWS = 2048
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,7 +32,12 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``df.mapInArrow`` with a function of this package."""
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema,
+              rows: int = BATCH_ROWS) -> DataFrame:
+    """``df.mapInArrow`` with a function of this package, which gets at most ``rows`` rows at a time."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+    return df.mapInArrow(run, schema)
