@@ -7,7 +7,7 @@ from strata_spark.llm.fingerprint import op1_fingerprint
 from strata_spark.llm.licenses import op10_license_scan
 from strata_spark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from strata_spark.llm.mixing_lm import op6_lm_score
-from strata_spark.llm.ngram_join import op5_ngram_join
+from strata_spark.llm.ngram_join import OP5_SQL, op5_ngram_join
 from strata_spark.llm.packing import op8_packing
 from strata_spark.llm.pii import op3_pii
 from strata_spark.llm.token_counts import op4_token_counts
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_ngram_join": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
 }
