@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata_spark.llm.tasks import map_arrow
-from strata_spark.llm.words import blocks, span_hashes, utf8, word_bounds
+from strata_spark.llm.words import Spans, blocks, utf8, word_bounds
+from strata_spark.session import written
 
 CHAIN = ("low_quality", "toxic")
 PREFIXES = (4, 5, 6, 7, 8)
@@ -39,27 +40,30 @@ RIDGE = 0.2
 #: Log-likelihood ratio below which an association is taken for chance.
 CHANCE = 3.3
 THRESHOLD = 0.5
+#: Low bits of a 64-bit integer that hold the row of a block; the rest holds the feature.
+_ROW_BITS, _ROW_MASK = np.uint64(20), np.uint64((1 << 20) - 1)
 
 
-def text_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Blocks of rows: first row, row and hash of each feature, every feature of a row once."""
+def all_features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Blocks of rows: first row, row and hash (44 bits) of each word and of its starts, as often as they occur."""
     raw_all, offsets_all = utf8(texts)
     for lo, hi in blocks(offsets_all):
         offsets = offsets_all[lo: hi + 1] - offsets_all[lo]
         raw = raw_all[offsets_all[lo]: offsets_all[hi]]
         starts, ends, first = word_bounds(raw, offsets)
-        row = np.repeat(np.arange(hi - lo), np.diff(first))
-        rows, hashes = [row], [span_hashes(raw, starts, ends)]
+        spans, row = Spans(raw), np.repeat(np.arange(hi - lo), np.diff(first))
+        rows, hashes = [row], [spans.hashes(starts, ends)]
         for n in PREFIXES:
-            long = ends - starts > n
+            long = np.flatnonzero(ends - starts > n)
             rows.append(row[long])
-            hashes.append(span_hashes(raw, starts[long], starts[long] + n) * np.uint64(2 * n + 1))
-        row, value = np.concatenate(rows), np.concatenate(hashes)
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-        yield lo, row[new], value[new]
+            hashes.append(spans.hashes(starts[long], starts[long] + n) * np.uint64(2 * n + 1))
+        yield lo, np.concatenate(rows), np.concatenate(hashes) >> _ROW_BITS
+
+
+def once_a_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of row (of a block) and feature once, sorted by feature."""
+    both = np.unique((value << _ROW_BITS) | row.astype(np.uint64))
+    return (both & _ROW_MASK).astype(np.int64), both >> _ROW_BITS
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -75,7 +79,8 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Documents of each feature in a batch, and those of each category."""
     for batch in batches:
         y = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)]
-        for lo, row, value in text_features(batch.column(0)):
+        for lo, row, value in all_features(batch.column(0)):
+            row, value = once_a_row(row, value)
             found, at = np.unique(value, return_inverse=True)
             n = len(found)
             yield pa.RecordBatch.from_arrays(
@@ -96,6 +101,7 @@ def select_features(sample: DataFrame, n_features: int = FEATURES) -> tuple[np.n
     known = [c for c in CHAIN if 0 < (totals[c] or 0) < all_]
     for c in known:
         counts = counts.withColumn(f"ratio_{c}", _ratio(F.col("n"), F.col(c), all_, float(totals[c])))
+    counts = written(counts, "toxicity-features")
     for c in known:
         best = counts.orderBy(F.col(f"ratio_{c}").desc(), "feature").limit(n_features)
         for r in best.collect():
@@ -122,13 +128,15 @@ def selected_pairs(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, n
     rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(features):
         maybe = np.zeros(1 << 20, bool)
-        maybe[(features >> np.uint64(44)).astype(np.int64)] = True
-        for lo, row, value in text_features(texts):
-            likely = np.flatnonzero(maybe[(value >> np.uint64(44)).astype(np.int64)])
+        maybe[(features & _ROW_MASK).astype(np.int64)] = True
+        for lo, row, value in all_features(texts):
+            likely = np.flatnonzero(maybe[(value & _ROW_MASK).astype(np.int64)])
             at = np.minimum(np.searchsorted(features, value[likely]), len(features) - 1)
             same = features[at] == value[likely]
-            rows.append(row[likely][same] + lo)
-            found.append(at[same])
+            row, value = once_a_row(row[likely][same], at[same].astype(np.uint64))
+            order = np.argsort(row, kind="stable")
+            rows.append(row[order] + lo)
+            found.append(value[order].astype(np.int64))
     return np.concatenate(rows), np.concatenate(found)
 
 

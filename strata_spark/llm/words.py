@@ -80,12 +80,20 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class Spans:
+    """Hashes of byte spans of one block; spans that are equal by ``table`` (default: A-Z lower-cased) have equal hashes."""
+
+    def __init__(self, raw: np.ndarray, table: np.ndarray = BYTE_LOWER) -> None:
+        up, self.down = powers(max(16, int(len(raw)).bit_length()))
+        self.total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(table[raw] * up[: len(raw)], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE_LOWER) -> np.ndarray:
-    """Hash of each byte span; spans that are equal by ``table`` (default: A-Z lower-cased) have equal hashes."""
-    up, down = powers(max(16, int(len(raw)).bit_length()))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(table[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return Spans(raw, table).hashes(starts, ends)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
