@@ -72,7 +72,7 @@ def value_bucket(x: Column, per_octave: int = 256) -> Column:
     return F.when(x == 0, F.lit(0)).when(x > 0, step).otherwise(-step).cast("bigint")
 
 
-def rank_draws(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def rank_draws(df: DataFrame, by: Sequence[str], value: str, per_octave: int = 256) -> DataFrame:
     """Rank of each draw inside its group, with the group size ``n_draws``; missing draws have no rank."""
     known = df.where(F.col(value).isNotNull())
-    return number_rows(known, by, value_bucket(F.col(value)), [F.col(value)], "rank", total="n_draws")
+    return number_rows(known, by, value_bucket(F.col(value), per_octave), [F.col(value)], "rank", total="n_draws")

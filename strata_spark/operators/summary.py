@@ -55,14 +55,15 @@ def _moments(ranked: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         _quantile(value, LOWER).alias("q025"), _quantile(value, UPPER).alias("q975"))
 
 
-def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, n_groups: int | None = None) -> DataFrame:
+def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, n_groups: int | None = None,
+                     per_octave: int = 256) -> DataFrame:
     """Mean, median and interval quantiles, exact, of groups of any size.
 
     A histogram over value buckets tells which few buckets hold the wanted
     ranks; only their rows are sorted. With a declared number of groups the
     wanted buckets are broadcast, so no other row is shuffled.
     """
-    tagged = df.select(*by, value, value_bucket(F.col(value)).alias("_bucket"))
+    tagged = df.select(*by, value, value_bucket(F.col(value), per_octave).alias("_bucket"))
     group = Window.partitionBy(*by)
     ahead = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     histogram = tagged.groupBy(*by, "_bucket").agg(F.count(value).alias("_n"), F.sum(value).alias("_s")).select(

@@ -107,7 +107,7 @@ def test_numbering_with_a_hot_group(spark):
 
 def test_ranks_and_index(spark):
     df = spark.createDataFrame([("a", float(x) / 97) for x in range(-50, 200)], "g string, p double")
-    got = [r["rank"] for r in rank_draws(df, ["g"], "p", per_unit=8).orderBy("p").collect()]
+    got = [r["rank"] for r in rank_draws(df, ["g"], "p", per_octave=1).orderBy("p").collect()]
     assert got == list(range(1, 251))
     keys = spark.createDataFrame([(f"h{i % 40}",) for i in range(200)], "h string")
     idx = index_keys(keys, "h", "i").collect()
@@ -119,7 +119,7 @@ def test_histogram_quantiles_of_a_hot_value(spark, n):
     x = np.concatenate([np.full(n // 3, 0.5), np.sin(np.arange(n - n // 3)) * 3])
     df = spark.createDataFrame([("g", float(a)) for a in x] + [("h", 1.0)], "g string, p double")
     for groups in (None, 10):
-        r = {row.g: row for row in ranked_quantiles(df, ["g"], "p", groups, per_unit=4).collect()}
+        r = {row.g: row for row in ranked_quantiles(df, ["g"], "p", groups, per_octave=1).collect()}
         assert [r["g"].median, r["g"].q025, r["g"].q975] == pytest.approx(list(np.quantile(x, [0.5, 0.025, 0.975])))
         assert r["g"]["mean"] == pytest.approx(x.mean()) and r["h"].median == 1.0
 
