@@ -35,7 +35,7 @@ from strata_spark.llm.tasks import map_arrow
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-MEMO = 300_000
+MEMO = 600_000
 #: Longer parts are not remembered.
 MEMO_CHARS = 48
 _PIECES = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -63,9 +63,10 @@ class PrefixCounts:
         whole = set(map("".join, self.ranks)) | set(_byte_letters()) | {c + self.end for c in _byte_letters()}
         self.inner = {t for t in whole if not t.endswith(self.end)}
         self.last = {t[: -len(self.end)] for t in whole if t.endswith(self.end)}
-        self.longest = max(map(len, self.inner | self.last))
-        self.inner_tails = {t[i:] for t in self.inner for i in range(len(t))}
-        self.last_tails = {t[i:] for t in self.last for i in range(len(t))}
+        # every tail of a token: whether it is a token inside a word (1), one at a word's end (2), or neither
+        self.tails = {t[i:]: 0 for t in self.inner | self.last for i in range(len(t))}
+        for t in self.tails:
+            self.tails[t] = (t in self.inner) + 2 * (t in self.last)
         self.letters = _byte_letters()
         self.fits: dict[tuple[str, str, bool], bool] = {}
         self.memo: dict[str, bytes] = {"": b""}
@@ -104,35 +105,38 @@ class PrefixCounts:
                 self.fits[key] = known
         return known
 
-    @staticmethod
-    def _ending(spelt: str, i: int, tokens: set[str], tails: set[str]) -> list[str]:
-        """Tokens that end at ``i``, longest first."""
-        out, n = [], 1
-        while n <= i and (tail := spelt[i - n: i]) in tails:
-            if tail in tokens:
-                out.append(tail)
-            n += 1
-        return out[::-1]
-
     def word(self, word: str) -> list[int]:
         """Count at each code point's end, as if the word ended there (``word``: lower case, one kind of character)."""
-        spelt = "".join(self.letters[b] for b in word.encode())
-        ends = np.cumsum([len(c.encode()) for c in word]).tolist()
-        tail, count = [""], [0]
+        spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        ends = set(np.cumsum([len(c.encode()) for c in word]).tolist()) if len(spelt) > len(word) else None
+        tail, count, out, tails, fits = [""], [0], [], self.tails, self.fits
         for i in range(1, len(spelt) + 1):
-            for token in self._ending(spelt, i, self.inner, self.inner_tails):
-                n = i - len(token)
-                if not n or self._fit(tail[n], token, False):
-                    tail.append(token)
-                    count.append(count[n] + 1)
-                    break
-        out = []
-        for i in ends:
-            for token in self._ending(spelt, i, self.last, self.last_tails):
-                n = i - len(token)
-                if not n or self._fit(tail[n], token, True):
-                    out.append(count[n] + 1)
+            inner, last, n = 0, 0, i - 1
+            found = []
+            while n >= 0:
+                token = spelt[n:i]
+                kind = tails.get(token)
+                if kind is None:
                     break
+                if kind:
+                    found.append((n, token, kind))
+                n -= 1
+            final = ends is None or i in ends
+            for n, token, kind in reversed(found):  # longest first
+                if kind & 1 and not inner:
+                    before = tail[n]
+                    fit = True if not n else fits.get((before, token, False))
+                    if self._fit(before, token, False) if fit is None else fit:
+                        inner = count[n] + 1
+                        tail.append(token)
+                if kind & 2 and final and not last:
+                    before = tail[n]
+                    fit = True if not n else fits.get((before, token, True))
+                    if self._fit(before, token, True) if fit is None else fit:
+                        last = count[n] + 1
+            count.append(inner)
+            if final:
+                out.append(last)
         return out
 
     def _known_word(self, word: str) -> list[int]:
@@ -157,6 +161,13 @@ class PrefixCounts:
 
     def _counts(self, part: str) -> list[int]:
         """Counts at each prefix of a part without spaces and newlines."""
+        if part.isascii():
+            lower = part.lower()
+            if lower.isalpha():
+                return self._known_word(lower)
+            if lower[-1] in ".," and lower[:-1].isalpha():  # the sign is a token of its own
+                inside = self._known_word(lower[:-1])
+                return [*inside, inside[-1] + 1]
         lower = "".join(map(self._lower, part))
         if len(lower) != len(part) or ("<" in part and any(x in part for x in self.specials)):
             return [self._library(part[: i + 1]) for i in range(len(part))]
