@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata_spark.session import written
+
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: Lines of one bitmap, as bitmap_bit_position counts them.
@@ -50,9 +52,10 @@ def long_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``(doc_id, row_hash, block, dropped)``: a set bit is a line that goes; documents that lose nothing are absent."""
-    found = (long_lines(docs, min_chars).repartitionByRange(F.col("h"), F.col("doc_id").desc())
-             .sortWithinPartitions("h", F.col("doc_id").desc(), "pos"))
-    # one row a key and document, then one a key: both sums start inside the sorted partitions
+    # written once: otherwise the lines would be cut and hashed again for the ranges and for each use
+    found = written(long_lines(docs, min_chars).repartitionByRange(F.col("h"), F.col("doc_id").desc())
+                    .sortWithinPartitions("h", F.col("doc_id").desc(), "pos"), "long-lines")
+    # one row a key and document, then one a key: both sums start on the sorted rows of a file
     holders = found.groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
     repeated = (holders.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
                 .where(F.col("n_docs") >= min_docs).select("h", "keeper"))
