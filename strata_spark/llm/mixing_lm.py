@@ -34,8 +34,8 @@ from strata_spark.session import written
 
 FOLDS, HELD_OUT = 5, 1
 #: Bytes before the symbol that a predictor looks at (0: the word so far), and the bits of its table's size.
-CONTEXTS = ((2, 18), (3, 20), (4, 20), (0, 20))
-START_WEIGHT = (0.15, 0.3, 0.35, 0.3)
+CONTEXTS = ((2, 18), (4, 20), (0, 20))
+START_WEIGHT = (0.25, 0.4, 0.4)
 RATE = 0.3
 STEP_BITS = 256
 STEPS_BEFORE_DOUBLING = 16
@@ -43,6 +43,8 @@ BLOCK_BYTES = 256 << 10
 FREQUENT = 100_000
 END = 256
 _TABLE_BLOCKS = 64
+#: Tasks a core that sum the context counts, at most.
+TABLE_TASKS = 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,7 +97,7 @@ class Code:
         length = self.lengths[symbols]
         place = np.repeat(np.arange(len(symbols)), length)
         step = np.arange(len(place)) - np.repeat(np.cumsum(length) - length, length)
-        node = (self.nodes[symbols[place], step].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+        node = mix(np.arange(1, END + 2, dtype=np.uint64))[self.nodes[symbols[place], step]]
         slots = []
         for k, (order, bits) in enumerate(CONTEXTS):
             if order:
@@ -106,7 +108,7 @@ class Code:
                     context = context * np.uint64(0x100000001B3) + before.astype(np.uint64)
             else:
                 context = self._word_so_far(symbols, within)
-            slots.append((mix(mix(context)[place] + node) >> np.uint64(64 - bits)).astype(np.int64))
+            slots.append((((mix(context)[place] ^ node) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64))
         return slots, self.bits[symbols[place], step], np.concatenate([[0], np.cumsum(np.add.reduceat(length, first))])
 
     @staticmethod
@@ -162,12 +164,23 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _context_counts(code: Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(2 << bits, np.int32) for _, bits in CONTEXTS]
+        tables = [np.zeros(2 << bits, np.int64) for _, bits in CONTEXTS]
+        held: list[list[np.ndarray]] = [[] for _ in CONTEXTS]
+
+        def summed() -> None:
+            for table, indices in zip(tables, held):
+                if indices:
+                    table += np.bincount(np.concatenate(indices), minlength=len(table))
+                    indices.clear()
+
         for batch in batches:
             for _, raw, offsets in text_blocks(batch.column(0)):
                 slots, bits, _ = code.spell(raw, offsets)
-                for table, slot in zip(tables, slots):
-                    np.add.at(table, 2 * slot + bits, 1)
+                for indices, slot in zip(held, slots):
+                    indices.append(2 * slot + bits)
+                if len(held[0]) >= 4:
+                    summed()
+        summed()
         for k, table in enumerate(tables):
             for b, part in enumerate(np.split(table, _TABLE_BLOCKS)):
                 if part.any():
@@ -213,27 +226,31 @@ class Mixer:
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each row."""
         slots, bits, first = self.code.spell(raw, offsets)
-        inputs = np.stack([table[slot] for table, slot in zip(self.odds, slots)])
-        gate = np.zeros(len(bits), np.int64)
+        inputs = [table[slot] for table, slot in zip(self.odds, slots)]
+        n, gates = len(offsets) - 1, 1 << len(CONTEXTS)
+        gate = np.repeat(np.arange(n), np.diff(first))
         for x in inputs:
             gate = 2 * gate + (x != 0)
-        n, gates = len(offsets) - 1, 1 << len(CONTEXTS)
-        weights = np.tile(np.array(START_WEIGHT)[:, None], (1, n * gates))
+        # +1 and -1 for the bits: the log odds of what came are the signed ones
+        sign = (2 * bits - 1).astype(np.float32)
+        weights = [np.full(n * gates, w, np.float32) for w in START_WEIGHT]
         out = np.zeros(n)
         at, end, size, step = first[:-1].copy(), first[1:], STEP_BITS, 0
         while len(open_ := np.flatnonzero(at < end)):
             take = np.minimum(end[open_] - at[open_], size)
-            row = np.repeat(open_, take)
-            here = np.repeat(at[open_] - np.cumsum(take) + take, take) + np.arange(len(row))
-            own = row * gates + gate[here]
-            x = inputs[:, here]
-            z = np.clip((weights[:, own] * x).sum(axis=0), -20, 20)
-            bit = bits[here]
-            out += np.bincount(row, weights=-np.log1p(np.exp(np.where(bit, -z, z))), minlength=n)
-            error = bit - 1 / (1 + np.exp(-z))
-            seen = np.maximum(np.bincount(own, minlength=n * gates), STEP_BITS / 8)
-            for k in range(len(x)):
-                weights[k] += RATE * np.bincount(own, weights=error * x[k], minlength=n * gates) / seen
+            starts = np.cumsum(take) - take
+            here = np.repeat(at[open_] - starts, take)
+            here += np.arange(len(here))
+            own, side = gate[here], sign[here]
+            xs = [x[here] for x in inputs]
+            z = sum(w[own] * x for w, x in zip(weights, xs))
+            z = np.clip(z * side, -20, 20)
+            missed = 1 / (1 + np.exp(z))  # probability of the other bit
+            out[open_] += np.add.reduceat(np.log1p(-missed), starts, dtype=np.float64)
+            missed *= side
+            seen = np.maximum(np.bincount(own, minlength=n * gates), STEP_BITS // 8)
+            for w, x in zip(weights, xs):
+                w += (RATE * np.bincount(own, weights=missed * x, minlength=n * gates) / seen).astype(np.float32)
             at[open_] += take
             step += 1
             size = size * 2 if step >= STEPS_BEFORE_DOUBLING else size
@@ -243,8 +260,9 @@ class Mixer:
 def fit_mixer(train: DataFrame, symbols: np.ndarray) -> Mixer:
     """Predictors from the bits of all training texts; the tables' size is fixed by ``CONTEXTS``."""
     code = Code(*huffman(symbols))
-    parts = map_arrow(train.select("text"), _context_counts(code), BLOCKS)
-    # equal blocks are summed inside groups of tasks first, then over the groups
+    # a task's tables have the same size however little it reads: no more tasks than a few for each core
+    tasks = TABLE_TASKS * train.sparkSession.sparkContext.defaultParallelism
+    parts = map_arrow(train.select("text").coalesce(tasks), _context_counts(code), BLOCKS)
     sums = parts.repartition("predictor", "block").sortWithinPartitions("predictor", "block")
     tables = [np.zeros(2 << bits, np.int64) for _, bits in CONTEXTS]
     for row in map_arrow(sums, _block_sums, BLOCKS).toLocalIterator():
