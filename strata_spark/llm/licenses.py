@@ -7,6 +7,11 @@ way, down to equal words at both ends of a gap. Coverage is the share of the tem
 The whole text is searched in overlapping stretches of twice the template's length. A stretch is aligned only if its
 words, each at most as often as the template has it, could reach ``COVERAGE``; that bound loses nothing.
 
+A line of a few words (``NAMES``) is looked for around each place where the license's own name stands word for word; the
+words before and after it are aligned. One word in the line's place may differ or be missing where the line has five words
+or more, so ``coverage`` can be below ``COVERAGE`` there, but never a word of the name. A label with several wordings is
+reported once a text; of hits of one family (``FAMILIES``) that overlap, those with fewer words aligned are dropped.
+
 Defined cases: a null or empty text has no license; repeated notices in a text count once, at the best place (then the
 first); equal rows are reported each; a template without words matches nothing.
 """
@@ -15,17 +20,19 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strata_spark.llm.license_texts import TEMPLATES
+from strata_spark.llm.license_texts import FAMILIES, NAMES, TEMPLATES
 from strata_spark.llm.tasks import map_arrow
 from strata_spark.llm.words import blocks, utf8, word_hashes
 
 COVERAGE = 0.9
+#: From so many words on a line may have one word changed.
+ONE_CHANGED = 5
 #: Everything else in ASCII separates words.
 _PLAIN = np.full(256, 32, np.uint8)
 for _b in range(256):
@@ -81,12 +88,17 @@ def align(text: Sequence[int], template: Sequence[int]) -> list[tuple[int, int]]
 class Templates:
     """License texts, ready to be looked for."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], coverage: float = COVERAGE) -> None:
+    def __init__(self, templates: Sequence[tuple[str, str]], coverage: float = COVERAGE, names: Mapping[str, str] = NAMES) -> None:
         self.coverage = coverage
         self.texts = []
+        self.lines = []
         for name, text in templates:
             words = self.words(pa.array([text]))[0]
-            if len(words):
+            if text in names:
+                own = self.words(pa.array([names[text]]))[0]
+                at = next(i for i in range(len(words)) if np.array_equal(words[i: i + len(own)], own))
+                self.lines.append((name, words[:at].tolist(), own, words[at + len(own):].tolist()))
+            elif len(words):
                 known, counts = np.unique(words, return_counts=True)
                 self.texts.append((name, words, known, counts))
         self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t[2] for t in self.texts]]))
@@ -115,29 +127,56 @@ class Templates:
         before = tiles[np.minimum(table, counts).sum(axis=1) >= need] - 1
         return np.unique(np.concatenate([tiles[good], before[before >= 0]]))
 
+    def _line(self, words: np.ndarray, low: int, high: int, at: int, line: tuple) -> tuple[float, int, int, int] | None:
+        """(coverage, first word, last word, words aligned) of a line whose own name is at ``at`` in the text ``low:high``."""
+        _, before, own, after = line
+        size, end = len(before) + len(own) + len(after), at + len(own)
+        a, b = max(low, at - 2 * len(before) - 2), min(high, end + 2 * len(after) + 2)
+        left, right = align(words[a:at].tolist(), before), align(words[end:b].tolist(), after)
+        n = len(left) + len(own) + len(right)
+        start, stop = a + left[0][0] if left else at, end + right[-1][0] if right else end - 1
+        one_changed = size >= ONE_CHANGED and n == size - 1 and stop - start < size
+        return (n / size, start, stop, n) if n / size >= self.coverage or one_changed else None
+
+    def _found(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, float, int, int, int]]:
+        """(row, template, coverage, first word, last word, words aligned); words count from the block's first."""
+        for line in self.lines:
+            own = line[2]
+            at = np.flatnonzero(words[: len(words) - len(own) + 1] == own[0]) if len(words) >= len(own) else []
+            for k in at:
+                r = int(np.searchsorted(first, k, "right")) - 1
+                if k + len(own) <= first[r + 1] and np.array_equal(words[k: k + len(own)], own):
+                    x = self._line(words, int(first[r]), int(first[r + 1]), int(k), line)
+                    if x:
+                        yield r, line[0], *x
+        likely = np.flatnonzero(self.maybe[(words >> np.uint64(48)).astype(np.int64)])
+        for name, template, known, counts in self.texts:
+            size = len(template)
+            for k in self._stretches(likely, words, known, counts, self.coverage * size - 1e-9, size):
+                a = int(k) * size
+                r = int(np.searchsorted(first, a, "right")) - 1
+                while r < len(first) - 1 and first[r] < a + 2 * size:  # a stretch may touch several rows
+                    b, e = max(a, int(first[r])), min(a + 2 * size, int(first[r + 1]))
+                    if e - b >= self.coverage * size - 1e-9:
+                        found = align(words[b:e].tolist(), template.tolist())
+                        if len(found) / size >= self.coverage:
+                            yield r, name, len(found) / size, b + found[0][0], b + found[-1][0], len(found)
+                    r += 1
+
     def search(self, texts: pa.Array) -> Iterator[tuple[int, str, float, int, int, int]]:
-        """(row, template, coverage, first word, last word, words aligned) of the best stretch."""
+        """(row, template, coverage, first word, last word, words aligned) of the best place of each label."""
         raw_all, offsets_all = utf8(texts)
         for lo, hi in blocks(offsets_all):
             words, first = word_hashes(_PLAIN[raw_all[offsets_all[lo]: offsets_all[hi]]], offsets_all[lo: hi + 1] - offsets_all[lo])
-            likely = np.flatnonzero(self.maybe[(words >> np.uint64(48)).astype(np.int64)])
-            for name, template, known, counts in self.texts:
-                size = len(template)
-                best: dict[int, tuple] = {}
-                for k in self._stretches(likely, words, known, counts, self.coverage * size - 1e-9, size):
-                    a = int(k) * size
-                    r = int(np.searchsorted(first, a, "right")) - 1
-                    while r < hi - lo and first[r] < a + 2 * size:  # a stretch may touch several rows
-                        b, e = max(a, int(first[r])), min(a + 2 * size, int(first[r + 1]))
-                        if e - b >= self.coverage * size - 1e-9:
-                            found = align(words[b:e].tolist(), template.tolist())
-                            covered = len(found) / size
-                            if covered >= self.coverage and (r not in best or covered > best[r][0]):
-                                start = b - int(first[r])
-                                best[r] = (covered, start + found[0][0], start + found[-1][0], len(found))
-                        r += 1
-                for r, x in best.items():
-                    yield lo + r, name, *x
+            best: dict[tuple[int, str], tuple] = {}
+            for r, name, *x in self._found(words, first):
+                if (r, name) not in best or (-x[0], x[1]) < (-best[r, name][0], best[r, name][1]):
+                    best[r, name] = tuple(x)
+            for (r, name), x in best.items():
+                family = next((f for f in FAMILIES if name in f), ())
+                others = [best[r, other] for other in family if (r, other) in best]
+                if not any((o[3], o[0]) > (x[3], x[0]) and o[1] <= x[2] and x[1] <= o[2] for o in others):
+                    yield lo + r, name, x[0], x[1] - int(first[r]), x[2] - int(first[r]), x[3]
 
 
 FOUND = "doc_id bigint, license string, coverage double, first_word bigint, last_word bigint, n_aligned bigint"

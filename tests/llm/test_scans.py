@@ -271,6 +271,29 @@ def test_license_query(spark, sf_dir, texts):
         assert {(d, name) for d, t in texts.items() if text in t} == {x for x in found if x[1] == name}
 
 
+def test_every_license_line_of_the_table(spark, sf_dir, texts):
+    found = {(r.doc_id, r.license) for r in QUERIES["op10_license_scan"](spark, sf_dir).collect()}
+    for text, name in (("Released under the MIT License.", "MIT-notice"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-notice")):
+        want = {(d, name) for d, t in texts.items() if text in t}
+        assert want and want == {x for x in found if x[1] == name}
+    lines = {d for d, t in texts.items() if re.search("licen[sc]e|creative commons", t, re.I)}
+    assert lines == {d for d, _ in found}
+
+
+def test_license_names():
+    search = licenses.Templates(licenses.TEMPLATES).search
+    texts = {"Distributed under the BSD 3-Clause License": {"BSD-3-Clause-notice"}, "Released under CC BY 4.0": {"CC-BY-4.0-notice"},
+             "Released under the GNU Affero General Public License, version 3": {"AGPL-3.0-notice"}, "under the Moon License": set(),
+             "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0-notice"},
+             "This program is licensed under the GNU General Public License, version 2.": {"GPL-2.0-notice"},
+             "Licensed under CC BY-NC-SA 4.0.": {"CC-BY-NC-SA-4.0-notice"}, "Released to some under all of it the MIT License": set(),
+             **{t: {n} for n, t in licenses.TEMPLATES if n in ("AGPL-3.0-header", "GPL-2.0-header", "BSD-3-Clause", "BSD-2-Clause")}}
+    found = {}
+    for row, name, *_ in search(pa.array(texts)):
+        found.setdefault(row, set()).add(name)
+    assert [found.get(row, set()) for row in range(len(texts))] == list(texts.values())
+
+
 def test_columns_with_clashing_names(clashing_docs):
     assert pii.pii_spans(clashing_docs).count() == clashing_docs.count()
     assert token_counts.prefix_tables(clashing_docs, public_tokenizers.path(token_counts.VOCABULARY)).count() == clashing_docs.count()
