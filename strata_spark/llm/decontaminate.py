@@ -126,19 +126,19 @@ class Benchmark:
         for (w, length), (items, index) in self.sizes.items():
             if w != width:
                 continue
-            if len(shingles) < length:
-                continue
+            # a shorter text is its own only window; it needs as many shared shingles as any other
+            size = min(length, len(shingles))
             # the last window of the text may start before a shared shingle, all others need not
-            starts = np.minimum(at, len(shingles) - length)
-            starts = np.unique(starts[found[starts + length] - found[starts] >= self.similarity * length - 1e-9])
+            starts = np.minimum(at, len(shingles) - size)
+            starts = np.unique(starts[found[starts + size] - found[starts] >= self.similarity * length - 1e-9])
             if not len(starts):
                 continue
-            lo, hi = int(starts[0]), int(starts[-1]) + length
-            for window, i, distance in index.near(simhash(shingles[lo:hi], starts - lo, length)):
+            lo, hi = int(starts[0]), int(starts[-1]) + size
+            for window, i, distance in index.near(simhash(shingles[lo:hi], starts - lo, size)):
                 first = int(starts[window])
-                score = weighted_similarity(Counter(shingles[first: first + length].tolist()), items[i].counts)
+                score = weighted_similarity(Counter(shingles[first: first + size].tolist()), items[i].counts)
                 if score >= self.similarity:
-                    yield items[i].item_id, first, length + width - 1, distance, score
+                    yield items[i].item_id, first, size + width - 1, distance, score
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(row, item, first word, words, distance, similarity): the best window of each item in each text."""

@@ -216,6 +216,24 @@ def test_leaks_against_brute_force():
         assert found.get(row, {}) == pytest.approx(brute_leaks(text, items)), text
 
 
+def test_texts_shorter_than_the_item():
+    rng = random.Random(8)
+    items = [(n, [f"i{n}w{rng.randrange(200)}" for _ in range(n)]) for n in (5, 8, 15, 30, 59, 120)]
+    search = decontaminate.Benchmark([(i, " ".join(ws)) for i, ws in items]).search
+    texts, want = [], {}
+    for i, ws in items:
+        for less in range(len(ws)):
+            for own in {tuple(ws[less:]), tuple(ws[: len(ws) - less])}:
+                a, b = (decontaminate.Counter(zip(*[w[j:] for j in range(5)])) for w in (own, ws))
+                similarity = decontaminate.weighted_similarity(a, b)
+                if similarity >= 0.75:
+                    want[len(texts)] = (i, len(own), similarity)
+                texts.append(" ".join(own).upper())
+    found = {row: (item, n, score) for row, item, first, n, _, score in search(pa.array(texts, pa.string()))}
+    assert found.keys() == want.keys() and len([x for x in want.values() if x[0] > x[1]]) > 50
+    assert all(found[row] == pytest.approx(x) for row, x in want.items())
+
+
 def test_hamming_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     items = rng.integers(0, 256, (20, 16), dtype=np.uint8)
