@@ -4,7 +4,9 @@ A text and a template are lists of words (letters, digits and other non-ASCII ch
 occur once in both are anchors; the longest increasing run of them is kept, and the gaps between are aligned in the same
 way, down to equal words at both ends of a gap. Coverage is the share of the template's words that are aligned.
 
-The whole text is searched in overlapping stretches of twice the template's length. A stretch is aligned only if its
+The whole text is searched in stretches that start at every half of the template's length, counted from the text's own
+first word, and are 1.5 and 2.5 times as long as the template: a copy of up to twice its length lies whole in one of them,
+wherever it stands. The place found is then aligned by itself as long as coverage rises. A stretch is aligned only if its
 words, each at most as often as the template has it, could reach ``COVERAGE``; that bound loses nothing.
 
 A line of a few words (``NAMES``) is looked for around each place where the license's own name stands word for word; the
@@ -31,6 +33,10 @@ from strata_spark.llm.tasks import map_arrow
 from strata_spark.llm.words import blocks, utf8, word_hashes
 
 COVERAGE = 0.9
+#: Halves of the template's length that a stretch has.
+SHORT, LONG = 3, 5
+#: Tiles counted at a time.
+TILES = 4096
 #: From so many words on a line may have one word changed.
 ONE_CHANGED = 5
 #: Everything else in ASCII separates words.
@@ -110,22 +116,70 @@ class Templates:
         raw, offsets = utf8(texts)
         return word_hashes(_PLAIN[raw], offsets)
 
-    def _stretches(self, at: np.ndarray, words: np.ndarray, known: np.ndarray, counts: np.ndarray, need: float, size: int) -> np.ndarray:
-        """Numbers k of the stretches from word ``k * size`` that could reach the coverage (``at``: words of interest)."""
-        code = np.minimum(np.searchsorted(known, words[at]), len(known) - 1)
-        own = known[code] == words[at]
-        tile, code = at[own] // size, code[own]
-        tiles, place = np.unique(tile, return_inverse=True)
-        if not len(tiles):
-            return tiles
-        table = np.bincount(place * len(known) + code, minlength=len(tiles) * len(known)).reshape(len(tiles), -1)
-        pair = table.copy()
-        follows = np.flatnonzero(np.diff(tiles) == 1)
-        pair[follows] += table[follows + 1]
-        good = np.minimum(pair, counts).sum(axis=1) >= need
-        # a stretch may also begin in a tile without words of the template
-        before = tiles[np.minimum(table, counts).sum(axis=1) >= need] - 1
-        return np.unique(np.concatenate([tiles[good], before[before >= 0]]))
+    @staticmethod
+    def _sums(tiles: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Sums of the values of each tile and the ``LONG - 1`` after it."""
+        out = values.copy()
+        for d in range(1, LONG):
+            at = np.searchsorted(tiles, tiles + d)
+            here = np.flatnonzero(tiles[np.minimum(at, len(tiles) - 1)] == tiles + d)
+            out[here] += values[at[here]]
+        return out
+
+    def _starts(self, at: np.ndarray, row: np.ndarray, codes: np.ndarray, first: np.ndarray, text: tuple, step: int) -> Iterator[tuple[int, int]]:
+        """(row, first word) of the stretches that could reach the coverage (``at``: words of interest, with row and code).
+
+        Tiles of ``step`` words count from each row's first word; the tile of a copy's first aligned word starts a stretch.
+        """
+        _, template, known, counts = text
+        need = self.coverage * len(template) - 1e-9
+        own = self.local(known)[codes]
+        mine = np.flatnonzero(own >= 0)
+        # so many tiles a row that no stretch meets the next row's
+        base = np.concatenate([[0], np.cumsum(-(-np.diff(first) // step) + LONG)])
+        tile = base[row[mine]] + (at[mine] - first[row[mine]]) // step
+        tiles, place, n = np.unique(tile, return_inverse=True, return_counts=True)
+        good = tiles[self._sums(tiles, n) >= need] if len(tiles) else tiles
+        if not len(good):
+            return
+        # counts of single words only for the tiles of stretches with enough words
+        near = np.searchsorted(good, tiles, "right") - 1
+        used = (near >= 0) & (tiles - good[near] < LONG)
+        number = np.cumsum(used) - 1
+        kept = used[place]
+        tiles = tiles[used]
+        for lo in range(0, len(tiles), TILES):
+            # a part has the tiles of the stretches that start in it
+            part = tiles[lo: lo + TILES + LONG]
+            inside = np.flatnonzero(kept & (number[place] >= lo) & (number[place] < lo + len(part)))
+            code = (number[place[inside]] - lo) * len(known) + own[mine[inside]]
+            table = np.bincount(code, minlength=len(part) * len(known)).reshape(len(part), -1)
+            could = np.minimum(self._sums(part, table), counts).sum(axis=1) >= need
+            for t in part[:TILES][could[:TILES]]:
+                r = int(np.searchsorted(base, t, "right")) - 1
+                yield r, int(first[r]) + int(t - base[r]) * step
+
+    def local(self, known: np.ndarray) -> np.ndarray:
+        """Number of each word of all templates among the words ``known`` (-1: none of them)."""
+        out = np.full(len(self.known), -1, np.int64)
+        out[np.searchsorted(self.known, known)] = np.arange(len(known))
+        return out
+
+    @staticmethod
+    def _best(words: np.ndarray, starts: Sequence[tuple[int, int]], template: list[int]) -> list[tuple[int, int]]:
+        """The longest alignment of the stretches, each aligned again at the place found as long as that is longer."""
+        best: list[tuple[int, int]] = []
+        for a, b in starts:
+            found = align(words[a:b].tolist(), template)
+            while found:
+                found = [(a + i, j) for i, j in found]
+                if len(found) <= len(best):
+                    break
+                best, (a, b) = found, (found[0][0], found[-1][0] + 1)
+                if len(best) == len(template):
+                    return best
+                found = align(words[a:b].tolist(), template)
+        return best
 
     def _line(self, words: np.ndarray, low: int, high: int, at: int, line: tuple) -> tuple[float, int, int, int] | None:
         """(coverage, first word, last word, words aligned) of a line whose own name is at ``at`` in the text ``low:high``."""
@@ -150,18 +204,19 @@ class Templates:
                     if x:
                         yield r, line[0], *x
         likely = np.flatnonzero(self.maybe[(words >> np.uint64(48)).astype(np.int64)])
-        for name, template, known, counts in self.texts:
-            size = len(template)
-            for k in self._stretches(likely, words, known, counts, self.coverage * size - 1e-9, size):
-                a = int(k) * size
-                r = int(np.searchsorted(first, a, "right")) - 1
-                while r < len(first) - 1 and first[r] < a + 2 * size:  # a stretch may touch several rows
-                    b, e = max(a, int(first[r])), min(a + 2 * size, int(first[r + 1]))
-                    if e - b >= self.coverage * size - 1e-9:
-                        found = align(words[b:e].tolist(), template.tolist())
-                        if len(found) / size >= self.coverage:
-                            yield r, name, len(found) / size, b + found[0][0], b + found[-1][0], len(found)
-                    r += 1
+        if not len(likely):
+            return
+        codes = np.minimum(np.searchsorted(self.known, words[likely]), len(self.known) - 1)
+        likely, codes = (x[self.known[codes] == words[likely]] for x in (likely, codes))
+        row = np.searchsorted(first, likely, "right") - 1
+        for text in self.texts:
+            name, template, *_ = text
+            size, step = len(template), (len(template) + 1) // 2
+            for r, a in self._starts(likely, row, codes, first, text, step):
+                end = int(first[r + 1])
+                found = self._best(words, [(a, min(end, a + n * step)) for n in (SHORT, LONG)], template.tolist())
+                if len(found) / size >= self.coverage:
+                    yield r, name, len(found) / size, found[0][0], found[-1][0], len(found)
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, str, float, int, int, int]]:
         """(row, template, coverage, first word, last word, words aligned) of the best place of each label."""

@@ -312,6 +312,22 @@ def test_license_names():
     assert [found.get(row, set()) for row in range(len(texts))] == list(texts.values())
 
 
+def test_license_copies_with_inserted_words_are_found_wherever_they_lie():
+    template = [f"t{i}" for i in range(80)]
+    search = licenses.Templates([("T", " ".join(template))]).search
+    rng = random.Random(9)
+    for every, less in ((1, 0), (3, 0), (8, 4), (20, 6)):
+        copy = template[less:]
+        for at in range(len(copy) - 1, 0, -1):
+            if at % every == 0:
+                copy.insert(at, f"new{at}")
+        shown = []
+        for before in range(0, 200, 7):
+            texts = [" ".join(f"x{rng.randrange(99)}" for _ in range(rng.randint(0, 300))), " ".join(["far"] * before + copy + ["off"] * 150)]
+            shown.append([(row, c, first - before, last - before) for row, _, c, first, last, _ in search(pa.array(texts))])
+        assert shown == [[(1, (80 - less) / 80, 0, len(copy) - 1)]] * len(shown)
+
+
 def test_columns_with_clashing_names(clashing_docs):
     assert pii.pii_spans(clashing_docs).count() == clashing_docs.count()
     assert token_counts.prefix_tables(clashing_docs, public_tokenizers.path(token_counts.VOCABULARY)).count() == clashing_docs.count()
