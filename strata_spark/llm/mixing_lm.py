@@ -5,14 +5,16 @@ counts of the training documents. ``CONTEXTS`` predictors look at the last bytes
 table of fixed size, how often the next bit was 0 or 1 in a hashed (context, place in the code). The counts come from all
 training documents: every task sums its own, Spark sums the tasks' blocks. For a text the predictors' log odds are
 weighted and added (a logistic mixture); which weights are used is gated by which predictors know the context, and the
-weights start equal for all texts and are refined by gradient steps while a text is read, block after block, so they never
-see the bits they predict. The score is the sum of the bits' log10 probabilities, a probability over all texts.
+weights start equal for all texts and are refined by gradient steps while a text is read, after every ``STEP_BITS`` bits of
+it, so they never see the bits they predict. The score is the sum of the bits' log10 probabilities, a probability over all
+texts; ``bits_per_byte`` is the same in bits by the text's bytes, ``total_bits_per_byte`` that of all held-out or of all
+training documents together.
 
 The base score is the smoothed word unigram model of the contract. Counts of the ``FREQUENT`` most frequent words go to all
 tasks, the rest is joined, so every word has its exact count.
 
 Defined cases: a null text is empty (one token, the end); the empty training set gives equal bits and base 0.5 / 0.5;
-a null ``doc_id`` belongs to the training documents; repeated rows are scored each.
+a null ``doc_id`` belongs to the training documents; repeated rows are scored each; bits per byte of no bytes are null.
 """
 
 from __future__ import annotations
@@ -34,11 +36,11 @@ from strata_spark.session import written
 
 FOLDS, HELD_OUT = 5, 1
 #: Bytes before the symbol that a predictor looks at (0: the word so far), and the bits of its table's size.
-CONTEXTS = ((2, 18), (4, 20), (0, 20))
-START_WEIGHT = (0.25, 0.4, 0.4)
+CONTEXTS = ((2, 18), (3, 20), (4, 20), (0, 20))
+START_WEIGHT = (0.15, 0.3, 0.35, 0.3)
 RATE = 0.3
+#: Bits between two updates of a text's weights, from its first bit to its last.
 STEP_BITS = 256
-STEPS_BEFORE_DOUBLING = 16
 BLOCK_BYTES = 256 << 10
 FREQUENT = 100_000
 END = 256
@@ -228,32 +230,34 @@ class Mixer:
         slots, bits, first = self.code.spell(raw, offsets)
         inputs = [table[slot] for table, slot in zip(self.odds, slots)]
         n, gates = len(offsets) - 1, 1 << len(CONTEXTS)
-        gate = np.repeat(np.arange(n), np.diff(first))
+        gate = np.zeros(len(bits), np.int64)
         for x in inputs:
             gate = 2 * gate + (x != 0)
         # +1 and -1 for the bits: the log odds of what came are the signed ones
         sign = (2 * bits - 1).astype(np.float32)
-        weights = [np.full(n * gates, w, np.float32) for w in START_WEIGHT]
+        weights = [np.full((n, gates), w, np.float32) for w in START_WEIGHT]
         out = np.zeros(n)
-        at, end, size, step = first[:-1].copy(), first[1:], STEP_BITS, 0
+        at, end = first[:-1].copy(), first[1:]
         while len(open_ := np.flatnonzero(at < end)):
-            take = np.minimum(end[open_] - at[open_], size)
+            take = np.minimum(end[open_] - at[open_], STEP_BITS)
             starts = np.cumsum(take) - take
             here = np.repeat(at[open_] - starts, take)
             here += np.arange(len(here))
-            own, side = gate[here], sign[here]
+            # weights of the texts still open only: a long text's steps cost as much as its own bits
+            cells = len(open_) * gates
+            own, side = np.repeat(np.arange(0, cells, gates), take) + gate[here], sign[here]
             xs = [x[here] for x in inputs]
-            z = sum(w[own] * x for w, x in zip(weights, xs))
+            mine = [w[open_].ravel() for w in weights]
+            z = sum(w[own] * x for w, x in zip(mine, xs))
             z = np.clip(z * side, -20, 20)
             missed = 1 / (1 + np.exp(z))  # probability of the other bit
             out[open_] += np.add.reduceat(np.log1p(-missed), starts, dtype=np.float64)
             missed *= side
-            seen = np.maximum(np.bincount(own, minlength=n * gates), STEP_BITS // 8)
-            for w, x in zip(weights, xs):
-                w += (RATE * np.bincount(own, weights=missed * x, minlength=n * gates) / seen).astype(np.float32)
+            seen = np.maximum(np.bincount(own, minlength=cells), STEP_BITS // 8)
+            for w, m, x in zip(weights, mine, xs):
+                m += (RATE * np.bincount(own, weights=missed * x, minlength=cells) / seen).astype(np.float32)
+                w[open_] = m.reshape(-1, gates)
             at[open_] += take
-            step += 1
-            size = size * 2 if step >= STEPS_BEFORE_DOUBLING else size
         return out / np.log(10)
 
 
@@ -288,15 +292,21 @@ def _scorer(mixer: Mixer, known: np.ndarray, counts: np.ndarray, end_count: int)
                 lists = pa.ListArray.from_arrays(pa.array(rare_at.astype(np.int32)), pa.array(rare.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(at_row, at_row + n)), batch.column(0).slice(lo, n), batch.column(2).slice(lo, n),
-                     pa.array(np.diff(first) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(mixer.score(raw, offsets)), lists],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                     pa.array(np.diff(first) + 1), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(mixer.score(raw, offsets)),
+                     pa.array(np.diff(offsets)), lists],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"])
                 at_row += n
 
     return run
 
 
+def _bits_per_byte(score: Column, n_bytes: Column) -> Column:
+    return F.when(n_bytes > 0, -score * F.lit(float(np.log2(10))) / n_bytes)
+
+
 def score_texts(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row."""
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte, total_bits_per_byte)``
+    of every row."""
     docs = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     train = docs.where("NOT held_out")
     counted = written(map_arrow(train.select("text"), _token_counts, "kind int, key bigint, count bigint")
@@ -316,7 +326,9 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     rows = written(map_arrow(
         docs, _scorer(mixer, known, counts, int(symbols[END])),
         "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double, "
-        "rare array<bigint>"), "lm-rows")
+        "n_bytes bigint, rare array<bigint>"), "lm-rows")
+    # no bytes: null
+    per_byte = {r.held_out: r.x for r in rows.groupBy("held_out").agg(_bits_per_byte(F.sum("score"), F.sum("n_bytes")).alias("x")).collect()}
     rare = rows.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     joined = rare.join(words, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("count", F.lit(0)) + 0.5)).alias("rest"),
@@ -325,7 +337,10 @@ def score_texts(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     return rows.drop("rare").join(joined, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(shift)).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.lit(shift)).alias("base_score"), "score",
+        "n_bytes", _bits_per_byte(F.col("score"), F.col("n_bytes")).alias("bits_per_byte"),
+        F.when(F.col("held_out"), F.lit(per_byte.get(True)).cast("double")).otherwise(
+            F.lit(per_byte.get(False)).cast("double")).alias("total_bits_per_byte"))
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -205,6 +205,44 @@ def test_mixture_is_a_distribution_and_learns():
     assert [good, bad] == pytest.approx(one_by_one)  # a text's score depends on no other text
 
 
+def test_mixture_updates_at_every_stride_of_a_long_text():
+    import pyarrow as pa
+
+    assert [order for order, _ in mixing_lm.CONTEXTS] == [2, 3, 4, 0]
+    code = mixing_lm.Code(*mixing_lm.huffman(np.arange(mixing_lm.END + 1)))
+    rng = np.random.default_rng(2)
+    odds = [rng.normal(0, 1, 1 << b).astype(np.float32) * (rng.random(1 << b) < 0.7) for _, b in mixing_lm.CONTEXTS]
+    texts = ["ab " * 2000, "the cat sat on the mat. " * 150, "", "x"]
+    raw, offsets = next((raw, offsets) for _, raw, offsets in mixing_lm.text_blocks(pa.array(texts)))
+    slots, bits, first = code.spell(raw, offsets)
+    for r, got in enumerate(mixing_lm.Mixer(code, odds).score(raw, offsets)):
+        xs = np.stack([o[s[first[r]: first[r + 1]]] for o, s in zip(odds, slots)]).astype(float)
+        bit, n = bits[first[r]: first[r + 1]], mixing_lm.STEP_BITS
+        weights, total = {}, 0.0
+        for lo in range(0, len(bit), n):
+            steps = {}
+            for i in range(lo, min(lo + n, len(bit))):
+                x, gate = xs[:, i], tuple(xs[:, i] != 0)
+                w = weights.setdefault(gate, np.array(mixing_lm.START_WEIGHT))
+                p = 1 / (1 + np.exp(-np.clip(w @ x, -20, 20)))
+                total += math.log10(p if bit[i] else 1 - p)
+                steps.setdefault(gate, []).append((bit[i] - p) * x)
+            for gate, step in steps.items():
+                weights[gate] = weights[gate] + mixing_lm.RATE * sum(step) / max(len(step), n // 8)
+        assert got == pytest.approx(total, rel=1e-3)
+
+
+def test_bits_per_byte(spark, sf_dir, texts):
+    rows = QUERIES["op6_lm_score"](spark, sf_dir).collect()
+    for r in rows:
+        assert r.n_bytes == len(texts[r.doc_id].encode())
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / r.n_bytes) if r.n_bytes else r.bits_per_byte is None
+    for part in (True, False):
+        own = [r for r in rows if r.held_out == part]
+        total = -sum(r.score for r in own) / math.log10(2) / sum(r.n_bytes for r in own)
+        assert [r.total_bits_per_byte for r in own] == pytest.approx([total] * len(own))
+
+
 def test_language_model_cases(spark, edge_docs, no_docs, clashing_docs):
     assert mixing_lm.score_texts(no_docs).count() == 0
     rows = mixing_lm.score_texts(clashing_docs).collect()
