@@ -6,6 +6,7 @@ from strata_spark.llm.decontaminate import op2_decontaminate
 from strata_spark.llm.fingerprint import op1_fingerprint
 from strata_spark.llm.licenses import op10_license_scan
 from strata_spark.llm.line_dedup import OP7_SQL, op7_line_dedup
+from strata_spark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from strata_spark.llm.mixing_lm import op6_lm_score
 from strata_spark.llm.ngram_join import OP5_SQL, op5_ngram_join
 from strata_spark.llm.packing import op8_packing
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES = {
     "op5_ngram_join": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
