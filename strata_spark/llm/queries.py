@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strata_spark.llm.decontaminate import op2_decontaminate
 from strata_spark.llm.fingerprint import op1_fingerprint
+from strata_spark.llm.lexical_search import OP12_SQL, op12_lexical_search
 from strata_spark.llm.licenses import op10_license_scan
 from strata_spark.llm.line_dedup import OP7_SQL, op7_line_dedup
 from strata_spark.llm.merkle import OP11_SQL, op11_merkle_manifest
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 ORACLES = {
     "op5_ngram_join": OP5_SQL,
     "op7_line_dedup": OP7_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
 }
