@@ -1,9 +1,9 @@
 """Ranked lexical search with hashed max-sketches.
 
-A document's impacts (one whole number for each of its terms) are folded into a sketch: coordinate ``hash mod size`` has
-the largest impact of the terms that fall on it, and ``size`` is a power of two of at least ``SPREAD`` times the number
-of the document's different terms, so sketches of long and short texts are equally full. A query looks its terms up in
-the sketch; the weighted sum is never below the document's score. A task takes blocks of documents and a group of queries,
+A document's impacts (one whole number for each of its terms) are folded into a sketch: each term falls on ``HASHES``
+coordinates, a coordinate has the largest impact that falls on it, and the sketch's size is a power of two of at least
+``SPREAD`` times the number of the document's different terms, so sketches of long and short texts are equally full. A
+query takes the least of a term's coordinates; the weighted sum is never below the document's score. A task takes blocks of documents and a group of queries,
 gets all upper bounds of a block in one lookup, and scores documents exactly by descending bound until the bound is below
 the query's threshold, the score of the worst of the ``TOP`` that the task has so far. Equal bounds are scored as well,
 so ties are settled by ``doc_id``. Tasks hand on at most ``TOP`` rows a query.
@@ -36,7 +36,8 @@ from strata_spark.llm.tasks import map_arrow
 from strata_spark.llm.words import Spans, blocks, utf8
 
 TOP = 10
-SPREAD = 4
+SPREAD = 16
+HASHES = 2
 GROUP_BYTES = 1 << 20
 #: Looked-up numbers that are held at a time.
 LOOKUPS = 1 << 18
@@ -67,6 +68,11 @@ def _text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield lo, *term_hashes(raw[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
 
 
+def coordinates(terms: np.ndarray, size: int) -> list[np.ndarray]:
+    """Places of terms in a sketch of ``size``, a power of two: one for each of ``HASHES`` parts of the hash."""
+    return [((terms >> np.uint64(64 // HASHES * k)) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
+
+
 class Queries:
     """Terms of a group of queries: ``terms`` are the different hashes, ``at`` the place of each query's terms in them."""
 
@@ -124,10 +130,13 @@ class Searcher:
     def bounds(self, sketches: np.ndarray) -> np.ndarray:
         """Upper bound of each query's score for each row of ``sketches``, all of one size."""
         q = self.queries
-        place = (q.terms & np.uint64(sketches.shape[1] - 1)).astype(np.int64)[q.at]
-        step = max(1, LOOKUPS // max(1, len(place)))
-        return np.concatenate([np.add.reduceat(sketches[i: i + step, place] * self.weights, q.starts[:-1], axis=1)
-                               for i in range(0, len(sketches), step)])
+        places = [p[q.at] for p in coordinates(q.terms, sketches.shape[1])]
+        step = max(1, LOOKUPS // max(1, len(q.at)))
+        out = []
+        for i in range(0, len(sketches), step):
+            least = np.minimum.reduce([sketches[i: i + step, p] for p in places])
+            out.append(np.add.reduceat(least * self.weights, q.starts[:-1], axis=1))
+        return np.concatenate(out)
 
     def score(self, query: int, terms: np.ndarray, impacts: np.ndarray) -> int:
         a, b = self.queries.starts[query], self.queries.starts[query + 1]
@@ -148,6 +157,8 @@ class Searcher:
     def take(self, ids: list[int | None], hashes: np.ndarray, first: np.ndarray) -> None:
         """Searches one block: all bounds first, then documents by descending bound as far as the threshold."""
         docs, by_size = [], {}
+        if not self.queries.ids:
+            return
         for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
             if b > a:
                 terms, counts = np.unique(hashes[a:b], return_counts=True)
@@ -155,6 +166,7 @@ class Searcher:
                 size = 1 << max(4, (SPREAD * len(terms) - 1).bit_length())
                 by_size.setdefault(size, []).append(len(docs))
                 docs.append((ids[i], terms, impacts))
+        bounds = np.zeros((len(docs), len(self.queries.ids)), np.int64)
         for size, members in by_size.items():
             # long texts are sketched a few at a time
             step = max(1, (LOOKUPS << 2) // size)
@@ -162,8 +174,10 @@ class Searcher:
                 part = members[lo: lo + step]
                 sketches = np.zeros((len(part), size), np.int64)
                 for row, d in enumerate(part):
-                    np.maximum.at(sketches[row], (docs[d][1] & np.uint64(size - 1)).astype(np.int64), docs[d][2])
-                self._rescore([docs[d] for d in part], self.bounds(sketches))
+                    for place in coordinates(docs[d][1], size):
+                        np.maximum.at(sketches[row], place, docs[d][2])
+                bounds[part] = self.bounds(sketches)
+        self._rescore(docs, bounds)
 
     def _rescore(self, docs: list[tuple], bounds: np.ndarray) -> None:
         open_ = bounds >= self.least
