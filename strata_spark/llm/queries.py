@@ -14,6 +14,7 @@ from strata_spark.llm.packing import op8_packing
 from strata_spark.llm.pii import op3_pii
 from strata_spark.llm.token_counts import op4_token_counts
 from strata_spark.llm.toxicity import op9_toxicity
+from strata_spark.llm.warc import OP13_SQL, op13_warc
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_lexical_search": op12_lexical_search,
+    "op13_warc": op13_warc,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op7_line_dedup": OP7_SQL,
     "op11_merkle_manifest": OP11_SQL,
     "op12_lexical_search": OP12_SQL,
+    "op13_warc": OP13_SQL,
 }
