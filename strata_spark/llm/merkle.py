@@ -95,7 +95,8 @@ def _block_levels() -> list[Column]:
     """The nodes of a block's own levels, from the leaves up; a level that the group lacks repeats the one below."""
     levels = [F.transform("leaves", lambda x: x.node)]
     for k in range(1, BLOCK_LEVELS + 1):
-        levels.append(_bound(levels[-1], lambda x, k=k: F.when(F.col("height") >= k, _parents(x)).otherwise(x)))
+        has = F.col("height") >= k
+        levels.append(_bound(levels[-1], lambda x: F.when(has, _parents(x)).otherwise(x)))  # noqa: B023
     return levels
 
 
@@ -121,10 +122,11 @@ def exchange(blocks: DataFrame, rounds: int) -> DataFrame:
     return blocks
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """``(group, carried, node, root, path)`` for nodes ``(group, key, node, tie, carried)``; ``group`` is not null.
+def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and upper paths of nodes ``(group, key, node, tie, carried)``; ``group`` is not null.
 
-    ``path`` has, from the leaf up, the leaf's place in each run and the run's nodes; ``root`` is the group's.
+    Blocks hold up to ``FANOUT ** BLOCK_LEVELS`` leaves each; ``upper`` has a row for each block with the root of its
+    group and the path above the block.
     """
     numbered, largest = _numbered(nodes)
     blocks = written(
@@ -132,19 +134,27 @@ def forest(nodes: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("pos", "node", "carried"))).alias("leaves"))
         .withColumn("height", _height(F.col("total"))), "merkle-blocks")
     rounds = sum(FANOUT ** (BLOCK_LEVELS + r) < largest for r in range(MAX_LEVELS - BLOCK_LEVELS))
-    levels = _block_levels()
-    upper = exchange(blocks.select("group", "block", "total", "height", levels[-1][0].alias("root")), rounds)
-    both = blocks.join(upper.select("group", "block", "root", F.col("path").alias("above")), ["group", "block"])
+    upper = exchange(blocks.select("group", "block", "total", "height", _block_levels()[-1][0].alias("root")), rounds)
+    return blocks, written(upper.select("group", "block", "root", "path"), "merkle-upper")
+
+
+def leaves_of(blocks: DataFrame, upper: DataFrame) -> DataFrame:
+    """``(carried, node, path)`` of each leaf and the further columns of ``upper``.
+
+    ``path`` has, from the leaf up, the leaf's place in each run and the run's nodes.
+    """
+    own = [c for c in upper.columns if c not in ("group", "block", "path")]
+    both = blocks.join(upper.withColumnRenamed("path", "above"), ["group", "block"])
 
     def steps(i: Column) -> Column:
-        own = F.array(*[F.struct((_div(i, FANOUT**k) % FANOUT).cast("int").alias("digit"),
-                                 _run(F.col(f"level{k}"), _div(i, FANOUT ** (k + 1))).alias("run")) for k in range(BLOCK_LEVELS)])
-        return F.concat(F.slice(own, F.lit(1), F.least(F.col("height"), F.lit(BLOCK_LEVELS))), F.col("above"))
+        inside = F.array(*[F.struct((_div(i, FANOUT**k) % FANOUT).cast("int").alias("digit"),
+                                    _run(F.col(f"level{k}"), _div(i, FANOUT ** (k + 1))).alias("run")) for k in range(BLOCK_LEVELS)])
+        return F.concat(F.slice(inside, F.lit(1), F.least(F.col("height"), F.lit(BLOCK_LEVELS))), F.col("above"))
 
-    both = both.select("group", "height", "leaves", "root", "above", *[c.alias(f"level{k}") for k, c in enumerate(levels[:-1])])
-    found = both.select("group", "root", F.explode(F.transform("leaves", lambda x, i: F.struct(
+    both = both.select("height", "leaves", "above", *own, *[c.alias(f"level{k}") for k, c in enumerate(_block_levels()[:-1])])
+    found = both.select(*own, F.explode(F.transform("leaves", lambda x, i: F.struct(
         x.carried.alias("carried"), x.node.alias("node"), steps(i).alias("path")))).alias("x"))
-    return found.select("group", "x.carried", "x.node", "root", "x.path")
+    return found.select("x.carried", "x.node", "x.path", *own)
 
 
 def fold(leaf: Column, path: Column) -> Column:
@@ -173,14 +183,17 @@ def manifest(docs: DataFrame, claim: Column | None = None, fields: Sequence[str]
         F.monotonically_increasing_id().alias("tie"),
         F.struct(F.col(key).alias("key"), F.col(group).alias("group"),
                  (leaf if claim is None else claim).alias("claim")).alias("carried")), "merkle-leaves")
-    rows = forest(nodes)
-    roots = written(rows.groupBy("group").agg(F.max("root").alias("node")), "merkle-subroots")
-    top = forest(roots.select(F.lit("").alias("group"), F.col("group").alias("key"), "node", F.lit(0).cast("bigint").alias("tie"),
-                              F.struct("group").alias("carried")))
-    top = top.select(F.col("carried.group").alias("group"), F.col("root").alias("table_root"), F.col("path").alias("table_path"))
-    return rows.join(top, "group").select(
-        F.col("carried.key").alias(key), F.col("carried.group").alias(group), F.col("node").alias("leaf"),
-        F.col("root").alias("subroot"), F.col("table_root").alias("root"), F.concat("path", "table_path").alias("path"), "carried.claim")
+    blocks, upper = forest(nodes)
+    roots = upper.where("block = 0").select(F.lit("").alias("group"), F.col("group").alias("key"), F.col("root").alias("node"),
+                                            F.lit(0).cast("bigint").alias("tie"), F.struct("group").alias("carried"))
+    top = leaves_of(*forest(roots)).select(F.col("carried.group").alias("group"), F.col("path").alias("table_path"),
+                                           F.col("root").alias("table_root"))
+    # the groups' paths are joined to blocks, of which there are far fewer than leaves
+    upper = upper.join(top, "group").select("group", "block", F.concat("path", "table_path").alias("path"),
+                                            F.col("root").alias("subroot"), F.col("table_root").alias("root"))
+    return leaves_of(blocks, upper).select(
+        F.col("carried.key").alias(key), F.col("carried.group").alias(group), F.col("node").alias("leaf"), "subroot", "root",
+        "path", "carried.claim")
 
 
 def tampered(key: str = "doc_id", text: str = "text") -> Column:
