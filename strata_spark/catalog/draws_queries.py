@@ -108,7 +108,7 @@ def posterior_summary(spark, d):
        ["marginal", "interval"], ["mean", "median", "q025", "q975", "hdci_lo", "hdci_hi"])
 def full_summary(spark, d):
     m = ps.marginal_estimates(scored(spark, d))
-    return sm.full_summary(m, ["var", "val"])
+    return sm.full_summary(m, ["var", "val"], draws=v.N_DRAWS)
 
 
 @query("hdci", "SELECT * FROM interval", ["interval"], ["hdci_lo", "hdci_hi"])
@@ -122,7 +122,7 @@ def hdci(spark, d):
  quantile_cont(p, 0.975e0) AS q975 FROM marginal GROUP BY var, val) s JOIN interval i USING (var, val)""",
        ["marginal", "interval"], ["mean", "median", "q025", "q975", "hdci_lo", "hdci_hi"])
 def ranked_summary(spark, d):
-    return sm.full_summary(ps.marginal_estimates(scored(spark, d)), ["var", "val"])
+    return sm.ranked_summary(ps.marginal_estimates(scored(spark, d)), ["var", "val"])
 
 
 @query("rank_quantiles", """SELECT age_cat, Sex, avg(x) AS mean, quantile_cont(x, 0.5e0) AS median,
@@ -135,7 +135,7 @@ def rank_quantiles(spark, d):
         F.year("l_shipdate").cast("string").alias("age_cat"),
         F.when(F.col("l_linestatus") == "F", "Female").otherwise("Male").alias("Sex"),
         (F.col("l_extendedprice") / 1e5).alias("x"))
-    return sm.ranked_quantiles(li, ["age_cat", "Sex"], "x", n_groups=2 * 100)
+    return sm.ranked_quantiles(li, ["age_cat", "Sex"], "x")
 
 
 @query("tail_probability", """SELECT var, val, least(2e0 * avg(CASE WHEN coef_sign > 0 THEN 1 ELSE 0 END),
@@ -193,7 +193,7 @@ _TEXTS = ", ".join(f"{sql_count_percent(c, 'n')} AS {c}_text" for c in ("pos_s",
        ["marginal", "interval", "signed", "shipped_counts"],
        ["median", "hdci_lo", "hdci_hi", "mean", "q025", "q975", "p_tail"])
 def prevalence_table(spark, d):
-    return rp.prevalence_table(scored(spark, d), shipped_counts(spark, d), REFS)
+    return rp.prevalence_table(scored(spark, d), shipped_counts(spark, d), REFS, n_draws=v.N_DRAWS)
 
 
 _STACK = " UNION ALL ".join(
@@ -246,7 +246,7 @@ _FINAL = """SELECT a.var, a.val, {o}, n, pos_s, neg_s, pos_n, neg_n, vacc, a.txt
 @query("final_report", _FINAL.format(a="r_seropos", e="r_external", i="r_infection", w="r_vaccination", c="shipped_counts"),
        ["r_seropos", "r_external", "r_infection", "r_vaccination", "shipped_counts"])
 def final_report(spark, d):
-    return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection")
+    return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection", v.N_DRAWS)
 
 
 @query("full_join_nullsafe", """SELECT coalesce(a.age_cat, b.age_cat) AS age_cat, coalesce(a.Sex, b.Sex) AS Sex, a.p_any, b.p_infection
@@ -353,7 +353,7 @@ def cohort_counts(spark, d):
 def seroprevalence_report(spark, d):
     """The first half in one query: cohort, census, draws and coverage to the final table."""
     return rp.combined_report(
-        sero_measures(spark, d), cohort_counts(spark, d), SERO_REFS, SERO_NAMES, "p_infection")
+        sero_measures(spark, d), cohort_counts(spark, d), SERO_REFS, SERO_NAMES, "p_infection", v.N_DRAWS)
 
 
 _SERO_RISK = " UNION ALL ".join(f"""SELECT '{m}' AS measure, var, val, avg(rr) AS mean, quantile_cont(rr, 0.025e0) AS q025,

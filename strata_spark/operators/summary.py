@@ -8,51 +8,56 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata_spark.operators.numbering import rank_draws, value_bucket
+from strata_spark.operators.numbering import value_bucket
+from strata_spark.operators.order_stats import array_summary, moments, narrowest, rank_quantile, ranked_values, same_keys
 from strata_spark.session import broadcast_bounded
 
 LOWER, UPPER = 0.025, 0.975
+QUANTILES = {"median": 0.5, "q025": LOWER, "q975": UPPER}
+#: Values of a group that one aggregation buffer may hold; more of them are an error that names the way for them.
+MAX_DRAWS = 1_000_000
+
+
+def _within(draws: int, column: Column, value: str) -> Column:
+    """``column``, or an error where a group has more values than ``draws``."""
+    told = F.concat(F.lit(f"more than the {draws} draws a group that were declared: "), F.count(value).cast("string"),
+                    F.lit("; ranked_summary and ranked_quantiles take groups of any size"))
+    return F.when(F.count(value) > draws, F.raise_error(told)).otherwise(column)
 
 
 def posterior_summary(df: DataFrame, by: Sequence[str], value: str = "p",
-                      extra: Mapping[str, Column] | None = None) -> DataFrame:
+                      extra: Mapping[str, Column] | None = None, draws: int = MAX_DRAWS) -> DataFrame:
     """Mean, 2.5% and 97.5% quantile in one aggregate, with ``extra`` aggregates beside them.
 
-    A group holds one value per draw. For groups of unknown size use
+    A group holds one value per draw, at most ``draws`` of them, which is checked. For groups of unknown size use
     ``ranked_quantiles``.
     """
     q = F.percentile(value, F.array(F.lit(LOWER), F.lit(UPPER)))
     extra = extra or {}
     return df.groupBy(*by).agg(
-        F.avg(value).alias("mean"), q.alias("_q"), *[c.alias(k) for k, c in extra.items()]
+        _within(draws, F.avg(value), value).alias("mean"), q.alias("_q"), *[c.alias(k) for k, c in extra.items()]
     ).select(*by, "mean", F.col("_q")[0].alias("q025"), F.col("_q")[1].alias("q975"), *extra)
 
 
 def full_summary(df: DataFrame, by: Sequence[str], value: str = "p", *, prob: float = 0.95,
-                 extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """Mean, median, quantiles and highest-density interval over draws, for groups of any size.
+                 extra: Mapping[str, Column] | None = None, draws: int | None = None) -> DataFrame:
+    """Mean, median, quantiles and highest-density interval over draws, and ``extra`` aggregates of the group.
 
-    ``extra`` are further aggregates of the group.
+    With a declared number of ``draws`` a group is one sorted array, and a larger group is an error. Without it groups
+    of any size are ranked over many tasks.
     """
+    extra = extra or {}
+    if draws is not None:
+        kept = F.sort_array(F.collect_list(value))
+        grouped = df.groupBy(*by).agg(F.avg(value).alias("mean"), _within(draws, kept, value).alias("_x"),
+                                      *[c.alias(k) for k, c in extra.items()]).where(F.size("_x") > 0)
+        stats = array_summary(F.col("_x"), QUANTILES, prob)
+        return grouped.select(*by, "mean", *[c.alias(k) for k, c in stats.items()], *extra)
     ranked = ranked_summary(df, by, value, prob)
     if not extra:
         return ranked
-    return ranked.join(df.groupBy(*by).agg(*[c.alias(k) for k, c in extra.items()]), list(by))
-
-
-def _quantile(value: str, prob: float) -> Column:
-    """Linear-interpolation quantile of ranked draws as a plain sum."""
-    position = (F.col("n_draws") - 1) * F.lit(prob) + 1
-    low = F.floor(position)
-    part = position - low
-    weight = F.when(F.col("rank") == low, 1.0 - part).when(F.col("rank") == low + 1, part)
-    return F.sum(weight * F.col(value))
-
-
-def _moments(ranked: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return ranked.groupBy(*by).agg(
-        F.avg(value).alias("mean"), _quantile(value, 0.5).alias("median"),
-        _quantile(value, LOWER).alias("q025"), _quantile(value, UPPER).alias("q975"))
+    more = df.groupBy(*by).agg(*[c.alias(k) for k, c in extra.items()])
+    return ranked.alias("s").join(more.alias("e"), same_keys("s", "e", by)).select("s.*", *[f"e.{k}" for k in extra])
 
 
 def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, n_groups: int | None = None,
@@ -60,8 +65,9 @@ def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, n_groups: int
     """Mean, median and interval quantiles, exact, of groups of any size.
 
     A histogram over value buckets tells which few buckets hold the wanted
-    ranks; only their rows are sorted. With a declared number of groups the
-    wanted buckets are broadcast, so no other row is shuffled.
+    ranks; only their rows move, and equal values among them are collapsed
+    before they do. With a declared number of groups the wanted buckets are
+    broadcast.
     """
     tagged = df.select(*by, value, value_bucket(F.col(value), per_octave).alias("_bucket"))
     group = Window.partitionBy(*by)
@@ -74,39 +80,26 @@ def ranked_quantiles(df: DataFrame, by: Sequence[str], value: str, n_groups: int
     need = histogram.where(holds).drop("_n")
     if n_groups is not None:
         need = broadcast_bounded(need, len(wanted) * n_groups)
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value)
-    ranked = tagged.where(F.col(value).isNotNull()).join(need, [*by, "_bucket"]).withColumn(
-        "rank", F.row_number().over(inside) + F.col("_offset"))
-    return ranked.groupBy(*by).agg(
-        F.first("mean").alias("mean"), _quantile(value, 0.5).alias("median"),
-        _quantile(value, LOWER).alias("q025"), _quantile(value, UPPER).alias("q975"))
+    keys = [*by, "_bucket"]
+    held = tagged.where(F.col(value).isNotNull()).alias("t").join(need.alias("h"), same_keys("t", "h", keys)).select(
+        *[F.col(f"t.`{c}`") for c in (*keys, value)], "h._offset", "h.n_draws", "h.mean")
+    # a value that many rows share is one row from here on
+    held = held.groupBy(*keys, value, "_offset", "n_draws", "mean").agg(F.count(F.lit(1)).alias("n"))
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("upto", F.sum("n").over(inside) + F.col("_offset"))
+    return ranked.groupBy(*by).agg(F.first("mean").alias("mean"), *[rank_quantile(value, q).alias(k) for k, q in QUANTILES.items()])
 
 
 def ranked_summary(df: DataFrame, by: Sequence[str], value: str = "p", prob: float = 0.95) -> DataFrame:
-    """Mean, median, quantiles and highest-density interval from ranked draws.
-
-    Ranks are made bucket by bucket and every step after them is an equi join
-    or a sum, so one group never has to fit in one task.
-    """
-    ranked = rank_draws(df.select(*by, value), by, value)
-    return _moments(ranked, by, value).join(_narrowest(ranked, by, value, prob), list(by))
-
-
-def _narrowest(ranked: DataFrame, by: Sequence[str], value: str, prob: float) -> DataFrame:
-    step = F.floor(F.col("n_draws") * F.lit(prob)).cast("bigint")
-    low = ranked.select(*by, F.col("rank"), F.col(value).alias("lo"))
-    high = ranked.select(*by, (F.col("rank") - step).alias("rank"), F.col(value).alias("hi"))
-    pairs = low.join(high, [*by, "rank"])
-    # widths equal up to rounding noise are ties
-    width = F.round(F.col("hi") - F.col("lo"), 10)
-    best = F.min_by(F.struct("lo", "hi"), F.struct(width.alias("w"), F.col("lo")))
-    return pairs.groupBy(*by).agg(best.alias("_b")).select(
-        *by, F.col("_b.lo").alias("hdci_lo"), F.col("_b.hi").alias("hdci_hi"))
+    """Mean, median, quantiles and highest-density interval of groups of any size, from ranked values."""
+    ranked = ranked_values(df, by, value)
+    stats, interval = moments(ranked, by, value, QUANTILES), narrowest(ranked, by, value, prob)
+    return stats.alias("m").join(interval.alias("i"), same_keys("m", "i", by)).select("m.*", "i.hdci_lo", "i.hdci_hi")
 
 
 def hdci(df: DataFrame, by: Sequence[str], value: str = "p", prob: float = 0.95) -> DataFrame:
     """Narrowest interval over sorted draws that spans ``floor(prob * n)`` steps; the first on ties."""
-    return _narrowest(rank_draws(df.select(*by, value), by, value), by, value, prob)
+    return narrowest(ranked_values(df, by, value), by, value, prob)
 
 
 def tail_probability(above: Column, below: Column) -> Column:
@@ -114,11 +107,14 @@ def tail_probability(above: Column, below: Column) -> Column:
     return F.least(2.0 * F.avg(above.cast("int")), 2.0 * F.avg(below.cast("int")))
 
 
-def coefficient_summary(draws: DataFrame, metadata: Mapping[str, str] | None = None) -> DataFrame:
-    """Coefficient and odds ratio per term: mean and 95% interval, with result metadata."""
+def coefficient_summary(draws: DataFrame, metadata: Mapping[str, str] | None = None, max_draws: int = MAX_DRAWS) -> DataFrame:
+    """Coefficient and odds ratio per term: mean and 95% interval, with result metadata.
+
+    A term has at most ``max_draws`` values a fit, which is checked.
+    """
     q = F.array(F.lit(LOWER), F.lit(UPPER))
     out = draws.groupBy("fit_id", "term").agg(
-        F.avg("value").alias("mean"), F.percentile("value", q).alias("_q"),
+        _within(max_draws, F.avg("value"), "value").alias("mean"), F.percentile("value", q).alias("_q"),
         F.avg(F.exp("value")).alias("or_mean"), F.percentile(F.exp("value"), q).alias("_o"))
     return out.select(
         "fit_id", "term", "mean", F.col("_q")[0].alias("q025"), F.col("_q")[1].alias("q975"),

@@ -50,15 +50,16 @@ def prevalence_draws(scored: DataFrame, refs: Mapping[str, str], by: Sequence[st
 
 
 def prevalence_table(scored: DataFrame, counts: DataFrame, refs: Mapping[str, str],
-                     by: Sequence[str] = ("sim",), keep: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = ("sim",), keep: Sequence[str] = (), n_draws: int | None = None) -> DataFrame:
     """Counts, prevalence summaries and tail probability per category.
 
     ``by`` holds the draw key and may add a measure, which then also goes in
-    ``keep``. Numbers stay beside every text column.
+    ``keep``. With a declared number of draws a category is summarised in one
+    array. Numbers stay beside every text column.
     """
     draws = prevalence_draws(scored, refs, by)
     keys = [*keep, "var", "val"]
-    summary = full_summary(draws, keys, extra={"p_tail": sign_tail()})
+    summary = full_summary(draws, keys, extra={"p_tail": sign_tail()}, draws=n_draws)
     return _with_counts(summary, counts).select(
         *keys, category_rank(F.col("val")).alias("ord"), *COUNTS,
         "median", "hdci_lo", "hdci_hi", "mean", "q025", "q975", "p_tail",
@@ -90,7 +91,7 @@ def full_join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str])
 
 
 def combined_report(stacked: DataFrame, counts: DataFrame, refs: Mapping[str, str],
-                    measures: Mapping[str, str], tail_of: str) -> DataFrame:
+                    measures: Mapping[str, str], tail_of: str, n_draws: int | None = None) -> DataFrame:
     """Prevalence of several measures side by side.
 
     ``stacked`` has a ``measure`` column; ``measures`` maps it to report names.
@@ -98,7 +99,7 @@ def combined_report(stacked: DataFrame, counts: DataFrame, refs: Mapping[str, st
     over the declared names.
     """
     long = prevalence_table(
-        stacked, counts, refs, by=("measure", "sim"), keep=("measure",))
+        stacked, counts, refs, by=("measure", "sim"), keep=("measure",), n_draws=n_draws)
     picked = [F.max(F.when(F.col("measure") == m, F.col("mean_text"))).alias(name) for m, name in measures.items()]
     return long.groupBy("var", "val", "ord").agg(
         *[F.first(c).alias(c) for c in COUNTS], *picked,

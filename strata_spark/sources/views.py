@@ -56,12 +56,16 @@ def census(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("a") >= 105, ">= 105").otherwise(F.col("a").cast("string")).alias("Age"), "Sex", "Total")
 
 
+#: Draws of every fit of the views below.
+N_DRAWS = 200
+
+
 def scored_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored draws: several weighted rows per draw and stratum, four measures."""
     li = table(spark, sf_dir, "lineitem")
     a, b = F.col("l_discount") * 10, F.col("l_tax") * 10
     return li.select(
-        (F.col("l_orderkey") % 200).alias("sim"), F.year("l_shipdate").cast("string").alias("age_cat"),
+        (F.col("l_orderkey") % N_DRAWS).alias("sim"), F.year("l_shipdate").cast("string").alias("age_cat"),
         F.when(F.col("l_linestatus") == "F", "Female").otherwise("Male").alias("Sex"),
         F.col("l_quantity").alias("strata_pop"), a.alias("seropos"),
         b.alias("infection"), (a * b).alias("vaccination"), (1.0 - a * b).alias("external"))
@@ -124,7 +128,7 @@ def coverage_percent(spark: SparkSession) -> DataFrame:
 
 def sero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Serology model draws, wide: each is set by the mean discount and tax of its order lines."""
-    ids = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey % 200").alias("sim")).agg(F.expr(
+    ids = table(spark, sf_dir, "lineitem").groupBy(F.expr(f"l_orderkey % {N_DRAWS}").alias("sim")).agg(F.expr(
         "(4 * sum(CAST(round(l_discount * 100) AS BIGINT)) + 3 * sum(CAST(round(l_tax * 100) AS BIGINT))) / count(*)").alias("u"))
     coefficients = []
     for i, term in enumerate(SERO_DESIGN.terms):
@@ -141,7 +145,7 @@ def sero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_draws(spark: SparkSession, sf_dir: str, design: Design) -> DataFrame:
     """Threshold model draws, wide, by variant: each is set by the mean value of its events."""
-    ids = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("fit_id"), F.expr("event_id % 200").alias("sim")).agg(
+    ids = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("fit_id"), F.expr(f"event_id % {N_DRAWS}").alias("sim")).agg(
         F.expr("sum(CAST(floor(value) AS BIGINT)) / count(value)").alias("u"))
     return ids.selectExpr(
         "fit_id", "sim",
