@@ -51,7 +51,43 @@ def is_loo(spark, d):
     return cp.is_loo_pointwise(pointwise(spark, d), CELL_OBS)
 
 
-@query("psis_loo")
+_CELL = "concat_ws('|', fit_id, age_cat, sex, coalesce(inf_latest, '-'), vacc_status_3way, child, y)"
+
+
+def _psis(ll: str) -> dict:
+    """Smoothed leave-one-out over the view ``ll``, one relation a step: draws in order, tail, grid, shape, weights."""
+    return {
+        f"{ll}_ranked": (f"""SELECT *, CAST(floor(least(2e-1 * s, 3 * sqrt(s))) AS BIGINT) AS m FROM (
+ SELECT *, {_CELL} AS cell, row_number() OVER (PARTITION BY {_CELL} ORDER BY log_lik) AS rk,
+ count(*) OVER (PARTITION BY {_CELL}) AS s, min(log_lik) OVER (PARTITION BY {_CELL}) AS lo,
+ max(log_lik) OVER (PARTITION BY {_CELL}) AS hi FROM {ll}) x""", (ll,)),
+        f"{ll}_tail": (f"""SELECT cell, m, m - rk + 1 AS i, log_lik AS x, lo, exp(lo - cut) AS c, exp(lo - log_lik) - exp(lo - cut) AS e FROM (
+ SELECT *, max(CASE WHEN rk = m + 1 THEN log_lik END) OVER (PARTITION BY cell) AS cut FROM {ll}_ranked) x WHERE rk <= m""", (f"{ll}_ranked",)),
+        f"{ll}_smooth": (f"""SELECT cell, m, max(e) AS top, max(CASE WHEN i = CAST(floor(m / 4e0 + 5e-1) AS BIGINT) THEN e END) AS quarter,
+ 30 + CAST(floor(sqrt(m)) AS BIGINT) AS g FROM {ll}_tail GROUP BY cell, m HAVING m >= 5 AND min(e) > 0""", (f"{ll}_tail",)),
+        f"{ll}_grid": (f"""SELECT cell, m, b, m * (ln(-b / k) - k - 1) AS fit FROM (SELECT g.cell, g.m, b, avg(ln(1 - b * e)) AS k FROM (
+ SELECT cell, m, j, 1 / top + (1 - sqrt(g / (j - 5e-1))) / (3 * quarter) AS b FROM (
+ SELECT *, unnest(range(1, g + 1)) AS j FROM {ll}_smooth) x) g JOIN {ll}_tail t ON g.cell = t.cell GROUP BY g.cell, g.m, j, b) y""",
+                       (f"{ll}_smooth", f"{ll}_tail")),
+        f"{ll}_shape": (f"""SELECT cell, raw, (m * raw + 5) / (m + 10) AS k, -raw / b AS scale FROM (SELECT b.cell, b.m, b, avg(ln(1 - b * e)) AS raw FROM (
+ SELECT cell, m, sum(b * exp(fit - best)) / sum(exp(fit - best)) AS b FROM (
+ SELECT *, max(fit) OVER (PARTITION BY cell) AS best FROM {ll}_grid) x GROUP BY cell, m) b JOIN {ll}_tail t ON b.cell = t.cell
+ GROUP BY b.cell, b.m, b) y""", (f"{ll}_grid", f"{ll}_tail")),
+        f"{ll}_weights": (f"""SELECT r.*, least(CASE WHEN rk <= r.m AND k IS NOT NULL THEN ln(c + scale * CASE WHEN abs(k) > 1e-12
+ THEN (exp(-k * ln(1 - (i - 5e-1) / r.m)) - 1) / k ELSE -ln(1 - (i - 5e-1) / r.m) END) ELSE r.lo - log_lik END, 0) AS w,
+ CASE WHEN k IS NOT NULL THEN k WHEN r.m >= 5 THEN CAST('-inf' AS DOUBLE) ELSE CAST('inf' AS DOUBLE) END AS pareto_k
+ FROM {ll}_ranked r LEFT JOIN {ll}_shape h ON r.cell = h.cell LEFT JOIN {ll}_tail t ON r.cell = t.cell AND rk = r.m - i + 1""",
+                          (f"{ll}_ranked", f"{ll}_shape", f"{ll}_tail")),
+        f"{ll}_psis": (f"""SELECT {{keys}}, lppd, elpd, pareto_k, lppd - elpd AS p_eff FROM (SELECT {{keys}}, pareto_k,
+ max(hi) + ln(avg(exp(log_lik - hi))) AS lppd, max(lo) + ln(sum(exp(w + log_lik - lo))) - ln(sum(exp(w))) AS elpd
+ FROM {ll}_weights GROUP BY {{keys}}, pareto_k) x""".replace("{keys}", _OBS), (f"{ll}_weights",)),
+    }
+
+
+VIEWS.update(_psis("ll_additive"))
+
+
+@query("psis_loo", "SELECT * FROM ll_additive_psis", ["ll_additive_psis"], ["lppd", "elpd", "pareto_k", "p_eff"])
 def psis_loo(spark, d):
     return cp.psis_loo_pointwise(pointwise(spark, d), CELL_OBS)
 

@@ -6,11 +6,9 @@ per cell and weighted by the cell count ``n``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
@@ -19,80 +17,132 @@ from strata_spark.functions.levels import choose
 PAIR_TOLERANCE = 2.0 - 0.1
 
 
-def waic_pointwise(loglik: DataFrame, obs: Sequence[str]) -> DataFrame:
-    """Per observation cell: log predictive density, effective parameters, elpd.
+#: Width of the ranges of log-likelihood inside which sums of exponentials neither under- nor overflow.
+RANGE = 512.0
+#: Shares and counts of the smoothed tail: least(share * s, factor * sqrt(s)) draws, and the fewest that are smoothed.
+TAIL_SHARE, TAIL_FACTOR, TAIL_FEWEST = 0.2, 3.0, 5
+#: Profile grid of the tail's shape: its least size, its spread, and the weight of the prior shape one half.
+GRID_LEAST, GRID_SPREAD, PRIOR_WEIGHT = 30, 3.0, 10.0
+
+
+def _total(values: Column, term: Callable[[Column], Column] = lambda x: x) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + term(x))
+
+
+def _bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of ``value``, which is evaluated once a row however often, and however deep, the function names it."""
+    return F.transform(F.array(value), function)[0]
+
 
-    Log-likelihoods are bounded below by the probability guard, so ``exp``
-    neither under- nor overflows and one aggregate is enough.
+def _range_sums(loglik: DataFrame, obs: Sequence[str]) -> DataFrame:
+    """Per cell: ``n``, number and mean of draws, their squared deviations, and shifted sums by range of ``log_lik``.
+
+    Sums of one range of a cell are made on the map side; a cell has a handful of ranges.
     """
-    return loglik.groupBy(*obs).agg(
-        F.first("n").alias("n"), F.ln(F.avg(F.exp("log_lik"))).alias("lppd"),
-        F.var_samp("log_lik").alias("p_eff")).withColumn("elpd", F.col("lppd") - F.col("p_eff"))
+    # missing values are left out after the first sums: a filter before them would repeat the likelihood's whole expression
+    within = loglik.withColumn("_k", F.floor(F.col("log_lik") / RANGE)).groupBy(*obs, "_k").agg(
+        F.first("n").alias("n"), F.count("log_lik").alias("_c"), F.avg("log_lik").alias("_m"),
+        (F.var_pop("log_lik") * F.count("log_lik")).alias("_d"),
+        F.sum(F.exp(F.col("log_lik") - F.col("_k") * RANGE)).alias("_up"),
+        F.sum(F.exp(F.col("_k") * RANGE - F.col("log_lik"))).alias("_down"))
+    mean = F.sum(F.col("_c") * F.col("_m")) / F.sum("_c")
+    return within.where("_c > 0").groupBy(*obs).agg(
+        F.first("n").alias("n"), F.sum("_c").alias("_draws"),
+        F.greatest(F.sum("_d") + F.sum(F.col("_c") * F.col("_m") * F.col("_m")) - F.sum("_c") * mean * mean, F.lit(0.0)).alias("_dev"),
+        F.collect_list(F.struct("_k", "_up", "_down")).alias("_parts"))
+
+
+def _log_mean_exp(sign: int) -> Column:
+    """Log of the mean of ``exp(sign * log_lik)``, shifted by the largest range."""
+    parts, name = F.col("_parts"), "_up" if sign > 0 else "_down"
+    top = F.array_max(F.transform(parts, lambda p: p["_k"] * float(sign)))
+    return top * RANGE + F.ln(_total(parts, lambda p: p[name] * F.exp((p["_k"] * float(sign) - top) * RANGE)) / F.col("_draws"))
+
+
+def waic_pointwise(loglik: DataFrame, obs: Sequence[str]) -> DataFrame:
+    """Per observation cell: log predictive density, effective parameters, elpd."""
+    variance = F.when(F.col("_draws") > 1, F.col("_dev") / (F.col("_draws") - 1))
+    return _range_sums(loglik, obs).select(*obs, "n", _log_mean_exp(1).alias("lppd"), variance.alias("p_eff")).withColumn(
+        "elpd", F.col("lppd") - F.col("p_eff"))
 
 
 def is_loo_pointwise(loglik: DataFrame, obs: Sequence[str]) -> DataFrame:
     """Importance-sampling leave-one-out density per observation cell."""
-    return loglik.groupBy(*obs).agg(
-        F.first("n").alias("n"), F.ln(F.avg(F.exp("log_lik"))).alias("lppd"),
-        (-F.ln(F.avg(F.exp(-F.col("log_lik"))))).alias("elpd")).withColumn("p_eff", F.col("lppd") - F.col("elpd"))
-
-
-def _tail_shape(excess: np.ndarray) -> tuple[float, float]:
-    """Generalised Pareto shape and scale of sorted excesses (empirical Bayes estimate)."""
-    n = len(excess)
-    m = 30 + int(np.sqrt(n))
-    quarter = excess[int(n / 4 + 0.5) - 1]
-    b = 1.0 / excess[-1] + (1.0 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3.0 * quarter)
-    k = np.log1p(-b[:, None] * excess).mean(axis=1)
-    profile = n * (np.log(-b / k) - k - 1.0)
-    weight = 1.0 / np.exp(profile[None, :] - profile[:, None]).sum(axis=1)
-    b_mean = (b * weight).sum() / weight.sum()
-    shape = np.log1p(-b_mean * excess).mean()
-    scale = -shape / b_mean
-    return (n * shape + 5.0) / (n + 10.0), scale
-
-
-def smoothed_elpd(log_lik: np.ndarray) -> tuple[float, float]:
-    """Leave-one-out density with Pareto-smoothed importance weights, and the tail shape."""
-    log_w = -log_lik
-    log_w = log_w - log_w.max()
-    s = len(log_w)
-    tail = int(min(0.2 * s, 3.0 * np.sqrt(s)))
-    shape = np.inf
-    if tail >= 5:
-        order = np.argsort(log_w, kind="stable")
-        top = order[-tail:]
-        cutoff = log_w[order[-tail - 1]]
-        excess = np.exp(log_w[top]) - np.exp(cutoff)
-        if excess[0] > 0 and excess[-1] > 0:
-            shape, scale = _tail_shape(excess)
-            prob = (np.arange(1, tail + 1) - 0.5) / tail
-            body = np.expm1(-shape * np.log1p(-prob)) / shape if abs(shape) > 1e-12 else -np.log1p(-prob)
-            log_w = log_w.copy()
-            log_w[top] = np.minimum(np.log(np.exp(cutoff) + scale * body), 0.0)
-        else:
-            shape = -np.inf
-    total = log_w.max() + np.log(np.exp(log_w - log_w.max()).sum())
-    joint = log_w + log_lik
-    return float(joint.max() + np.log(np.exp(joint - joint.max()).sum()) - total), float(shape)
-
-
-def _smoothed(log_lik: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([smoothed_elpd(np.asarray(x)) for x in log_lik], columns=["elpd", "pareto_k"])
+    return _range_sums(loglik, obs).select(
+        *obs, "n", _log_mean_exp(1).alias("lppd"), (-_log_mean_exp(-1)).alias("elpd")).withColumn(
+        "p_eff", F.col("lppd") - F.col("elpd"))
+
+
+def _pareto_tail(excess: Column, m: Column) -> Column:
+    """``shape`` and ``scale`` of a generalised Pareto tail of ``m`` ascending excesses, by a profile over a grid."""
+    size = F.lit(GRID_LEAST) + F.floor(F.sqrt(m.cast("double"))).cast("int")
+    ends = F.struct(F.element_at(excess, -1).alias("top"), F.get(excess, F.floor(m / 4 + 0.5).cast("int") - 1).alias("quarter"), size.alias("size"))
+
+    def mean_log(b: Column) -> Column:
+        return _total(excess, lambda e: F.log1p(-b * e)) / m
+
+    def grid(x: Column) -> Column:
+        points = F.transform(F.sequence(F.lit(1), x["size"]), lambda j: 1.0 / x["top"] + (
+            1.0 - F.sqrt(x["size"] / (j - 0.5))) / (GRID_SPREAD * x["quarter"]))
+        return F.transform(points, lambda b: F.struct(b.alias("b"), _bound(
+            mean_log(b), lambda k: m * (F.ln(-b / k) - k - 1.0)).alias("fit")))
+
+    def weighted(profile: Column) -> Column:
+        return _bound(F.array_max(F.transform(profile, lambda g: g["fit"])), lambda top: _total(
+            profile, lambda g: g["b"] * F.exp(g["fit"] - top)) / _total(profile, lambda g: F.exp(g["fit"] - top)))
+
+    def fitted(b: Column) -> Column:
+        return _bound(mean_log(b), lambda raw: F.struct(
+            ((m * raw + PRIOR_WEIGHT / 2) / (m + PRIOR_WEIGHT)).alias("shape"), (-raw / b).alias("scale")))
+
+    return _bound(ends, lambda x: _bound(grid(x), lambda profile: _bound(weighted(profile), fitted)))
+
+
+def _smoothed(tail: Column, m: Column, lo: Column, cut: Column, draws: Column, every: Column) -> Column:
+    """``elpd`` and ``shape`` with the weights of ``tail`` (descending log-likelihoods) replaced by Pareto quantiles."""
+    def density(excess: Column, fit: Column) -> Column:
+        def weight(i: Column) -> Column:
+            upper = F.log1p(-(i - 0.5) / m)
+            body = F.when(F.abs(fit["shape"]) > 1e-12, F.expm1(-fit["shape"] * upper) / fit["shape"]).otherwise(-upper)
+            return F.least(F.ln(cut + fit["scale"] * body), F.lit(0.0))
+
+        weights = F.transform(tail, lambda x, i: F.struct(x.alias("x"), weight(i + 1).alias("w")))
+        rest = every - _total(tail, lambda x: F.exp(lo - x))
+        return _bound(weights, lambda ws: F.struct(
+            (lo + F.ln(draws - m + _total(ws, lambda t: F.exp(t["w"] + t["x"] - lo)))
+             - F.ln(rest + _total(ws, lambda t: F.exp(t["w"])))).alias("elpd"), fit["shape"].alias("shape")))
+
+    return _bound(F.transform(tail, lambda x: F.exp(lo - x) - cut), lambda excess: F.when(
+        excess[0] > 0, _bound(_pareto_tail(excess, m), lambda fit: density(excess, fit))))
 
 
 def psis_loo_pointwise(loglik: DataFrame, obs: Sequence[str]) -> DataFrame:
-    """Pareto-smoothed leave-one-out density per observation cell.
+    """Pareto-smoothed leave-one-out density per observation cell, and the tail shape ``pareto_k``.
 
-    The list of a cell holds one value per draw. The density depends on the
-    values alone, so they are sorted and need no draw key.
+    Draws of a cell meet once, sorted by log-likelihood. All of them enter as shifted sums; only the tail, at most
+    ``3 * sqrt(draws) + 1`` values, is kept as an array, and the rest is arithmetic on it. A cell with a tail of fewer
+    than five draws is not smoothed (shape infinity), nor is one whose tail does not rise above its cutoff (minus infinity).
     """
-    per_cell = loglik.groupBy(*obs).agg(
-        F.first("n").alias("n"), F.ln(F.avg(F.exp("log_lik"))).alias("lppd"),
-        F.sort_array(F.collect_list("log_lik")).alias("_ll"))
-    smooth = F.pandas_udf(_smoothed, "elpd double, pareto_k double")
-    scored = per_cell.withColumn("_s", smooth("_ll")).select(*obs, "n", "lppd", "_s.elpd", "_s.pareto_k")
-    return scored.withColumn("p_eff", F.col("lppd") - F.col("elpd"))
+    cell = Window.partitionBy(*obs)
+    rows = loglik.select(
+        *obs, "n", "log_lik", F.row_number().over(cell.orderBy(F.col("log_lik").asc_nulls_last())).alias("_rank"),
+        F.count("log_lik").over(cell).alias("_draws"),
+        F.min("log_lik").over(cell).alias("_lo"), F.max("log_lik").over(cell).alias("_hi"))
+    tail = F.floor(F.least(F.col("_draws") * F.lit(TAIL_SHARE), F.sqrt(F.col("_draws").cast("double")) * F.lit(TAIL_FACTOR))).cast("int")
+    ll, lo, hi = F.col("log_lik"), F.col("_lo"), F.col("_hi")
+    cells = rows.groupBy(*obs).agg(
+        F.first("n").alias("n"), F.first("_draws").alias("_draws"), F.first("_lo").alias("_lo"),
+        (F.first("_hi") + F.ln(F.avg(F.exp(ll - hi)))).alias("lppd"), F.sum(F.exp(lo - ll)).alias("_all"),
+        F.sort_array(F.collect_list(F.when(F.col("_rank") <= tail + 1, ll))).alias("_low")).where("_draws > 0")
+    # the smallest log-likelihoods have the largest weights; the last of the list is the cutoff
+    m, enough = F.size("_low") - 1, F.size("_low") > TAIL_FEWEST
+    smooth = _bound(F.struct(F.reverse(F.slice("_low", F.lit(1), m)).alias("tail"), F.exp(lo - F.element_at("_low", -1)).alias("cut"),
+                             m.alias("m")), lambda t: _smoothed(t["tail"], t["m"], lo, t["cut"], F.col("_draws"), F.col("_all")))
+    plain = lo + F.ln(F.col("_draws").cast("double")) - F.ln("_all")
+    shapeless = F.when(enough, F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
+    return cells.withColumn("_fit", F.when(enough, smooth)).select(
+        *obs, "n", "lppd", F.coalesce("_fit.elpd", plain).alias("elpd"), F.coalesce("_fit.shape", shapeless).alias("pareto_k")).withColumn(
+        "p_eff", F.col("lppd") - F.col("elpd"))
 
 
 def compare_models(pointwise: DataFrame, obs: Sequence[str], by: Sequence[str] = ("variant",),

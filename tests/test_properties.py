@@ -164,14 +164,52 @@ def test_household_likelihood_by_hand(spark, sf_dir):
         assert got[d.sim] == pytest.approx(total, abs=1e-8)
 
 
-def test_smoothed_density_is_close_to_plain_weights():
+def brute_smoothed(log_lik):
+    """Leave-one-out density with Pareto-smoothed weights of one observation, and the tail shape, step by step in numpy."""
+    log_w = -log_lik - (-log_lik).max()
+    s = len(log_w)
+    tail, shape = int(min(0.2 * s, 3.0 * np.sqrt(s))), np.inf
+    if tail >= 5:
+        order = np.argsort(log_w, kind="stable")
+        top, cutoff = order[-tail:], log_w[order[-tail - 1]]
+        excess = np.exp(log_w[top]) - np.exp(cutoff)
+        shape = -np.inf
+        if excess[0] > 0:
+            m = 30 + int(np.sqrt(tail))
+            b = 1 / excess[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * excess[int(tail / 4 + 0.5) - 1])
+            k = np.log1p(-b[:, None] * excess).mean(axis=1)
+            fit = tail * (np.log(-b / k) - k - 1)
+            weight = np.exp(fit - fit.max())
+            b = (b * weight).sum() / weight.sum()
+            raw = np.log1p(-b * excess).mean()
+            shape = (tail * raw + 5) / (tail + 10)
+            prob = (np.arange(1, tail + 1) - 0.5) / tail
+            log_w = log_w.copy()
+            log_w[top] = np.minimum(np.log(np.exp(cutoff) - raw / b * np.expm1(-shape * np.log1p(-prob)) / shape), 0)
+    both = log_w + log_lik
+    return both.max() + np.log(np.exp(both - both.max()).sum()) - np.log(np.exp(log_w).sum()), shape
+
+
+def test_accuracy_measures_by_brute_force(spark):
     rng = np.random.default_rng(5)
-    ll = rng.normal(-0.7, 0.05, 4000)
-    elpd, k = cp.smoothed_elpd(ll)
-    plain = -np.log(np.mean(np.exp(-ll)))
-    assert elpd == pytest.approx(plain, abs=1e-3) and k < 0.5
-    same, _ = cp.smoothed_elpd(np.full(50, -0.3))
-    assert same == pytest.approx(-0.3)
+    cases = {"normal": rng.normal(-0.7, 0.05, 4000), "wide": rng.normal(-3, 1.5, 1000), "flat": np.full(50, -0.3), "few": rng.normal(-1, 0.1, 12),
+             "deep": rng.normal(-800, 2, 300), "heavy": -rng.pareto(1.2, 600), "spread": np.linspace(-2000, 0, 200), "one": np.array([-0.5]),
+             "ties": np.repeat(rng.normal(-1, 0.3, 30), 20)}
+    rows = [(g, 3, float(x)) for g, xs in cases.items() for x in xs] + [("flat", 3, None)]
+    df = spark.createDataFrame(rows, "g string, n bigint, log_lik double").repartition(5)
+    smooth = {r.g: r for r in cp.psis_loo_pointwise(df, ["g"]).collect()}
+    waic = {r.g: r for r in cp.waic_pointwise(df, ["g"]).collect()}
+    plain = {r.g: r for r in cp.is_loo_pointwise(df, ["g"]).collect()}
+    for g, x in cases.items():
+        lppd = x.max() + np.log(np.mean(np.exp(x - x.max())))
+        elpd, k = brute_smoothed(x)
+        assert smooth[g].n == 3 and smooth[g].lppd == pytest.approx(lppd), g
+        assert (smooth[g].elpd, smooth[g].pareto_k) == pytest.approx((elpd, k), rel=1e-6, abs=1e-8), g
+        loo = -((-x).max() + np.log(np.mean(np.exp(-x - (-x).max()))))
+        assert (plain[g].lppd, plain[g].elpd) == pytest.approx((lppd, loo)), g
+        assert waic[g].lppd == pytest.approx(lppd), g
+        assert waic[g].p_eff == (pytest.approx(x.var(ddof=1), rel=1e-6, abs=1e-9) if len(x) > 1 else None), g
+    assert smooth["normal"].elpd == pytest.approx(plain["normal"].elpd, abs=1e-3) and smooth["normal"].pareto_k < 0.5
 
 
 def test_best_model_is_the_simplest_that_is_close(spark):
