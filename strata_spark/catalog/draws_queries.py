@@ -9,7 +9,9 @@ from strata_spark.catalog.registry import (
     VIEWS, query, sql_count_percent, sql_fixed, sql_interval, sql_logistic, sql_predictor, sql_values)
 from strata_spark.functions.levels import AGE, SEX, fan_out
 from strata_spark.functions.scalars import interval_text, logistic, logit
+from strata_spark import fixed_values as fx
 from strata_spark.operators import cohort as co
+from strata_spark.operators import convergence as cv
 from strata_spark.operators import draws as dr
 from strata_spark.operators import poststrat as ps
 from strata_spark.operators import risk
@@ -481,6 +483,57 @@ def rhat(spark, d):
     return dr.convergence(long_draws(spark, d))
 
 
+def _polynomial_sql(coefficients, x: str) -> str:
+    out = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _normal_sql(p: str) -> str:
+    tail = f"sqrt(-ln(least({p}, 1 - {p})))"
+    parts = [f"{_polynomial_sql(a, x)} / {_polynomial_sql(b, x)}" for (a, b), x in zip(
+        fx.NORMAL_QUANTILE, (f"(0.180625e0 - ({p} - 5e-1) * ({p} - 5e-1))", f"({tail} - 1.6e0)", f"({tail} - 5e0)"))]
+    return (f"CASE WHEN abs({p} - 5e-1) <= 0.425e0 THEN ({p} - 5e-1) * {parts[0]} "
+            f"WHEN {tail} <= 5 THEN sign({p} - 5e-1) * {parts[1]} ELSE sign({p} - 5e-1) * {parts[2]} END")
+
+
+VIEWS.update({
+    "chain_halves": ("""SELECT fit_id, term, chain, CASE WHEN pos > n - n // 2 THEN 1 ELSE 0 END AS half,
+ CASE WHEN pos > n - n // 2 THEN pos - n + n // 2 ELSE pos END AS pos, value FROM (SELECT *,
+ row_number() OVER (PARTITION BY fit_id, term, chain ORDER BY sim) AS pos, count(*) OVER (PARTITION BY fit_id, term, chain) AS n
+ FROM long_draws) x WHERE n >= 4 AND (pos <= n // 2 OR pos > n - n // 2)""", ("long_draws",)),
+    "chain_values": ("""SELECT h.*, 'bulk' AS kind, value AS x FROM chain_halves h UNION ALL
+ SELECT h.*, 'folded', abs(value - c) FROM chain_halves h JOIN (SELECT fit_id, term, quantile_cont(value, 5e-1) AS c FROM chain_halves
+ GROUP BY fit_id, term) m USING (fit_id, term)""", ("chain_halves",)),
+    "chain_scores": (f"""SELECT fit_id, term, kind, chain, half, pos, {_normal_sql('p')} AS z FROM (SELECT *,
+ (rank() OVER (PARTITION BY fit_id, term, kind ORDER BY x) + (count(*) OVER (PARTITION BY fit_id, term, kind, x) - 1) / 2e0 - 0.375e0)
+ / (count(*) OVER (PARTITION BY fit_id, term, kind) + 0.25e0) AS p FROM chain_values) y""", ("chain_values",)),
+    "chain_stats": ("""SELECT fit_id, term, kind, count(*) AS halves, min(n) AS n, avg(v) AS w, (min(n) - 1) / min(n) * avg(v) + var_samp(m) AS total FROM (
+ SELECT fit_id, term, kind, chain, half, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM chain_scores GROUP BY ALL) x
+ GROUP BY fit_id, term, kind""", ("chain_scores",)),
+    "chain_lags": ("""SELECT fit_id, term, lag, sum(acov) AS acov FROM (
+ SELECT a.fit_id, a.term, a.chain, a.half, b.pos - a.pos AS lag, sum(a.d * b.d) / max(a.n) AS acov FROM chain_centred a JOIN chain_centred b
+ ON a.fit_id = b.fit_id AND a.term = b.term AND a.chain = b.chain AND a.half = b.half AND b.pos >= a.pos GROUP BY ALL) x
+ GROUP BY fit_id, term, lag""", ("chain_centred",)),
+    "chain_centred": ("""SELECT *, z - avg(z) OVER (PARTITION BY fit_id, term, chain, half) AS d,
+ count(*) OVER (PARTITION BY fit_id, term, chain, half) AS n FROM chain_scores WHERE kind = 'bulk'""", ("chain_scores",)),
+    "chain_pairs": ("""SELECT fit_id, term, k, p, min(p) OVER (PARTITION BY fit_id, term ORDER BY k) AS low FROM (
+ SELECT l.fit_id, l.term, lag // 2 AS k, sum(1 - (w - acov / halves) / total) AS p FROM chain_lags l JOIN chain_stats s
+ ON l.fit_id = s.fit_id AND l.term = s.term AND s.kind = 'bulk' WHERE lag < n AND lag // 2 < n // 2 GROUP BY l.fit_id, l.term, lag // 2) x""",
+                    ("chain_lags", "chain_stats")),
+})
+
+
+@query("convergence", """SELECT s.fit_id, s.term, s.n_halves, s.n_per_half, s.rhat, least(size / tau, size * log10(size)) AS ess FROM (
+ SELECT fit_id, term, max(halves) AS n_halves, max(n) AS n_per_half, max(sqrt(total / w)) AS rhat,
+ CAST(max(halves * n) AS DOUBLE) AS size FROM chain_stats GROUP BY fit_id, term) s JOIN (
+ SELECT fit_id, term, 2 * sum(CASE WHEN low >= 0 THEN low ELSE 0 END) - 1 AS tau FROM chain_pairs GROUP BY fit_id, term) t
+ ON s.fit_id = t.fit_id AND s.term = t.term""", ["chain_stats", "chain_pairs"], ["rhat", "ess"])
+def convergence(spark, d):
+    return cv.convergence(long_draws(spark, d))
+
+
 @query("draws_widened", """SELECT 'sero' AS fit_id, CAST(sim % 4 AS INT) AS chain, CAST(sim AS INT) AS sim, {c} FROM sero_draws""".format(
     c=", ".join(f'"inf:{t}" AS "{t}"' for t in v.SERO_DESIGN.terms)), ["sero_draws"], v.SERO_DESIGN.terms)
 def draws_widened(spark, d):

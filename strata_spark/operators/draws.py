@@ -132,7 +132,10 @@ def stack_measures(scored: DataFrame, measures: Sequence[str], keys: Sequence[st
 
 
 def convergence(draws: DataFrame, by: Sequence[str] = ("fit_id", "term")) -> DataFrame:
-    """R-hat and effective draws from within- and between-chain variances."""
+    """R-hat and effective draws from within- and between-chain variances, which takes two chains and sees no autocorrelation.
+
+    ``operators.convergence`` has the measures for one chain, drifting chains and correlated draws.
+    """
     chains = draws.groupBy(*by, "chain").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_m"), F.var_samp("value").alias("_v"))
     pooled = chains.groupBy(*by).agg(
