@@ -358,6 +358,66 @@ def seroprevalence_report(spark, d):
         sero_measures(spark, d), cohort_counts(spark, d), SERO_REFS, SERO_NAMES, "p_infection", v.N_DRAWS)
 
 
+# households: both probabilities integrated over their own effect
+
+_INTEGRATED = {k: sql_logistic(f"e_{k} + sigma_{k} * z") for k in ("inf", "vacc")}
+_JOINTS = [f"{k}{x}" for x in ("", "_external") for k in JOINT]
+VIEWS.update({
+    "hh_scored": (f"""SELECT sim, age_cat, Sex, strata_pop, resp_sn_np, resp_sp_nn, vacc_response, coverage,
+ sum(w * {_INTEGRATED['inf']}) AS p, sum(w * {_INTEGRATED['vacc']}) AS q FROM (
+ SELECT d.*, age_cat, Sex, strata_pop, coverage, {_ETA['inf']} AS e_inf, {_ETA['vacc']} AS e_vacc
+ FROM {_GRID} JOIN coverage USING (age_cat, Sex)) x CROSS JOIN (VALUES {sql_values(dr.quadrature(32))}) g(z, w)
+ GROUP BY sim, age_cat, Sex, strata_pop, resp_sn_np, resp_sp_nn, vacc_response, coverage""", (*SCORE_VIEWS, "coverage")),
+    "hh_joint": (f"""SELECT o.*, x.sp_np AS sp_np_external, x.sn_np AS sn_np_external, x.sp_nn AS sp_nn_external, x.sn_nn AS sn_nn_external FROM (
+ SELECT sim, age_cat, Sex, strata_pop, p, q, {_ST} FROM (SELECT *, q * vacc_response AS pv FROM hh_scored) a) o JOIN (
+ SELECT sim, age_cat, Sex, {_ST} FROM (SELECT *, coverage * vacc_response AS pv FROM hh_scored) a) x
+ ON o.sim = x.sim AND o.age_cat = x.age_cat AND o.Sex = x.Sex""", ("hh_scored",)),
+    "hh_measures": ("""SELECT sim, age_cat, Sex, strata_pop, 1 - sn_nn AS p_any, 1 - sn_nn_external AS p_any_external, p AS p_infection,
+ q AS p_vaccination FROM hh_joint""", ("hh_joint",)),
+    "hh_responses": (" UNION ALL ".join(f"SELECT '{m}' AS measure, sim, age_cat, Sex, strata_pop, {m} AS x FROM hh_joint" for m in _JOINTS), ("hh_joint",)),
+})
+_report_views("hh_", "hh_measures", SERO_NAMES, _SERO_REF)
+HOUSEHOLD = {"sigma_infection": "sigma_inf", "sigma_vaccination": "sigma_vacc", "tol": dr.TOLERANCE}
+
+
+def covered_strata(spark, d):
+    return census_strata(spark, d).join(v.coverage(spark), ["Sex", "age_cat"])
+
+
+@query("household_report", _FINAL.format(
+    a="hh_r_p_any", e="hh_r_p_any_external", i="hh_r_p_infection", w="hh_r_p_vaccination", c="cohort_counts"),
+       [*[f"hh_r_{m}" for m in SERO_NAMES], "cohort_counts"])
+def household_report(spark, d):
+    """The first half end to end with household effects: both probabilities are averages over households, refined to 1e-8."""
+    measures = rp.stacked_seroprevalence(v.sero_draws(spark, d), covered_strata(spark, d), v.SERO_DESIGN, "coverage", **HOUSEHOLD)
+    return rp.combined_report(measures, cohort_counts(spark, d), SERO_REFS, SERO_NAMES, "p_infection", v.N_DRAWS)
+
+
+_RESPONSE_MEAN = "sum(x * strata_pop) / sum(strata_pop)"
+
+
+@query("joint_response_estimates", f"""SELECT measure, var, val, {_SUMMARY} FROM (
+ SELECT measure, sim, 'Overall' AS var, '' AS val, {_RESPONSE_MEAN} AS p FROM hh_responses GROUP BY measure, sim
+ UNION ALL SELECT measure, sim, 'Age', age_cat, {_RESPONSE_MEAN} FROM hh_responses WHERE Sex = 'Female' GROUP BY measure, sim, age_cat
+ UNION ALL SELECT measure, sim, 'Sex', Sex, {_RESPONSE_MEAN} FROM hh_responses WHERE age_cat = '[25,35)' GROUP BY measure, sim, Sex) x
+ GROUP BY measure, var, val""", ["hh_responses"], ["mean", "q025", "q975"])
+def joint_response_estimates(spark, d):
+    """Weighted estimates of the four joint responses, own and external vaccination, in one pass over all of them."""
+    stacked = rp.stacked_responses(v.sero_draws(spark, d), covered_strata(spark, d), v.SERO_DESIGN, "coverage", **HOUSEHOLD)
+    estimates = ps.conditional_estimates(stacked, AGE.ref, SEX.ref, ("measure", "sim"))
+    return sm.posterior_summary(estimates, ["measure", "var", "val"])
+
+
+@query("adaptive_integral", f"""SELECT sim, age_cat, Sex, sum(w * {sql_logistic('e + sigma_inf * z')}) AS p, true AS converged FROM (
+ SELECT sim, age_cat, Sex, sigma_inf, {_ETA['inf']} AS e FROM sero_draws d CROSS JOIN ages CROSS JOIN sexes) x CROSS JOIN (
+ SELECT i / 16e0 AS z, exp(-i * i / 512e0) / sqrt(2 * pi()) / 16e0 AS w FROM range(-144, 145) t(i)) g GROUP BY sim, age_cat, Sex""",
+       ["sero_draws", "ages", "sexes"], ["p"])
+def adaptive_integral(spark, d):
+    rows = fan_out(v.sero_draws(spark, d), AGE, SEX).withColumn("eta", F.expr(v.SERO_DESIGN.predictor("inf:")))
+    found = rows.withColumn("_i", dr.adaptive_average(F.col("eta"), F.col("sigma_inf")))
+    return found.select("sim", "age_cat", "Sex", "_i.p", (F.col("_i.error") <= dr.TOLERANCE).alias("converged"))
+
+
 _SERO_RISK = " UNION ALL ".join(f"""SELECT '{m}' AS measure, var, val, avg(rr) AS mean, quantile_cont(rr, 0.025e0) AS q025,
  quantile_cont(rr, 0.975e0) AS q975, least(2e0 * avg(CASE WHEN rr > 1 THEN 1 WHEN rr IS NOT NULL THEN 0 END),
  2e0 * avg(CASE WHEN rr < 1 THEN 1 WHEN rr IS NOT NULL THEN 0 END)) AS p_tail FROM (

@@ -163,6 +163,42 @@ def household_loglik(spark, d):
     return lk.household_loglik(v.sero_draws(spark, d), cohort, v.SERO_DESIGN, "sigma_inf", 5)
 
 
+def _household_ll(mass: str, eta: str, sigma: str, n: int, name: str) -> str:
+    """Per draw: sum over households of the log of the integral of the members' masses, at ``n`` nodes."""
+    return f"""SELECT sim, sum(top + ln(total)) AS {name} FROM (SELECT sim, hh_id, max(l) AS top, sum(exp(l - best)) AS total FROM (
+ SELECT *, max(l) OVER (PARTITION BY sim, hh_id) AS best FROM (
+ SELECT t.sim, c.hh_id, t.z, ln(max(t.w)) + sum(c.n * t.mass) AS l FROM hh_members c JOIN (
+ SELECT sim, age_cat, Sex, vaccinated, s_result, n_result, z, w, {mass} AS mass FROM (SELECT *, {_ST} FROM (
+ SELECT e.*, {sql_logistic(f'eta + {sigma} * z')} AS p, vaccinated * vacc_response AS pv, z, w FROM (
+ SELECT d.*, age_cat, Sex, vaccinated, s_result, n_result, {eta} AS eta FROM sero_draws d CROSS JOIN hh_cells) e
+ CROSS JOIN {_nodes_sql(n)}) f) h) t ON c.age_cat = t.age_cat AND c.Sex = t.Sex AND c.vaccinated = t.vaccinated
+ AND c.s_result = t.s_result AND c.n_result = t.n_result GROUP BY t.sim, c.hh_id, t.z) u) o GROUP BY sim, hh_id) r GROUP BY sim"""
+
+
+_HH_STATUS = (f"ln(greatest({_CHOSEN}, 1e-12))", _ETA["inf"], "sigma_inf")
+_HH_VACC = ("CASE WHEN vaccinated = 1 THEN ln(greatest(p, 1e-12)) ELSE ln(greatest(1 - p, 1e-12)) END", _ETA["vacc"], "sigma_vacc")
+HOUSEHOLD_NODES = 6
+VIEWS.update({
+    "hh_members": ("""SELECT hh_id, age_cat, Sex, vaccinated, s_result, n_result, count(*) AS n FROM cohort
+ WHERE s_result IS NOT NULL AND n_result IS NOT NULL AND vaccinated IS NOT NULL AND age_cat IS NOT NULL AND Sex IS NOT NULL
+ GROUP BY ALL""", ("cohort",)),
+    "hh_cells": ("SELECT DISTINCT age_cat, Sex, vaccinated, s_result, n_result FROM hh_members", ("hh_members",)),
+    **{f"hh_{kind}_{k}": (_household_ll(*terms, HOUSEHOLD_NODES * k, f"ll{k}"), ("sero_draws", "hh_members", "hh_cells"))
+       for kind, terms in (("status", _HH_STATUS), ("vacc", _HH_VACC)) for k in (1, 2)},
+})
+
+
+@query("household_loglik_both", """SELECT a.sim, b.ll2 AS ll_household, d.ll2 AS ll_vaccination, abs(b.ll2 - a.ll1) AS error_household,
+ abs(d.ll2 - c.ll1) AS error_vaccination FROM hh_status_1 a JOIN hh_status_2 b USING (sim) JOIN hh_vacc_1 c USING (sim)
+ JOIN hh_vacc_2 d USING (sim)""", ["hh_status_1", "hh_status_2", "hh_vacc_1", "hh_vacc_2"],
+       ["ll_household", "ll_vaccination", "error_household", "error_vaccination"])
+def household_loglik_both(spark, d):
+    """Both household effects, with what doubling the nodes changes."""
+    cohort = co.prepare_cohort(v.raw_cohort(spark, d))
+    return lk.household_loglik(v.sero_draws(spark, d), cohort, v.SERO_DESIGN, "sigma_inf", HOUSEHOLD_NODES,
+                               sigma_vaccination="sigma_vacc", check=True)
+
+
 @query("household_compositions", """SELECT n_cells, count(*) AS n_hh, CAST(sum(members) AS BIGINT) AS members FROM (
  SELECT hh_id, count(*) AS n_cells, sum(n) AS members FROM (
  SELECT hh_id, age_cat, Sex, vaccinated, s_result, n_result, count(*) AS n FROM cohort GROUP BY ALL) x GROUP BY hh_id) y

@@ -7,6 +7,7 @@ one expression and no ``(draw, stratum, term)`` rows are ever shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -62,6 +63,57 @@ def household_average(eta: str, sigma: str, n_nodes: int = 32) -> Column:
         f"{w!r}D / (1D + exp(-(`{eta}` + `{sigma}` * {z!r}D)))" for z, w in quadrature(n_nodes)))
 
 
+#: Equidistant nodes reach this far from zero on either side, where the normal density is below 1e-18 of its top.
+REACH = 9
+TOLERANCE = 1e-8
+REFINEMENTS = 8
+
+
+def adaptive_average(eta: Column, sigma: Column, tol: float = TOLERANCE, refinements: int = REFINEMENTS) -> Column:
+    """``E[logistic(eta + sigma * Z)]`` as ``(p, error, nodes)``, refined row by row until a halved step changes it by at most ``tol``.
+
+    The trapezoidal rule over the whole line converges exponentially, and a halved step uses all earlier nodes again.
+    A row that has converged evaluates no further nodes; one that has not after ``refinements`` keeps its ``error`` above
+    ``tol``.
+    """
+    def summed(step: float, odd: bool) -> Column:
+        reach = round(REACH / step)
+        first = -reach + (reach + 1) % 2 if odd else -reach
+        # nodes are computed from their numbers, so the expression stays small however many there are
+        numbers = F.sequence(F.lit(first), F.lit(reach), F.lit(2 if odd else 1))
+
+        def term(i: Column) -> Column:
+            z = i * step
+            return F.exp(z * z * -0.5) * (step / math.sqrt(2.0 * math.pi)) / (1.0 + F.exp(-(eta + sigma * z)))
+
+        return F.aggregate(numbers, F.lit(0.0), lambda a, i: a + term(i))
+
+    def bound(value: Column, function) -> Column:
+        return F.transform(F.array(value), function)[0]
+
+    def refined(coarse: Column, level: int) -> Column:
+        step = 0.5 ** level
+
+        def judged(fine: Column) -> Column:
+            done = F.struct(fine.alias("p"), F.abs(fine - coarse).alias("error"), F.lit(2 * round(REACH / step) + 1).alias("nodes"))
+            if level == refinements:
+                return done
+            return F.when(F.abs(fine - coarse) <= tol, done).otherwise(refined(fine, level + 1))
+
+        return bound(coarse / 2.0 + summed(step, odd=True), judged)
+
+    return bound(summed(1.0, odd=False), lambda first: refined(first, 1))
+
+
+def integration_failures(draws: DataFrame, design: Design, sigma: str, prefix: str = "", factors: Sequence[Levels] = (AGE, SEX),
+                         keep: Sequence[str] = ("sim",), tol: float = TOLERANCE, refinements: int = REFINEMENTS) -> DataFrame:
+    """The draws and strata whose integral has not reached ``tol``, with predictor, scale, error and nodes."""
+    keys = [f.name for f in factors]
+    rows = fan_out(spread(draws, "sim"), *factors).select(*keep, *keys, F.expr(design.predictor(prefix)).alias("eta"), F.col(sigma).alias("sigma"))
+    found = rows.withColumn("_i", adaptive_average(F.col("eta"), F.col("sigma"), tol, refinements))
+    return found.select(*keep, *keys, "eta", "sigma", "_i.p", "_i.error", "_i.nodes").where(F.col("error") > tol)
+
+
 def integration_errors(draws: DataFrame, design: Design, sigma: str, prefix: str = "",
                        factors: Sequence[Levels] = (AGE, SEX), nodes: tuple[int, int] = (16, 32),
                        tol: float = 1e-6) -> DataFrame:
@@ -93,20 +145,26 @@ def score_seroprevalence(
     factors: Sequence[Levels] = (AGE, SEX), weight: str = "strata_pop",
     infection_prefix: str = "inf:", vaccination_prefix: str = "vacc:",
     sigma_infection: str | None = None, sigma_vaccination: str | None = None,
-    coverage: str | None = None, n_nodes: int = 32, carry: Sequence[str] = (),
+    coverage: str | None = None, n_nodes: int = 32, carry: Sequence[str] = (), tol: float | None = None,
 ) -> DataFrame:
     """Infection, vaccination, joint and any-antibody probabilities per draw and stratum.
 
     Draws carry both coefficient sets and ``resp_sn_np``, ``resp_sp_nn`` and
     ``vacc_response``. With a sigma column the probability is integrated over
-    households. With ``coverage`` (a column of ``strata``) vaccination comes
+    households, with ``n_nodes`` or, given ``tol``, refined row by row; a row that does not reach
+    it is an error that names its draw. With ``coverage`` (a column of ``strata``) vaccination comes
     from outside instead of from the model. ``carry`` names further strata
     columns to keep.
     """
     keys = [f.name for f in factors]
 
     def probability(eta: str, sigma: str | None) -> Column:
-        return logistic(F.col(eta)) if sigma is None else household_average(eta, sigma, n_nodes)
+        if sigma is None or tol is None:
+            return logistic(F.col(eta)) if sigma is None else household_average(eta, sigma, n_nodes)
+        told = F.concat(F.lit("no convergence of the household integral of draw "), F.concat_ws("/", *[F.col(k).cast("string") for k in keep]),
+                        F.lit(", scale "), F.col(sigma).cast("string"))
+        return F.transform(F.array(adaptive_average(F.col(eta), F.col(sigma), tol)), lambda r: F.when(
+            r["error"] <= tol, r["p"]).otherwise(F.raise_error(told).cast("double")))[0]
 
     etas = fan_out(spread(draws, "sim"), *factors).withColumns({
         "_inf": F.expr(design.predictor(infection_prefix)),

@@ -22,9 +22,11 @@ from strata_spark.operators.cohort import child_flag
 from strata_spark.operators.design import Design
 from strata_spark.operators.draws import household_average, quadrature, spread
 from strata_spark.operators.status import result_mass, true_status
-from strata_spark.session import broadcast_bounded
+from strata_spark.session import broadcast_bounded, written
 
 UNDATED_SCENARIOS = ("inf_bef_2022", "inf_2022")
+#: Compositions and draws of one tile of the household likelihood.
+COMP_TILE, DRAW_TILE = 2048, 64
 PANEL_CELL = ("variant", "age_cat", "sex", "inf_latest", "vacc_status_3way", "child", "y")
 SERO_CELL = ("age_cat", "Sex", "vaccinated", "s_result", "n_result")
 
@@ -158,50 +160,87 @@ def household_compositions(cohort: DataFrame, age: Levels = AGE, sex: Levels = S
     return listed.groupBy("comp").agg(F.count(F.lit(1)).alias("n_hh"))
 
 
-def _bucket_marginals(n_cells: int, log_weights: Sequence[float]):
-    """Sum of log marginals of one bucket of compositions, for every draw."""
+def _tile_marginals(n_cells: int, log_weights: Sequence[Sequence[float]]):
+    """Sums of log marginals of one tile: a block of compositions by a block of draws, for each rule of ``log_weights``."""
     def run(comps: pd.DataFrame, theta: pd.DataFrame) -> pd.DataFrame:
-        # cells x (node, draw)
-        t = np.stack([np.asarray(x) for x in theta["log_mass"]]).reshape(len(theta), n_cells, len(log_weights))
-        t = t.transpose(1, 2, 0).reshape(n_cells, -1)
-        total = np.zeros(len(theta))
-        for start in range(0, len(comps), 512):
-            part = comps.iloc[start:start + 512]
-            counts = np.zeros((len(part), n_cells))
-            for i, (cells, n) in enumerate(zip(part["cells"], part["counts"])):
-                counts[i, cells] = n
-            ll = (counts @ t).reshape(len(part), len(log_weights), -1) + np.asarray(log_weights)[None, :, None]
-            top = ll.max(axis=1)
-            marginal = top + np.log(np.exp(ll - top[:, None, :]).sum(axis=1))
-            total += part["n_hh"].to_numpy(float) @ marginal
-        return pd.DataFrame({"sim": theta["sim"], "ll": total})
+        if not len(theta):  # no draw has this block
+            return pd.DataFrame({"sim": [], **{f"ll{k}": [] for k in range(len(log_weights))}})
+        lengths = comps["cells"].str.len().to_numpy()
+        counts = np.zeros((len(comps), n_cells))
+        if len(comps):
+            counts[np.repeat(np.arange(len(comps)), lengths), np.concatenate(comps["cells"].to_list())] = np.concatenate(comps["counts"].to_list())
+        weight, out = comps["n_hh"].to_numpy(float), {"sim": theta["sim"]}
+        for k, rule in enumerate(log_weights):
+            # cells x (node, draw)
+            t = np.stack([np.asarray(x) for x in theta[f"m{k}"]]).reshape(len(theta), n_cells, len(rule))
+            t = t.transpose(1, 2, 0).reshape(n_cells, -1)
+            total = np.zeros(len(theta))
+            for start in range(0, len(comps), 512):
+                ll = (counts[start:start + 512] @ t).reshape(-1, len(rule), len(theta)) + np.asarray(rule)[None, :, None]
+                top = ll.max(axis=1)
+                total += weight[start:start + 512] @ (top + np.log(np.exp(ll - top[:, None, :]).sum(axis=1)))
+            out[f"ll{k}"] = total
+        return pd.DataFrame(out)
 
     return run
 
 
 def household_loglik(draws: DataFrame, cohort: DataFrame, design: Design, sigma: str, n_nodes: int = 5,
                      age: Levels = AGE, sex: Levels = SEX, infection_prefix: str = "inf:",
-                     buckets: int | None = None) -> DataFrame:
-    """Log marginal likelihood of joint results per draw, household effects integrated out.
-
-    A draw is one row with the log mass of every cell at every quadrature
-    node. Compositions are spread over hash buckets, every bucket gets the
-    draws, and a bucket is one matrix product in its task. Neither a large
-    household nor a frequent composition makes a bucket large.
+                     sigma_vaccination: str | None = None, vaccination_prefix: str = "vacc:", check: bool = False,
+                     comp_tile: int = COMP_TILE, draw_tile: int = DRAW_TILE) -> DataFrame:
+    """Log marginal likelihood of a cohort per draw, household effects integrated out: ``ll_household``.
+
+    With ``sigma_vaccination`` households have a second effect, on vaccination, and ``ll_vaccination`` is added. Test
+    results depend on the vaccination that was seen and not on its probability, and the two effects are independent, so
+    the double integral is the product of two. With ``check`` every rule is also taken with twice the nodes, whose
+    results are returned, and ``error_*`` is what the doubling changed.
+
+    A draw is one row with the log mass of every cell at every node. Compositions and draws are cut into blocks, and
+    a tile, one block of each, is a matrix product in its task: compositions are copied once for each block of draws
+    and draws once for each block of compositions, so what a task holds depends on neither number. Neither a large
+    household nor a frequent composition makes a block large.
     """
-    buckets = buckets or 4 * int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = quadrature(n_nodes)
+    rules = [quadrature(n) for n in ((n_nodes, 2 * n_nodes) if check else (n_nodes,))]
     n_cells = grid_size(age, sex) * 8
     grid = _sero_grid(draws, age, sex).withColumn("_eta", F.expr(design.predictor(infection_prefix)))
-    grid = grid.withColumns({
-        f"_p{k}": logistic(F.col("_eta") + F.col(sigma) * z) for k, (z, _) in enumerate(nodes)})
-    theta = grid.select("sim", cell_number(age, sex).alias("cell"), F.array(
-        *[_result_log_mass(F.col(f"_p{k}")) for k in range(n_nodes)]).alias("mass")).groupBy("sim").agg(
-        F.flatten(F.sort_array(F.collect_list(F.struct("cell", "mass")))["mass"]).alias("log_mass"))
-    spread = theta.withColumn("bucket", F.expr(f"explode(sequence(0, {buckets - 1}))"))
-    comps = household_compositions(cohort, age, sex).select(
-        F.pmod(F.xxhash64("comp"), F.lit(buckets)).cast("int").alias("bucket"), F.col("comp.cell").alias("cells"),
-        F.col("comp.n").alias("counts"), "n_hh")
-    partial = comps.groupBy("bucket").cogroup(spread.groupBy("bucket")).applyInPandas(
-        _bucket_marginals(n_cells, [math.log(w) for _, w in nodes]), "sim bigint, ll double")
-    return partial.groupBy("sim").agg(F.sum("ll").alias("ll_household"))
+    if sigma_vaccination:
+        grid = grid.withColumn("_eta_vacc", F.expr(design.predictor(vaccination_prefix)))
+
+    def at_nodes(eta: str, scale: str, rule, mass) -> Column:
+        nodes = F.array(*[F.lit(z) for z, _ in rule])
+        return F.transform(F.transform(nodes, lambda z: logistic(F.col(eta) + F.col(scale) * z)), mass)
+
+    def vaccination_mass(q: Column) -> Column:
+        return bernoulli_log_mass(F.col("vaccinated"), q)
+
+    effects = [("household", "_eta", sigma, _result_log_mass)]
+    if sigma_vaccination:
+        effects.append(("vaccination", "_eta_vacc", sigma_vaccination, vaccination_mass))
+    kinds = [(name, rule, at_nodes(eta, scale, rule, mass)) for name, eta, scale, mass in effects for rule in rules]
+    theta = grid.select("sim", F.struct(cell_number(age, sex).alias("cell"), *[c.alias(f"m{k}") for k, (*_, c) in enumerate(kinds)]).alias("at"))
+    theta = theta.groupBy("sim").agg(F.sort_array(F.collect_list("at")).alias("at")).select(
+        "sim", *[F.flatten(F.col("at")[f"m{k}"]).alias(f"m{k}") for k in range(len(kinds))])
+    # counted once and read again as blocks
+    comps = written(household_compositions(cohort, age, sex), "compositions")
+    comp_blocks, draw_blocks = max(1, -(-comps.count() // comp_tile)), max(1, -(-draws.count() // draw_tile))
+
+    def blocks(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    theta = theta.select(blocks("sim", draw_blocks).alias("draws"), every(comp_blocks).alias("comps"), *theta.columns)
+    comps = comps.select(blocks("comp", comp_blocks).alias("comps"), every(draw_blocks).alias("draws"),
+                         F.col("comp.cell").alias("cells"), F.col("comp.n").alias("counts"), "n_hh")
+    tile = ["comps", "draws"]
+    partial = comps.groupBy(*tile).cogroup(theta.groupBy(*tile)).applyInPandas(
+        _tile_marginals(n_cells, [[math.log(w) for _, w in rule] for _, rule, _ in kinds]),
+        "sim bigint, " + ", ".join(f"ll{k} double" for k in range(len(kinds))))
+    # a draw that meets no composition of a block adds nothing for it
+    total = partial.groupBy("sim").agg(*[F.sum(f"ll{k}").alias(f"ll{k}") for k in range(len(kinds))])
+    per = len(rules)
+    best = [F.col(f"ll{per * i + per - 1}").alias(f"ll_{name}") for i, (name, *_) in enumerate(effects)]
+    errors = [F.abs(F.col(f"ll{per * i + 1}") - F.col(f"ll{per * i}")).alias(f"error_{name}") for i, (name, *_) in enumerate(effects)] if check else []
+    return total.select("sim", *best, *errors)

@@ -15,7 +15,7 @@ from strata_spark.operators.design import Design
 from strata_spark.operators.draws import score_seroprevalence, stack_measures
 from strata_spark.operators.poststrat import compact, conditional_estimates, marginal_estimates
 from strata_spark.operators.risk import relative_risk, sign_tail, sign_vs_reference
-from strata_spark.operators.status import any_antibody, true_status
+from strata_spark.operators.status import JOINT, any_antibody, true_status
 from strata_spark.operators.summary import full_summary
 from strata_spark.session import literal_table
 
@@ -120,6 +120,17 @@ def stacked_seroprevalence(draws: DataFrame, strata: DataFrame, design: Design,
     return stack_measures(both, ["p_any", "p_any_external", "p_infection", "p_vaccination"], keys)
 
 
+def stacked_responses(draws: DataFrame, strata: DataFrame, design: Design, coverage: str, **model) -> DataFrame:
+    """The four joint responses as rows ``(measure, sim, age_cat, Sex, strata_pop, seropos)``, under the model's vaccination
+    (``sp_np``, ...) and under the ``coverage`` column of ``strata`` (``sp_np_external``, ...)."""
+    keys = ["sim", "age_cat", "Sex", "strata_pop"]
+    response = ("resp_sn_np", "resp_sp_nn", "vacc_response")
+    scored = score_seroprevalence(draws, strata, design, keep=("sim", *response), carry=(coverage,), **model)
+    outside = true_status(F.col("p_infection"), F.col(coverage) * F.col("vacc_response"), F.col("resp_sn_np"), F.col("resp_sp_nn"))
+    both = scored.withColumns({f"{k}_external": c for k, c in outside.items()})
+    return stack_measures(both, [*JOINT, *[f"{k}_external" for k in JOINT]], keys)
+
+
 def member_tags() -> Column:
     """Every ``(var_cat, var)`` a panel row counts in."""
     inf, vacc = F.col("inf_latest"), compact(F.col("vacc_status_3way"))

@@ -136,7 +136,7 @@ def test_household_likelihood_by_hand(spark, sf_dir):
     """Against a direct product over members at each node."""
     people = cohort(spark, sf_dir).where("hh_id < 30")
     draws = v.sero_draws(spark, sf_dir).where("sim < 3")
-    got = {r.sim: r.ll_household for r in lk.household_loglik(draws, people, v.SERO_DESIGN, "sigma_inf", 5, buckets=3).collect()}
+    got = {r.sim: r.ll_household for r in lk.household_loglik(draws, people, v.SERO_DESIGN, "sigma_inf", 5, comp_tile=4, draw_tile=2).collect()}
     nodes = dr.quadrature(5)
     members = [r.asDict() for r in people.collect()]
     for d in draws.collect():
@@ -164,6 +164,64 @@ def test_household_likelihood_by_hand(spark, sf_dir):
         assert got[d.sim] == pytest.approx(total, abs=1e-8)
 
 
+def test_household_effects_of_both_kinds(spark, sf_dir):
+    """Vaccination against a direct product over members, tiles of any size alike, and errors that shrink with the nodes."""
+    people = cohort(spark, sf_dir).where("hh_id < 40")
+    draws = v.sero_draws(spark, sf_dir).where("sim < 5")
+
+    def run(n, **tiles):
+        df = lk.household_loglik(draws, people, v.SERO_DESIGN, "sigma_inf", n, sigma_vaccination="sigma_vacc", check=True, **tiles)
+        return {r.sim: r for r in df.collect()}
+
+    got, small, fine = run(6), run(6, comp_tile=1, draw_tile=1), run(16)
+    members = sorted((r.asDict() for r in people.dropna(subset=list(lk.SERO_CELL)).collect()), key=lambda r: r["hh_id"])
+    for d in draws.collect():
+        total = 0.0
+        for _, grp in groupby(members, key=lambda r: r["hh_id"]):
+            grp, acc = list(grp), 0.0
+            for z, w in dr.quadrature(12):
+                prod = 1.0
+                for r in grp:
+                    eta = d["vacc:(Intercept)"] + (d["vacc:SexMale"] if r["Sex"] == "Male" else 0.0)
+                    eta += 0.0 if r["age_cat"] == fx.SERO_AGE_REF else d[f"vacc:age_cat{r['age_cat']}"]
+                    q = 1 / (1 + math.exp(-(eta + d.sigma_vacc * z)))
+                    prod *= q if r["vaccinated"] else 1 - q
+                acc += w * prod
+            total += math.log(acc)
+        r = got[d.sim]
+        assert r.ll_vaccination == pytest.approx(total, abs=1e-8)
+        assert tuple(small[d.sim]) == pytest.approx(tuple(r), abs=1e-9)
+        assert fine[d.sim].error_household < 1e-6 and fine[d.sim].error_vaccination < 1e-6
+        assert r.ll_household == pytest.approx(fine[d.sim].ll_household, abs=max(2 * r.error_household, 1e-6))
+
+
+def test_no_household_and_no_draw(spark, sf_dir):
+    people, draws = cohort(spark, sf_dir), v.sero_draws(spark, sf_dir)
+    assert lk.household_loglik(draws.where("sim < 0"), people.where("hh_id < 9"), v.SERO_DESIGN, "sigma_inf").collect() == []
+    assert all(r.ll_household in (0.0, None) for r in lk.household_loglik(
+        draws.where("sim < 2"), people.where("hh_id < 0"), v.SERO_DESIGN, "sigma_inf").collect())
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.3, 0.75, 2.5, 10.0, 40.0])
+def test_adaptive_integral(spark, sigma):
+    """Within the tolerance for small and large scales, with more nodes for the large ones."""
+    z = np.linspace(-9, 9, 400_001)
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+    rows = [(e, sigma) for e in (-6.0, -0.4, 0.7, 3.0)]
+    got = spark.createDataFrame(rows, "eta double, s double").select("eta", dr.adaptive_average(F.col("eta"), F.col("s"), tol=1e-9).alias("r")).collect()
+    for r in got:
+        want = np.trapezoid(density / (1 + np.exp(-(r.eta + sigma * z))), z)
+        assert r.r.p == pytest.approx(want, abs=1e-9) and r.r.error <= 1e-9 and r.r.nodes <= (73 if sigma < 1 else 2305)
+
+
+def test_failed_integrals_are_named(spark, sf_dir):
+    """With too few refinements the rows of a large scale are listed, and scoring raises an error that names one."""
+    draws = v.sero_draws(spark, sf_dir).where("sim < 4").withColumn("sigma_inf", F.when(F.col("sim") == 2, 60.0).otherwise(0.4))
+    rows = dr.integration_failures(draws, v.SERO_DESIGN, "sigma_inf", "inf:", refinements=2).collect()
+    assert {r.sim for r in rows} == {2} and len(rows) == 18 and all(r.error > 1e-8 and r.nodes == 73 for r in rows)
+    assert dr.integration_failures(draws, v.SERO_DESIGN, "sigma_inf", "inf:", refinements=9).count() == 0
+
+
 def brute_smoothed(log_lik):
     """Leave-one-out density with Pareto-smoothed weights of one observation, and the tail shape, step by step in numpy."""
     log_w = -log_lik - (-log_lik).max()
