@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
@@ -10,10 +11,12 @@ from strata_spark.functions.levels import (
     AGE, INFECTION, PANEL_AGE, PANEL_SEX, SEX, VACCINATION, choose, cut, level_table)
 from strata_spark.functions.scalars import count_percent_text, flatten_text
 from strata_spark.operators import cohort as co
+from strata_spark.operators.checks import Checks
 from strata_spark.operators.design import MODELS, Design, design_rows, scenario_rows
 from strata_spark.operators.likelihood import SERO_CELL
 from strata_spark.operators.numbering import index_keys, number_by_id
 from strata_spark.plans.report import category_rank, variants_of_interest
+from strata_spark.session import work_path
 from strata_spark.sources import views as v
 
 COUNT_SQL = """count(*) AS n, CAST(sum(s_result) AS BIGINT) AS pos_s, CAST(count(*) - sum(s_result) AS BIGINT) AS neg_s,
@@ -58,6 +61,22 @@ def cohort_checks(spark, d):
     return co.failure_counts(cohort(spark, d), co.cohort_rules())
 
 
+_RULES = ("bad_s_result", "bad_n_result", "bad_age_cat", "bad_sex", "bad_vaccinated")
+
+
+@query("observed_checks", "SELECT rule, CAST(n AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {e} AS n FROM cohort" for r, e in {
+    "n_rows": "count(*)", "bad_s_result": "count(*) FILTER (WHERE s_result IS NULL OR s_result NOT IN (0, 1))",
+    "bad_n_result": "count(*) FILTER (WHERE n_result IS NULL OR n_result NOT IN (0, 1))",
+    "bad_age_cat": "count(*) FILTER (WHERE age_cat IS NULL)", "bad_sex": "count(*) FILTER (WHERE Sex IS NULL)",
+    "bad_vaccinated": "count(*) FILTER (WHERE vaccinated IS NULL)"}.items()) + ") x", ["cohort"])
+def observed_checks(spark, d):
+    """Rules counted by the job that writes the cohort, without a pass of their own."""
+    checks = Checks()
+    co.prepare_cohort(v.raw_cohort(spark, d), checks=checks).write.parquet(work_path(spark, "cohort"))
+    counts = checks.counts()["cohort"]
+    return spark.createDataFrame([(r, int(counts[r])) for r in ("n_rows", *_RULES)], "rule string, n bigint")
+
+
 @query("level_table", """SELECT * FROM (
  SELECT 'age_cat' AS var, a.label, a.ordinal, a.label = '[25,35)' AS is_ref
  FROM (VALUES {ages}) a(label, ordinal) WHERE a.label IN (SELECT age_cat FROM cohort)
@@ -181,7 +200,8 @@ def split_missing(spark, d):
 
 @query("filter_variant", "SELECT obs_id, uid, variant, ec50 FROM panel WHERE variant = 'click'", ["panel"], ["ec50"])
 def filter_variant(spark, d):
-    return co.filter_variant(v.panel(spark, d), "click").select("obs_id", "uid", "variant", "ec50")
+    raw = co.filter_variant(v.raw_panel(spark, d), "click", v.PANEL_VARIANTS)
+    return co.prepare_panel(raw, "age_cat_UEP").select("obs_id", "uid", "variant", "ec50")
 
 
 @query("flatten_str", """SELECT n_name AS name, replace(replace(replace(lower(label), chr(10), '_'), '/', '-'), '.', '_') AS slug,
@@ -221,11 +241,13 @@ def voi_filter(spark, d):
 
 
 @query("except_variants", """SELECT DISTINCT variant FROM panel WHERE variant NOT IN
- (SELECT variant FROM panel WHERE ec50 > 150 AND age >= 75)""", ["panel"])
+ (SELECT variant FROM panel GROUP BY variant HAVING avg(ec50) > (SELECT avg(ec50) FROM panel))""", ["panel"])
 def except_variants(spark, d):
-    p = v.panel(spark, d)
-    seen = p.where((F.col("ec50") > 150) & (F.col("age") >= 75)).select("variant").distinct()
-    return p.select("variant").distinct().join(seen, "variant", "left_anti")
+    """Variants without those whose mean is above the overall mean: some are left at every scale."""
+    means = v.panel(spark, d).groupBy("variant").agg(F.sum("ec50").alias("s"), F.count("ec50").alias("n"))
+    everything = Window.partitionBy(F.lit(1))  # a row for each declared variant
+    above = means.where("variant IS NOT NULL").withColumn("mean", F.sum("s").over(everything) / F.sum("n").over(everything)).where(F.col("s") / F.col("n") > F.col("mean"))
+    return means.select("variant").join(above.select("variant"), "variant", "left_anti")
 
 
 def _design_sql(design: Design, scenario: str | None = None) -> str:

@@ -245,8 +245,11 @@ _FINAL = """SELECT a.var, a.val, {o}, n, pos_s, neg_s, pos_n, neg_n, vacc, a.txt
     o=_ORD.replace("CASE val", "CASE a.val").replace("(val,", "(a.val,"), p=sql_fixed("i.p_tail", 4))
 
 
-@query("final_report", _FINAL.format(a="r_seropos", e="r_external", i="r_infection", w="r_vaccination", c="shipped_counts"),
-       ["r_seropos", "r_external", "r_infection", "r_vaccination", "shipped_counts"])
+REPORT_SQL = _FINAL.format(a="r_seropos", e="r_external", i="r_infection", w="r_vaccination", c="shipped_counts")
+REPORT_VIEWS = ["r_seropos", "r_external", "r_infection", "r_vaccination", "shipped_counts"]
+
+
+@query("final_report", REPORT_SQL, REPORT_VIEWS)
 def final_report(spark, d):
     return rp.combined_report(stacked(spark, d), shipped_counts(spark, d), REFS, REPORT_NAMES, "infection", v.N_DRAWS)
 
@@ -428,8 +431,11 @@ _SERO_RISK = " UNION ALL ".join(f"""SELECT '{m}' AS measure, var, val, avg(rr) A
  GROUP BY var, val""" for m in ("p_any", "p_any_external", "p_infection"))
 
 
-@query("seroprevalence_risk", f"SELECT k.*, n FROM ({_SERO_RISK}) k LEFT JOIN cohort_counts c ON k.var = c.var AND k.val = c.val",
-       ["sero_measures", "cohort_counts"], ["mean", "q025", "q975", "p_tail"])
+RISK_SQL = (f"SELECT k.*, n FROM ({_SERO_RISK}) k LEFT JOIN cohort_counts c ON k.var = c.var AND k.val = c.val",
+            ["sero_measures", "cohort_counts"], ["mean", "q025", "q975", "p_tail"])
+
+
+@query("seroprevalence_risk", *RISK_SQL)
 def seroprevalence_risk(spark, d):
     """Relative risks of three measures by age and sex in one pass."""
     measures = sero_measures(spark, d).where(F.col("measure") != "p_vaccination")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata_spark.catalog import draws_queries as dq
 from strata_spark.catalog.likelihood_queries import cells
 from strata_spark.catalog.registry import query, sql_cut
 from strata_spark import fixed_values as fx
@@ -13,6 +14,7 @@ from strata_spark.operators.likelihood import SERO_CELL
 from strata_spark.session import work_path
 from strata_spark.sources import tables as tb
 from strata_spark.sources import views as v
+from strata_spark.sources.results import ResultStore
 
 _SERO = f"""SELECT CAST(uid AS VARCHAR) AS uid, CAST(hh_id AS VARCHAR) AS hh_id, sex, age,
  {sql_cut('age', fx.AGE_BREAKS_10Y)} AS age_cat_10y, {sql_cut('age', fx.AGE_BREAKS)} AS "age_cat_UEP",
@@ -100,3 +102,40 @@ def collapse_roundtrip(spark, d):
     path = work_path(spark, "cells")
     tb.write_parquet(co.collapse_cells(co.prepare_cohort(v.raw_cohort(spark, d)), SERO_CELL), path)
     return tb.read_parquet(spark, path)
+
+
+@query("result_store", """SELECT fit_id AS variant, 'additive' AS model, 'age_cat_uep' AS age_scheme, age_cat, sex,
+ CAST(sum(n) AS BIGINT) * CASE WHEN fit_id = 'click' THEN 2 ELSE 1 END AS n FROM cells
+ WHERE fit_id <> 'view' AND (fit_id <> 'click' OR sex = 'f') GROUP BY fit_id, age_cat, sex""", ["cells"])
+def result_store(spark, d):
+    """Results by name: missing ones are filled in, one is replaced, the others stay, and a name picks folders."""
+    store = ResultStore(spark, work_path(spark, "store"))
+    sums = cells(spark, d).groupBy(F.col("fit_id").alias("variant"), "age_cat", "sex").agg(F.sum("n").alias("n")).withColumns(
+        {"model": F.lit("additive"), "age_scheme": F.lit("age_cat_uep")})
+
+    def only(names):
+        return sums.where(F.col("variant").isin(*[n[0] for n in names]))
+
+    store.write(only([("click",), ("view",)]))
+    store.fill([(x, "additive", "age_cat_uep") for x in v.PANEL_VARIANTS], only)
+    store.write(only([("click",)]).where("sex = 'f'").withColumn("n", F.col("n") * 2))
+    kept = [x for x in v.PANEL_VARIANTS if x != "view"]
+    return store.read(variant=kept, model="additive").select("variant", "model", "age_scheme", "age_cat", "sex", "n")
+
+
+def _through_csv(spark, df, name):
+    path = work_path(spark, name)
+    tb.write_csv(df, path)
+    return tb.read_csv(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+
+
+@query("report_csv", dq.REPORT_SQL, dq.REPORT_VIEWS)
+def report_csv(spark, d):
+    """The final report as a CSV table; its order is the column ``ord``."""
+    return _through_csv(spark, dq.final_report(spark, d), "report")
+
+
+@query("risk_csv", *dq.RISK_SQL)
+def risk_csv(spark, d):
+    """Relative risks of three measures as a CSV table."""
+    return _through_csv(spark, dq.seroprevalence_risk(spark, d), "risks")

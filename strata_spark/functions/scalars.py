@@ -60,6 +60,11 @@ def flatten_text(col: Column) -> Column:
     return F.translate(F.lower(col), "\n/.", "_-_")
 
 
+def slug(name: str) -> str:
+    """``flatten_text`` of a name that is known here."""
+    return name.lower().translate(str.maketrans("\n/.", "_-_"))
+
+
 def snake(name: str) -> str:
     """Column name in snake case."""
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)

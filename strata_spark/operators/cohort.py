@@ -9,47 +9,67 @@ from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
 from strata_spark.functions.levels import choose, cut
-from strata_spark.functions.scalars import flatten_text, snake
+from strata_spark.functions.scalars import flatten_text, slug, snake
+from strata_spark.operators.checks import Checks, watched
 
 RESULT_CODES = {"pos": 1, "neg": 0}
 SEX_NAMES = {"f": "Female", "m": "Male"}
 COUNTS = ("n", "pos_s", "neg_s", "pos_n", "neg_n", "vacc")
 
 
-def prepare_cohort(df: DataFrame, breaks: Sequence[float] = fx.AGE_BREAKS) -> DataFrame:
-    """Bin ages and recode sex, both assay results and vaccination; all narrow."""
-    return df.select(
+def prepare_cohort(df: DataFrame, breaks: Sequence[float] = fx.AGE_BREAKS, checks: Checks | None = None) -> DataFrame:
+    """Bin ages and recode sex, both assay results and vaccination; all narrow.
+
+    With ``checks`` the rules of a cohort are counted by the job that computes it.
+    """
+    return watched(checks, df.select(
         "uid", "hh_id", "age",
         cut("age", breaks).alias("age_cat"),
         choose(F.col("sex"), SEX_NAMES).alias("Sex"),
         choose(F.col("S_interp"), RESULT_CODES).alias("s_result"),
         choose(F.col("N_interp"), RESULT_CODES).alias("n_result"),
         F.col("vaccinated").cast("int").alias("vaccinated"),
-    )
+    ), "cohort", cohort_rules())
 
 
 def snake_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[snake(c) for c in df.columns])
 
 
-def prepare_panel(df: DataFrame, age_column: str, threshold: float = fx.EC50_THRESHOLD) -> DataFrame:
-    """Normalise names, flag the threshold and name the chosen age scheme ``age_cat``."""
+def panel_rules() -> dict[str, Column]:
+    return {"bad_variant": F.col("variant").isNotNull(), "bad_ec50": F.col("ec50").isNotNull() & ~F.isnan("ec50"),
+            "bad_age_cat": F.col("age_cat").isNotNull(), "bad_sex": F.col("sex").isNotNull()}
+
+
+def prepare_panel(df: DataFrame, age_column: str, threshold: float = fx.EC50_THRESHOLD, checks: Checks | None = None) -> DataFrame:
+    """Normalise names, flag the threshold and name the chosen age scheme ``age_cat``; ``checks`` counts the rules of a panel."""
     out = snake_names(df)
     age_column = snake(age_column)
     if age_column not in out.columns:
         raise ValueError(f"no age scheme {age_column!r} among {out.columns}")
-    return (
+    prepared = (
         out.withColumn("ec50_thresh", F.col("ec50") > threshold)
         .withColumn("variant", flatten_text(F.col("variant")))
         .withColumnRenamed(age_column, "age_cat")
     )
+    return watched(checks, prepared, "panel", panel_rules())
 
 
-def filter_variant(df: DataFrame, variant: str) -> DataFrame:
-    """Rows of one variant; an unknown name is an error."""
+def filter_variant(df: DataFrame, variant: str, names: Sequence[str] | None = None) -> DataFrame:
+    """Rows of one variant by its slug, prepared or raw; an unknown slug is an error that lists the valid ones.
+
+    ``names`` are the declared names of all variants as they are in ``df``. They decide without a job, and the filter
+    compares the stored column itself, so it reaches the scan. Without them the slugs are looked up when none matches.
+    """
+    if names is not None:
+        slugs = {n: slug(n) for n in names}
+        if variant not in slugs.values():
+            raise ValueError(f"unknown variant {variant!r}, there are {sorted(set(slugs.values()))}")
+        return df.where(F.col("variant").isin(*[n for n, s in slugs.items() if s == variant]))
     picked = df.where(F.col("variant") == variant)
     if picked.select("variant").isEmpty():
-        raise ValueError(f"unknown variant {variant!r}")
+        known = sorted(r.variant for r in df.select("variant").distinct().where("variant IS NOT NULL").collect())
+        raise ValueError(f"unknown variant {variant!r}, there are {known}")
     return picked
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strata_spark.functions.levels import AGE, SEX, Levels, fan_out, grid_size, within_levels
 from strata_spark.functions.scalars import logistic, ratio
+from strata_spark.operators.checks import Checks, probability_rules, watched
 from strata_spark.operators.design import Design, require_same_terms
 from strata_spark.operators.status import any_antibody, true_status
 from strata_spark.session import broadcast_bounded
@@ -23,10 +24,15 @@ from strata_spark.session import broadcast_bounded
 DRAW_KEYS = ("fit_id", "chain", "sim")
 
 
-def widen(draws: DataFrame, terms: Sequence[str], prefix: str = "") -> DataFrame:
-    """Long draws to one row per draw. The term list is declared, not read."""
-    return draws.groupBy(*DRAW_KEYS).agg(
+def widen(draws: DataFrame, terms: Sequence[str], prefix: str = "", checks: Checks | None = None) -> DataFrame:
+    """Long draws to one row per draw. The term list is declared, not read.
+
+    With ``checks`` terms that are not declared, and draws that lack a declared one, are counted in the same pass.
+    """
+    draws = watched(checks, draws, f"{prefix}long draws", {"unknown_term": F.col("term").isin(*terms)})
+    wide = draws.groupBy(*DRAW_KEYS).agg(
         *[F.max(F.when(F.col("term") == t, F.col("value"))).alias(f"{prefix}{t}") for t in terms])
+    return watched(checks, wide, f"{prefix}draws", {f"missing_{t}": F.col(f"`{prefix}{t}`").isNotNull() for t in terms})
 
 
 def check_draw_terms(draws: DataFrame, design: Design, extra: Sequence[str] = ()) -> None:
@@ -40,12 +46,15 @@ def check_draw_terms(draws: DataFrame, design: Design, extra: Sequence[str] = ()
 
 
 def spread(draws: DataFrame, *keys: str) -> DataFrame:
-    """Draws over all cores.
+    """Draws over all cores, by fit and the given keys.
 
     A draws table is small in bytes but every row is scored many times, so its
-    partitions must follow the cores and not its size.
+    partitions follow the number of shuffle partitions and not its size; runtime
+    would put partitions this small together. The cores that are there
+    just now do not matter, they may become more.
     """
-    return draws.repartition(draws.sparkSession.sparkContext.defaultParallelism, *keys)
+    keys = [*(["fit_id"] if "fit_id" in draws.columns and "fit_id" not in keys else []), *keys]
+    return draws.repartition(int(draws.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def quadrature(n_nodes: int) -> list[tuple[float, float]]:
@@ -127,8 +136,9 @@ def integration_errors(draws: DataFrame, design: Design, sigma: str, prefix: str
 
 
 def score_strata(draws: DataFrame, strata: DataFrame, design: Design, factors: Sequence[Levels],
-                 weight: str, keep: Sequence[str] = ("sim",), prefix: str = "", name: str = "seropos") -> DataFrame:
-    """Probability of every draw at every stratum, with the stratum weight.
+                 weight: str, keep: Sequence[str] = ("sim",), prefix: str = "", name: str = "seropos",
+                 checks: Checks | None = None) -> DataFrame:
+    """Probability of every draw at every stratum, with the stratum weight; ``checks`` counts values that are no probability.
 
     Strata have one row per combination of declared levels (other labels are
     an error), so their number is bounded and they are broadcast; the draws
@@ -137,7 +147,8 @@ def score_strata(draws: DataFrame, strata: DataFrame, design: Design, factors: S
     keys = [f.name for f in factors]
     strata = within_levels(strata, factors)
     scored = fan_out(spread(draws, "sim"), *factors).select(*keep, *keys, logistic(F.expr(design.predictor(prefix))).alias(name))
-    return scored.join(broadcast_bounded(strata.select(*keys, weight), grid_size(*factors)), keys, "inner")
+    joined = scored.join(broadcast_bounded(strata.select(*keys, weight), grid_size(*factors)), keys, "inner")
+    return watched(checks, joined, "scored strata", {**probability_rules([name]), "bad_weight": F.col(weight) >= 0})
 
 
 def score_seroprevalence(
@@ -146,6 +157,7 @@ def score_seroprevalence(
     infection_prefix: str = "inf:", vaccination_prefix: str = "vacc:",
     sigma_infection: str | None = None, sigma_vaccination: str | None = None,
     coverage: str | None = None, n_nodes: int = 32, carry: Sequence[str] = (), tol: float | None = None,
+    checks: Checks | None = None,
 ) -> DataFrame:
     """Infection, vaccination, joint and any-antibody probabilities per draw and stratum.
 
@@ -154,7 +166,7 @@ def score_seroprevalence(
     households, with ``n_nodes`` or, given ``tol``, refined row by row; a row that does not reach
     it is an error that names its draw. With ``coverage`` (a column of ``strata``) vaccination comes
     from outside instead of from the model. ``carry`` names further strata
-    columns to keep.
+    columns to keep; ``checks`` counts values that are no probability.
     """
     keys = [f.name for f in factors]
 
@@ -179,9 +191,10 @@ def score_seroprevalence(
     joined = scored.join(broadcast_bounded(side, grid_size(*factors)), keys, "inner")
     true = true_status(F.col("p_infection"), F.col("p_vaccination") * F.col("vacc_response"),
                        F.col("resp_sn_np"), F.col("resp_sp_nn"))
-    return joined.select(
+    scored = joined.select(
         *keep, *keys, weight, *carry, "p_infection", "p_vaccination",
         *[c.alias(k) for k, c in true.items()], any_antibody(true).alias("p_any"))
+    return watched(checks, scored, "scored measures", probability_rules(["p_infection", "p_vaccination", *true, "p_any"]))
 
 
 def stack_measures(scored: DataFrame, measures: Sequence[str], keys: Sequence[str]) -> DataFrame:

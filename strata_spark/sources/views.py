@@ -98,6 +98,10 @@ def _with_user_columns(df: DataFrame) -> DataFrame:
         "age_cat_10y": cut("age", fx.AGE_BREAKS_10Y), "age_cat_UEP": cut("age", fx.AGE_BREAKS)})
 
 
+#: Names of all variants of the panel, as they are stored.
+PANEL_VARIANTS = ("click", "error", "purchase", "signup", "view")
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_panel(raw_panel(spark, sf_dir), "age_cat_UEP")
 

@@ -19,7 +19,8 @@ def test_no_cross_joins_or_row_python(spark, sf_dir, name):
 
 def test_filter_and_columns_reach_the_scan(spark, sf_dir):
     p = plan(QUERIES["filter_variant"](spark, sf_dir))
-    assert "EqualTo(event_type,click)" in p or "IsNotNull(event_type)" in p
+    pushed = next(x for x in p.splitlines() if "FileScan" in x).split("PushedFilters: ")[1]
+    assert "EqualTo(event_type,click)" in pushed or "In(event_type, [click])" in pushed
     p = plan(QUERIES["weighted_mean_by_sim"](spark, sf_dir))
     scan = next(x for x in p.splitlines() if "FileScan" in x)
     for column in ("l_extendedprice", "l_tax", "l_returnflag", "l_suppkey"):
@@ -36,6 +37,12 @@ def test_scoring_does_not_shuffle_scored_rows(spark, sf_dir):
     assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p
 
 
+def test_a_result_name_prunes_folders(spark, sf_dir):
+    p = plan(QUERIES["result_store"](spark, sf_dir))
+    filters = next(x for x in p.splitlines() if "FileScan" in x).split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "variant" in filters and "(model" in filters and "DataFilters: []" in p
+
+
 def test_partition_pruning(spark, sf_dir):
     one = QUERIES["partitioned_roundtrip"](spark, sf_dir).where("variant = 'click'")
     assert "PartitionFilters: [isnotnull(variant" in plan(one)
