@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
-from strata_spark.catalog.likelihood_queries import CELL_OBS, pointwise
+from strata_spark.catalog.likelihood_queries import CELL_OBS, all_models, pointwise
 from strata_spark.catalog.registry import VIEWS, query
 from strata_spark.operators import compare as cp
 
@@ -109,3 +109,23 @@ def model_compare(spark, d):
        ["compared"], DOUBLES)
 def model_rank(spark, d):
     return cp.select_best_model(cp.compare_models(all_pointwise(spark, d), OBS, ["fit_id"]), ["fit_id"])
+
+
+_FOUR = {"thresh-additive": "ll_additive", "thresh-interaction": "ll_interaction", "thresh_od-additive": "ll_od",
+         "thresh_od-interaction": "ll_od_interaction"}
+for _ll in _FOUR.values():
+    VIEWS.update(_psis(_ll))
+VIEWS["loo_all"] = (" UNION ALL ".join(f"SELECT *, '{m}' AS model_id FROM {ll}_psis" for m, ll in _FOUR.items()),
+                    tuple(f"{ll}_psis" for ll in _FOUR.values()))
+VIEWS["loo_totals"] = (VIEWS["totals"][0].replace("waic_all", "loo_all"), ("loo_all",))
+VIEWS["loo_compared"] = (VIEWS["compared"][0].replace("waic_all", "loo_all").replace("totals", "loo_totals"), ("loo_totals", "loo_all"))
+
+
+@query("model_choice", f"""SELECT c.*, row_number() OVER (PARTITION BY fit_id ORDER BY
+ CASE WHEN elpd_diff = 0 OR abs(elpd_diff) < se_diff * 1.9e0 THEN 0 ELSE 1 END,
+ CASE model_id {' '.join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(fx.MODEL_COMPLEXITY))} END, rank) = 1 AS best FROM loo_compared c""",
+       ["loo_compared"], DOUBLES)
+def model_choice(spark, d):
+    """The simplest of four models that is not clearly worse than the best, by smoothed leave-one-out, in one pass."""
+    accuracy = cp.psis_loo_pointwise(all_models(spark, d), ["model_id", *CELL_OBS])
+    return cp.select_best_model(cp.compare_models(accuracy, OBS, ["fit_id"]), ["fit_id"])

@@ -55,6 +55,7 @@ VIEWS.update({
     "ll_additive": (_pointwise("additive"), ("draws_additive", "cells", "age_prior")),
     "ll_interaction": (_pointwise("interaction"), ("draws_interaction", "cells", "age_prior")),
     "ll_od": (_pointwise("additive", od=True), ("draws_additive", "cells", "age_prior")),
+    "ll_od_interaction": (_pointwise("interaction", od=True), ("draws_interaction", "cells", "age_prior")),
     "ll_child": (_pointwise("additive", True), ("draws_additive", "cells", "age_prior")),
 })
 
@@ -63,6 +64,17 @@ def pointwise(spark, d, model="additive", **options):
     return lk.pointwise_loglik(v.panel_draws(spark, d, MODELS[model]), cells(spark, d), MODELS[model], PRIOR, **options)
 
 
+ALL_MODELS = {
+    f"{outcome}-{name}": lk.Model(MODELS[name], f"{name}:", sigma)
+    for outcome, sigma in (("thresh", None), ("thresh_od", "sigma_od")) for name in ("additive", "interaction")}
+
+
+def all_models(spark, d):
+    """Log-likelihood of all four models from one pass over draws and cells."""
+    draws = v.model_draws(spark, d, {f"{name}:": MODELS[name] for name in MODELS})
+    return lk.models_loglik(draws, cells(spark, d), ALL_MODELS, PRIOR, n_nodes=OD_NODES)
+
+
 @query("panel_cells", "SELECT * FROM cells", ["cells"])
 def collapsed_panel(spark, d):
     return cells(spark, d)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -108,6 +109,51 @@ def pointwise_loglik(draws: DataFrame, cells: DataFrame, design: Design, prior_b
     return with_log_mass(joined, design, prior_before, prefix, **model).select(*keep, *cell_columns, "log_lik")
 
 
+@dataclass(frozen=True)
+class Model:
+    """A threshold model: design, prefix of its coefficients in a draws row, scale of its observation effect, child accuracy."""
+
+    design: Design
+    prefix: str = ""
+    sigma: str | None = None
+    by_child: bool = False
+
+
+def models_loglik(draws: DataFrame, cells: DataFrame, models: Mapping[str, Model], prior_before: Mapping[str, float],
+                  keep: Sequence[str] = ("fit_id", "sim"), n_nodes: int = 32, n_fits: int | None = None) -> DataFrame:
+    """Log-likelihood of one observation of every cell under every draw and model: rows ``(model_id, ..., log_lik)``.
+
+    Draws and cells meet once for all models. A linear predictor is summed once for all models with the same design and
+    coefficients; an observation effect or another accuracy is applied to it.
+    """
+    if n_fits is not None:
+        factors = next(iter(models.values())).design.factors
+        cells = broadcast_bounded(cells, grid_size(*factors, extra=1) * 4 * n_fits)
+    joined = spread(draws, "sim").join(cells, "fit_id", "inner")
+    ids = list(models)
+
+    def predictors(m: Model) -> tuple[str, ...]:
+        return tuple(m.design.predictor(m.prefix, {"inf_latest": f"coalesce(inf_latest, '{x}')"}) for x in UNDATED_SCENARIOS)
+
+    number = {p: k for k, p in enumerate(dict.fromkeys(predictors(m) for m in models.values()))}
+    eta = [f"_eta{number[predictors(models[i])]}" for i in ids]
+    rows = joined.withColumns({f"_eta{k}_{s}": F.expr(x) for pair, k in number.items() for s, x in enumerate(pair)})
+    rows = rows.withColumns({
+        f"_q{j}_{s}": positive_probability(f"{eta[j]}_{s}", models[i].by_child, models[i].sigma, n_nodes)
+        for j, i in enumerate(ids) for s in (0, 1)})
+    rows = rows.withColumns({f"_m{j}_{s}": bernoulli_log_mass(F.col("y"), F.col(f"_q{j}_{s}")) for j in range(len(ids)) for s in (0, 1)})
+    before, late = scenario_prior(F.col("age_cat"), prior_before)
+    undated = F.col("inf_latest").isNull()
+
+    def log_lik(j: int) -> Column:
+        mixed = log_sum_exp(before + F.col(f"_m{j}_0"), late + F.col(f"_m{j}_1"))
+        return F.when(undated, mixed).otherwise(F.col(f"_m{j}_0"))
+
+    accuracies = F.array(*[F.struct(F.lit(i).alias("model_id"), log_lik(j).alias("log_lik")) for j, i in enumerate(ids)])
+    cell_columns = [c for c in cells.columns if c not in keep]
+    return rows.select(*keep, *cell_columns, F.explode(accuracies).alias("_a")).select("_a.model_id", *keep, *cell_columns, "_a.log_lik")
+
+
 def loglik_by_draw(pointwise: DataFrame, by: Sequence[str] = ("fit_id", "sim")) -> DataFrame:
     """Total log-likelihood of each draw."""
     return pointwise.groupBy(*by).agg(F.sum(F.col("n") * F.col("log_lik")).alias("log_lik"))

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata_spark.session import written
+
 
 def number_rows(
     df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], name: str,
@@ -41,10 +43,33 @@ def number_rows(
     )
 
 
-def number_by_id(df: DataFrame, group: Sequence[str], id_column: str, name: str, width: int = 65_536) -> DataFrame:
-    """Number rows by a unique integer id; a bucket holds at most ``width`` of them."""
-    bucket = F.floor(F.col(id_column) / F.lit(width))
-    return number_rows(df, group, bucket, [F.col(id_column)], name)
+def number_in_order(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Dense 1-based number per group in the order of the columns ``order``, missing values first.
+
+    Rows are range-partitioned by (group, order), sorted and written once; only then are they numbered, by the place in
+    their partition and the counts of the group's partitions before it. The source is read for the ranges and for the
+    write and never joined; what is joined is one row for each partition and group in it. A group with a third of all
+    rows lies in many partitions.
+    """
+    if not order:
+        raise ValueError("a total order is needed")
+    ranged = written(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+                     .withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # the number has the partition above its 33rd bit and counts the rows of a partition below it
+    part = F.shiftright("_at", 33)
+    spans = ranged.groupBy(*group, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    keys = [*group, "_part"]
+    match = reduce(lambda a, b: a & b, [F.col(f"r.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys])
+    joined = ranged.withColumn("_part", part).alias("r").join(spans.alias("s"), match)
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns if c != name],
+                         (F.col("r._at") - F.col("s._first") + F.col("s._before") + 1).cast("bigint").alias(name))
+
+
+def number_by_id(df: DataFrame, group: Sequence[str], id_column: str, name: str) -> DataFrame:
+    """Number rows by a unique id."""
+    return number_in_order(df, group, [id_column], name)
 
 
 def index_keys(df: DataFrame, key: str, name: str) -> DataFrame:

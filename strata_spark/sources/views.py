@@ -6,6 +6,8 @@ the table. They stand in for survey files, which are not shipped.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,11 +151,16 @@ def sero_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel_draws(spark: SparkSession, sf_dir: str, design: Design) -> DataFrame:
     """Threshold model draws, wide, by variant: each is set by the mean value of its events."""
+    return model_draws(spark, sf_dir, {"": design})
+
+
+def model_draws(spark: SparkSession, sf_dir: str, designs: Mapping[str, Design]) -> DataFrame:
+    """Draws of several models side by side, the coefficients of each under its prefix."""
     ids = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("fit_id"), F.expr(f"event_id % {N_DRAWS}").alias("sim")).agg(
         F.expr("sum(CAST(floor(value) AS BIGINT)) / count(value)").alias("u"))
     return ids.selectExpr(
         "fit_id", "sim",
-        *[f"0.3D * sin(u + {i} + length(fit_id)) AS `{t}`" for i, t in enumerate(design.terms)],
+        *[f"0.3D * sin(u + {i} + length(fit_id)) AS `{p}{t}`" for p, design in designs.items() for i, t in enumerate(design.terms)],
         "0.95D + 0.03D * sin(u) AS sens", "0.97D + 0.02D * cos(u) AS spec",
         "0.9D + 0.03D * cos(u) AS sens_child", "0.96D + 0.02D * sin(u) AS spec_child",
         "0.5D + 0.25D * sin(u + 3) AS sigma_od")
