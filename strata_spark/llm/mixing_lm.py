@@ -249,10 +249,10 @@ class Mixer:
             xs = [x[here] for x in inputs]
             mine = [w[open_].ravel() for w in weights]
             z = sum(w[own] * x for w, x in zip(mine, xs))
-            z = np.clip(z * side, -20, 20)
-            missed = 1 / (1 + np.exp(z))  # probability of the other bit
-            out[open_] += np.add.reduceat(np.log1p(-missed), starts, dtype=np.float64)
-            missed *= side
+            # odds of the other bit: their logarithm's sum is finite however sure the prediction was
+            missed = np.exp(-np.clip(z * side, -20, 20))
+            out[open_] -= np.add.reduceat(np.log1p(missed), starts, dtype=np.float64)
+            missed *= side / (1 + missed)
             seen = np.maximum(np.bincount(own, minlength=cells), STEP_BITS // 8)
             for w, m, x in zip(weights, mine, xs):
                 m += (RATE * np.bincount(own, weights=missed * x, minlength=cells) / seen).astype(np.float32)

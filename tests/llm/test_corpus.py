@@ -201,6 +201,9 @@ def test_mixture_is_a_distribution_and_learns():
     raw, offsets = spelt(["the cat sat on the mat. the cat sat", "zq xj vk wpq zq xj vk wpq zq xj vk"])
     good, bad = trained.score(raw, offsets)
     assert good > 0.3 * bad
+    # contexts seen a billion times, as every large corpus has them, leave no text impossible
+    sure = mixing_lm.Mixer(code, [np.log((t[1::2] * 1e9 + 0.4) / (t[::2] * 1e9 + 0.4)).astype(np.float32) for t in tables])
+    assert np.isfinite(sure.score(raw, offsets)).all() and np.isfinite(sure.score(*spelt(["the cat sat on the mat. the cow"]))).all()
     one_by_one = [trained.score(*spelt([t]))[0] for t in ("the cat sat on the mat. the cat sat", "zq xj vk wpq zq xj vk wpq zq xj vk")]
     assert [good, bad] == pytest.approx(one_by_one)  # a text's score depends on no other text
 
