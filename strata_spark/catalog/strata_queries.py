@@ -28,7 +28,7 @@ SETS = ((), ("age_cat",), ("sex",), ("inf_latest",), ("vacc_status_3way",), ("in
 def _specs_sql() -> str:
     rows = []
     for i, spec in enumerate(SPECS, 1):
-        expr = " & ".join(f"{k} =='{x}'" for k, x in spec.items())
+        expr = " AND ".join(f"{k} = {sql_text(x)}" for k, x in spec.items())
         name = "&".join(f"{k}:{x.replace(' ', '')}" for k, x in spec.items())
         hit = " AND ".join(f"{k} = {sql_text(x)}" for k, x in spec.items())
         rows.append(f"SELECT {i} AS subset_id, {sql_text(expr)} AS expr, {sql_text(name)} AS postrat_name, "
@@ -185,11 +185,33 @@ def realloc_strata(spark, d):
  GROUP BY age_cat, vacc_status_3way, inf_latest""", ["realloc_draws"], ["mean", "q025", "q975"])
 def realloc_by_draw(spark, d):
     """Reallocation that keeps the uncertainty of the external share, as an interval per stratum."""
+    sizes = st.reallocate(weights(spark, d), external_by_draw(spark, d), by_draw=True)
+    return posterior_summary(sizes, st.WEIGHT_KEYS, "strata_size_new")
+
+
+def external_by_draw(spark, d):
+    """External infection share by age, one for each draw of the serology model."""
     scored = dr.score_strata(v.sero_draws(spark, d), pop_strata(spark, d), v.SERO_DESIGN, (AGE, SEX), "strata_pop", prefix="inf:")
-    external = st.pooled_mean(scored, ["sim", "age_cat"], "seropos", "strata_pop", "pc_inf_external").withColumn(
+    return st.pooled_mean(scored, ["sim", "age_cat"], "seropos", "strata_pop", "pc_inf_external").withColumn(
         "pc_inf_external", F.col("pc_inf_external") * 100.0)
-    sizes = st.reallocate(weights(spark, d), external, by_draw=True)
-    return posterior_summary(sizes, st.WEIGHT_KEYS, "strata_size_new")
+
+
+_BY_DRAW = f"""SELECT d.fit_id, r.sim, r.age_cat, s.sex, r.inf_latest, r.vacc_status_3way, r.strata_size_new / 2 AS strata_size_final,
+ {sql_logistic(sql_predictor(MODELS['additive']))} AS p FROM draws_additive d JOIN realloc_draws r ON d.sim = r.sim
+ CROSS JOIN (VALUES ('m'), ('f')) s(sex)"""
+VIEWS["draw_scored"] = (_BY_DRAW, ("draws_additive", "realloc_draws"))
+VIEWS["draw_sets"] = (VIEWS["post_sets"][0].replace("post_scored", "draw_scored"), ("draw_scored",))
+
+
+@query("poststrat_by_draw", """SELECT fit_id, postrat_name, avg(p) AS mean, quantile_cont(p, 0.025e0) AS q025, quantile_cont(p, 0.975e0) AS q975
+ FROM draw_sets GROUP BY fit_id, postrat_name""", ["draw_sets"], ["mean", "q025", "q975"])
+def poststrat_by_draw(spark, d):
+    """Estimates whose intervals carry the uncertainty of the external share: each draw is weighted by its own sizes."""
+    sizes = st.reallocate(weights(spark, d), external_by_draw(spark, d), by_draw=True)
+    strata = st.split_by_sex(sizes, PANEL_AGE, VACCINATION, by=("sim",))
+    draws = v.panel_draws(spark, d, MODELS["additive"])
+    scored = dr.score_strata_by_draw(draws, strata, MODELS["additive"], FACTORS, "strata_size_final", ("fit_id", "sim"), name="p")
+    return posterior_summary(ps.poststratify_sets(scored, SETS, ("fit_id", "sim")), ["fit_id", "postrat_name"])
 
 
 def split(spark, d):

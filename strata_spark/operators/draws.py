@@ -151,6 +151,31 @@ def score_strata(draws: DataFrame, strata: DataFrame, design: Design, factors: S
     return watched(checks, joined, "scored strata", {**probability_rules([name]), "bad_weight": F.col(weight) >= 0})
 
 
+def score_strata_by_draw(draws: DataFrame, strata: DataFrame, design: Design, factors: Sequence[Levels],
+                         weight: str, keep: Sequence[str] = ("sim",), prefix: str = "", name: str = "seropos",
+                         draw: str = "sim") -> DataFrame:
+    """Like ``score_strata`` for strata whose weights differ from draw to draw.
+
+    The weights of a draw are one row, an array over the declared grid of levels, so the join is one row a draw on
+    either side, shuffled by draw whatever their number; draws are fanned out over the grid after it. A stratum that a draw
+    has no weight for is left out, a draw without weights too.
+    """
+    keys = [f.name for f in factors]
+
+    def place(frame_factors: Sequence[Levels]) -> Column:
+        out = F.lit(0)
+        for f in frame_factors:
+            out = out * len(f.labels) + f.ordinal(F.col(f.name))
+        return out
+
+    listed = within_levels(strata, factors).groupBy(draw).agg(F.map_from_entries(F.collect_list(
+        F.struct(place(factors).alias("at"), F.col(weight).alias("w")))).alias("_weights"))
+    paired = spread(draws, draw).join(listed, draw, "inner")
+    rows = fan_out(paired, *factors).select(
+        *keep, *keys, logistic(F.expr(design.predictor(prefix))).alias(name), F.col("_weights")[place(factors)].alias(weight))
+    return rows.where(F.col(weight).isNotNull())
+
+
 def score_seroprevalence(
     draws: DataFrame, strata: DataFrame, design: Design, *, keep: Sequence[str] = ("sim",),
     factors: Sequence[Levels] = (AGE, SEX), weight: str = "strata_pop",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata_spark.functions.levels import Levels
+from strata_spark.functions.levels import Levels, sql_literal
 from strata_spark.functions.scalars import mean_by_weight, ratio, whole_sum
 from strata_spark.session import literal_table
 
@@ -88,12 +88,11 @@ def _key(names: Sequence[str]) -> str:
 
 
 def subset_catalog(spark, specs: Sequence[dict[str, str]]) -> DataFrame:
-    """``(subset_id, expr, postrat_name, vars, vals)``, one row per subset."""
-    rows = []
-    for i, spec in enumerate(specs, start=1):
-        expr = " & ".join(f"{k} =='{v}'" for k, v in spec.items())
-        name = expr.replace("==", ":").replace(" ", "").replace("'", "")
-        rows.append((i, expr, name, _key(list(spec)), "\u0001".join(spec.values())))
+    """``(subset_id, expr, postrat_name, vars, vals)``, one row per subset; ``expr`` is its condition in SQL."""
+    rows = [
+        (i, " AND ".join(f"{c} = {sql_literal(level)}" for c, level in spec.items()),
+         _key([f"{c}:{level.replace(' ', '')}" for c, level in spec.items()]), _key(list(spec)), "\u0001".join(spec.values()))
+        for i, spec in enumerate(specs, start=1)]
     return literal_table(spark, rows, "subset_id int, expr string, postrat_name string, vars string, vals string")
 
 

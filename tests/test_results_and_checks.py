@@ -133,3 +133,22 @@ def test_filter_variant_names(spark):
     for how in ({"names": names}, {}):
         with pytest.raises(ValueError, match="unknown variant 'zz', there are"):
             co.filter_variant(df, "zz", **how)
+
+
+def test_weights_by_draw(spark):
+    """Each draw takes its own weights; strata and draws without weights are left out."""
+    from strata_spark.functions.levels import Levels
+    from strata_spark.operators.design import Design
+
+    g, h = Levels("g", ("x", "y"), "x"), Levels("h", ("p", "q"), "p")
+    design = Design((g, h))
+    draws = spark.createDataFrame([("f", s, 0.1 * s, 0.2, -0.3) for s in range(5)], "fit_id string, sim bigint, a double, b double, c double").toDF(
+        "fit_id", "sim", *design.terms)
+    weights = {(s, a, b): 1.0 + s + (a == "x") for s in range(4) for a in "xy" for b in "pq" if (s, a, b) != (2, "y", "q")}
+    strata = spark.createDataFrame([(*k, w) for k, w in weights.items()], "sim bigint, g string, h string, w double")
+    got = {(r.sim, r.g, r.h): (r.seropos, r.w) for r in dr.score_strata_by_draw(draws, strata, design, (g, h), "w").collect()}
+    assert {k: w for k, (_, w) in got.items()} == weights
+    for (s, a, b), (p, _) in got.items():
+        assert p == pytest.approx(1 / (1 + 2.718281828459045 ** -(0.1 * s + 0.2 * (a == "y") - 0.3 * (b == "q"))))
+    plan = dr.score_strata_by_draw(draws, strata, design, (g, h), "w")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower().replace("autobroadcast", "")

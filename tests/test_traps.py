@@ -257,7 +257,7 @@ def test_subset_names_and_labels(spark):
     specs = ps.subset_specs([VACCINATION], [(INFECTION, VACCINATION)])
     assert len(specs) == 12
     cat = {r.subset_id: r for r in ps.subset_catalog(spark, specs).collect()}
-    assert cat[1].expr == "vacc_status_3way =='No vacc'" and cat[1].postrat_name == "vacc_status_3way:Novacc"
+    assert cat[1].expr == "vacc_status_3way = 'No vacc'" and cat[1].postrat_name == "vacc_status_3way:Novacc"
     assert cat[4].postrat_name == "inf_latest:uninfected&vacc_status_3way:Novacc"
     assert cat[5].postrat_name.startswith("inf_latest:inf_bef_2022")
     df = spark.createDataFrame([("all",), ("age_cat:[0,6)",), ("sex:f",), ("inf_latest:inf_2022",), (cat[4].postrat_name,)], "postrat_name string")
