@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
-from strata_spark.catalog.registry import query, sql_count_percent, sql_cut, sql_values
+from strata_spark.catalog.registry import VIEWS, query, sql_count_percent, sql_cut, sql_values
 from strata_spark.functions.levels import (
     AGE, INFECTION, PANEL_AGE, PANEL_SEX, SEX, VACCINATION, choose, cut, level_table)
 from strata_spark.functions.scalars import count_percent_text, flatten_text
 from strata_spark.operators import cohort as co
 from strata_spark.operators.checks import Checks
-from strata_spark.operators.design import MODELS, Design, design_rows, scenario_rows
+from strata_spark.operators.design import MODELS, Design, design_rows, model_design, scenario_rows
 from strata_spark.operators.likelihood import SERO_CELL
 from strata_spark.operators.numbering import index_keys, number_by_id
 from strata_spark.plans.report import category_rank, variants_of_interest
@@ -272,6 +272,17 @@ def design_interaction(spark, d):
     return design_rows(dated, MODELS["interaction"], ["obs_id", "variant"])
 
 
+VIEWS["panel_10y"] = ("SELECT * EXCLUDE (age_cat, age_cat_10y), age_cat_10y AS age_cat FROM panel", ("panel",))
+
+
+@query("design_10y", f"""SELECT obs_id, variant, {_design_sql(model_design('interaction', 'age_cat_10y'))} FROM panel_10y
+ WHERE inf_latest IS NOT NULL""", ["panel_10y"])
+def design_10y(spark, d):
+    """Interaction terms under the 10-year age scheme."""
+    dated = v.panel(spark, d, "age_cat_10y").where(F.col("inf_latest").isNotNull())
+    return design_rows(dated, model_design("interaction", "age_cat_10y"), ["obs_id", "variant"])
+
+
 @query("swap_infection_term", f"""SELECT obs_id, scenario, {_design_sql(MODELS['interaction'])} FROM (
  SELECT p.* EXCLUDE (inf_latest), s.scenario, s.scenario AS inf_latest FROM panel p,
  (VALUES ('inf_bef_2022'), ('inf_2022')) s(scenario) WHERE p.inf_latest IS NULL) x""", ["panel"])

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from strata_spark import fixed_values as fx
 from strata_spark.catalog.draws_queries import _ETA, _ST, _nodes_sql
-from strata_spark.catalog.registry import VIEWS, query, sql_logistic, sql_predictor
+from strata_spark.catalog.registry import VIEWS, panel_draws_sql, query, sql_logistic, sql_predictor, sql_values
 from strata_spark.catalog.strata_queries import FACTORS, SETS, split
+from strata_spark.functions.levels import PANEL_AGE_10Y
 from strata_spark.operators import cohort as co
 from strata_spark.operators import fit as ft
 from strata_spark.operators import likelihood as lk
-from strata_spark.operators.design import MODELS
+from strata_spark.operators.design import MODELS, model_design
 from strata_spark.operators.draws import quadrature, score_strata, spread, widen
 from strata_spark.operators.poststrat import label_estimates, poststratify_sets
 from strata_spark.operators.summary import posterior_summary
@@ -26,13 +27,17 @@ def cells(spark, d):
     return lk.panel_cells(v.panel(spark, d)).withColumnRenamed("variant", "fit_id")
 
 
+DESIGNS = {**MODELS, "additive_10y": model_design("additive", "age_cat_10y")}
+PRIOR_10Y = lk.flat_prior(PANEL_AGE_10Y)
+
+
 def _mass(q: str) -> str:
     return f"CASE WHEN y = 1 THEN ln(greatest({q}, 1e-12)) ELSE ln(greatest(1 - ({q}), 1e-12)) END"
 
 
 def _seen(model: str, swap: str | None, child: bool = False, od: bool = False) -> str:
     """Probability of a positive result; with ``od`` averaged over an observation effect."""
-    eta = sql_predictor(MODELS[model], "", "d", {"inf_latest": f"'{swap}'"} if swap else None)
+    eta = sql_predictor(DESIGNS[model], "", "d", {"inf_latest": f"'{swap}'"} if swap else None)
     sens = "(CASE WHEN child THEN sens_child ELSE sens END)" if child else "sens"
     spec = "(CASE WHEN child THEN spec_child ELSE spec END)" if child else "spec"
     p = sql_logistic(eta) if not od else "(" + " + ".join(
@@ -75,6 +80,23 @@ def all_models(spark, d):
     return lk.models_loglik(draws, cells(spark, d), ALL_MODELS, PRIOR, n_nodes=OD_NODES)
 
 
+VIEWS.update({
+    "cells_10y": (VIEWS["cells"][0].replace("FROM panel", "FROM panel_10y"), ("panel_10y",)),
+    "age_prior_10y": (f"SELECT * FROM (VALUES {sql_values(PRIOR_10Y.items())}) v(age_cat, prior_before)", ()),
+    "draws_additive_10y": (panel_draws_sql(DESIGNS["additive_10y"]), ()),
+    "ll_10y": (_pointwise("additive_10y").replace("JOIN cells c", "JOIN cells_10y c").replace("JOIN age_prior", "JOIN age_prior_10y"),
+               ("draws_additive_10y", "cells_10y", "age_prior_10y")),
+})
+
+
+@query("loglik_10y", "SELECT fit_id, sim, sum(n * log_lik) AS log_lik FROM ll_10y GROUP BY fit_id, sim", ["ll_10y"], ["log_lik"])
+def loglik_10y(spark, d):
+    """Log-likelihood by draw under the 10-year age scheme, with the flat prior of its levels."""
+    design = DESIGNS["additive_10y"]
+    collapsed = lk.panel_cells(v.panel(spark, d, "age_cat_10y")).withColumnRenamed("variant", "fit_id")
+    return lk.loglik_by_draw(lk.pointwise_loglik(v.panel_draws(spark, d, design), collapsed, design, PRIOR_10Y))
+
+
 @query("panel_cells", "SELECT * FROM cells", ["cells"])
 def collapsed_panel(spark, d):
     return cells(spark, d)

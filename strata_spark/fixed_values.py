@@ -15,6 +15,7 @@ INFECTION_LEVELS = ("uninfected", "inf_bef_2022", "inf_2022")
 VACCINATION_LEVELS = ("No vacc", "Dose 1 or 2 only", "Boosted")
 SERO_AGE_REF = "[25,35)"
 PANEL_AGE_REF = "[35,50)"
+PANEL_AGE_10Y_REF = "[20,30)"
 SEX_REF = "Female"
 SEX_CODE_REF = "f"
 INFECTION_REF = "uninfected"

@@ -132,6 +132,7 @@ def grid_size(*factors: Levels, extra: int = 0) -> int:
 AGE = Levels("age_cat", bin_labels(fx.AGE_BREAKS), fx.SERO_AGE_REF)
 SEX = Levels("Sex", fx.SEX_LEVELS, fx.SEX_REF)
 PANEL_AGE = Levels("age_cat", bin_labels(fx.AGE_BREAKS), fx.PANEL_AGE_REF)
+PANEL_AGE_10Y = Levels("age_cat", bin_labels(fx.AGE_BREAKS_10Y), fx.PANEL_AGE_10Y_REF)
 PANEL_SEX = Levels("sex", fx.SEX_CODES, fx.SEX_CODE_REF)
 INFECTION = Levels("inf_latest", fx.INFECTION_LEVELS, fx.INFECTION_REF)
 VACCINATION = Levels("vacc_status_3way", fx.VACCINATION_LEVELS, fx.VACCINATION_REF)

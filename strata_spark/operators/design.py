@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata_spark.functions.levels import INFECTION, PANEL_AGE, PANEL_SEX, VACCINATION, Levels, sql_literal
+from strata_spark.functions.levels import INFECTION, PANEL_AGE, PANEL_AGE_10Y, PANEL_SEX, VACCINATION, Levels, sql_literal
 
 INTERCEPT = "(Intercept)"
 
@@ -70,16 +70,27 @@ class Design:
         return " + ".join(parts)
 
 
-MODELS = {
-    "additive": Design((PANEL_AGE, PANEL_SEX, INFECTION, VACCINATION)),
-    "interaction": Design((PANEL_AGE, PANEL_SEX, INFECTION, VACCINATION), (("inf_latest", "vacc_status_3way"),)),
-}
+#: Age schemes of the panel by column name.
+AGE_SCHEMES = {"age_cat_uep": PANEL_AGE, "age_cat_10y": PANEL_AGE_10Y}
 
 
-def model_design(name: str) -> Design:
-    if name not in MODELS:
-        raise ValueError(f"unknown model type {name!r}, known: {', '.join(MODELS)}")
-    return MODELS[name]
+def panel_models(age: Levels) -> dict[str, Design]:
+    """The two model types under one age scheme."""
+    factors = (age, PANEL_SEX, INFECTION, VACCINATION)
+    return {"additive": Design(factors), "interaction": Design(factors, (("inf_latest", "vacc_status_3way"),))}
+
+
+MODELS = panel_models(PANEL_AGE)
+
+
+def model_design(name: str, age_scheme: str = "age_cat_uep") -> Design:
+    """Design of a model type under an age scheme; an unknown name of either is an error."""
+    if age_scheme not in AGE_SCHEMES:
+        raise ValueError(f"unknown age scheme {age_scheme!r}, known: {', '.join(AGE_SCHEMES)}")
+    models = panel_models(AGE_SCHEMES[age_scheme])
+    if name not in models:
+        raise ValueError(f"unknown model type {name!r}, known: {', '.join(models)}")
+    return models[name]
 
 
 def design_rows(df: DataFrame, design: Design, keep: Sequence[str] = ()) -> DataFrame:

@@ -104,8 +104,8 @@ def _with_user_columns(df: DataFrame) -> DataFrame:
 PANEL_VARIANTS = ("click", "error", "purchase", "signup", "view")
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_panel(raw_panel(spark, sf_dir), "age_cat_UEP")
+def panel(spark: SparkSession, sf_dir: str, age_scheme: str = "age_cat_UEP") -> DataFrame:
+    return prepare_panel(raw_panel(spark, sf_dir), age_scheme)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
