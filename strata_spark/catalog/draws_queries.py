@@ -116,7 +116,7 @@ def full_summary(spark, d):
 @query("hdci", "SELECT * FROM interval", ["interval"], ["hdci_lo", "hdci_hi"])
 def hdci(spark, d):
     m = ps.marginal_estimates(scored(spark, d))
-    return sm.hdci(m, ["var", "val"])
+    return sm.hdci(m, ["var", "val"], draws=v.N_DRAWS)
 
 
 @query("ranked_summary", """SELECT s.*, i.hdci_lo, i.hdci_hi FROM (

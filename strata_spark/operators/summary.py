@@ -97,8 +97,13 @@ def ranked_summary(df: DataFrame, by: Sequence[str], value: str = "p", prob: flo
     return stats.alias("m").join(interval.alias("i"), same_keys("m", "i", by)).select("m.*", "i.hdci_lo", "i.hdci_hi")
 
 
-def hdci(df: DataFrame, by: Sequence[str], value: str = "p", prob: float = 0.95) -> DataFrame:
-    """Narrowest interval over sorted draws that spans ``floor(prob * n)`` steps; the first on ties."""
+def hdci(df: DataFrame, by: Sequence[str], value: str = "p", prob: float = 0.95, draws: int | None = None) -> DataFrame:
+    """Narrowest interval over sorted draws that spans ``floor(prob * n)`` steps; the first on ties.
+
+    A declared number of ``draws`` is checked and makes a group one array; without it groups have any size.
+    """
+    if draws is not None:
+        return full_summary(df, by, value, prob=prob, draws=draws).select(*by, "hdci_lo", "hdci_hi")
     return narrowest(ranked_values(df, by, value), by, value, prob)
 
 
