@@ -1,8 +1,10 @@
 """Personal data: regular expressions propose spans, checksums confirm them, words before them adjust the score.
 
 DataFrame functions only. Base kinds: ``email``, ``ip``, ``card`` (Luhn) and ``phone``, leftmost and non-overlapping
-inside a kind; a match that fails its check is dropped and not tried again. The method adds ``iban`` (mod-97) and
-``ssn`` (three groups of digits; only with a context word, as nothing else confirms it). Every span has a score: a
+inside a kind; a match that fails its check is dropped and not tried again. The method adds ``iban`` (mod-97),
+``ssn`` (three groups of digits; only with a context word, as nothing else confirms it), ``secret`` (a long value after
+``=``, ``:`` or ``Bearer``, with letters, digits and at least eight different characters; only with a context word) and
+``key`` (published formats of access keys, signed tokens and private key blocks). Every span has a score: a
 start value by kind, ``CONTEXT_BONUS`` more if one of the kind's words stands in the ``CONTEXT_CHARS`` code points
 before it. Base spans and confirmed ones always stay; the score decides only about kinds without a check.
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret", "key")
 # Patterns of the kinds, words that make a kind more likely, start scores.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -28,6 +30,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?<=[=:][\x20\t]{0,4}[\"']?|[Bb]earer\x20)[A-Za-z0-9+/_-]++=*+",
+    "key": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+"
+           r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)(?![A-Za-z0-9_])",
 }
 CONTEXT = {
     "email": "mail|contact|write to|adresse|correo",
@@ -36,16 +41,20 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "ssn": "ssn|social security|taxpayer",
+    "secret": "token|secret|passw|passphrase|api.?key|access.?key|private.?key|credential|auth|bearer|signature|kennwort|contraseñ|mot de passe",
+    "key": "key|token|secret",
 }
-START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9, "ssn": 0.2}
+START_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9, "ssn": 0.2, "secret": 0.3, "key": 0.9}
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.35
 THRESHOLD = 0.5
 #: Kinds that stay whatever their score: the base ones and those that a checksum confirms.
-CERTAIN = ("email", "ip", "card", "phone", "iban")
+CERTAIN = ("email", "ip", "card", "phone", "iban", "key")
 #: A text without one of these characters has no match of the kind.
 NEEDED = {"email": "@", "ip": ".", "phone": "+", "ssn": "-"}
 RUN = 256
+#: Different characters that a secret has at least.
+DISTINCT = 8
 
 
 def _total(xs: Column) -> Column:
@@ -102,6 +111,9 @@ def _valid(kind: str, s: Column) -> Column:
         return F.length(_digits(s)).between(8, 15)
     if kind == "iban":
         return F.length(F.replace(s, F.lit(" "), F.lit(""))).between(15, 34) & mod97_ok(s)
+    if kind == "secret":
+        # random values have letters and digits and repeat few of them; names and plain numbers do not pass
+        return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s, ""))) >= DISTINCT)
     return F.lit(True)
 
 
