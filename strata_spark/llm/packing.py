@@ -25,10 +25,10 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from strata_spark.llm.tasks import map_arrow
 
@@ -41,53 +41,32 @@ END_ID = 0
 TIERS = (1024, 512, 256, 128)
 POOL_TOKENS = 1 << 19
 STEP_GROUP = 8
-MEMO = 300_000
-MEMO_CHARS = 48
-_LINE = np.array([198], "<u4").tobytes()
-#: A space or newline beside other white space may join it in one piece of the tokenizer.
-_RUNS = regex.compile(r"[^\S \n]|[ \n][ \n]|[\x00-\x09\x0b-\x1f\x7f-\xa0]")
-_CUT = regex.compile(r"(?<=[^\s\x00-\x1f\x7f-\xa0]) (?=[^\s\x00-\x1f\x7f-\xa0])")
 
 
 class Encoder:
-    """Ids of a text as bytes (little-endian, four an id); parts between spaces and newlines are remembered."""
+    """Ids of a text as bytes (little-endian, four an id)."""
 
-    def __init__(self, path: str, memo: int = MEMO) -> None:
+    def __init__(self, path: str, vocabulary: str) -> None:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                           special_tokens=SPECIAL)
-        self.memo: dict[str, bytes] = {}
-        self.limit = memo
-
-    def part(self, part: str) -> bytes:
-        got = self.memo.get(part)
-        if got is None:
-            got = np.array(self.encoding.encode(part, allowed_special="all"), "<u4").tobytes()
-            if len(part) <= MEMO_CHARS and len(self.memo) < self.limit:
-                self.memo[part] = got
-        return got
-
-    def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        parts = [first, *[" " + x for x in rest]]
-        found = list(map(self.memo.get, parts))
-        if None in found:
-            found = [self.part(p) if f is None else f for p, f in zip(parts, found)]
-        return b"".join(found)
+        self.vocabulary = vocabulary
+        self.library: Tokenizer | None = None
 
     def ids(self, text: str | None) -> bytes:
-        text = text or ""
-        if _RUNS.search(text) or text[:1] in " \n" or text[-1:] in " \n":
-            first, *rest = _CUT.split(text)
-            return b"".join([self.part(first), *[self.part(" " + x) for x in rest]])
-        return _LINE.join(map(self._line, text.split("\n")))
+        try:
+            found = self.encoding.encode_to_numpy(text or "", allowed_special="all")
+        except ValueError:  # about a million white space characters in a row are too many for its patterns
+            self.library = self.library or Tokenizer.from_file(self.vocabulary)
+            found = self.library.encode(text, add_special_tokens=False).ids
+        return np.asarray(found, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One a worker: later tasks find its memory filled."""
-    return Encoder(path)
+def encoder(path: str, vocabulary: str) -> Encoder:
+    """One a worker."""
+    return Encoder(path, vocabulary)
 
 
 Piece = tuple[int, int, int]  # length, index of the document, start
@@ -147,11 +126,11 @@ RESULT = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "offset bigint, context bigint, step_group bigint, ids binary")
 
 
-def _pack(path: str, tiers: tuple[int, ...], pool_tokens: int, keep_ids: bool):
+def _pack(path: str, vocabulary: str, tiers: tuple[int, ...], pool_tokens: int, keep_ids: bool):
     names = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, full = encoder(path).ids, TierPacker(tiers), tiers[0]
+        encode, packer, full = encoder(path, vocabulary).ids, TierPacker(tiers), tiers[0]
         end = np.array([END_ID], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 32
         docs: dict[int, list] = {}  # index: id, ids, ids not yet given out
@@ -206,11 +185,11 @@ def _pack(path: str, tiers: tuple[int, ...], pool_tokens: int, keep_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TIERS,
+def pack_documents(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, tiers: tuple[int, ...] = TIERS,
                    pool_tokens: int = POOL_TOKENS, keep_ids: bool = True) -> DataFrame:
     """One row a piece, with its ids and the sequence (``context``: its padded length) it lies in."""
-    path = path or public_tokenizers.path(RANKS)
-    return map_arrow(docs.select("doc_id", "text"), _pack(path, tiers, pool_tokens, keep_ids), RESULT)
+    path, vocabulary = path or public_tokenizers.path(RANKS), vocabulary or public_tokenizers.path(VOCABULARY)
+    return map_arrow(docs.select("doc_id", "text"), _pack(path, vocabulary, tiers, pool_tokens, keep_ids), RESULT)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:

@@ -106,10 +106,11 @@ def test_token_query(spark, sf_dir, texts):
 
 
 def test_encoder_gives_the_ids_of_the_library():
-    encode = packing.Encoder(public_tokenizers.path(packing.RANKS)).ids
+    encode = packing.Encoder(*map(public_tokenizers.path, (packing.RANKS, packing.VOCABULARY))).ids
     library = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    for text in odd_texts(3000, seed=2):
-        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+    long = ["a" + " " * 1_500_000 + "b", "\t\n" * 600_000, "x" * 200_000, "it's " * 100_000]
+    for text in [*odd_texts(3000, seed=2), *long]:
+        assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:99])
 
 
 def check_packed(rows, ids):
