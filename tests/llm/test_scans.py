@@ -113,6 +113,38 @@ def test_encoder_gives_the_ids_of_the_library():
         assert encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text[:99])
 
 
+@pytest.mark.parametrize("own_share", [0, 0.5, 1])
+def test_tiers_are_packed_as_such(own_share):
+    rng = random.Random(3)
+    lengths = [rng.choice([rng.randint(1, 128), rng.randint(1, 1023), 512]) for _ in range(3000)]
+    packer = packing.TierPacker(own_share=own_share)
+    windows = []
+    for doc, n in enumerate(lengths):
+        packer.add((n, doc, 0))
+        if packer.held > 20_000:
+            windows += packer.windows()
+    windows += packer.windows()
+    assert all(sum(p[0] for p in pieces) == size for pieces, size in windows)
+    windows += packer.last()
+    assert packer.held == 0 and sum(size for _, size in windows) - sum(lengths) < 128
+    given = sorted((doc, start, n) for pieces, _ in windows for n, doc, start in pieces)
+    for doc, n in enumerate(lengths):
+        own = [g for g in given if g[0] == doc] if doc % 50 == 0 else None
+        if own:
+            assert [g[1] for g in own] == [sum(g[2] for g in own[:i]) for i in range(len(own))] and sum(g[2] for g in own) == n
+    assert len({g[:2] for g in given}) == len(given) and sum(g[2] for g in given) == sum(lengths)
+    share = {size: sum(s for _, s in windows if s == size) / sum(lengths) for size in packing.TIERS}
+    if own_share == 0.5:
+        assert min(share.values()) > 0.02, share
+
+
+def test_step_groups_have_like_numbers_of_ids():
+    sizes = [random.Random(i).choice(packing.TIERS) for i in range(700)]
+    groups = packing._step_groups(sizes, 1024)
+    ids = [sum(s for s, g in zip(sizes, groups) if g == k) for k in range(max(groups) + 1)]
+    assert max(ids) - min(ids) <= 128 and len({s for s, g in zip(sizes, groups) if g == 0}) > 1
+
+
 def check_packed(rows, ids):
     pieces, sequences = {}, {}
     for r in rows:
