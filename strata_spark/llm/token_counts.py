@@ -8,8 +8,11 @@ document's count, its running sum answers "how many tokens has this prefix" and
 tokens" without encoding again.
 
 Texts are cut at spaces and newlines, which the vocabulary drops; parts are remembered up to ``MEMO`` per worker.
-Letters, digits and signs go through the table of merges; a part with an apostrophe (contractions), a special token's
-string or a letter that changes length when normalised is counted by the library, prefix by prefix.
+Other white space, contractions, special tokens' strings and letters that normalisation changes are handled on the
+normalised part: it is put together from clusters (a letter and what may join it), cut into the vocabulary's pieces, and
+each piece is counted at its prefixes. Where a text's prefix ends inside a cluster and so has another last letter, the
+count goes on from the piece's table at the cluster's start. All of this is linear in the part, but for a cluster of
+very many marks whose order normalisation changes: its own length counts with the square.
 
 Defined cases: a null text is empty (0 tokens, empty table); special tokens' strings inside a text count as the library
 counts them by default; equal rows give equal rows; other columns of ``docs`` are not used.
@@ -18,10 +21,13 @@ counts them by default; equal rows give equal rows; other columns of ``docs`` ar
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from operator import sub
 
 import numpy as np
@@ -39,6 +45,8 @@ MEMO = 600_000
 #: Longer parts are not remembered.
 MEMO_CHARS = 48
 _PIECES = regex.compile(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_CONTRACTION = re.compile("'s|'t|'re|'ve|'m|'ll|'d")
+_RUN = re.compile("L+|P+|N|S")
 _UNNORMAL = normalizers.NFC()
 _LOWER = normalizers.Lowercase()
 
@@ -50,6 +58,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in set(printable) else chr(256 + rest.index(b)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Letters that normalisation may join with the one before, marks aside."""
+    pairs = (unicodedata.decomposition(chr(i)).split() for i in range(0x110000))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(seconds | set(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])))
+
+
 class PrefixCounts:
     """Counts at all prefixes of a text, for one vocabulary file with word ends."""
 
@@ -72,6 +88,11 @@ class PrefixCounts:
         self.memo: dict[str, bytes] = {"": b""}
         self.words: dict[str, list[int]] = {}
         self.lower: dict[str, str] = {}
+        self.kinds: dict[str, str] = {}
+        self.starts: dict[str, bool] = {}
+        self.normal: dict[str, str] = {}
+        self.longest = max(map(len, self.tails))
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or "(?!)")
         self.limit = memo
 
     def _merged(self, symbols: list[str]) -> list[str]:
@@ -105,12 +126,14 @@ class PrefixCounts:
                 self.fits[key] = known
         return known
 
-    def word(self, word: str) -> list[int]:
-        """Count at each code point's end, as if the word ended there (``word``: lower case, one kind of character)."""
-        spelt = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        ends = set(np.cumsum([len(c.encode()) for c in word]).tolist()) if len(spelt) > len(word) else None
-        tail, count, out, tails, fits = [""], [0], [], self.tails, self.fits
-        for i in range(1, len(spelt) + 1):
+    def _spelt(self, word: str) -> str:
+        plain = word.isascii() and word.isprintable()
+        return word if plain else "".join(map(self.letters.__getitem__, word.encode()))
+
+    def _extend(self, spelt: str, tail: list[str], count: list[int], ends: set[int] | None) -> list[int]:
+        """Goes on with last tokens and counts up to the end of ``spelt``; counts as if the word ended at each of ``ends``."""
+        out, tails, fits = [], self.tails, self.fits
+        for i in range(len(tail), len(spelt) + 1):
             inner, last, n = 0, 0, i - 1
             found = []
             while n >= 0:
@@ -123,15 +146,14 @@ class PrefixCounts:
                 n -= 1
             final = ends is None or i in ends
             for n, token, kind in reversed(found):  # longest first
+                before = tail[n]
                 if kind & 1 and not inner:
-                    before = tail[n]
-                    fit = True if not n else fits.get((before, token, False))
+                    fit = True if not before else fits.get((before, token, False))
                     if self._fit(before, token, False) if fit is None else fit:
                         inner = count[n] + 1
                         tail.append(token)
                 if kind & 2 and final and not last:
-                    before = tail[n]
-                    fit = True if not n else fits.get((before, token, True))
+                    fit = True if not before else fits.get((before, token, True))
                     if self._fit(before, token, True) if fit is None else fit:
                         last = count[n] + 1
             count.append(inner)
@@ -139,6 +161,12 @@ class PrefixCounts:
                 out.append(last)
         return out
 
+    def word(self, word: str) -> list[int]:
+        """Count at each code point's end, as if the word ended there (``word``: lower case, one kind of character)."""
+        spelt = self._spelt(word)
+        ends = set(accumulate(len(c.encode()) for c in word)) if len(spelt) > len(word) else None
+        return self._extend(spelt, [""], [0], ends)
+
     def _known_word(self, word: str) -> list[int]:
         got = self.words.get(word)
         if got is None:
@@ -156,8 +184,107 @@ class PrefixCounts:
             got = self.lower[c] = low if plain and len(low) == 1 and _UNNORMAL.normalize_str(c) == c else ""
         return got
 
-    def _library(self, s: str) -> int:
-        return len(self.library.encode(s, add_special_tokens=False).ids)
+    def _kind(self, c: str) -> str:
+        """L(etter), N(umber), S(pace) or P (the rest) of a normalised character, as the library cuts."""
+        got = self.kinds.get(c)
+        if got is None:
+            cut = self.library.pre_tokenizer.pre_tokenize_str
+            among = len(cut(f"a{c}a"))
+            got = self.kinds[c] = "LS"[among - 1] if among < 3 else "PN"[len(cut(c + c)) - 1]
+        return got
+
+    def _starts(self, c: str) -> bool:
+        """Whether nothing before the character changes how it and what follows are normalised."""
+        got = self.starts.get(c)
+        if got is None:
+            first = unicodedata.normalize("NFD", c)[0]
+            got = self.starts[c] = not unicodedata.combining(first) and first not in _joining()
+        return got
+
+    def _normal(self, cluster: str) -> str:
+        got = self.normal.get(cluster)
+        if got is None:
+            got = self.library.normalizer.normalize_str(cluster)
+            if len(cluster) <= MEMO_CHARS and len(self.normal) < self.limit:
+                self.normal[cluster] = got
+        return got
+
+    def _partials(self, cluster: str) -> list[str]:
+        """The normalised prefixes of a cluster."""
+        if len(cluster) == 1:
+            return [self._normal(cluster)]
+        out, joined = [], ""
+        for c in cluster:
+            last = unicodedata.combining(joined[-1]) if joined else 0
+            # a mark of the same class as the one before stays where it is
+            joined = joined + c if last and last == unicodedata.combining(c) and _UNNORMAL.normalize_str(c) == c else \
+                _UNNORMAL.normalize_str(joined + c)
+            out.append(joined)
+        return [self._normal(p) for p in out] if len(cluster) <= MEMO_CHARS else [self.library.normalizer.normalize_str(p) for p in out]
+
+    def _scan(self, normal: str) -> tuple[list[int], list[tuple[int, int, str]]]:
+        """Counts at all prefixes of a normalised part, and its pieces: start, count before, kind."""
+        kinds = "".join(map(self._kind, normal))
+        counts, pieces, at, before = [0] * (len(normal) + 1), [], 0, 0
+        while at < len(normal):
+            short = _CONTRACTION.match(normal, at) if normal[at] == "'" else None
+            kind = "C" if short else kinds[at]
+            stop = (short or _RUN.match(kinds, at)).end()
+            if kind == "S":
+                inside = [0]
+            elif short:  # its prefixes are a sign and a letter
+                inside = [*range(1, stop - at), self._known_word(short.group())[-1]]
+            else:
+                inside = self._known_word(normal[at:stop])
+            pieces.append((at, before, kind))
+            counts[at + 1: stop + 1] = [before + c for c in inside]
+            before += inside[-1]
+            at = stop
+        return counts, pieces
+
+    def _plain(self, part: str) -> list[int]:
+        """Counts at each prefix of a part without special tokens' strings, by clusters of the normalised part."""
+        bounds = [i for i, c in enumerate(part) if not i or self._starts(c)]
+        ends: list[tuple[int, str]] = []  # of each prefix: normalised length of the clusters before, its own last cluster
+        made, at = [], 0
+        for a, b in zip(bounds, [*bounds[1:], len(part)]):
+            partials = self._partials(part[a:b])
+            ends += [(at, p) for p in partials]
+            made.append(partials[-1])
+            at += len(partials[-1])
+        normal = "".join(made)
+        counts, pieces = self._scan(normal)
+        offsets: list[int] = []
+        states: dict[int, tuple[str, list[str], list[int]]] = {}
+
+        def other_end(at: int, last: str) -> int:
+            """Count of ``normal[:at] + last`` where the text goes on otherwise."""
+            i = bisect_right(pieces, at - 1, key=lambda p: p[0]) - 1
+            if i < 0:
+                return self._scan(last)[0][-1]
+            for j in (i, i - 1):  # the last letters may become a contraction
+                if j >= 0 and normal[pieces[j][0]] == "'" and at - pieces[j][0] < 3:
+                    return pieces[j][1] + self._scan(normal[pieces[j][0]: at] + last)[0][-1]
+            start, before, kind = pieces[i]
+            same = 0
+            while same < len(last) and kind in "LP" and self._kind(last[same]) == kind:
+                same += 1
+            if not same:
+                return counts[at] + self._scan(last)[0][-1]
+            if i not in states:
+                stop = pieces[i + 1][0] if i + 1 < len(pieces) else len(normal)
+                states[i] = (self._spelt(normal[start:stop]), [""], [0])
+                self._extend(*states[i], set())
+            if not offsets:
+                offsets.extend(accumulate((len(c.encode()) for c in normal), initial=0))
+            spelt, tail, count = states[i]
+            upto = offsets[at] - offsets[start]
+            base = max(0, upto - self.longest)
+            more = spelt[base:upto] + self._spelt(last[:same])
+            found = self._extend(more, tail[base: upto + 1], count[base: upto + 1], {len(more)})
+            return before + found[-1] + self._scan(last[same:])[0][-1]
+
+        return [counts[at + len(last)] if normal.startswith(last, at) else other_end(at, last) for at, last in ends]
 
     def _counts(self, part: str) -> list[int]:
         """Counts at each prefix of a part without spaces and newlines."""
@@ -169,8 +296,17 @@ class PrefixCounts:
                 inside = self._known_word(lower[:-1])
                 return [*inside, inside[-1] + 1]
         lower = "".join(map(self._lower, part))
-        if len(lower) != len(part) or ("<" in part and any(x in part for x in self.specials)):
-            return [self._library(part[: i + 1]) for i in range(len(part))]
+        if "<" in part and self.special.search(part):
+            out, at = [], 0
+            for m in self.special.finditer(part):  # up to its last character it is text
+                before = out[-1] if out else 0
+                inside = [0, *self._plain(part[at: m.end() - 1])]
+                out += [before + c for c in inside[1:]]
+                out.append(before + inside[m.start() - at] + 1)
+                at = m.end()
+            return out + [out[-1] + c for c in (self._plain(part[at:]) if at < len(part) else [])]
+        if len(lower) != len(part):
+            return self._plain(part)
         if lower.isalpha():
             return self._known_word(lower)
         out, before = [0] * len(part), 0

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -89,7 +90,13 @@ def test_pii_query(spark, sf_dir, texts):
 
 def test_tokens_at_every_prefix():
     counts, library = (f(public_tokenizers.path(token_counts.VOCABULARY)) for f in (token_counts.PrefixCounts, Tokenizer.from_file))
-    for text in [*odd_texts(400), "x" * 300]:
+    own = ["it'LL 'sé 'res\u0301 '\u0301s x'r\u00e9 'ree\u0301 !'s ''ll we'veme'd", "\u1100\u1161\u11a8\uac00\u11a8 \u212b\u0958\u0f73 a\u0323\u0302\u0301\u0316\u0323",
+           "e\u0301" * 30, "!e\u0301" * 9, "a<|endoftext|>\u0301b<|startoftext|><|endoftext|", "\u0e01\u0e33\u0e19\u0e49\u0e33\u3000\u0915\u0947\u200d\u0937\u094d", "a\tb\x0bc\x1cd\x85e\u2028f\u200b",
+           "\u0130\u0323i\u0307 \u1e9e \u03a3\u03c2 \u01c5", "o" + "\u0301" * 60 + "\u0323" * 5, "\u2019s \u00bd\u0663\u216b"]
+    rng = random.Random(9)
+    letters = "aeos\u0301\u0302\u0323\u0307'lrve!\u1100\u1161\u11a8\t\u3000<"
+    mixed = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    for text in [*odd_texts(400), "x" * 300, *own, *mixed]:
         table = counts.table(text)
         for k in range(len(text) + 1):
             assert token_counts.tokens_at(table, k) == len(library.encode(text[:k], add_special_tokens=False).ids), text
@@ -98,6 +105,19 @@ def test_tokens_at_every_prefix():
             assert token_counts.longest_prefix(table, budget) == max(fits)
 
 
+@pytest.mark.parametrize("part", ["ab\t", "'", "it's", "e\u0301", "\u0e19\u0e49\u3000", "o" + "\u0301" * 9, "<|endoftext|>", "\x1c!"])
+def test_no_part_costs_more_than_its_length(part):
+    counts, library = (f(public_tokenizers.path(token_counts.VOCABULARY)) for f in (token_counts.PrefixCounts, Tokenizer.from_file))
+    seconds = []
+    for n in (25_000, 100_000):
+        text = part * (n // len(part))
+        begin = time.process_time()
+        table = counts.table(text)
+        seconds.append(time.process_time() - begin)
+        assert token_counts.tokens_of(table) == len(library.encode(text, add_special_tokens=False).ids)
+    assert seconds[1] < max(1, 8 * seconds[0])
+
+
 def test_token_query(spark, sf_dir, texts):
     library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
     for r in QUERIES["op4_token_counts"](spark, sf_dir).collect():
