@@ -7,7 +7,8 @@ lines only in the largest ``doc_id`` that holds them.
 Key hashes are range-partitioned by (hash, doc_id), so that one key with a third of all rows is spread over several
 partitions, and sorted inside them by document and position. In that order the first occurrence of a key stays. Each
 sorted partition hands on at most one row a key, and these few rows say how many documents hold a key and which of
-them keeps it. What goes is returned as one compressed bitmap a document (and block of 32,768 lines), not as text.
+them keeps it; that goes back to each partition that holds the key. Keys are known by 64-bit hashes. What goes is
+returned as one compressed bitmap a document (and block of 32,768 lines), not as text.
 
 Defined cases: a null or empty text is one empty line; rows that share a ``doc_id`` count as one document, and each of
 them has its own bitmap; a null ``doc_id`` is no document, its lines neither count nor go; an empty table gives an
@@ -54,12 +55,17 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """``(doc_id, row_hash, block, dropped)``: a set bit is a line that goes; documents that lose nothing are absent."""
     # written once: otherwise the lines would be cut and hashed again for the ranges and for each use
     found = written(long_lines(docs, min_chars).repartitionByRange(F.col("h"), F.col("doc_id").desc())
-                    .sortWithinPartitions("h", F.col("doc_id").desc(), "pos"), "long-lines")
-    # one row a key and document, then one a key: both sums start on the sorted rows of a file
-    holders = found.groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
-    repeated = (holders.groupBy("h").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+                    .sortWithinPartitions("h", F.col("doc_id").desc(), "pos")
+                    .withColumn("part", F.spark_partition_id()), "long-lines")
+    # one row a key and document, then one a key and range: both sums start on the sorted rows of a file. A document's
+    # rows of a key are in one range, so the ranges' counts add up
+    holders = found.groupBy("h", "part", "doc_id").agg(F.lit(1).alias("one"))
+    ranges = written(holders.groupBy("h", "part").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), "line-ranges")
+    repeated = (ranges.groupBy("h").agg(F.sum("n").alias("n_docs"), F.max("last").alias("keeper"))
                 .where(F.col("n_docs") >= min_docs).select("h", "keeper"))
-    gone = found.join(repeated, "h").where(F.col("doc_id") < F.col("keeper"))
+    # the keeper goes to each range that holds its key, so a hot key's rows stay spread as the ranges are
+    keepers = ranges.select("h", "part").join(repeated, "h")
+    gone = found.join(keepers, ["h", "part"]).where(F.col("doc_id") < F.col("keeper"))
     return (gone.groupBy("doc_id", "row_hash", F.bitmap_bucket_number(F.col("pos") + 1).alias("block"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("pos") + 1)).alias("dropped")))
 
