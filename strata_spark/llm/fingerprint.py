@@ -138,7 +138,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     before = F.struct(F.pmod(F.col("own") - 1, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("extra"))
     rows = rows.withColumn("to", F.when(F.get(bounds, F.col("own")) == F.col("key"), F.array(own, before)).otherwise(F.array(own)))
     rows = rows.withColumn("to", F.explode("to")).select("to.part", "to.extra", "key", "doc_id", "text")
-    return (rows.repartition(n, "part").sortWithinPartitions("part", "extra", F.col("key").desc(), "text")
+    return (rows.repartitionById(n, F.col("part")).sortWithinPartitions("part", "extra", F.col("key").desc(), "text")
             .select("part", "extra", "doc_id", "text"))
 
 
