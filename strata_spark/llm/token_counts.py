@@ -220,7 +220,7 @@ class PrefixCounts:
             joined = joined + c if last and last == unicodedata.combining(c) and _UNNORMAL.normalize_str(c) == c else \
                 _UNNORMAL.normalize_str(joined + c)
             out.append(joined)
-        return [self._normal(p) for p in out] if len(cluster) <= MEMO_CHARS else [self.library.normalizer.normalize_str(p) for p in out]
+        return [self._normal(p) for p in out]
 
     def _scan(self, normal: str) -> tuple[list[int], list[tuple[int, int, str]]]:
         """Counts at all prefixes of a normalised part, and its pieces: start, count before, kind."""
