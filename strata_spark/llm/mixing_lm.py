@@ -41,10 +41,19 @@ START_WEIGHT = (0.15, 0.3, 0.35, 0.3)
 RATE = 0.3
 #: Bits between two updates of a text's weights, from its first bit to its last.
 STEP_BITS = 256
-BLOCK_BYTES = 256 << 10
+#: Bytes of texts worked on at a time; scored ones are many, as steps of few texts cost as much as those of many.
+BLOCK_BYTES, SCORED_BYTES = 1 << 20, 2 << 20
 FREQUENT = 100_000
 END = 256
 _TABLE_BLOCKS = 64
+#: Bytes whose contexts are hashed at a time.
+LOOK_UP_BYTES = 128 << 10
+#: Symbols whose slots are looked up at a time, and bits that are brought together for the next steps.
+GROUP_SYMBOLS, GROUP_BITS = 1 << 12, 1 << 15
+#: Factors of at most 1 + e^20 that are multiplied before a logarithm is taken; divides ``STEP_BITS``.
+FACTORS = 32
+#: Hash of a symbol.
+SYMBOL = mix(np.arange(END + 2, 2 * END + 3, dtype=np.uint64))
 #: Tasks a core that sum the context counts, at most.
 TABLE_TASKS = 8
 
@@ -86,49 +95,105 @@ class Code:
     nodes: np.ndarray
     bits: np.ndarray
 
-    def spell(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """Slots of each predictor and value of every bit of the rows, and the index of each row's first bit (with the end)."""
-        n = len(offsets) - 1
-        # bytes with an end after each row; before the first byte of a row stands END as well
-        symbols = np.full(len(raw) + n, END, np.int64)
-        row = np.repeat(np.arange(n), np.diff(offsets))
-        symbols[np.arange(len(raw)) + row] = LOWER[raw]
-        first = offsets[:-1] + np.arange(n)
-        size = np.diff(offsets) + 1
-        within = np.arange(len(symbols)) - np.repeat(first, size)
+    def __post_init__(self) -> None:
+        # by symbol and place in its code, as one row
+        self.width = self.nodes.shape[1]
+        self.node_hashes = mix(np.arange(1, END + 2, dtype=np.uint64))[self.nodes].ravel()
+        self.flat_bits = self.bits.ravel()
+        self.signs = (2 * self.flat_bits - 1).astype(np.float32)
+
+    def places(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every bit of the symbols the index of its symbol, and that of symbol and place in the code."""
         length = self.lengths[symbols]
+        begin = np.cumsum(length) - length
         place = np.repeat(np.arange(len(symbols)), length)
-        step = np.arange(len(place)) - np.repeat(np.cumsum(length) - length, length)
-        node = mix(np.arange(1, END + 2, dtype=np.uint64))[self.nodes[symbols[place], step]]
-        slots = []
-        for k, (order, bits) in enumerate(CONTEXTS):
-            if order:
-                context = np.full(len(symbols), k + 1, np.uint64)
-                for back in range(1, order + 1):
-                    before = np.full(len(symbols), END, np.int64)
-                    before[back:] = np.where(within[back:] >= back, symbols[:-back], END) if back < len(symbols) else before[back:]
-                    context = context * np.uint64(0x100000001B3) + before.astype(np.uint64)
+        code = np.arange(len(place))
+        code += (symbols * self.width - begin)[place]
+        return place, code
+
+    def spell(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Slots of each predictor and value of every bit of the rows, and the index of each row's first bit (with the end)."""
+        symbols, within = symbols_of(raw, offsets)
+        place, code = self.places(symbols)
+        slots = [slots_of(context, place, self.node_hashes[code], bits)
+                 for context, (_, bits) in zip(contexts_of(symbols, within), CONTEXTS)]
+        return slots, self.flat_bits[code], self.first_bits(symbols, offsets)
+
+    def first_bits(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        first = offsets[:-1] + np.arange(len(offsets) - 1)
+        return np.concatenate([[0], np.cumsum(np.add.reduceat(self.lengths[symbols], first))])
+
+
+def symbols_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the rows, bytes with an end after each row, and the place of each in its row."""
+    n = len(offsets) - 1
+    size = np.diff(offsets)
+    symbols = np.full(len(raw) + n, END, np.int64)
+    row = np.repeat(np.arange(n), size)
+    row += np.arange(len(raw))
+    symbols[row] = LOWER[raw]
+    within = np.arange(len(symbols))
+    within -= np.repeat(offsets[:-1] + np.arange(n), size + 1)
+    return symbols, within
+
+
+def contexts_of(symbols: np.ndarray, within: np.ndarray, predictors=None, at: np.ndarray | slice = slice(None)) -> Iterator[np.ndarray]:
+    """Hash of what each predictor (default: all) sees before each symbol (default) or those at some indices."""
+    base = 0x100000001B3
+    seen, known = 0, 0
+    for k in range(len(CONTEXTS)) if predictors is None else predictors:
+        order = CONTEXTS[k][0]
+        if not order:
+            yield mix(_word_so_far(symbols, within)[at])
+            continue
+        if order < known:
+            seen, known = 0, 0
+        for back in range(known + 1, order + 1):
+            before = _symbol_before(symbols, within, back, at).view(np.uint64)
+            if back > 1:
+                seen *= np.uint64(base)
+                seen += before
             else:
-                context = self._word_so_far(symbols, within)
-            slots.append((((mix(context)[place] ^ node) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64))
-        return slots, self.bits[symbols[place], step], np.concatenate([[0], np.cumsum(np.add.reduceat(length, first))])
-
-    @staticmethod
-    def _word_so_far(symbols: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """Hash of the bytes since the last byte that is no letter, digit or sign above space (that byte included)."""
-        n = len(symbols)
-        up, down = powers(max(16, int(n).bit_length()))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(np.append(BYTE, BYTE[:1])[symbols] * up[:n], out=total[1:])
-        fresh = within == 0
-        fresh[1:] |= symbols[:-1] <= 32
-        start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        return (total[:-1] - total[start]) * down[start] + (np.arange(n) - start).astype(np.uint64)
-
-
-def text_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+                seen = before
+        known = order
+        yield mix(seen + np.uint64((k + 1) * pow(base, order, 1 << 64) % (1 << 64)))
+
+
+def _symbol_before(symbols: np.ndarray, within: np.ndarray, back: int, at: np.ndarray | slice) -> np.ndarray:
+    """The symbol ``back`` places before; before the first byte of a row stands END."""
+    if not isinstance(at, slice):
+        return np.where(within[at] >= back, symbols[at - back], END)
+    before = np.full(len(symbols), END, np.int64)
+    if back < len(symbols):
+        before[back:] = symbols[:-back]
+        before[within < back] = END
+    return before
+
+
+def _word_so_far(symbols: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Hash of the bytes since the last byte that is no letter, digit or sign above space (that byte included)."""
+    n = len(symbols)
+    up, down = powers(max(16, int(n).bit_length()))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.append(BYTE, BYTE[:1])[symbols] * up[:n], out=total[1:])
+    fresh = within == 0
+    fresh[1:] |= symbols[:-1] <= 32
+    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    return (total[:-1] - total[start]) * down[start] + (np.arange(n) - start).astype(np.uint64)
+
+
+def slots_of(context: np.ndarray, place: np.ndarray, node_hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of the bits in a table of ``2**bits``."""
+    slot = context[place]
+    slot ^= node_hashes
+    slot *= np.uint64(0x9E3779B97F4A7C15)
+    slot >>= np.uint64(64 - bits)
+    return slot.view(np.int64)
+
+
+def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     raw, offsets = utf8(texts)
-    for lo, hi in blocks(offsets, BLOCK_BYTES):
+    for lo, hi in blocks(offsets, limit):
         yield lo, raw[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo]
 
 
@@ -164,25 +229,43 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield rows(1, np.arange(END + 1), symbols)
 
 
+def _distinct(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An index of each distinct key and how often it is there (counted ``times`` each)."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    # sorted by the upper bits with the index below; keys with equal upper bits may alternate, which only makes more runs
+    order = keys & ~low
+    order |= np.arange(len(keys), dtype=np.uint64)
+    order.sort()
+    order &= low
+    order = order.view(np.int64)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return order[starts], np.diff(np.append(starts, len(order))) if times is None else np.add.reduceat(times[order], starts)
+
+
 def _context_counts(code: Code):
+    """Counts of the 0 and 1 bits of every slot: what follows a context in a block is spelt once for all its places there."""
+    # a shorter context follows from a longer one, so its places are looked for among the distinct longer ones
+    by_order = sorted(range(len(CONTEXTS)), key=lambda k: -CONTEXTS[k][0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << bits, np.int64) for _, bits in CONTEXTS]
-        held: list[list[np.ndarray]] = [[] for _ in CONTEXTS]
-
-        def summed() -> None:
-            for table, indices in zip(tables, held):
-                if indices:
-                    table += np.bincount(np.concatenate(indices), minlength=len(table))
-                    indices.clear()
-
         for batch in batches:
             for _, raw, offsets in text_blocks(batch.column(0)):
-                slots, bits, _ = code.spell(raw, offsets)
-                for indices, slot in zip(held, slots):
-                    indices.append(2 * slot + bits)
-                if len(held[0]) >= 4:
-                    summed()
-        summed()
+                symbols, within = symbols_of(raw, offsets)
+                among, times = slice(None), None
+                for k in by_order:
+                    order, bits = CONTEXTS[k]
+                    if not order:
+                        among, times = slice(None), None
+                    context, = contexts_of(symbols, within, [k], among)
+                    found, times = _distinct(context ^ SYMBOL[symbols[among]], times)
+                    among = found if isinstance(among, slice) else among[found]
+                    place, coded = code.places(symbols[among])
+                    index = slots_of(context[found], place, code.node_hashes[coded], bits)
+                    index *= 2
+                    index += code.flat_bits[coded]
+                    np.add.at(tables[k], index, times[place])
         for k, table in enumerate(tables):
             for b, part in enumerate(np.split(table, _TABLE_BLOCKS)):
                 if part.any():
@@ -227,38 +310,104 @@ class Mixer:
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 probability of each row."""
-        slots, bits, first = self.code.spell(raw, offsets)
-        inputs = [table[slot] for table, slot in zip(self.odds, slots)]
+        first, odds, gate_of, other_of = self._looked_up(raw, offsets)
         n, gates = len(offsets) - 1, 1 << len(CONTEXTS)
-        gate = np.zeros(len(bits), np.int64)
-        for x in inputs:
-            gate = 2 * gate + (x != 0)
-        # +1 and -1 for the bits: the log odds of what came are the signed ones
-        sign = (2 * bits - 1).astype(np.float32)
-        weights = [np.full((n, gates), w, np.float32) for w in START_WEIGHT]
+        size = np.diff(first)
+        steps = -(-size // STEP_BITS)
+        # texts by descending number of steps: those still open are the first ones, a long text's steps cost as much as its own bits
+        order = np.argsort(-steps, kind="stable")
+        opened = n - np.cumsum(np.bincount(steps))[:-1]
+        seg_end = np.cumsum(opened)
+        # pieces of STEP_BITS, the first ones of all texts before the second ones
+        turn = np.repeat(np.arange(len(opened)), opened)
+        rank = np.arange(len(turn)) - (seg_end - opened)[turn]
+        begin = first[:-1][order][rank] + STEP_BITS * turn
+        take = np.minimum(size[order][rank] - STEP_BITS * turn, STEP_BITS)
+        ends = np.cumsum(take)
+        weights = [np.full(n * gates, w, np.float32) for w in START_WEIGHT]
         out = np.zeros(n)
-        at, end = first[:-1].copy(), first[1:]
-        while len(open_ := np.flatnonzero(at < end)):
-            take = np.minimum(end[open_] - at[open_], STEP_BITS)
-            starts = np.cumsum(take) - take
-            here = np.repeat(at[open_] - starts, take)
-            here += np.arange(len(here))
-            # weights of the texts still open only: a long text's steps cost as much as its own bits
-            cells = len(open_) * gates
-            own, side = np.repeat(np.arange(0, cells, gates), take) + gate[here], sign[here]
-            xs = [x[here] for x in inputs]
-            mine = [w[open_].ravel() for w in weights]
-            z = sum(w[own] * x for w, x in zip(mine, xs))
-            # odds of the other bit: their logarithm's sum is finite however sure the prediction was
-            missed = np.exp(-np.clip(z * side, -20, 20))
-            out[open_] -= np.add.reduceat(np.log1p(missed), starts, dtype=np.float64)
-            missed *= side / (1 + missed)
-            seen = np.maximum(np.bincount(own, minlength=cells), STEP_BITS // 8)
-            for w, m, x in zip(weights, mine, xs):
-                m += (RATE * np.bincount(own, weights=missed * x, minlength=cells) / seen).astype(np.float32)
-                w[open_] = m.reshape(-1, gates)
-            at[open_] += take
-        return out / np.log(10)
+        done = 0
+        while done < len(opened):
+            # the bits of some turns are brought together at once
+            lo = seg_end[done] - opened[done]
+            till = max(done + 1, int(np.searchsorted(ends[seg_end - 1], ends[lo] - take[lo] + GROUP_BITS, "right")))
+            hi = seg_end[till - 1]
+            starts, sizes = ends[lo:hi] - take[lo:hi], take[lo:hi]
+            here = np.repeat(begin[lo:hi] - starts, sizes)
+            here += np.arange(starts[0], ends[hi - 1])
+            starts = starts - starts[0]
+            inputs, other, gate = [x.take(here) for x in odds], other_of.take(here), gate_of.take(here)
+            cell = np.repeat(np.arange(0, (hi - lo) * gates, gates), sizes)
+            cell += gate
+            seen = np.maximum(np.bincount(cell, minlength=(hi - lo) * gates), STEP_BITS // 8)
+            # of most bits all predictors know the context: these are summed as they stand, the rest by cell
+            rest = np.flatnonzero(gate != gates - 1)
+            # odds of the bit that did not come: their logarithm's sum is finite however sure the prediction was
+            missed = np.empty(len(here), np.float32)
+            for now, seg in zip(opened[done:till], seg_end[done:till] - opened[done:till] - lo):
+                a, b = starts[seg], starts[seg + now - 1] + sizes[seg + now - 1]
+                own, cells, of_text = cell[a:b] - seg * gates, now * gates, starts[seg: seg + now] - a
+                some = rest[rest.searchsorted(a): rest.searchsorted(b)] - a
+                own_some = own[some]
+                z = weights[0].take(own) * inputs[0][a:b]
+                for w, x in zip(weights[1:], inputs[1:]):
+                    z += w.take(own) * x[a:b]
+                z *= other[a:b]
+                np.maximum(z, -20, out=z)
+                np.minimum(z, 20, out=z)
+                pull = np.exp(z, out=missed[a:b])
+                pull = pull * (other[a:b] / (1 + pull))
+                rate = RATE / seen[seg * gates: seg * gates + cells]
+                for w, x in zip(weights, inputs):
+                    moved = pull * x[a:b]
+                    total = np.zeros(cells)
+                    if len(some):
+                        total += np.bincount(own_some, weights=moved[some], minlength=cells)
+                        moved[some] = 0
+                    total[gates - 1:: gates] = np.add.reduceat(moved, of_text, dtype=np.float64)
+                    total *= rate
+                    w[:cells] -= total.astype(np.float32)
+            out -= np.bincount(rank[lo:hi], weights=_log1p_sums(missed, starts, sizes), minlength=n)
+            done = till
+        scores = np.empty(n)
+        scores[order] = out
+        return scores / np.log(10)
+
+    def _looked_up(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Index of each row's first bit (with the end); for every bit the predictors' log odds, the number of the gate, and -1
+        where it is 1 and 1 where it is 0."""
+        code = self.code
+        n = int(code.lengths[LOWER] @ np.bincount(raw, minlength=END)) + (len(offsets) - 1) * int(code.lengths[END])
+        odds = [np.empty(n, np.float32) for _ in CONTEXTS]
+        gate, other = np.zeros(n, np.uint8), np.empty(n, np.float32)
+        first, done = [np.zeros(1, np.int64)], 0
+        for top, end in blocks(offsets, LOOK_UP_BYTES):
+            symbols, within = symbols_of(raw[offsets[top]: offsets[end]], offsets[top: end + 1] - offsets[top])
+            contexts = list(contexts_of(symbols, within))
+            until = done + np.concatenate([[0], np.cumsum(code.lengths[symbols])])
+            for lo in range(0, len(symbols), GROUP_SYMBOLS):
+                hi = min(lo + GROUP_SYMBOLS, len(symbols))
+                a, b = until[lo], until[hi]
+                place, coded = code.places(symbols[lo:hi])
+                nodes = code.node_hashes[coded]
+                np.negative(code.signs[coded], out=other[a:b])
+                for x, table, context, (_, bits) in zip(odds, self.odds, contexts, CONTEXTS):
+                    found = x[a:b]
+                    table.take(slots_of(context[lo:hi], place, nodes, bits), out=found, mode="clip")
+                    gate[a:b] *= 2
+                    gate[a:b] += found != 0
+            first.append(until[offsets[top + 1: end + 1] - offsets[top] + np.arange(1, end - top + 1)])
+            done = until[-1]
+        return np.concatenate(first), odds, gate, other
+
+
+def _log1p_sums(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of log(1 + x) over the runs, each cut into products of ``FACTORS``."""
+    parts = -(-sizes // FACTORS)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(starts - FACTORS * first, parts)
+    cuts += FACTORS * np.arange(len(cuts))
+    return np.add.reduceat(np.log(np.multiply.reduceat(x.astype(np.float64) + 1, cuts)), first)
 
 
 def fit_mixer(train: DataFrame, symbols: np.ndarray) -> Mixer:
@@ -279,7 +428,7 @@ def _scorer(mixer: Mixer, known: np.ndarray, counts: np.ndarray, end_count: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo, raw, offsets in text_blocks(batch.column(1)):
+            for lo, raw, offsets in text_blocks(batch.column(1), SCORED_BYTES):
                 words, first = word_hashes(raw, offsets)
                 n = len(offsets) - 1
                 row = np.repeat(np.arange(n), np.diff(first))

@@ -22,10 +22,11 @@ _WORD = 2**64
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (xor-shift, multiply)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -235,6 +235,42 @@ def test_mixture_updates_at_every_stride_of_a_long_text():
         assert got == pytest.approx(total, rel=1e-3)
 
 
+def test_contexts_are_counted_once_for_all_their_places(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["the cat sat on the mat. " * 400, "", None, "a", "The Cat\tsat ünïcode 漢字", "zzzz" * 300]
+    code = mixing_lm.Code(*mixing_lm.huffman(np.arange(mixing_lm.END + 1)))
+    expected = [np.zeros(2 << b, np.int64) for _, b in mixing_lm.CONTEXTS]
+    for _, raw, offsets in mixing_lm.text_blocks(pa.array(texts)):
+        slots, bits, _ = code.spell(raw, offsets)
+        for table, slot in zip(expected, slots):
+            np.add.at(table, 2 * slot + bits, 1)
+    spelt, places = [], mixing_lm.Code.places
+    monkeypatch.setattr(mixing_lm.Code, "places", lambda self, symbols: spelt.append(len(symbols)) or places(self, symbols))
+    got = [np.zeros(2 << b, np.int64) for _, b in mixing_lm.CONTEXTS]
+    for out in mixing_lm._context_counts(code)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])):
+        predictor, block, packed = (out.column(i)[0].as_py() for i in range(3))
+        got[predictor].reshape(mixing_lm._TABLE_BLOCKS, -1)[block] += mixing_lm._unpacked(packed)
+    assert all((a == b).all() for a, b in zip(got, expected))
+    assert 0 < sum(spelt) < sum(len(t or "") for t in texts) // 5
+
+
+def test_scores_do_not_depend_on_the_texts_beside():
+    import pyarrow as pa
+
+    code = mixing_lm.Code(*mixing_lm.huffman(np.arange(mixing_lm.END + 1)))
+    rng = np.random.default_rng(2)
+    odds = [rng.normal(0, 1, 1 << b).astype(np.float32) * (rng.random(1 << b) < 0.7) for _, b in mixing_lm.CONTEXTS]
+    mixer = mixing_lm.Mixer(code, odds)
+    texts = ["ab " * 5000, "", "x", "some words " * 40, "", "q" * 999]
+
+    def scores(some):
+        return np.concatenate([mixer.score(raw, offsets) for _, raw, offsets in mixing_lm.text_blocks(pa.array(some))])
+
+    alone = np.concatenate([scores([t]) for t in texts])
+    assert np.allclose(scores(texts), alone, rtol=1e-12) and np.allclose(scores(texts[::-1])[::-1], alone, rtol=1e-12)
+
+
 def test_bits_per_byte(spark, sf_dir, texts):
     rows = QUERIES["op6_lm_score"](spark, sf_dir).collect()
     for r in rows:
