@@ -26,7 +26,6 @@ sets; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,9 +61,9 @@ def distinct_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
     for lo, hi in blocks(offsets):
         words, first = word_hashes(raw[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
         shingles, at = shingles_by_row(words, first)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            shingles[a:b].sort()
         row = np.repeat(np.arange(hi - lo), np.diff(at))
-        order = np.lexsort((shingles, row))
-        row, shingles = row[order], shingles[order]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (shingles[1:] != shingles[:-1])
         yield lo, shingles[new], np.searchsorted(row[new], np.arange(hi - lo + 1))
@@ -211,43 +210,73 @@ def _lists(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 
 class PrefixTree:
-    """Ordered sets of integers in a tree; ``linked`` finds those that link with one more set."""
+    """Ordered sets of integers in a tree; ``linked`` finds those that link with one more set.
+
+    A branch holds all elements up to the next fork, so sets that share no path cost one branch each.
+    """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        elements, counts = np.unique(np.concatenate(sets), return_counts=True)
-        order = np.lexsort((elements, -counts))  # what most sets have comes first: long shared paths
-        self.place = dict(zip(elements[order].tolist(), range(len(order))))
-        self.sizes = [len(s) for s in sets]
-        # a branch: children by element, sets that end here, smallest and largest size below
-        self.root: list = [{}, [], min(self.sizes), max(self.sizes)]
-        for k, s in enumerate(sets):
-            branch = self.root
-            for element in sorted(map(self.place.__getitem__, s.tolist())):
-                child = branch[0].get(element)
-                if child is None:
-                    child = branch[0][element] = [{}, [], len(s), len(s)]
-                child[2], child[3] = min(child[2], len(s)), max(child[3], len(s))
-                branch = child
-            branch[1].append(k)
+        self.elements, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # what most sets have comes first: long shared paths
+        order = np.lexsort((self.elements, -counts))
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        ends = np.cumsum([len(s) for s in sets])
+        place = self.place[place]
+        paths = [np.sort(place[end - len(s): end]) for s, end in zip(sets, ends)]
+        # sets by their paths: those that share one stand together
+        keys = [path.astype(">u4").tobytes() for path in paths]
+        self.sets = sorted(range(len(sets)), key=keys.__getitem__)
+        paths = [paths[k] for k in self.sets]
+        self.sizes = np.array([len(path) for path in paths])
+        shared = np.array([0, *(_shared_start(a, b) for a, b in zip(paths[:-1], paths[1:]))])
+        # a branch: its elements, where they end, first and last set below, its children
+        self.root: list = [paths[0][:0], 0, 0, len(paths), []]
+        todo = [self.root]
+        while todo:
+            _, depth, lo, hi, children = todo.pop()
+            while lo < hi and self.sizes[lo] == depth:
+                lo += 1
+            if lo == hi:
+                continue
+            forks = [lo, *(lo + 1 + np.flatnonzero(shared[lo + 1: hi] <= depth)).tolist(), hi]
+            for a, b in zip(forks[:-1], forks[1:]):
+                end = int(shared[a + 1: b].min()) if b - a > 1 else int(self.sizes[a])
+                child = [paths[a][depth:end], end, a, b, []]
+                children.append(child)
+                todo.append(child)
 
     def linked(self, probe: np.ndarray) -> list[int]:
         """Indices of the sets that link with the probe."""
-        places = sorted(p for p in map(self.place.get, probe.tolist()) if p is not None)
-        have, size, out = set(places), len(probe), []
-        todo = [(self.root, 0, 0)]
+        at = np.minimum(np.searchsorted(self.elements, probe), len(self.elements) - 1)
+        have = np.zeros(len(self.elements) + 1, np.int64)
+        have[self.place[at[self.elements[at] == probe]]] = 1
+        until = np.concatenate([[0], np.cumsum(have)])
+        size, out = len(probe), []
+        todo = [(self.root, 0)]
         while todo:
-            (children, ends, _, _), depth, overlap = todo.pop()
-            for k in ends:
-                if 100 * overlap >= PERCENT * (size + self.sizes[k] - overlap):
-                    out.append(k)
-            for element, child in children.items():
-                now = overlap + (element in have)
-                left = min(child[3] - depth - 1, len(places) - bisect_left(places, element + 1))
-                if (100 + PERCENT) * (now + left) >= PERCENT * (size + child[2]):
-                    todo.append((child, depth + 1, now))
+            (_, depth, lo, hi, children), overlap = todo.pop()
+            while lo < hi and self.sizes[lo] == depth:
+                if 100 * overlap >= PERCENT * (size + depth - overlap):
+                    out.append(self.sets[lo])
+                lo += 1
+            for child in children:
+                path, end, a, b, _ = child
+                now = overlap + int(have[path].sum())
+                sizes = self.sizes[a:b]
+                left = min(int(sizes.max()) - end, int(until[-1] - until[path[-1] + 1]))
+                if (100 + PERCENT) * (now + left) >= PERCENT * (size + int(sizes.min())):
+                    todo.append((child, now))
         return out
 
 
+def _shared_start(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two arrays have in common from their start."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of sorted groups ``(center, part, node, shingles)``; the center itself is the row with ``node = center``."""
     group, members, center = None, {}, None

@@ -97,6 +97,23 @@ def test_prefix_tree():
         assert sorted(ngram_join.PrefixTree(sets).linked(probe)) == want
 
 
+def test_prefix_tree_has_a_branch_a_fork():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**62, 1000)
+    sets = [np.append(common, rng.integers(0, 2**62, 50)) for _ in range(8)] + [common, common[:900], rng.integers(0, 2**62, 700)]
+    sets = [np.unique(s.astype(np.uint64)) for s in sets]
+    tree, branches = ngram_join.PrefixTree(sets), 0
+    todo = [tree.root]
+    while todo:
+        branch = todo.pop()
+        branches += 1
+        todo += branch[-1]
+    assert branches <= 2 * len(sets)
+    for probe in (sets[0], sets[8], sets[9], sets[10]):
+        want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(probe, s)) >= 75 * len(np.union1d(probe, s))]
+        assert sorted(tree.linked(probe)) == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)] + [(7, 7)]
